@@ -93,11 +93,10 @@ def flatten_schema(df: DataFrame) -> DataFrame:
 def plain_number(value: Column, digits: int = 8) -> Column:
     """``%.{digits}g`` with trailing zeros removed."""
     v = value.cast("double")
-    power = F.floor(F.log10(F.abs(v))).cast("int")
-    # Rounding can carry into the next power of ten (9.9999999996 -> 10).
-    scientific = F.format_string(f"%.{digits - 1}e", v)
-    power = F.when(v == 0, F.lit(0)).otherwise(F.element_at(F.split(scientific, "e"), 2).cast("int"))
-    mantissa = F.element_at(F.split(scientific, "e"), 1)
+    # The exponent is read after rounding, which can carry (9.9999999996 -> 10).
+    scientific = F.split(F.format_string(f"%.{digits - 1}e", v), "e")
+    power = F.get(scientific, F.lit(1)).try_cast("int")
+    mantissa = F.get(scientific, F.lit(0))
 
     def trimmed(number: Column) -> Column:
         return F.when(
@@ -112,9 +111,8 @@ def plain_number(value: Column, digits: int = 8) -> Column:
         F.when(power < 0, "-").otherwise("+"),
         F.lpad(F.abs(power).cast("string"), 2, "0"),
     )
-    return F.when((power < -4) | (power >= digits), F.concat(trimmed(mantissa), exponent)).otherwise(
-        trimmed(fixed)
-    )
+    shown = F.when((power < -4) | (power >= digits), F.concat(trimmed(mantissa), exponent)).otherwise(trimmed(fixed))
+    return F.when(v.isNotNull(), shown)
 
 
 def candidate_id(family: Column, lag: Column, radius: Column, alpha: Column, rules: Column) -> Column:
