@@ -93,26 +93,17 @@ def flatten_schema(df: DataFrame) -> DataFrame:
 def plain_number(value: Column, digits: int = 8) -> Column:
     """``%.{digits}g`` with trailing zeros removed."""
     v = value.cast("double")
-    # The exponent is read after rounding, which can carry (9.9999999996 -> 10).
-    scientific = F.split(F.format_string(f"%.{digits - 1}e", v), "e")
-    power = F.get(scientific, F.lit(1)).try_cast("int")
-    mantissa = F.get(scientific, F.lit(0))
-
-    def trimmed(number: Column) -> Column:
-        return F.when(
-            number.contains("."), F.regexp_replace(number, r"\.?0+$", "")
-        ).otherwise(number)
-
-    fixed = F.lit(None).cast("string")
-    for p in range(-4, digits):
-        fixed = F.when(power == p, F.format_string(f"%.{digits - 1 - p}f", v)).otherwise(fixed)
-    exponent = F.concat(
-        F.lit("e"),
-        F.when(power < 0, "-").otherwise("+"),
-        F.lpad(F.abs(power).cast("string"), 2, "0"),
+    power = F.floor(F.log10(F.abs(v)))
+    scale = F.pow(F.lit(10.0), digits - 1 - power)
+    rounded = F.round(v * scale) / scale
+    plain = F.regexp_replace(rounded.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    text = F.format_string(f"%.{digits - 1}e", v)
+    scientific = F.concat(
+        F.regexp_replace(F.substring_index(text, "e", 1), r"\.?0+$", ""), F.lit("e"), F.substring_index(text, "e", -1)
     )
-    shown = F.when((power < -4) | (power >= digits), F.concat(trimmed(mantissa), exponent)).otherwise(trimmed(fixed))
-    return F.when(v.isNotNull(), shown)
+    small = F.abs(v) < F.lit(9.99999995e-5)
+    large = F.abs(v) >= F.lit(10.0**digits - 0.5)
+    return F.when(v == 0, F.lit("0")).when(small | large, scientific).otherwise(plain)
 
 
 def candidate_id(family: Column, lag: Column, radius: Column, alpha: Column, rules: Column) -> Column:

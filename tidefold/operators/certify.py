@@ -147,37 +147,41 @@ def best_certificate(
     ``risks`` holds the mean loss per (scale, ratio) in grid order. The first
     minimum wins: entries compare by value, then by grid position.
     """
-    scale_penalty = math.log(len(scales))
-    mass = 1.0 / len(temperatures)
+    # Everything that depends on the grid alone is worked out here, once.
+    charge = math.log(len(scales)) + extra_penalty
+    confidence = math.log(len(temperatures) / delta)
     grid = F.array(
         *[
-            F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("scale"), F.lit(float(r)).alias("ratio"))
+            F.struct(
+                F.lit(i).alias("i"), F.lit(float(s)).alias("scale"), F.lit(float(r)).alias("ratio"),
+                F.lit(0.5 / (s * s)).alias("pull"), F.lit(0.5 * (math.log(1.0 / (r * r)) - 1.0 + r * r)).alias("spread"),
+            )
             for i, (s, r) in enumerate((s, r) for s in scales for r in ratios)
         ]
     )
-    steps = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(temperatures)]
-    )
 
     def entry(risk: Column, g: Column) -> Column:
-        kl = gaussian_kl_ratio(dimension, location, g["scale"], g["ratio"])
-        whole = structure_kl + scale_penalty + extra_penalty + kl
-        best = F.array_min(
-            F.transform(
-                steps,
-                lambda s: F.struct(
-                    certificate(risk, whole, s["t"], n, delta, mass).alias("value"), s["i"].alias("i"), s["t"].alias("t")
-                ),
-            )
-        )
-        return F.struct(
-            best["value"].alias("certificate_untruncated"), g["i"].alias("grid_index"),
-            g["scale"].alias("prior_scale"), g["ratio"].alias("posterior_ratio"), best["t"].alias("temperature"),
-            risk.alias("empirical_gibbs_risk"), kl.alias("gaussian_kl"), whole.alias("total_kl"),
-            F.least(F.lit(1.0), best["value"]).alias("certificate"),
-        )
-
-    return F.array_min(F.zip_with(risks, grid, entry))
+        kl = F.greatest(F.lit(0.0), dimension * g["spread"] + location * g["pull"])
+        return F.struct(risk.alias("risk"), kl.alias("kl"), (structure_kl + charge + kl).alias("whole"), g.alias("g"))
+
+    def bounded(e: Column) -> Column:
+        load = (e["whole"] + confidence) / n
+        best = F.least(*[load / float(t) + (t / 8.0) for t in temperatures])
+        return F.struct((e["risk"] + best).alias("certificate_untruncated"), e["g"]["i"].alias("grid_index"), e.alias("e"))
+
+    best = F.array_min(F.transform(F.zip_with(risks, grid, entry), bounded))
+    e = best["e"]
+    load = (e["whole"] + confidence) / n
+    temperature = F.array_min(
+        F.array(*[F.struct((load / float(t) + (t / 8.0)).alias("v"), F.lit(i).alias("i"), F.lit(float(t)).alias("t"))
+                  for i, t in enumerate(temperatures)])
+    )["t"]
+    return F.struct(
+        best["certificate_untruncated"].alias("certificate_untruncated"), best["grid_index"].alias("grid_index"),
+        e["g"]["scale"].alias("prior_scale"), e["g"]["ratio"].alias("posterior_ratio"), temperature.alias("temperature"),
+        e["risk"].alias("empirical_gibbs_risk"), e["kl"].alias("gaussian_kl"), e["whole"].alias("total_kl"),
+        F.least(F.lit(1.0), best["certificate_untruncated"]).alias("certificate"),
+    )
 
 
 def mixing_envelope(block: Column, tau: float, multiplier: float = 1.0) -> Column:

@@ -17,23 +17,24 @@ from pyspark.sql import functions as F
 from tidefold.functions import blocks
 from tidefold.functions.arrays import mean_square_gap
 from tidefold.operators.ordered import CHUNK, fits
-from tidefold.session import cut_lineage
+from tidefold.session import cut_lineage, spread_keys
 
 # Limits of the rule widths and the smallest usable deviation.
 SPREAD_FLOOR, SPREAD_CEILING, EPSILON = 0.15, 3.0, 1e-12
 REFINEMENTS = 2
 
+# One row per (series, lag, k). Centers and spreads are row-major, ``rule_count`` x ``lag``.
 COVER_SCHEMA = (
-    "series_id string, lag int, n_prior long, feature_mean array<double>, feature_scale array<double>, "
-    "reach array<double>, rules array<struct<k:int, centers:array<array<double>>, "
-    "spreads:array<array<double>>, support:array<bigint>, realized:double, empty:int>>"
+    "series_id string, lag int, k int, n_prior long, feature_mean array<double>, feature_scale array<double>, "
+    "reach array<double>, rule_count int, empty int, realized double, support array<bigint>, "
+    "centers array<double>, spreads array<double>"
 )
 
 
 def cover(
     rows: DataFrame, order_list: Sequence[int], max_rules: int, max_len: int | None = None, chunk: int = CHUNK
 ) -> DataFrame:
-    """One row per (series, lag): cover radii and the refined rules of every cut k.
+    """One row per (series, lag, k): cover radii and the refined rules of the first k picks.
 
     ``reach[k-1]`` is the cover radius with the first k picks. A series proven
     to fit in one chunk is covered in one task; others go in rounds over all
@@ -67,31 +68,26 @@ def _cover_blocks(prior: DataFrame, order_list: Sequence[int], max_rules: int, l
             order, reach = blocks.farthest_first(z, max_rules)
             wide = z.std(axis=0)
             wide = np.where(wide > EPSILON, wide, 1.0)
-            rules = []
             for k in range(1, len(order) + 1):
                 centers = z[order[:k]]
                 for _ in range(REFINEMENTS):
                     label, _gap = blocks.nearest(z, centers)
-                    centers = np.stack([z[label == j].mean(axis=0) if (label == j).any() else centers[j] for j in range(k)])
+                    centers = blocks.group_mean(z, label, centers)
                 label, _gap = blocks.nearest(z, centers)
                 kept = np.unique(label)
                 centers = centers[kept]
                 label, gap = blocks.nearest(z, centers)
                 support = np.bincount(label, minlength=len(centers))
-                spread = np.empty_like(centers)
-                for j in range(len(centers)):
-                    sd = z[label == j].std(axis=0) if support[j] >= 2 else wide
-                    spread[j] = np.clip(np.where(sd > EPSILON, sd, wide), SPREAD_FLOOR, SPREAD_CEILING)
-                rules.append(
-                    {"k": k, "centers": centers.tolist(), "spreads": spread.tolist(), "support": support.tolist(),
-                     "realized": max(float(np.sqrt(gap.max())), EPSILON), "empty": k - len(kept)}
+                sd = np.stack([z[label == j].std(axis=0) for j in range(len(centers))])
+                sd = np.where((support[:, None] >= 2) & (sd > EPSILON), sd, wide)
+                out.append(
+                    (pdf["series_id"].iloc[0], p, k, len(x), mean, scale, reach, len(centers), k - len(kept),
+                     max(float(np.sqrt(gap.max())), EPSILON), support, centers.ravel(),
+                     np.clip(sd, SPREAD_FLOOR, SPREAD_CEILING).ravel())
                 )
-            out.append((pdf["series_id"].iloc[0], p, len(x), mean, scale, reach, rules))
-        return pd.DataFrame(
-            out, columns=["series_id", "lag", "n_prior", "feature_mean", "feature_scale", "reach", "rules"]
-        )
+        return pd.DataFrame(out, columns=[c.split()[0] for c in COVER_SCHEMA.split(", ")])
 
-    return prior.groupBy("series_id").applyInPandas(one, COVER_SCHEMA)
+    return spread_keys(prior, "series_id").groupBy("series_id").applyInPandas(one, COVER_SCHEMA)
 
 
 def _vector_avg(column: str, width: int) -> list[Column]:
@@ -181,23 +177,16 @@ def _rounds_for_lag(prior: DataFrame, p: int, max_rules: int) -> DataFrame:
     packed = per_rule.withColumn("spread", spread).groupBy("series_id", "k").agg(
         F.array_sort(F.collect_list(F.struct("rule", "spread", "support"))).alias("r"), F.max("gap").alias("gap")
     )
-    rules = (
+    return (
         kept.join(packed, ["series_id", "k"])
+        .join(stats, "series_id")
+        .join(centers.select("series_id", "reach"), "series_id")
         .select(
-            "series_id",
-            F.struct(
-                F.col("k").cast("int").alias("k"), "centers", F.col("r.spread").alias("spreads"),
-                F.col("r.support").alias("support"), F.greatest(F.sqrt("gap"), F.lit(EPSILON)).alias("realized"),
-                F.col("empty").cast("int").alias("empty"),
-            ).alias("rule_set"),
+            "series_id", F.lit(p).alias("lag"), F.col("k").cast("int").alias("k"), "n_prior", "feature_mean",
+            "feature_scale", "reach", F.size("centers").alias("rule_count"), F.col("empty").cast("int").alias("empty"),
+            F.greatest(F.sqrt("gap"), F.lit(EPSILON)).alias("realized"), F.col("r.support").alias("support"),
+            F.flatten("centers").alias("centers"), F.flatten("r.spread").alias("spreads"),
         )
-        .groupBy("series_id")
-        .agg(F.array_sort(F.collect_list("rule_set")).alias("rules"))
-    )
-    return (
-        stats.join(centers.select("series_id", "reach"), "series_id")
-        .join(rules, "series_id")
-        .select("series_id", F.lit(p).alias("lag"), "n_prior", "feature_mean", "feature_scale", "reach", "rules")
     )
 
 
@@ -243,6 +232,11 @@ def parameter_counts(rules: Column, lag: Column) -> dict[str, Column]:
 # --- expressions for rows that carry their rules -----------------------------------------
 
 
+def as_rules(flat: Column, rules: Column, lag: Column) -> Column:
+    """Row-major values back as one array per rule."""
+    return F.transform(F.sequence(F.lit(0), rules - 1), lambda i: F.slice(flat, i * lag + 1, lag))
+
+
 def standardize(features: Column, mean: Column, scale: Column) -> Column:
     centered = F.zip_with(features, mean, lambda v, m: v - m)
     return F.zip_with(centered, scale, lambda v, s: v / s)

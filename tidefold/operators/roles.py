@@ -72,7 +72,9 @@ def with_roles(
     counted = per_group(df, {"n_rows": F.count("*")}, max_len=max_len, chunk=chunk)
     plan = sizes(F.col("n_rows"))
     need = {role: 1 for role in ROLES} | (minimum or {})
-    sized = counted.withColumns({f"_{r}": plan[r].cast("long") for r in ROLES})
+    # ``inline`` works the sizes out once per row; a plain projection would be
+    # copied into every later use of a size.
+    sized = counted.select("*", F.inline(F.array(F.struct(*[plan[r].cast("long").alias(f"_{r}") for r in ROLES]))))
     short = F.lit(False)
     for role in ROLES:
         short = short | (F.col(f"_{role}") < need[role])

@@ -18,7 +18,7 @@ from tidefold.functions import blocks
 from tidefold.operators.cover import EPSILON, cover, cut_for_radius
 from tidefold.operators.linear import FAN, merge_grams, with_chunk
 from tidefold.operators.ordered import CHUNK, fits, look_back
-from tidefold.session import cut_lineage
+from tidefold.session import cut_lineage, spread_keys, store
 
 
 @dataclass(frozen=True)
@@ -110,54 +110,47 @@ def specs(rows: DataFrame, covers: DataFrame | None, grid: Grid) -> DataFrame:
     if grid.uses_rules:
         if covers is None:
             raise ValueError("Rule families need covers.")
-        base = base.join(covers, ["series_id", "lag"], "left")
+        # At most max_rules entries per (series, lag).
+        by_k = F.array_sort(F.collect_list(F.struct("k", "rule_count", "empty")))
+        heads = covers.groupBy("series_id", "lag").agg(
+            F.first("n_prior").alias("n_prior"), F.first("reach").alias("reach"), by_k.alias("cuts")
+        )
+        base = base.join(heads, ["series_id", "lag"], "left")
         no_prior = F.when(F.col("n_prior").isNull(), "no prior rows")
         if "fixed_k_dense_tsk" in grid.families:
             for count in grid.counts:
                 have = F.col("n_prior") >= count
                 distinct = F.lit(True) if count == 1 else F.get("reach", F.lit(count - 2)) > EPSILON
-                rule = F.get("rules", F.lit(count - 1))
                 why = F.coalesce(
                     no_prior,
                     F.when(~have, "fewer prior rows than rules"),
                     F.when(~distinct, "too few distinct prior points"),
-                    F.when(rule["empty"] > 0, "refinement left an empty rule"),
+                    F.when(F.get("cuts", F.lit(count - 1))["empty"] > 0, "refinement left an empty rule"),
                 )
-                entries.append(spec("fixed_k_dense_tsk", none_d, F.lit(count), F.lit(count), F.lit(count), F.lit(count), F.lit(False), why))
+                k = F.lit(count)
+                entries.append(spec("fixed_k_dense_tsk", none_d, k, k, k, k, F.lit(False), why))
         for family in ("dense_tsk", "sparse_tsk"):
             if family not in grid.families:
                 continue
             for radius in grid.radii:
                 k = cut_for_radius(F.col("reach"), F.lit(float(radius)))
-                rules = F.size(F.get("rules", k - 1)["centers"])
+                rules = F.get("cuts", k - 1)["rule_count"]
                 active = rules if family == "dense_tsk" else F.least(F.lit(grid.sparse_active), rules)
                 capped = F.coalesce(F.get("reach", k - 1) > float(radius), F.lit(False))
                 entries.append(spec(family, F.lit(float(radius)), k, k, active, rules, capped, no_prior))
-    out = base.select("*", F.explode(F.array(*entries)).alias("s"))
-    keep = ["series_id", "lag"]
-    if grid.uses_rules:
-        keep += ["feature_mean", "feature_scale", F.get("rules", F.col("s.k") - 1).alias("rule_set")]
-    return out.select(*keep, "s.*")
+    return base.select("series_id", "lag", F.inline(F.array(*entries)))
+
+
+GEOMETRY = ["feature_mean", "feature_scale", "centers", "spreads"]
 
 
-def designs(spec_rows: DataFrame, grid: Grid) -> DataFrame:
-    """Distinct designs behind the usable specs."""
+def designs(spec_rows: DataFrame, covers: DataFrame | None) -> DataFrame:
+    """Distinct designs behind the usable specs, with their rule geometry."""
     usable = spec_rows.filter(~F.col("capped") & F.col("failure").isNull())
-    keys = ["series_id", "lag", "k", "active"]
-    if not grid.uses_rules:
-        none = F.lit(None)
-        return usable.select(*keys).distinct().select(
-            *keys, none.cast("array<double>").alias("feature_mean"), none.cast("array<double>").alias("feature_scale"),
-            none.cast("array<array<double>>").alias("centers"), none.cast("array<array<double>>").alias("spreads"),
-        )
-    # A key has at most one row per family and radius or count of the grid.
-    rule = F.col("k") > 0
-    return usable.groupBy(*keys).agg(
-        F.first(F.when(rule, F.col("feature_mean"))).alias("feature_mean"),
-        F.first(F.when(rule, F.col("feature_scale"))).alias("feature_scale"),
-        F.first(F.when(rule, F.col("rule_set.centers"))).alias("centers"),
-        F.first(F.when(rule, F.col("rule_set.spreads"))).alias("spreads"),
-    )
+    keys = usable.select("series_id", "lag", "k", "active").distinct()
+    if covers is None:
+        return keys.select("*", *[F.lit(None).cast("array<double>").alias(c) for c in GEOMETRY])
+    return keys.join(covers.select("series_id", "lag", "k", *GEOMETRY), ["series_id", "lag", "k"], "left")
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -187,7 +180,8 @@ class _Block:
         if row.k == 0:
             return blocks.affine(x), None
         z = (x - np.asarray(row.feature_mean)) / np.asarray(row.feature_scale)
-        weights = blocks.firing(z, np.stack(row.centers), np.stack(row.spreads), row.active)
+        shape = (-1, row.lag)
+        weights = blocks.firing(z, np.reshape(row.centers, shape), np.reshape(row.spreads, shape), row.active)
         return blocks.rule_design(z, weights), weights
 
 
@@ -304,7 +298,9 @@ def _one_visit(rows: DataFrame, design_rows: DataFrame, grid: Grid, limit: int)
                     out.append((row.series_id, row.lag, row.k, row.active, a, design.shape[1], limit_y, *s, *t))
         return pd.DataFrame(out, columns=_names(SCORED))
 
-    return rows.groupBy("series_id").cogroup(_fresh(design_rows).groupBy("series_id")).applyInPandas(visit, SCORED)
+    left = spread_keys(rows, "series_id").groupBy("series_id")
+    right = spread_keys(_fresh(design_rows), "series_id").groupBy("series_id")
+    return left.cogroup(right).applyInPandas(visit, SCORED)
 
 
 def _two_visits(rows: DataFrame, design_rows: DataFrame, grid: Grid) -> DataFrame:
@@ -385,11 +381,10 @@ def _two_visits(rows: DataFrame, design_rows: DataFrame, grid: Grid) -> DataFram
 
 def run_sweep(
     lagged: DataFrame, grid: Grid, max_len: int | None = None, chunk: int = CHUNK
-) -> tuple[DataFrame, DataFrame]:
-    """(specs, scored designs) for rows from :func:`lag_context`."""
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(specs, scored designs, covers) for rows from :func:`lag_context`."""
     rows = sweep_rows(lagged, grid, max_len, chunk)
-    covers = cover(rows, grid.lags, grid.max_rules, max_len, chunk) if grid.uses_rules else None
-    # The specs feed the fits, the candidates and the report, so they are stored once.
-    spec_rows = cut_lineage(specs(rows, covers, grid))
-    return spec_rows, fit_and_score(rows, designs(spec_rows, grid), grid, max_len, chunk)
-
+    # Covers and specs feed the fits, the candidates and the test forecasts, so they are stored once.
+    covers = store(cover(rows, grid.lags, grid.max_rules, max_len, chunk)) if grid.uses_rules else None
+    spec_rows = store(specs(rows, covers, grid))
+    return spec_rows, fit_and_score(rows, designs(spec_rows, covers), grid, max_len, chunk), covers

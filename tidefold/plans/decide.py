@@ -15,12 +15,12 @@ from tidefold.functions import metrics as m
 from tidefold.functions.arrays import dot
 from tidefold.functions.text import candidate_id
 from tidefold.operators import certify
-from tidefold.operators.cover import design_row, firing_strengths, standardize
+from tidefold.operators.cover import as_rules, design_row, firing_strengths, standardize
 from tidefold.operators.lags import with_shift
 from tidefold.operators.ordered import CHUNK
 from tidefold.operators.select import KEYS, best, key_of, robust_gate, simple_gate
+from tidefold.operators.sweep import GEOMETRY, Grid, block_id, lag_context, run_sweep
 from tidefold.operators.sweep import KEYS as DESIGN
-from tidefold.operators.sweep import Grid, block_id, lag_context, run_sweep
 from tidefold.session import cut_lineage, store
 
 
@@ -45,8 +45,7 @@ def candidates(
     ln 2 for the choice; ``pointwise_delta`` adds the bound at a second level.
     """
     usable = spec_rows.filter(~F.col("capped") & F.col("failure").isNull()).select(
-        *DESIGN, "family", "radius", "wanted_k", "rule_count",
-        *(["rule_set"] if "rule_set" in spec_rows.columns else []),
+        *DESIGN, "family", "radius", "wanted_k", "rule_count"
     )
     rows = usable.join(scored, DESIGN).join(scale, "series_id")
     s, n = F.col("scaler_scale"), F.col("n_val")
@@ -202,8 +201,7 @@ def decide(cands: DataFrame, base: DataFrame, gate: str, fallback: str) -> DataF
         yes = "robust_certificate_validation_gate_passed"
     else:
         raise ValueError(f"Unknown gate {gate}.")
-    rule = ["rule_set"] if "rule_set" in cands.columns else []
-    keep = list(dict.fromkeys(["series_id", "family", *MODEL, *rule, *KEYS[key]]))
+    keep = list(dict.fromkeys(["series_id", "family", *MODEL, *KEYS[key]]))
     if gate == "robust":
         keep += ["validation_rmse_improvement_vs_fallback", "validation_cost_improvement_vs_fallback"]
     row = F.struct(*[F.col(c) for c in keep if c != "series_id"])
@@ -229,8 +227,7 @@ def decide(cands: DataFrame, base: DataFrame, gate: str, fallback: str) -> DataF
 
 
 def family_winners(cands: DataFrame, key: str) -> DataFrame:
-    rule = ["rule_set"] if "rule_set" in cands.columns else []
-    keep = list(dict.fromkeys(["series_id", "family", *MODEL, *rule, *[c for c in KEYS[key]]]))
+    keep = list(dict.fromkeys(["series_id", "family", *MODEL, *KEYS[key]]))
     return best(cands.select(*keep), ["series_id", "family"], key)
 
 
@@ -238,7 +235,7 @@ def open_role(lagged: DataFrame, models: DataFrame, covers: DataFrame | None, ro
     """Forecast rows of one role with stored coefficients; nothing is fitted again.
 
     ``models`` holds one row per (series, label) with lag, k, active,
-    coefficients, clip bound and, for rules, centers and spreads.
+    coefficients and clip bound; rule geometry comes from ``covers``.
     """
     rows = lagged.filter(F.col("role") == role).select(
         F.col("series_id").cast("string").alias("series_id"), "step", "pos", "features", "value_scaled",
@@ -246,14 +243,16 @@ def open_role(lagged: DataFrame, models: DataFrame, covers: DataFrame | None, ro
     )
     keyed = models
     if covers is not None:
-        keyed = models.join(covers.select("series_id", "lag", "feature_mean", "feature_scale"), ["series_id", "lag"], "left")
+        geometry = covers.select("series_id", "lag", "k", *GEOMETRY)
+        keyed = models.join(geometry, ["series_id", "lag", "k"], "left")
     joined = rows.join(keyed, "series_id").filter(F.col("step") >= F.col("lag"))
     x = F.slice("features", F.lit(1), F.col("lag"))
     plain = dot(F.concat(F.array(F.lit(1.0)), x), F.col("coefficients"))
     forecast = plain
     if covers is not None:
         z = standardize(x, F.col("feature_mean"), F.col("feature_scale"))
-        weights = firing_strengths(z, F.col("rule_set.centers"), F.col("rule_set.spreads"), F.col("active"))
+        rules = [as_rules(F.col(c), F.col("rule_count"), F.col("lag")) for c in ("centers", "spreads")]
+        weights = firing_strengths(z, *rules, F.col("active"))
         forecast = F.when(F.col("k") == 0, plain).otherwise(dot(design_row(z, weights), F.col("coefficients")))
     b = F.col("clip_bound_scaled")
     return (
@@ -300,12 +299,12 @@ class Case:
             "role",
         )
         self.shifted = self.lagged.filter(F.col("seasonal").isNotNull())
-        self.specs, self.scored = run_sweep(self.lagged, grid, max_len, chunk)
+        self.specs, self.scored, self.covers = run_sweep(self.lagged, grid, max_len, chunk)
         self.scale = scalers(self.lagged.filter(F.col("role") == "prior"))
         found = candidates(self.specs, self.scored, self.scale, grid, delta_total / series_count)
         self.base = seasonal_validation(self.shifted, grid.validation_blocks)
         # The sweep feeds several results, so its small candidate table is stored once.
-        self.candidates = cut_lineage(with_stability(found, self.base))
+        self.candidates = store(with_stability(found, self.base))
         self.fallback = fallback
 
     def decisions(self) -> DataFrame:
@@ -321,19 +320,12 @@ class Case:
             F.count_if(F.col("failure").isNotNull()).alias("build_failures"),
         )
 
-    def _covers(self) -> DataFrame | None:
-        if not self.grid.uses_rules:
-            return None
-        return self.specs.filter(F.col("feature_mean").isNotNull()).select(
-            "series_id", "lag", "feature_mean", "feature_scale"
-        ).dropDuplicates(["series_id", "lag"])
-
     def family_results(self) -> DataFrame:
         key = "cost" if self.gate == "robust" else "rmse_then_certificate"
         winners = family_winners(self.candidates, key)
-        opened = open_role(self.lagged, winners, self._covers())
+        opened = open_role(self.lagged, winners, self.covers)
         scored = role_metrics(opened, ["series_id", "family"])
-        report = [c for c in winners.columns if c not in ("rule_set", "coefficients")]
+        report = [c for c in winners.columns if c != "coefficients"]
         return winners.select(*report).join(scored, ["series_id", "family"]).join(self.scale, "series_id").withColumn(
             "certificate_rms_allowance_original",
             m.rms_allowance(F.col("certificate"), F.col("clip_bound_scaled"), F.col("scaler_scale")),
@@ -367,7 +359,7 @@ class Case:
     def predictions(self, decisions: DataFrame) -> DataFrame:
         """Test rows with actual, fallback and deployed forecast, aligned on (series, step)."""
         chosen = decisions.filter(F.col("selected").isNotNull()).select("series_id", "selected.*")
-        opened = open_role(self.lagged, chosen, self._covers()).select("series_id", "step", F.col("forecast").alias("_model"))
+        opened = open_role(self.lagged, chosen, self.covers).select("series_id", "step", F.col("forecast").alias("_model"))
         base = self.shifted.filter(F.col("role") == "test").select(
             "series_id", "step", "pos", F.col("value_imputed").alias("actual"), "seasonal"
         )

@@ -27,6 +27,7 @@ def build_session(master: str, app: str = "tidefold", shuffle_partitions: int =
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -56,3 +57,13 @@ def store(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key into the configured number of shuffle partitions.
+
+    Work done per key in Python is heavy for few bytes, and adaptive execution
+    would pack such partitions together by size.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
