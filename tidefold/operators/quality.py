@@ -41,10 +41,11 @@ def without_test_columns(df: DataFrame) -> DataFrame:
 
 def unique_keys(df: DataFrame, keys: list[str], name: str = "table") -> DataFrame:
     """Pass the rows through; a repeated key fails the job when it is read."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_copies")).filter("_copies > 1")
-    guard = F.raise_error(F.lit(f"{name} has duplicate keys")).cast("long")
-    checked = counts.select(*keys, guard.alias("_copies"))
-    return df.join(checked, keys, "left_anti")
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_copies"))
+    repeated = counts.filter(
+        F.when(F.col("_copies") > 1, F.raise_error(F.lit(f"{name} has duplicate keys")).cast("boolean")).otherwise(F.lit(False))
+    )
+    return df.join(repeated.select(*[F.col(k).alias(k) for k in keys]), keys, "left_anti")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
