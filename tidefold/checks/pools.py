@@ -74,16 +74,16 @@ def pool(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> Dat
 
 def picked(candidates: DataFrame, caps=CAPS, modes=MODES, max_radius: float = 9.0) -> DataFrame:
     """Selected candidate per series, rule cap and mode, with its test errors."""
-    out = None
-    for mode in modes:
-        rows = usable(candidates.filter(F.col("radius") <= max_radius), mode == "unconstrained", ("rmse", "mae"))
-        spread = rows.withColumn("max_rules", F.explode(F.array(*[F.lit(c) for c in caps]))).filter(
-            F.col("rule_count") <= F.col("max_rules")
-        )
-        chosen = best(spread, ["source", "dataset", "series_id", "max_rules"], "smallest_radius").withColumn(
-            "selection_mode", F.lit(mode)
-        )
-        out = chosen if out is None else out.unionByName(chosen)
+    # One pass: each candidate is offered to every rule cap and mode that admits it.
+    rows = usable(candidates.filter(F.col("radius") <= max_radius), True, ("rmse", "mae"))
+    offers = F.array(
+        *[F.struct(F.lit(c).alias("max_rules"), F.lit(mode).alias("selection_mode")) for c in caps for mode in modes]
+    )
+    admitted = rows.select("*", F.inline(offers)).filter(
+        (F.col("rule_count") <= F.col("max_rules"))
+        & ((F.col("selection_mode") == "unconstrained") | ~F.col("radius_cap_reached"))
+    )
+    out = best(admitted, ["source", "dataset", "series_id", "max_rules", "selection_mode"], "smallest_radius")
     return out.select(
         "source", "dataset", "series_id", "max_rules", "selection_mode", F.lit("PASS").alias("status"),
         F.col("lag_order").alias("selected_lag"), F.col("radius").alias("selected_radius"),

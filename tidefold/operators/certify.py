@@ -238,3 +238,81 @@ def evidence_complete() -> Column:
 def recompute_gap(stored: str, recomputed: Column) -> Column:
     """Largest distance between stored and recomputed bounds."""
     return F.max(F.abs(F.col(stored) - recomputed))
+
+
+def mixing_profile(
+    rows: DataFrame,
+    block_lengths: Sequence[int],
+    scales: Sequence[float],
+    ratios: Sequence[float],
+    temperatures: Sequence[float],
+    delta: float,
+    tau: float,
+    multiplier: float = 1.0,
+) -> DataFrame:
+    """Best bound per series and block length under an assumed mixing envelope.
+
+    ``rows`` is the certification sample of one model per series: ``series_id,
+    at, n, y, center, square_size, dimension, q_square, clip_bound,
+    structure_kl`` with ``square_size`` the squared length of the design row and
+    ``q_square`` that of the coefficients (the prior is centered at zero with one
+    deviation for all coefficients). Lengths that leave under two blocks, or no
+    confidence, come back with that status.
+    """
+    pairs = [(float(s), float(r)) for s in scales for r in ratios]
+    grid = F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(r).alias("ratio")) for s, r in pairs])
+    model = ["series_id", "n", "dimension", "q_square", "structure_kl"]
+    variance = F.pow(F.col("scale") * F.col("ratio"), 2) * F.col("square_size")
+    losses = rows.select("*", F.inline(grid)).withColumn(
+        "loss", pointwise_loss(F.col("y"), F.col("center"), variance, F.col("clip_bound"))
+    )
+    risk = odd_block_risk(losses, [*model, "scale", "ratio"], block_lengths)
+    allocated = delta / len(block_lengths)
+    a, mu = F.col("block_length"), F.col("blocks")
+    envelope = mixing_envelope(a, tau, multiplier)
+    kl = gaussian_kl_ratio(F.col("dimension"), F.col("q_square"), F.col("scale"), F.col("ratio"))
+    shared = risk.withColumns(
+        {
+            "assumed_beta_upper": envelope,
+            "mixing_residual": 2.0 * (mu - 1) * envelope,
+            "effective_delta": effective_delta(F.lit(allocated), mu, envelope),
+            "gaussian_kl": kl,
+            "total_kl": kl + F.col("structure_kl") + math.log(len(scales)),
+        }
+    )
+    feasible = (mu >= 2) & (F.col("effective_delta") > 0)
+    mass = 1.0 / len(temperatures)
+    steps = shared.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
+    value = F.least(
+        F.lit(1.0),
+        certificate(F.col("block_risk"), F.col("total_kl"), F.col("temperature"), mu, F.col("effective_delta"), mass),
+    )
+    key = F.struct(
+        F.col("certificate"), F.col("total_kl"), F.col("block_risk"), F.col("temperature"), F.col("scale"), F.col("ratio"),
+    )
+    best = steps.withColumn("certificate", F.when(feasible, value)).groupBy("series_id", "block_length").agg(
+        F.first("blocks").alias("effective_sample_size"), F.first("used_observations").alias("used_observations"),
+        F.first("assumed_beta_upper").alias("assumed_beta_upper"), F.first("mixing_residual").alias("mixing_residual"),
+        F.first("effective_delta").alias("effective_delta"),
+        F.min(F.when(F.col("certificate").isNotNull(), key)).alias("_b"),
+    )
+    few = F.col("effective_sample_size") < 2
+    status = F.when(few, "INSUFFICIENT_BLOCKS").when(F.col("effective_delta") <= 0, "INFEASIBLE_CONFIDENCE").otherwise("PASS")
+    out = best.withColumn("status", status).withColumns(
+        {
+            "certificate": F.col("_b.certificate"), "total_kl": F.col("_b.total_kl"), "block_risk": F.col("_b.block_risk"),
+            "temperature": F.col("_b.temperature"), "prior_scale": F.col("_b.scale"), "posterior_ratio": F.col("_b.ratio"),
+            "allocated_delta": F.lit(allocated),
+        }
+    )
+    blank = ("assumed_beta_upper", "mixing_residual", "effective_delta")
+    out = out.withColumns({c: F.when(~few, F.col(c)) for c in blank})
+    zeroed = ("effective_sample_size", "used_observations")
+    return out.withColumns({c: F.when(few, F.lit(0)).otherwise(F.col(c)) for c in zeroed}).drop("_b")
+
+
+def best_block_length(profile: DataFrame) -> DataFrame:
+    """The block length with the smallest bound; ties by divergence, risk, length."""
+    key = F.struct("certificate", "total_kl", "block_risk", "block_length")
+    row = F.struct("block_length", "certificate", "total_kl", "block_risk", "temperature", "prior_scale", "posterior_ratio")
+    return profile.filter(F.col("status") == "PASS").groupBy("series_id").agg(F.min_by(row, key).alias("_b")).select("series_id", "_b.*")
