@@ -7,6 +7,7 @@ Decisions are written (or checkpointed) before any test row is scored.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -299,14 +300,18 @@ class Case:
             "role",
         )
         self.shifted = self.lagged.filter(F.col("seasonal").isNotNull())
-        self.specs, self.scored, self.covers = run_sweep(self.lagged, grid, max_len, chunk)
+        self.specs, self._scored, self.covers = run_sweep(self.lagged, grid, max_len, chunk)
         self.scale = scalers(self.lagged.filter(F.col("role") == "prior"))
-        found = candidates(self.specs, self.scored, self.scale, grid, delta_total / series_count)
         self.base = seasonal_validation(self.shifted, grid.validation_blocks)
-        # The sweep feeds several results, so its small candidate table is stored once.
-        self.candidates = store(with_stability(found, self.base))
+        self.delta = delta_total / series_count
         self.fallback = fallback
 
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """The candidate table feeds several results, so it is stored once, when first asked for."""
+        found = candidates(self.specs, self._scored, self.scale, self.grid, self.delta)
+        return store(with_stability(found, self.base))
+
     def decisions(self) -> DataFrame:
         """The barrier: decisions are stored before a test row is read."""
         return cut_lineage(decide(self.candidates, self.base, self.gate, self.fallback))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +29,15 @@ class Sweep:
         self.lagged = store(
             lag_context(prepared, max(grid.lags), max_len, chunk).withColumn("series_id", F.col("series_id").cast("string")), "role"
         )
-        self.specs, scored, self.covers = run_sweep(self.lagged, grid, max_len, chunk)
+        self.specs, self._scored, self.covers = run_sweep(self.lagged, grid, max_len, chunk)
         self.scale = scalers(self.lagged.filter(F.col("role") == "prior"))
-        self.candidates = store(
-            candidates(self.specs, scored, self.scale, grid, delta_total / series_count, True, delta_total)
-        )
+        self.deltas = (delta_total / series_count, delta_total)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Stored when first asked for; the winners, summaries and audit read it."""
+        level, second = self.deltas
+        return store(candidates(self.specs, self._scored, self.scale, self.grid, level, True, second))
 
     def selected(self, per_count: bool = False) -> DataFrame:
         """Winner per series, family and strategy (and fixed rule count), with test errors."""
