@@ -127,7 +127,7 @@ def eligibility_audit(spark, folder):
 
 def leaderboard(spark, folder):
     out = compare.leaderboard(predictive(pool(spark, folder)))
-    return rounded(out, mean_rmse=4, median_rmse=4, mean_mase=6, average_rank=6)
+    return rounded(out, mean_rmse=7, median_rmse=6, mean_mase=9, average_rank=6)
 
 
 def complete_series(spark, folder):
@@ -340,7 +340,7 @@ SELECT source, dataset, series_id, count(*) AS validation_candidates, count(*) F
  count(*) FILTER (status = 'PASS' AND NOT radius_cap_reached) > 0 AS has_uncapped_candidate FROM pool GROUP BY ALL"""),
     "leaderboard": (leaderboard, _P + "," + PREDICTIVE_SQL + """,
 r AS (SELECT *, rank() OVER (PARTITION BY dataset, series_id ORDER BY rmse) + (count(*) OVER (PARTITION BY dataset, series_id, rmse) - 1) / 2.0 AS rk FROM predictive)
-SELECT source, dataset, model, count(DISTINCT series_id) AS series, round(avg(rmse), 4) AS mean_rmse, round(median(rmse), 4) AS median_rmse, round(avg(mase), 6) AS mean_mase,
+SELECT source, dataset, model, count(DISTINCT series_id) AS series, round(avg(rmse), 7) AS mean_rmse, round(median(rmse), 6) AS median_rmse, round(avg(mase), 9) AS mean_mase,
  round(avg(rk)::DOUBLE, 6) AS average_rank FROM r GROUP BY 1, 2, 3"""),
     "complete_series": (complete_series, _ALL + " SELECT source, dataset, series_id FROM res GROUP BY ALL HAVING count(DISTINCT (max_rules, selection_mode)) = 4"),
     "pool_union": (pool_union, _P + """

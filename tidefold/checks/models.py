@@ -121,7 +121,7 @@ def _decision(spark, folder, gate):
         "seasonal_validation_rmse", "test_baseline_rmse", "test_deployed_rmse", "test_baseline_weighted_cost", "test_deployed_weighted_cost",
         "test_rmse_improvement_vs_fallback", "test_cost_improvement_vs_fallback",
     )
-    return rounded(out, **{c: 6 for c, t in out.dtypes if t == "double"})
+    return rounded(out, **{c: 8 if c.endswith("cost") else 6 for c, t in out.dtypes if t == "double"})
 
 
 def simple_gate(spark, folder):
@@ -316,7 +316,7 @@ ms AS (SELECT series_id, sqrt(avg((y - seas) ** 2)) AS br, sqrt(avg((y - f) ** 2
   avg(2 * greatest(y - f, 0) + greatest(f - y, 0)) AS dc FROM ev GROUP BY 1)
 SELECT d.series_id, CASE WHEN use_a IS NULL THEN 'seasonal_naive' ELSE 'ridge' END AS deployment, reason, k AS eligible_candidate_count,
  CASE WHEN use_a IS NOT NULL THEN candidate_id END AS selected_candidate_id, round(srmse, 6) AS seasonal_validation_rmse, round(br, 6) AS test_baseline_rmse, round(dr, 6) AS test_deployed_rmse,
- round(bc, 6) AS test_baseline_weighted_cost, round(dc, 6) AS test_deployed_weighted_cost, round((br - dr) / br, 6) AS test_rmse_improvement_vs_fallback, round((bc - dc) / bc, 6) AS test_cost_improvement_vs_fallback
+ round(bc, 8) AS test_baseline_weighted_cost, round(dc, 8) AS test_deployed_weighted_cost, round((br - dr) / br, 6) AS test_rmse_improvement_vs_fallback, round((bc - dc) / bc, 6) AS test_cost_improvement_vs_fallback
 FROM dd d JOIN ms ON ms.series_id = d.series_id"""
 _BLOCKS = """(CASE WHEN role_step < (role_size % 4) * (role_size // 4 + 1) THEN role_step // (role_size // 4 + 1)
   ELSE role_size % 4 + (role_step - (role_size % 4) * (role_size // 4 + 1)) // (role_size // 4) END)"""

@@ -124,7 +124,7 @@ def prior_zscore(spark, folder):
     got = _evt(spark, folder)
     back = roles.unscale(F.col("value_scaled"), F.col("scaler_mean"), F.col("scaler_scale"))
     return got.select(
-        "series_id", "pos", "role", r6("value_scaled"), r6("scaler_mean"), r6("scaler_scale"), "scaler_fallback",
+        "series_id", "pos", "role", r6("value_scaled"), F.round("scaler_mean", 8).alias("scaler_mean"), r6("scaler_scale"), "scaler_fallback",
         F.round(back, 6).alias("value_back"),
     )
 
@@ -133,7 +133,7 @@ def preparation_metadata(spark, folder):
     return prepare.metadata(_evt(spark, folder)).select(
         "series_id", "processed_length", "original_length", "prior_n", "bound_n", "validation_n", "test_n",
         "prior_start_time", "test_end_time", "seasonal_fills", "last_observation_fills", "leading_values_dropped",
-        r6("scaler_mean"), r6("scaler_scale"), "scaler_fallback",
+        F.round("scaler_mean", 8).alias("scaler_mean"), r6("scaler_scale"), "scaler_fallback",
     )
 
 
@@ -196,8 +196,8 @@ def seasonal_naive_metrics(spark, folder):
         m.smape(y, f).alias("smape"),
     )
     return scored.join(gaps, "series_id").select(
-        "series_id", "role", "n_observations", r6("mae"), r6("rmse"), r6("smape"),
-        F.round(m.mase_scale(F.col("mean_gap")), 6).alias("mase_scale"), "mase_scale_pairs",
+        "series_id", "role", "n_observations", F.round("mae", 8).alias("mae"), r6("rmse"), r6("smape"),
+        F.round(m.mase_scale(F.col("mean_gap")), 8).alias("mase_scale"), "mase_scale_pairs",
         F.round(F.col("mae") / m.mase_scale(F.col("mean_gap")), 6).alias("mase"),
     )
 
@@ -206,7 +206,7 @@ def persistence_metrics(spark, folder):
     rows = lags.with_shift(_evt(spark, folder), 1, "value_imputed", "forecast", max_len=SLOTS)
     y, f = F.col("value_imputed"), F.col("forecast")
     return rows.filter(f.isNotNull()).groupBy("series_id", "role").agg(
-        F.round(m.mae(y, f), 6).alias("mae"), F.round(m.rmse(y, f), 6).alias("rmse")
+        F.round(m.mae(y, f), 8).alias("mae"), F.round(m.rmse(y, f), 6).alias("rmse")
     )
 
 
@@ -214,7 +214,7 @@ def asymmetric_cost(spark, folder):
     rows = _seasonal(spark, folder).filter(F.col("role").isin("validation", "test"))
     y, f = F.col("value_imputed"), F.col("forecast")
     return rows.groupBy("series_id", "role").agg(
-        F.round(m.weighted_cost(y, f), 6).alias("cost"), F.round(m.normalized_cost(y, f), 6).alias("normalized_cost")
+        F.round(m.weighted_cost(y, f), 8).alias("cost"), F.round(m.normalized_cost(y, f), 6).alias("normalized_cost")
     )
 
 
@@ -307,14 +307,14 @@ SELECT series_id, """ + ", ".join(
     "horizon_split": (horizon_split, _HORIZON_SQL.format(prior=f"least({_PRIOR}, n - 14 - 4)")),
     "horizon_split_strict": (horizon_split_strict, _HORIZON_SQL.format(prior=_PRIOR)),
     "prior_zscore": (prior_zscore, "WITH " + EVT + """
-SELECT series_id, pos, role, round(value_scaled, 6) AS value_scaled, round(scaler_mean, 6) AS scaler_mean, round(scaler_scale, 6) AS scaler_scale, scaler_fallback,
+SELECT series_id, pos, role, round(value_scaled, 6) AS value_scaled, round(scaler_mean, 8) AS scaler_mean, round(scaler_scale, 6) AS scaler_scale, scaler_fallback,
  round(value_imputed, 6) AS value_back FROM p"""),
     "preparation_metadata": (preparation_metadata, "WITH " + EVT + """
 SELECT series_id, count(*) AS processed_length, count(*) + min(dropped) AS original_length, count(*) FILTER (role = 'prior') AS prior_n,
  count(*) FILTER (role = 'bound') AS bound_n, count(*) FILTER (role = 'validation') AS validation_n, count(*) FILTER (role = 'test') AS test_n,
  min(pos) FILTER (role = 'prior') AS prior_start_time, max(pos) FILTER (role = 'test') AS test_end_time,
  count(*) FILTER (imputation_source = 'seasonal_past') AS seasonal_fills, count(*) FILTER (imputation_source = 'last_observation') AS last_observation_fills,
- min(dropped) AS leading_values_dropped, round(min(scaler_mean), 6) AS scaler_mean, round(min(scaler_scale), 6) AS scaler_scale, bool_and(scaler_fallback) AS scaler_fallback
+ min(dropped) AS leading_values_dropped, round(min(scaler_mean), 8) AS scaler_mean, round(min(scaler_scale), 6) AS scaler_scale, bool_and(scaler_fallback) AS scaler_fallback
 FROM p GROUP BY 1"""),
     "processed_contract": (processed_contract, "WITH " + EVT + """
 SELECT series_id, count(*) AS n_rows, count(DISTINCT role) AS role_count, count(*) FILTER (NOT isfinite(value_imputed) OR value_imputed IS NULL) AS nonfinite_count,
@@ -336,17 +336,17 @@ SELECT role, count(*) AS rows FROM p WHERE role IN ('prior', 'bound') AND role N
 g AS (SELECT series_id, avg(d) AS mean_gap, count(d) AS pairs FROM (
   SELECT series_id, CASE WHEN NOT was_imputed AND NOT lag(was_imputed, 24) OVER w THEN abs(value_imputed - lag(value_imputed, 24) OVER w) END AS d
   FROM p WHERE role IN ('prior', 'bound') WINDOW w AS (PARTITION BY series_id ORDER BY step)) GROUP BY 1)
-SELECT f.series_id, role, count(*) AS n_observations, round(avg(abs(value_imputed - forecast)), 6) AS mae,
+SELECT f.series_id, role, count(*) AS n_observations, round(avg(abs(value_imputed - forecast)), 8) AS mae,
  round(sqrt(avg((value_imputed - forecast) ** 2)), 6) AS rmse,
  round(100 * avg(CASE WHEN abs(value_imputed) + abs(forecast) > 1e-12 THEN 2 * abs(value_imputed - forecast) / (abs(value_imputed) + abs(forecast)) ELSE 0 END), 6) AS smape,
- round(CASE WHEN min(mean_gap) > 1e-12 THEN min(mean_gap) END, 6) AS mase_scale, min(pairs) AS mase_scale_pairs,
+ round(CASE WHEN min(mean_gap) > 1e-12 THEN min(mean_gap) END, 8) AS mase_scale, min(pairs) AS mase_scale_pairs,
  round(avg(abs(value_imputed - forecast)) / CASE WHEN min(mean_gap) > 1e-12 THEN min(mean_gap) END, 6) AS mase
 FROM f JOIN g ON f.series_id = g.series_id GROUP BY 1, 2"""),
     "persistence_metrics": (persistence_metrics, "WITH " + EVT + """
-SELECT series_id, role, round(avg(abs(value_imputed - b)), 6) AS mae, round(sqrt(avg((value_imputed - b) ** 2)), 6) AS rmse
+SELECT series_id, role, round(avg(abs(value_imputed - b)), 8) AS mae, round(sqrt(avg((value_imputed - b) ** 2)), 6) AS rmse
 FROM (SELECT *, lag(value_imputed) OVER (PARTITION BY series_id ORDER BY step) AS b FROM p) WHERE b IS NOT NULL GROUP BY 1, 2"""),
     "asymmetric_cost": (asymmetric_cost, "WITH " + _SEASONAL_SQL + """
-SELECT series_id, role, round(avg(2 * greatest(value_imputed - forecast, 0) + greatest(forecast - value_imputed, 0)), 6) AS cost,
+SELECT series_id, role, round(avg(2 * greatest(value_imputed - forecast, 0) + greatest(forecast - value_imputed, 0)), 8) AS cost,
  round(avg(2 * greatest(value_imputed - forecast, 0) + greatest(forecast - value_imputed, 0)) / greatest(1e-12, avg(abs(value_imputed))), 6) AS normalized_cost
 FROM f WHERE role IN ('validation', 'test') GROUP BY 1, 2"""),
     "clipping": (clipping, "WITH " + EVT + """,

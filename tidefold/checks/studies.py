@@ -140,7 +140,7 @@ def ets_level(spark, folder):
     out = smooth.candidate_scores(got, actual).withColumn("alpha", F.get_json_object("spec_json", "$.alpha").cast("double"))
     return rounded(
         out.select("series_id", "candidate", "status", "n_train", "points", "alpha", "aic", "validation_rmse", "validation_mae", "validation_weighted_cost"),
-        aic=5, validation_rmse=6, validation_mae=6, validation_weighted_cost=6,
+        aic=5, validation_rmse=6, validation_mae=8, validation_weighted_cost=8,
     )
 
 
@@ -185,7 +185,7 @@ lv(series_id, step, alpha, level, f, y, role) AS (
 ss AS (SELECT series_id, alpha, sum((y - f) ** 2) AS sse, count(f) AS n FROM lv WHERE role IN ('prior', 'bound') GROUP BY 1, 2),
 bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY sse, alpha) AS rn FROM ss) WHERE rn = 1)
 SELECT b.series_id, 'ets_level' AS candidate, 'ok' AS status, b.n + 1 AS n_train, count(*) AS points, b.alpha, round(min(b.n * ln(b.sse / b.n) + 4), 5) AS aic,
- round(sqrt(avg((y - f) ** 2)), 6) AS validation_rmse, round(avg(abs(y - f)), 6) AS validation_mae, round(avg(2 * greatest(y - f, 0) + greatest(f - y, 0)), 6) AS validation_weighted_cost
+ round(sqrt(avg((y - f) ** 2)), 6) AS validation_rmse, round(avg(abs(y - f)), 8) AS validation_mae, round(avg(2 * greatest(y - f, 0) + greatest(f - y, 0)), 8) AS validation_weighted_cost
 FROM bs b JOIN lv l ON l.series_id = b.series_id AND l.alpha = b.alpha AND l.role = 'validation' GROUP BY b.series_id, b.n, b.sse, b.alpha"""),
     "smoothing_candidates": (smoothing_candidates, None),
     "smoothing_summary": (smoothing_summary, None),
