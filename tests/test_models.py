@@ -310,3 +310,26 @@ def test_gates(spark):
     rows = [base] + [{**base, k: worse[k]} for k in base]
     got = [r[0] for r in spark.createDataFrame(pd.DataFrame(rows)).coalesce(1).select(select.robust_gate()).collect()]
     assert got == [True] + [False] * len(base)
+
+
+def test_evidence_needs_every_status(spark):
+    good = {**certify.VERIFIED, "source_reference": "a paper"}
+    rows = [good, {**good, "source_reference": "  "}, {**good, "stationarity_status": "assumed"}]
+    got = [r[0] for r in spark.createDataFrame(pd.DataFrame(rows)).coalesce(1).select(certify.evidence_complete()).collect()]
+    assert got == [True, False, False]
+
+
+def test_samples_are_limited_before_the_shuffle(spark):
+    rows = [("d" if i % 3 else "e", f"s{i}", i % 7) for i in range(90)]
+    df = spark.createDataFrame(rows, "dataset string, series_id string, length int")
+    sample = select.first_by_hash(df, {"d": 4, "e": 6}, "ns", strict=False)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert {r["dataset"]: r["n"] for r in sample.groupBy("dataset").agg(F.count("*").alias("n")).collect()} == {"d": 4, "e": 6}
+    with pytest.raises(PySparkException, match="too few"):
+        select.first_by_hash(df, {"d": 400}, "ns").collect()
+    spread = select.stratified_sample(df, 9, 1).toPandas()
+    assert (spread.groupby("dataset").size() == 9).all()
+    assert (spread.groupby(["dataset", "stratum"]).size() == 3).all()
+    # Fewer series than the target: all of them.
+    assert select.stratified_sample(df.filter("dataset = 'e'"), 50, 1).count() == 30

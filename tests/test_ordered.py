@@ -41,3 +41,29 @@ def test_per_group_same_both_ways(spark):
     a = ordered.per_group(df, {"m": F.avg("v")}, max_len=5).toPandas().sort_values(["series_id", "v"])["m"]
     b = ordered.per_group(df, {"m": F.avg("v")}).toPandas().sort_values(["series_id", "v"])["m"]
     assert list(a) == list(b) == [2.0, 2.0, 4.0, 4.0, 4.0]
+
+
+def test_medians_with_ties_and_null_keys(spark):
+    rng = np.random.default_rng(3)
+    keys = [None if k == "n" else k for k in rng.choice(["p", "q", "n"], 300, p=[0.6, 0.3, 0.1])]
+    a = np.where(rng.random(300) < 0.4, 2.0, rng.integers(0, 30, 300)).astype(float)
+    b = rng.normal(size=300)
+    rows = [(k, float(x), None if i % 9 == 0 else float(y)) for i, (k, x, y) in enumerate(zip(keys, a, b))]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    summary = df.groupBy("k").agg(F.count("*").alias("n"))
+    got = ordered.with_medians(summary, df, ["k"], {"ma": F.col("a"), "mb": F.col("b")}).toPandas()
+    pdf = pd.DataFrame(rows, columns=["k", "a", "b"])
+    pdf["k"] = pdf["k"].fillna("none")
+    want = pdf.groupby("k")[["a", "b"]].median()
+    got["k"] = got["k"].fillna("none")
+    got = got.set_index("k").loc[want.index]
+    assert len(got) == 3 and np.allclose(got["ma"], want["a"]) and np.allclose(got["mb"], want["b"])
+
+
+def test_global_rank_with_one_huge_tie(spark):
+    pdf = pd.DataFrame({"dataset": ["d"] * 200 + ["e"] * 20, "series_id": [f"s{i:04d}" for i in range(220)], "length": [7] * 180 + list(range(40))})
+    got = ordered.global_rank(spark.createDataFrame(pdf), ["dataset"], ["length", "series_id"], "r").toPandas()
+    want = pdf.sort_values(["dataset", "length", "series_id"])
+    want["w"] = want.groupby("dataset").cumcount() + 1
+    both = got.merge(want, on="series_id")
+    assert len(both) == 220 and (both["r"] == both["w"]).all()

@@ -112,3 +112,24 @@ def test_models_round_trip(spark, tmp_path):
     files.write_models(models, rules, str(tmp_path / "m"))
     got = files.read_models(spark, str(tmp_path / "m")).first()
     assert got["coefficients"] == [0.1, 0.2] and got["centers"] == [0.0, 0.0]
+
+
+def test_wide_panel_contract(spark, tmp_path):
+    day = 86_400
+
+    def write(name, days, values):
+        rows = [(f"2020-01-{d:02d}", float(v), 1.0) for d, v in zip(days, values)]
+        df = spark.createDataFrame(rows, "t string, x double, y double").select(F.col("t").cast("timestamp_ntz").alias("timestamp"), "x", "y")
+        df.write.parquet(str(tmp_path / name))
+        return str(tmp_path / name)
+
+    good = write("good", (1, 2, 3), (1, 2, 3))
+    assert files.read_wide_panel(spark, good, ["x", "y"], 3, day).count() == 6
+    with pytest.raises(ValueError, match="columns"):
+        files.read_wide_panel(spark, good, ["y", "x"], 3, day)
+    with pytest.raises(PySparkException, match="expected 4 rows"):
+        files.read_wide_panel(spark, good, ["x", "y"], 4, day).collect()
+    with pytest.raises(PySparkException, match="uniform time step"):
+        files.read_wide_panel(spark, write("gap", (1, 2, 4), (1, 2, 3)), ["x", "y"], 3, day).collect()
+    with pytest.raises(PySparkException, match="positive"):
+        files.read_wide_panel(spark, write("negative", (1, 2, 3), (1, -2, 3)), ["x", "y"], 3, day).collect()

@@ -79,7 +79,7 @@ def run_compare(spark, folder):
 def selection_changes(spark, folder):
     _p, new, old = _two_runs(spark, folder)
     return rounded(
-        compare.selection_changes(compare.compare_runs(new, old)),
+        compare.selection_changes(store(compare.compare_runs(new, old))),
         mean_old_radius=9, mean_new_radius=9, mean_old_rules=9, mean_new_rules=9, mean_test_rmse_ratio=9, median_test_rmse_ratio=9,
     )
 
@@ -87,9 +87,9 @@ def selection_changes(spark, folder):
 def grid_extension(spark, folder):
     """Boundary summary and decision after widening the grid of one dataset."""
     p = store(pool(spark, folder))
-    chosen = compare.analysis_rows(picked(p), "suppliers", "uncapped_only", 4)
+    chosen = store(compare.analysis_rows(picked(p), "suppliers", "uncapped_only", 4))
     before = compare.analysis_rows(picked(p, max_radius=1.5), "suppliers", "uncapped_only", 4)
-    summary = compare.boundary_summary(chosen, compare.compare_grids(chosen, before), 2.0)
+    summary = compare.boundary_summary(chosen, store(compare.compare_grids(chosen, before)), 2.0)
     out = compare.grid_decision(summary)
     return rounded(out, **{c: 9 for c, t in out.dtypes if t == "double"})
 
@@ -112,12 +112,12 @@ def nearest_lower_grid(spark, folder):
 
 
 def setting_summary(spark, folder):
-    out = compare.setting_summary(picked(pool(spark, folder)))
+    out = compare.setting_summary(store(picked(pool(spark, folder))))
     return rounded(out, **{c: 6 for c, t in out.dtypes if t == "double"})
 
 
 def recommend_setting(spark, folder):
-    out = compare.recommendation(compare.setting_summary(picked(pool(spark, folder))))
+    out = compare.recommendation(compare.setting_summary(store(picked(pool(spark, folder)))))
     return rounded(out, **{c: 6 for c, t in out.dtypes if t == "double"})
 
 
@@ -126,7 +126,7 @@ def eligibility_audit(spark, folder):
 
 
 def leaderboard(spark, folder):
-    out = compare.leaderboard(predictive(pool(spark, folder)))
+    out = compare.leaderboard(store(predictive(pool(spark, folder))))
     return rounded(out, mean_rmse=7, median_rmse=6, mean_mase=9, average_rank=6)
 
 

@@ -13,6 +13,7 @@ from tidefold.checks.pools import picked, picked_sql, pool
 from tidefold.functions import metrics as m
 from tidefold.functions.arrays import dot
 from tidefold.operators import certify, compare, infer, lags
+from tidefold.operators.ordered import with_medians
 from tidefold.operators.linear import fit_linear, gram_rows, merge_grams, predict, score, with_chunk
 from tidefold.operators.sweep import Grid, block_id
 from tidefold.plans import decide, prepare
@@ -222,20 +223,22 @@ def _differences(spark, folder):
 
 def paired_counts(spark, folder):
     d = F.col("difference")
-    return _differences(spark, folder).groupBy("comparison", "metric").agg(
-        F.count("*").alias("pair_count"), F.round(F.avg("difference"), 6).alias("mean_difference"),
-        F.round(F.median("difference"), 6).alias("median_difference"), F.count_if(d < 0).alias("left_lower"),
+    rows = store(_differences(spark, folder))
+    keys = ["comparison", "metric"]
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("pair_count"), F.round(F.avg("difference"), 6).alias("mean_difference"), F.count_if(d < 0).alias("left_lower"),
         F.count_if(d > 0).alias("left_higher"), F.count_if(F.abs(d) <= 1e-8).alias("ties"),
     )
+    return rounded(with_medians(out, rows, keys, {"median_difference": d}), median_difference=6)
 
 
 def signed_ranks(spark, folder):
-    out = infer.signed_ranks(_differences(spark, folder), ["comparison", "metric"])
+    out = infer.signed_ranks(store(_differences(spark, folder)), ["comparison", "metric"])
     return rounded(out, z_score=6)
 
 
 def rank_biserial(spark, folder):
-    return rounded(infer.rank_biserial(_differences(spark, folder), ["comparison", "metric"]), rank_biserial=9)
+    return rounded(infer.rank_biserial(store(_differences(spark, folder)), ["comparison", "metric"]), rank_biserial=9)
 
 
 def holm(spark, folder):
@@ -247,7 +250,7 @@ def holm(spark, folder):
 
 
 def bootstrap_mean(spark, folder):
-    out = infer.bootstrap_mean(_differences(spark, folder), ["comparison", "metric"], "difference", "pair", 100, 7)
+    out = infer.bootstrap_mean(store(_differences(spark, folder)), ["comparison", "metric"], "difference", "pair", 100, 7)
     return rounded(out, mean=6, ci_low=6, ci_high=6)
 
 

@@ -11,7 +11,7 @@ from tidefold.checks import sql
 from tidefold.functions import metrics as m
 from tidefold.functions.clock import epoch_seconds, slot_start, text
 from tidefold.operators import impute, lags, quality, resample, roles
-from tidefold.operators.ordered import number_rows
+from tidefold.operators.ordered import number_rows, per_group
 from tidefold.plans import prepare
 from tidefold.sources import panels
 
@@ -188,17 +188,15 @@ def _seasonal(spark, folder):
 
 def seasonal_naive_metrics(spark, folder):
     """All errors of the seasonal forecast per role, scaled by the in-sample seasonal gap."""
-    prepared = _evt(spark, folder)
-    gaps = lags.seasonal_gaps(prepared, 24, max_len=SLOTS)
     y, f = F.col("value_imputed"), F.col("forecast")
-    scored = _seasonal(spark, folder).groupBy("series_id", "role").agg(
-        F.count("*").alias("n_observations"), m.mae(y, f).alias("mae"), m.rmse(y, f).alias("rmse"),
-        m.smape(y, f).alias("smape"),
+    rows = lags.with_seasonal_gap(
+        lags.with_shift(_evt(spark, folder), 24, "value_imputed", "forecast", max_len=SLOTS), 24, max_len=SLOTS
     )
-    return scored.join(gaps, "series_id").select(
-        "series_id", "role", "n_observations", F.round("mae", 8).alias("mae"), r6("rmse"), r6("smape"),
-        F.round(m.mase_scale(F.col("mean_gap")), 8).alias("mase_scale"), "mase_scale_pairs",
-        F.round(F.col("mae") / m.mase_scale(F.col("mean_gap")), 6).alias("mase"),
+    scale = m.mase_scale(F.first("mean_gap"))
+    return rows.filter(f.isNotNull()).groupBy("series_id", "role").agg(
+        F.count("*").alias("n_observations"), F.round(m.mae(y, f), 8).alias("mae"), F.round(m.rmse(y, f), 6).alias("rmse"),
+        F.round(m.smape(y, f), 6).alias("smape"), F.round(scale, 8).alias("mase_scale"),
+        F.first("mase_scale_pairs").alias("mase_scale_pairs"), F.round(m.mae(y, f) / scale, 6).alias("mase"),
     )
 
 
@@ -220,20 +218,15 @@ def asymmetric_cost(spark, folder):
 
 def clipping(spark, folder):
     """Bound from the first role, clipping rates of targets and the mean of clipped values."""
-    prepared = _evt(spark, folder)
     y = F.col("value_scaled")
-    bound = prepared.groupBy("series_id").agg(
-        m.clip_bound(F.max(F.when(F.col("role") == "prior", F.abs(y))), 1.25).alias("bound")
+    rows = _evt(spark, folder)
+    # The bound is a window value in the shuffle of the preparation.
+    with_bound = per_group(rows, {"_top": F.max(F.when(F.col("role") == "prior", F.abs(y)))}, max_len=SLOTS).withColumn(
+        "bound", m.clip_bound(F.col("_top"), 1.25)
     )
-    return (
-        prepared.join(bound, "series_id")
-        .filter(F.col("role") != "prior")
-        .groupBy("series_id", "role")
-        .agg(
-            F.round(F.first("bound"), 6).alias("clip_bound"),
-            F.round(m.clipping_rate(y, F.col("bound")), 6).alias("clipping_rate"),
-            F.round(F.avg(m.clip(y, F.col("bound"))), 6).alias("mean_clipped"),
-        )
+    return with_bound.filter(F.col("role") != "prior").groupBy("series_id", "role").agg(
+        F.round(F.first("bound"), 6).alias("clip_bound"), F.round(m.clipping_rate(y, F.col("bound")), 6).alias("clipping_rate"),
+        F.round(F.avg(m.clip(y, F.col("bound"))), 6).alias("mean_clipped"),
     )
 
 

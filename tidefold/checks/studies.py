@@ -10,6 +10,7 @@ from tidefold.operators import compare, smooth
 from tidefold.operators.cover import as_rules, design_row, firing_strengths, parameter_counts, rule_usage, standardize
 from tidefold.operators.sweep import Grid
 from tidefold.plans import decide, develop, prepare
+from tidefold.session import store
 from tidefold.sources import panels
 
 EVT, SHIP = panels.EVENT_HOURS, panels.SHIP_WEEKS
@@ -60,7 +61,7 @@ def sweep_selected(spark, folder):
 
 def sweep_summary(spark, folder):
     sweep = _sweep(spark, folder)
-    return develop.summaries(sweep.selected(), sweep.candidates)[0]
+    return develop.summaries(store(sweep.selected()), sweep.candidates)[0]
 
 
 def sweep_radius_chain(spark, folder):
@@ -73,7 +74,7 @@ def sweep_best_count(spark, folder):
 
 def sweep_audit(spark, folder):
     sweep = _sweep(spark, folder)
-    return sweep.audit(sweep.selected())
+    return sweep.audit(store(sweep.selected()))
 
 
 def rule_report(spark, folder):

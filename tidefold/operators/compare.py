@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidefold.functions.arrays import finite
 from tidefold.functions.text import digest, plain_number
+from tidefold.operators.ordered import with_medians
 from tidefold.operators.quality import require_columns, unique_keys
 
 SERIES = ["source", "dataset", "series_id"]
@@ -88,7 +89,8 @@ def compare_runs(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def selection_changes(comparison: DataFrame) -> DataFrame:
-    return comparison.groupBy("source", "dataset").agg(
+    keys = ["source", "dataset"]
+    out = comparison.groupBy(*keys).agg(
         F.countDistinct("series_id").alias("series"),
         F.count_if("selection_changed").alias("changed_selections"),
         F.count_if(F.col("radius_change") < 0).alias("reduced_radius"),
@@ -99,8 +101,8 @@ def selection_changes(comparison: DataFrame) -> DataFrame:
         F.avg("old_rule_count").alias("mean_old_rules"),
         F.avg("rule_count").alias("mean_new_rules"),
         F.avg("test_rmse_ratio_to_old").alias("mean_test_rmse_ratio"),
-        F.median("test_rmse_ratio_to_old").alias("median_test_rmse_ratio"),
     )
+    return with_medians(out, comparison, keys, {"median_test_rmse_ratio": F.col("test_rmse_ratio_to_old")})
 
 
 def analysis_rows(results: DataFrame, dataset: str, mode: str, max_rules: int) -> DataFrame:
@@ -162,15 +164,16 @@ def boundary_summary(selected: DataFrame, comparison: DataFrame, maximum: float)
              share(edge, passed).alias("upper_boundary_rate"), caps.alias("selected_cap_count"),
              share(caps, passed).alias("selected_cap_rate")]
     for name in ("selected_radius", "rmse", "mase", "rule_count"):
-        stats += [F.avg(F.when(ok, F.col(name))).alias(f"mean_{name}"), F.median(F.when(ok, F.col(name))).alias(f"median_{name}")]
+        stats.append(F.avg(F.when(ok, F.col(name))).alias(f"mean_{name}"))
     stats.append(F.avg(F.when(ok, F.col("total_parameter_count"))).alias("mean_total_parameters"))
     ratio = F.when(finite(F.col("rmse_ratio_to_previous")), F.col("rmse_ratio_to_previous"))
     ratios = comparison.agg(
         F.count(ratio).alias("matched_previous_series"), F.avg(ratio).alias("mean_rmse_ratio_to_previous"),
-        F.median(ratio).alias("median_rmse_ratio_to_previous"),
     )
+    ratios = with_medians(ratios, comparison, [], {"median_rmse_ratio_to_previous": ratio})
     # Both sides are one-row aggregates.
-    one = selected.agg(*stats).withColumn("_one", F.lit(1))
+    middles = {f"median_{c}": F.when(ok, F.col(c)) for c in ("selected_radius", "rmse", "mase", "rule_count")}
+    one = with_medians(selected.agg(*stats), selected, [], middles).withColumn("_one", F.lit(1))
     return (
         one.join(ratios.withColumn("_one", F.lit(1)), "_one")
         .drop("_one")
@@ -271,10 +274,11 @@ def setting_summary(results: DataFrame) -> DataFrame:
         ((rows - passed) / rows).alias("failure_rate"), caps.alias("selected_cap_count"),
         F.when(passed > 0, caps / passed).alias("selected_cap_rate"),
     ]
-    for column, name in (("rmse", "rmse"), ("mase", "mase"), ("rule_count", "rule_count"), ("total_parameter_count", "total_parameters")):
-        value = F.when(ok, F.col(column))
-        stats += [F.avg(value).alias(f"mean_{name}"), F.median(value).alias(f"median_{name}")]
-    return results.groupBy("source", "dataset", "max_rules", "selection_mode").agg(*stats)
+    fields = {"rmse": "rmse", "mase": "mase", "rule_count": "rule_count", "total_parameters": "total_parameter_count"}
+    stats += [F.avg(F.when(ok, F.col(c))).alias(f"mean_{n}") for n, c in fields.items()]
+    keys = ["source", "dataset", "max_rules", "selection_mode"]
+    middles = {f"median_{n}": F.when(ok, F.col(c)) for n, c in fields.items()}
+    return with_medians(results.groupBy(*keys).agg(*stats), results, keys, middles)
 
 
 def recommendation(
@@ -334,10 +338,11 @@ def leaderboard(predictive: DataFrame) -> DataFrame:
     inside = Window.partitionBy(*SERIES).orderBy("rmse")
     ties = Window.partitionBy(*SERIES, "rmse")
     ranked = predictive.withColumn("_rank", F.rank().over(inside) + (F.count("*").over(ties) - 1) / 2.0)
-    return ranked.groupBy("source", "dataset", "model").agg(
-        F.countDistinct("series_id").alias("series"), F.avg("rmse").alias("mean_rmse"),
-        F.median("rmse").alias("median_rmse"), F.avg("mase").alias("mean_mase"), F.avg("_rank").alias("average_rank"),
+    keys = ["source", "dataset", "model"]
+    out = ranked.groupBy(*keys).agg(
+        F.countDistinct("series_id").alias("series"), F.avg("rmse").alias("mean_rmse"), F.avg("mase").alias("mean_mase"), F.avg("_rank").alias("average_rank"),
     )
+    return with_medians(out, predictive, keys, {"median_rmse": F.col("rmse")})
 
 
 def complete_series(results: DataFrame, caps: Sequence[int], modes: Sequence[str]) -> DataFrame:
@@ -508,14 +513,14 @@ def family_summary(results: DataFrame) -> DataFrame:
 
 def strategy_summary(selected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean, sample deviation, median and count of bounds at one, NULL keys kept."""
-    return selected.groupBy(*keys).agg(
+    out = selected.groupBy(*keys).agg(
         F.count("series_id").alias("series_count"), F.avg("validation_rmse").alias("mean_validation_rmse"),
         F.stddev_samp("validation_rmse").alias("sd_validation_rmse"), F.avg("test_rmse").alias("mean_test_rmse"),
         F.stddev_samp("test_rmse").alias("sd_test_rmse"), F.avg("rule_count").alias("mean_rule_count"),
         F.avg("consequent_dimension").alias("mean_dimension"), F.avg("certificate").alias("mean_certificate"),
-        F.median("certificate").alias("median_certificate"), F.stddev_samp("certificate").alias("sd_certificate"),
-        F.count_if(F.col("certificate") >= 1).alias("vacuous"),
+        F.stddev_samp("certificate").alias("sd_certificate"), F.count_if(F.col("certificate") >= 1).alias("vacuous"),
     )
+    return with_medians(out, selected, keys, {"median_certificate": F.col("certificate")})
 
 
 def radius_chain(candidates: DataFrame, keys: Sequence[str] = ("family", "lag", "radius")) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tidefold.functions import metrics as m
 from tidefold.functions.text import hash_draw
-from tidefold.operators.ordered import CHUNK, average_rank, fits, look_back, number_rows
+from tidefold.operators.ordered import CHUNK, average_rank, fits, look_back, number_rows, with_medians
 
 NEAR_ZERO = 1e-8
 
@@ -182,9 +182,10 @@ def paired_statistics(
     keys = list(comparison)
     d = F.col("difference")
     counts = differences.groupBy(*keys).agg(
-        F.median("difference").alias("median_difference"), F.count_if(d < 0).alias("left_lower_count"),
+        F.count_if(d < 0).alias("left_lower_count"),
         F.count_if(d > 0).alias("left_higher_count"), F.count_if(F.abs(d) <= NEAR_ZERO).alias("ties"),
     )
+    counts = with_medians(counts, differences, keys, {"median_difference": d})
     interval = bootstrap_mean(differences, keys, "difference", id_column, resamples, seed, constant_shortcut=constant_shortcut)
     tested = wilcoxon(differences, keys, zeros=zeros).select(*keys, "p_value")
     out = counts.join(interval, keys).join(tested, keys).join(rank_biserial(differences, keys), keys)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.operators.ordered import CHUNK, look_back
+from tidefold.operators.ordered import CHUNK, look_back, per_group
 
 
 def with_lags(
@@ -59,7 +59,7 @@ def with_shift(
     )
 
 
-def seasonal_gaps(
+def with_seasonal_gap(
     df: DataFrame,
     season: int,
     roles: Sequence[str] = ("prior", "bound"),
@@ -67,18 +67,18 @@ def seasonal_gaps(
     max_len: int | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Mean absolute seasonal difference in the given roles, both ends observed."""
-    def columns(w) -> dict[str, Column]:
-        return {
-            "_back": F.lag(value, season).over(w),
-            "_back_filled": F.lag("was_imputed", season).over(w),
-        }
+    """``mean_gap``: mean absolute seasonal difference inside the given roles, both ends observed.
 
+    The roles must be the first ones of a series, so that both ends lie in them.
+    """
+    inside = F.col("role").isin(*roles)
     shifted = look_back(
-        df.filter(F.col("role").isin(*roles)), season, columns, pos="step", max_len=max_len, chunk=chunk
-    )
-    both = F.col("_back").isNotNull() & ~F.col("was_imputed") & ~F.col("_back_filled")
-    return shifted.groupBy("series_id").agg(
-        F.avg(F.when(both, F.abs(F.col(value) - F.col("_back")))).alias("mean_gap"),
-        F.count_if(both).alias("mase_scale_pairs"),
+        df, season,
+        lambda w: {"_back": F.lag(value, season).over(w), "_back_filled": F.lag("was_imputed", season).over(w)},
+        pos="step", max_len=max_len, chunk=chunk,
     )
+    both = inside & F.col("_back").isNotNull() & ~F.col("was_imputed") & ~F.col("_back_filled")
+    gap = F.when(both, F.abs(F.col(value) - F.col("_back")))
+    return per_group(
+        shifted, {"mean_gap": F.avg(gap), "mase_scale_pairs": F.count(gap)}, max_len=max_len, chunk=chunk
+    ).drop("_back", "_back_filled")

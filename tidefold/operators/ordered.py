@@ -17,6 +17,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidefold.session import cut_lineage
+
 CHUNK = 65_536
 KEYS = ("series_id",)
 
@@ -74,7 +76,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "ra
     Equal values are counted once before ranking, so a huge tie is one row,
     and distinct values are ranked bucket by bucket.
     """
-    distinct = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
+    distinct = cut_lineage(df.groupBy(*keys, value).agg(F.count("*").alias("_ties")))
     bucketed = with_cuts(distinct, keys, value)
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -99,6 +101,74 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "ra
     return df.join(ranks, [*keys, value])
 
 
+def global_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """One-based place of each row in its group by ``order`` (a unique order).
+
+    A range shuffle cuts the sorted rows into even pieces whatever the keys
+    look like; the piece number is stored with the rows, so counting the pieces
+    and numbering inside them always see the same cut.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = cut_lineage(
+        df.repartitionByRange(parts, *keys, *order).withColumn("_piece", F.spark_partition_id())
+    )
+    numbered = number_rows(pieces, keys, [F.col(c) for c in order], F.col("_piece"), name)
+    return numbered.withColumn(name, F.col(name) + 1).drop("_piece")
+
+
+def medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Exact medians per group, NULLs left out, without holding a group in one task.
+
+    Distinct values are counted, the counts are summed up bucket by bucket, and
+    the one or two middle values are picked by their place. NULL keys are kept.
+    """
+    keys = list(keys)
+    entries = F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_value")) for n, v in values.items()])
+    long = df.select(*keys, F.inline(entries)).filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    group = F.struct(*[F.col(k) for k in keys], F.col("_name"))
+    # The whole key as one text, so NULL keys meet in the joins.
+    counted = cut_lineage(
+        long.withColumn("_g", F.to_json(group, {"ignoreNullFields": "false"}))
+        .groupBy("_g", *keys, "_name", "_value")
+        .agg(F.count("*").alias("_ties"))
+    )
+    bucketed = with_cuts(counted, ["_g"], "_value")
+    earlier = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        bucketed.groupBy("_g", "_bucket")
+        .agg(F.sum("_ties").alias("_rows"))
+        .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .withColumn("_n", F.sum("_rows").over(Window.partitionBy("_g")))
+        .drop("_rows")
+    )
+    inside = Window.partitionBy("_g", "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bucketed.join(starts, ["_g", "_bucket"]).withColumn(
+        "_before", F.coalesce(F.sum("_ties").over(inside), F.lit(0)) + F.col("_start")
+    )
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_before") < place) & (place <= F.col("_before") + F.col("_ties")), F.col("_value")))
+
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    middle = placed.groupBy("_g", *keys, "_name").agg(((at(low) + at(high)) / 2.0).alias("_median"))
+    return middle.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_name") == n, F.col("_median"))).alias(n) for n in values]
+    )
+
+
+def with_medians(summary: DataFrame, df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Attach medians to a summary table with the same keys."""
+    keys = list(keys)
+    if not keys:
+        right = medians(df.withColumn("_one", F.lit(1)), ["_one"], values)
+        return summary.withColumn("_one", F.lit(1)).join(right, "_one", "left").drop("_one")
+    right = medians(df, keys, values)
+    on = F.lit(True)
+    for k in keys:
+        on = on & summary[k].eqNullSafe(right[k])
+    return summary.join(right, on, "left").select(summary["*"], *[right[n] for n in values])
+
+
 def look_back(
     df: DataFrame,
     back: int,

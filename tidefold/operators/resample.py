@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.functions.clock import seconds_of, slot_of, slot_start, slots_between
+from tidefold.functions.clock import slot_of, slot_start, slots_between
 
 
 def collapse_duplicates(df: DataFrame) -> DataFrame:
@@ -31,9 +31,9 @@ def duplicate_report(df: DataFrame) -> DataFrame:
 
 def in_period(df: DataFrame, start: datetime, end: datetime, ts: str = "ts") -> DataFrame:
     """Rows of the common period [start, end); the filter reaches the scan."""
-    return df.filter(
-        (F.col(ts) >= F.lit(start).cast("timestamp_ntz")) & (F.col(ts) < F.lit(end).cast("timestamp_ntz"))
-    )
+    # Text literals: a datetime literal would pass through a session zone.
+    low, high = (F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz") for t in (start, end))
+    return df.filter((F.col(ts) >= low) & (F.col(ts) < high))
 
 
 def buckets(
@@ -117,8 +117,3 @@ def wide(df: DataFrame, names: list[str], value: str = "value") -> DataFrame:
 def long(df: DataFrame, ts: str, names: list[str]) -> DataFrame:
     return df.unpivot(ts, names, "series_id", "value").withColumnRenamed(ts, "ts")
 
-
-__all__ = [
-    "buckets", "collapse_duplicates", "completeness", "densify", "duplicate_report", "in_period",
-    "long", "panel", "require_complete", "seconds_of", "wide", "with_step",
-]

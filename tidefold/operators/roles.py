@@ -180,8 +180,8 @@ def forbidden_roles(df: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     return df.filter(~F.col("role").isin(*allowed)).groupBy("role").agg(F.count("*").alias("rows"))
 
 
-def boundaries(df: DataFrame, time: str = "pos") -> DataFrame:
-    """First and last step and time of each role, one row per series."""
+def boundary_stats(time: str = "pos") -> list[Column]:
+    """First and last step and time and the row count of each role, as aggregates."""
     columns = []
     for role in ROLES:
         inside = F.col("role") == role
@@ -192,4 +192,8 @@ def boundaries(df: DataFrame, time: str = "pos") -> DataFrame:
             F.max(F.when(inside, F.col(time))).alias(f"{role}_end_time"),
             F.count_if(inside).alias(f"{role}_n"),
         ]
-    return df.groupBy("series_id").agg(*columns)
+    return columns
+
+
+def boundaries(df: DataFrame, time: str = "pos") -> DataFrame:
+    return df.groupBy("series_id").agg(*boundary_stats(time))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidefold.functions.arrays import finite
 from tidefold.functions.text import digest
-from tidefold.operators.ordered import with_cuts
+from tidefold.operators.ordered import global_rank
+from tidefold.session import cut_lineage
 
 
 def radius_last(name: str = "radius") -> Column:
@@ -111,50 +112,40 @@ def first_by_hash(
 
 
 def length_strata(df: DataFrame, strata: int, length: str = "length", groups: Sequence[str] = ("dataset",)) -> DataFrame:
-    """Stratum 0..strata-1 by the rank of the length (ties by id) on an even grid of ranks.
-
-    Ranks come from quantile buckets and their counts, so one large dataset is
-    ranked by many tasks.
-    """
+    """Stratum 0..strata-1 by the rank of the length (ties by id) on an even grid of ranks."""
     keys = list(groups)
-    bucketed = with_cuts(df, keys, length)
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*keys)
-    starts = (
-        bucketed.groupBy(*keys, "_bucket")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .withColumn("n_series", F.sum("_rows").over(everything))
-        .drop("_rows")
-    )
-    # Sub-buckets by id split a bucket that holds one very common length.
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(length, "series_id")
-    ranked = bucketed.join(starts, [*keys, "_bucket"]).withColumn(
-        "length_rank", F.row_number().over(inside) + F.col("_start")
-    )
+    ranked = global_rank(df, keys, [length, "series_id"], "length_rank")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n_series"))
+    out = ranked.join(sizes, keys)
     bins = F.least(F.lit(strata), F.col("n_series"))
     # A rank r lies in stratum k when r <= 1 + (n-1)(k+1)/bins.
     k = F.ceil((F.col("length_rank") - 1) * bins / F.greatest(F.col("n_series") - 1, F.lit(1))) - 1
-    return ranked.withColumn("stratum", F.greatest(k, F.lit(0)).cast("int")).drop("_bucket", "_start")
+    return out.withColumn("stratum", F.greatest(k, F.lit(0)).cast("int"))
+
+
+def _first_rows(df: DataFrame, keys: Sequence[str], limit: int, name: str = "_rn") -> DataFrame:
+    """The first ``limit`` rows of each group by hash; Spark limits each task before the shuffle."""
+    order = Window.partitionBy(*keys).orderBy("_hash", "series_id")
+    return df.withColumn(name, F.row_number().over(order)).filter(F.col(name) <= limit)
 
 
 def stratified_sample(
     df: DataFrame, target: int, seed: int, strata: int = 3, length: str = "length"
 ) -> DataFrame:
     """``target`` series per dataset spread over length strata, filled up by hash order."""
-    keyed = length_strata(df, strata, length).withColumn("_hash", digest(F.lit(seed), F.col("dataset"), F.col("series_id")))
-    per = Window.partitionBy("dataset", "stratum").orderBy("_hash", "series_id")
+    keyed = cut_lineage(
+        length_strata(df, strata, length).withColumn("_hash", digest(F.lit(seed), F.col("dataset"), F.col("series_id")))
+    )
     bins = F.least(F.lit(strata), F.col("n_series"))
     take = F.floor(F.lit(target) / bins) + (F.col("stratum") < F.lit(target) % bins).cast("int")
-    share = -(-target // 1)
-    ranked = keyed.withColumn("_rn", F.row_number().over(per)).withColumn("_first", F.col("_rn") <= take)
-    # First picks sort before all others, so one bounded top-N gives both steps.
-    fill = Window.partitionBy("dataset").orderBy(F.col("_first").desc(), "_hash", "series_id")
-    return (
-        ranked.withColumn("_place", F.row_number().over(fill))
-        .filter(F.col("_place") <= share)
-        .drop("_hash", "_rn", "_first", "_place")
-    )
+    first = _first_rows(keyed, ["dataset", "stratum"], target).filter(F.col("_rn") <= take).drop("_rn")
+    # What the strata could not give comes from the other rows, again by hash.
+    other = keyed.join(first.select("dataset", "series_id"), ["dataset", "series_id"], "left_anti")
+    fill = _first_rows(other, ["dataset"], target).drop("_rn")
+    both = first.withColumn("_early", F.lit(1)).unionByName(fill.withColumn("_early", F.lit(0)))
+    # At most two times ``target`` rows per dataset are left here.
+    place = Window.partitionBy("dataset").orderBy(F.col("_early").desc(), "_hash", "series_id")
+    return both.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= target).drop("_hash", "_early", "_place")
 
 
 def simple_gate(certificate_limit: float = 0.20, clipping_limit: float = 0.05) -> Column:

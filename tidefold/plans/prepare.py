@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidefold.operators.impute import seasonal_fill
 from tidefold.operators.ordered import CHUNK
-from tidefold.operators.roles import boundaries, by_horizon, by_ratio, with_scaler
+from tidefold.operators.roles import boundary_stats, by_horizon, by_ratio, with_scaler
 
 # The usual role shares.
 RATIO = {"prior": 0.20, "bound": 0.45, "validation": 0.15, "test": 0.20}
@@ -48,9 +48,9 @@ def by_horizon_panel(
 
 def metadata(prepared: DataFrame) -> DataFrame:
     """One row per series: length, role borders, fills and scaler."""
-    borders = boundaries(prepared)
     source = F.col("imputation_source")
-    rest = prepared.groupBy("series_id").agg(
+    return prepared.groupBy("series_id").agg(
+        *boundary_stats(),
         F.count("*").alias("processed_length"),
         (F.count("*") + F.first("dropped")).alias("original_length"),
         F.count_if(source == "seasonal_past").alias("seasonal_fills"),
@@ -60,4 +60,3 @@ def metadata(prepared: DataFrame) -> DataFrame:
         F.first("scaler_scale").alias("scaler_scale"),
         F.first("scaler_fallback").alias("scaler_fallback"),
     )
-    return borders.join(rest, "series_id")

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.functions.arrays import finite
+from tidefold.functions.clock import epoch_seconds
+from tidefold.operators.compare import require_rows
+from tidefold.operators.quality import exact_columns
 from tidefold.operators.resample import long
 
 
@@ -54,6 +57,32 @@ def zones_csv(
     return positive(long(named, "ts", list(columns.values())))
 
 
+def read_wide_panel(
+    spark: SparkSession, path: str, names: Sequence[str], rows: int, step_seconds: int, form: str = "parquet"
+) -> DataFrame:
+    """Prepared wide panel as long rows under its contract.
+
+    Exact columns are checked before anything is read; the row count, one fixed
+    time step without a gap, and finite positive values fail the job.
+    """
+    wide = exact_columns(spark.read.format(form).load(path), ["timestamp", *names], "panel")
+    at = epoch_seconds(F.col("timestamp"))
+    counted = require_rows(wide, rows, "panel")
+    # With the right row count, distinct times on one grid from first to last have no gap.
+    shape = wide.agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.countDistinct("timestamp").alias("times"),
+    )
+    even = (F.col("last") - F.col("first") == (rows - 1) * step_seconds) & (F.col("times") == rows)
+    phase = wide.agg(F.countDistinct(at % step_seconds).alias("phases"))
+    guard = shape.withColumn("_one", F.lit(1)).join(phase.withColumn("_one", F.lit(1)), "_one").filter(
+        F.when(even & (F.col("phases") == 1), F.lit(True)).otherwise(
+            F.raise_error(F.lit("the panel has no uniform time step")).cast("boolean")
+        )
+    ).select("_one")
+    checked = counted.withColumn("_one", F.lit(1)).join(F.broadcast(guard), "_one").drop("_one")
+    return positive(long(checked, "timestamp", list(names)))
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a text file; blank lines and lines starting with '#' are ignored."""
     line = F.trim("value")
