@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.functions import blocks
-from tidefold.functions.arrays import mean_square_gap
+from tidefold.functions.arrays import dot, let, mean_square_gap, total
 from tidefold.operators.ordered import CHUNK, fits
 from tidefold.session import cut_lineage, spread_keys
 
@@ -244,34 +244,61 @@ def standardize(features: Column, mean: Column, scale: Column) -> Column:
 
 def firing_strengths(z: Column, centers: Column, spreads: Column, active: Column) -> Column:
     """Normalised rule weights of one row; the higher rule wins a tie at the cut."""
-    pairs = F.arrays_zip(centers.alias("c"), spreads.alias("s"))
-    log_w = F.transform(
-        pairs,
-        lambda r: -0.5
-        * F.aggregate(
-            F.zip_with(F.zip_with(z, r["c"], lambda a, b: a - b), r["s"], lambda d, s: (d / s) * (d / s)),
-            F.lit(0.0),
-            lambda acc, v: acc + v,
-        ),
-    )
-    ranked = F.sort_array(F.transform(log_w, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), asc=False)
-    keep = F.transform(F.slice(ranked, F.lit(1), active), lambda t: t["i"])
-    top = ranked[0]["v"]
-    raw = F.transform(log_w, lambda v, i: F.when(F.array_contains(keep, i), F.exp(v - top)).otherwise(F.lit(0.0)))
-    norm = F.aggregate(raw, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(raw, lambda v: v / norm)
+
+    def log_weights(zz: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(centers.alias("c"), spreads.alias("s")),
+            lambda r: -0.5
+            * F.aggregate(
+                F.zip_with(F.zip_with(zz, r["c"], lambda a, b: a - b), r["s"], lambda d, s: (d / s) * (d / s)),
+                F.lit(0.0),
+                lambda acc, v: acc + v,
+            ),
+        )
+
+    def weights(log_w: Column) -> Column:
+        ranked = F.sort_array(F.transform(log_w, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), asc=False)
+        # Everything below the last kept (value, rule) pair is cut.
+        return let(
+            F.struct(F.get(ranked, active - 1).alias("last"), F.array_max(log_w).alias("top")),
+            lambda c: F.transform(
+                log_w,
+                lambda v, i: F.when(F.struct(v.alias("v"), i.alias("i")) >= c["last"], F.exp(v - c["top"])).otherwise(F.lit(0.0)),
+            ),
+        )
+
+    def normalised(raw: Column) -> Column:
+        return let(total(raw), lambda norm: F.transform(raw, lambda v: v / norm))
+
+    return let(z, lambda zz: let(log_weights(zz), lambda log_w: let(weights(log_w), normalised)))
 
 
 def design_row(z: Column, weights: Column) -> Column:
-    one_z = F.concat(F.array(F.lit(1.0)), z)
-    return F.flatten(F.transform(weights, lambda w: F.transform(one_z, lambda v: w * v)))
+    return let(
+        F.concat(F.array(F.lit(1.0)), z), lambda one_z: F.flatten(F.transform(weights, lambda w: F.transform(one_z, lambda v: w * v)))
+    )
+
+
+def rule_forecast(z: Column, centers: Column, spreads: Column, active: Column, coefficients: Column) -> Column:
+    """Weighted sum of the rules' affine forecasts; ``coefficients`` holds one array per rule."""
+    return let(
+        z,
+        lambda zz: let(
+            F.concat(F.array(F.lit(1.0)), zz),
+            lambda one_z: dot(
+                firing_strengths(zz, centers, spreads, active), F.transform(coefficients, lambda c: dot(one_z, c))
+            ),
+        ),
+    )
 
 
 def rule_usage(rows: DataFrame, keys: Sequence[str], weights: str, threshold: float = 1e-8) -> DataFrame:
     """Usage diagnostics per model from rows holding rule weights."""
     keys = list(keys)
+    # ``inline`` fixes the weights of a row once; a projection would repeat their expression.
+    fixed = rows.select(*keys, F.inline(F.array(F.struct(F.col(weights).alias("_w"))))).withColumnRenamed("_w", weights)
     top = F.array_max(weights)
-    per_row = rows.select(
+    per_row = fixed.select(
         *keys,
         (F.array_position(F.col(weights), top) - 1).alias("_hard"),
         F.size(F.filter(weights, lambda w: w > threshold)).alias("_active"),

@@ -16,7 +16,7 @@ from tidefold.functions import metrics as m
 from tidefold.functions.arrays import dot
 from tidefold.functions.text import candidate_id
 from tidefold.operators import certify
-from tidefold.operators.cover import as_rules, design_row, firing_strengths, standardize
+from tidefold.operators.cover import as_rules, rule_forecast, standardize
 from tidefold.operators.lags import with_shift
 from tidefold.operators.ordered import CHUNK
 from tidefold.operators.select import KEYS, best, key_of, robust_gate, simple_gate
@@ -252,12 +252,14 @@ def open_role(lagged: DataFrame, models: DataFrame, covers: DataFrame | None, ro
     forecast = plain
     if covers is not None:
         z = standardize(x, F.col("feature_mean"), F.col("feature_scale"))
-        rules = [as_rules(F.col(c), F.col("rule_count"), F.col("lag")) for c in ("centers", "spreads")]
-        weights = firing_strengths(z, *rules, F.col("active"))
-        forecast = F.when(F.col("k") == 0, plain).otherwise(dot(design_row(z, weights), F.col("coefficients")))
+        count, lag = F.col("rule_count"), F.col("lag")
+        rules = [as_rules(F.col(c), count, lag) for c in ("centers", "spreads")]
+        ruled = rule_forecast(z, *rules, F.col("active"), as_rules(F.col("coefficients"), count, lag + 1))
+        forecast = F.when(F.col("k") == 0, plain).otherwise(ruled)
     b = F.col("clip_bound_scaled")
+    # ``inline`` fixes the forecast once; a projection would repeat its expression in every column below.
     return (
-        joined.withColumn("forecast_scaled", forecast)
+        joined.select("*", F.inline(F.array(F.struct(forecast.alias("forecast_scaled")))))
         .withColumn("forecast_clipped_scaled", m.clip(F.col("forecast_scaled"), b))
         .withColumns(
             {

@@ -121,7 +121,7 @@ def rule_report(lagged: DataFrame, models: DataFrame, covers: DataFrame, roles=(
     weights = firing_strengths(
         z, as_rules(F.col("centers"), rules, lag), as_rules(F.col("spreads"), rules, lag), F.col("active")
     )
-    used = joined.select("series_id", weights.alias("w")).select(
+    used = joined.select("series_id", F.inline(F.array(F.struct(weights.alias("w"))))).select(
         "series_id", (F.array_position("w", F.array_max("w")) - 1).alias("hard"), F.posexplode("w").alias("rule", "weight")
     ).groupBy("series_id", "rule").agg(
         F.avg("weight").alias("mean_firing"), F.count_if(F.col("hard") == F.col("rule")).alias("certification_hard_support")
