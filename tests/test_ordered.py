@@ -67,3 +67,16 @@ def test_global_rank_with_one_huge_tie(spark):
     want["w"] = want.groupby("dataset").cumcount() + 1
     both = got.merge(want, on="series_id")
     assert len(both) == 220 and (both["r"] == both["w"]).all()
+
+
+def test_unbounded_plan_never_windows_over_a_whole_series(spark):
+    """Without a length bound the wide windows are cut by chunk; only per-chunk summaries are not."""
+    from tidefold.operators import impute, lags
+
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(20)], "series_id string, pos long, value double")
+    filled = impute.seasonal_fill(df, 3, chunk=8)
+    plan = lags.with_shift(filled, 2, "value_imputed", "f", chunk=8)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows
+    for line in windows:
+        assert "_chunk" in line, line

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidefold.checks import sql
 from tidefold.checks.models import _EVT, rounded
 from tidefold.operators import compare, smooth
-from tidefold.operators.cover import as_rules, design_row, firing_strengths, parameter_counts, rule_usage, standardize
-from tidefold.operators.sweep import Grid
+from tidefold.operators.cover import as_rules, cover, design_row, firing_strengths, parameter_counts, rule_usage, standardize
+from tidefold.operators.sweep import Grid, lag_context, sweep_rows
 from tidefold.plans import decide, develop, prepare
 from tidefold.session import store
 from tidefold.sources import panels
@@ -49,6 +49,33 @@ def firing_usage(spark, folder):
     return rule_usage(fired, ["series_id", "lag", "width"], "w")
 
 
+def _two_rules(spark, folder, max_len):
+    """Two-lag covers cut at two rules: radii, supports and usage on certification rows."""
+    grid = Grid(lags=(2,), max_rules=2)
+    lagged = store(lag_context(_evt(spark, folder), 2, EVT.slots))
+    covers = store(cover(sweep_rows(lagged, grid, max_len), (2,), 2, max_len).filter(F.col("k") == 2))
+    rows = lagged.filter(F.col("role").isin("bound", "validation") & (F.col("step") >= 2)).select("series_id", "features").join(covers, "series_id")
+    z = standardize(F.col("features"), F.col("feature_mean"), F.col("feature_scale"))
+    w = firing_strengths(z, as_rules(F.col("centers"), F.lit(2), F.lit(2)), as_rules(F.col("spreads"), F.lit(2), F.lit(2)), F.lit(2))
+    usage = rule_usage(rows.select("series_id", w.alias("w")), ["series_id"], "w")
+    head = covers.select(
+        "series_id", "n_prior", F.col("reach")[0].alias("reach_1"), F.col("reach")[1].alias("reach_2"), "realized",
+        F.col("support")[0].alias("support_1"), F.col("support")[1].alias("support_2"),
+    )
+    return rounded(
+        usage.join(head, "series_id"), reach_1=6, reach_2=6, realized=6, mean_active_rules=6, rule_usage_entropy=6,
+    )
+
+
+def two_rule_usage(spark, folder):
+    return _two_rules(spark, folder, EVT.slots)
+
+
+def two_rule_usage_rounds(spark, folder):
+    """The same without a length bound: every pick is one pass over all series together."""
+    return _two_rules(spark, folder, None)
+
+
 def sweep_candidates(spark, folder):
     return _sweep(spark, folder).candidates.drop(
         "coefficients", "base_std", "risk", "hard", "weight", "block_sse", "block_cost"
@@ -157,7 +184,49 @@ def smoothing_summary(spark, folder):
     return smooth.benchmark(_ship(spark, folder), 13, SHIP.slots)[1]
 
 
+def _nearest(a: str, z: str = "z") -> str:
+    return f"(({z}1 - {a}1) ** 2 + ({z}2 - {a}2) ** 2) / 2"
+
+
+def _moved(new: str, old: str) -> str:
+    """Centers after one assignment and averaging; a center without rows stays."""
+    return f"""
+{new} AS (SELECT p.series_id, coalesce(avg(z1) FILTER (g1 <= g2), min(a1)) AS a1, coalesce(avg(z2) FILTER (g1 <= g2), min(a2)) AS a2,
+  coalesce(avg(z1) FILTER (g1 > g2), min(b1)) AS b1, coalesce(avg(z2) FILTER (g1 > g2), min(b2)) AS b2
+  FROM (SELECT zp.*, c.a1, c.a2, c.b1, c.b2, {_nearest("c.a")} AS g1, {_nearest("c.b")} AS g2 FROM zp JOIN {old} c ON c.series_id = zp.series_id) p GROUP BY 1)"""
+
+
+_TWO_RULES = _EVT + """,
+x AS (SELECT * FROM (SELECT *, lag(value_scaled, 1) OVER w AS l1, lag(value_scaled, 2) OVER w AS l2 FROM p WINDOW w AS (PARTITION BY series_id ORDER BY step)) WHERE step >= 2),
+sd AS (SELECT series_id, count(*) AS n, avg(l1) AS m1, avg(l2) AS m2, stddev_pop(l1) AS s1, stddev_pop(l2) AS s2 FROM x WHERE role = 'prior' GROUP BY 1),
+zz AS (SELECT x.series_id, step, role, (l1 - m1) / s1 AS z1, (l2 - m2) / s2 AS z2, n FROM x JOIN sd ON sd.series_id = x.series_id),
+zp AS (SELECT * FROM zz WHERE role = 'prior'),
+p1 AS (SELECT series_id, z1 AS a1, z2 AS a2 FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY z1 * z1 + z2 * z2, step) AS rn FROM zp) WHERE rn = 1),
+f1 AS (SELECT zp.*, a1, a2, """ + _nearest("a") + """ AS g FROM zp JOIN p1 ON p1.series_id = zp.series_id),
+p2 AS (SELECT series_id, a1, a2, z1 AS b1, z2 AS b2, sqrt(g) AS reach_1 FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY g DESC, step) AS rn FROM f1) WHERE rn = 1),
+r2 AS (SELECT f.series_id, sqrt(max(least(g, """ + _nearest("p2.b", "f.z") + """))) AS reach_2 FROM f1 f JOIN p2 ON p2.series_id = f.series_id GROUP BY 1),""" + _moved("k1", "p2") + "," + _moved("k2", "k1") + """,
+fin AS (SELECT zp.*, c.a1, c.a2, c.b1, c.b2, """ + _nearest("c.a") + " AS g1, " + _nearest("c.b") + """ AS g2 FROM zp JOIN k2 c ON c.series_id = zp.series_id),
+w AS (SELECT series_id, stddev_pop(z1) AS w1, stddev_pop(z2) AS w2 FROM zp GROUP BY 1),
+sp AS (SELECT f.series_id, min(f.n) AS n_prior, min(a1) AS a1, min(a2) AS a2, min(b1) AS b1, min(b2) AS b2, sqrt(max(least(g1, g2))) AS realized,
+  count(*) FILTER (g1 <= g2) AS support_1, count(*) FILTER (g1 > g2) AS support_2, min(w1) AS w1, min(w2) AS w2,
+  stddev_pop(z1) FILTER (g1 <= g2) AS sa1, stddev_pop(z2) FILTER (g1 <= g2) AS sa2, stddev_pop(z1) FILTER (g1 > g2) AS sb1, stddev_pop(z2) FILTER (g1 > g2) AS sb2
+  FROM fin f JOIN w ON w.series_id = f.series_id GROUP BY 1),
+wd AS (SELECT *, """ + ", ".join(
+    f"least(greatest(CASE WHEN support_{i} >= 2 AND s{r}{j} > 1e-12 THEN s{r}{j} ELSE w{j} END, 0.15), 3.0) AS t{r}{j}" for i, r in ((1, "a"), (2, "b")) for j in (1, 2)
+) + """ FROM sp),
+lw AS (SELECT z.series_id, -0.5 * (((z1 - a1) / ta1) ** 2 + ((z2 - a2) / ta2) ** 2) AS u, -0.5 * (((z1 - b1) / tb1) ** 2 + ((z2 - b2) / tb2) ** 2) AS v
+  FROM zz z JOIN wd ON wd.series_id = z.series_id WHERE role IN ('bound', 'validation')),
+fr AS (SELECT series_id, 1 / (1 + exp(v - u)) AS w1, 1 / (1 + exp(u - v)) AS w2 FROM lw),
+us AS (SELECT series_id, count(*) FILTER (w1 >= w2) AS h1, count(*) FILTER (w1 < w2) AS h2, avg(w1) AS m1, avg(w2) AS m2,
+  avg(CAST(w1 > 1e-8 AS INT) + CAST(w2 > 1e-8 AS INT)) AS act, max(CAST(w1 > 1e-8 AS INT) + CAST(w2 > 1e-8 AS INT)) AS top FROM fr GROUP BY 1)
+SELECT u.series_id, 2::BIGINT AS rule_count, CAST(h1 > 0 AS BIGINT) + CAST(h2 > 0 AS BIGINT) AS effective_rule_count, least(h1, h2) AS minimum_hard_rule_support,
+ greatest(h1, h2) AS maximum_hard_rule_support, round(act, 6) AS mean_active_rules, top AS maximum_active_rules, round(-(m1 * ln(m1) + m2 * ln(m2)) / ln(2::DOUBLE), 6) AS rule_usage_entropy,
+ n_prior, round(reach_1, 6) AS reach_1, round(reach_2, 6) AS reach_2, round(realized, 6) AS realized, support_1, support_2
+FROM us u JOIN wd ON wd.series_id = u.series_id JOIN p2 ON p2.series_id = u.series_id JOIN r2 ON r2.series_id = u.series_id"""
+
 CHECKS = {
+    "two_rule_usage": (two_rule_usage, _TWO_RULES),
+    "two_rule_usage_rounds": (two_rule_usage_rounds, _TWO_RULES),
     "rule_covers": (rule_covers, None),
     "firing_usage": (firing_usage, None),
     "sweep_candidates": (sweep_candidates, None),
