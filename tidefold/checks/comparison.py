@@ -169,9 +169,9 @@ def _manifests(spark, folder):
         F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") == "purchase").alias("purchases"),
     )
     return per.select(
-        F.when(F.col("series_id") % 3 == 0, "left").otherwise("right").alias("dataset"),
+        F.when(F.col("errors") > F.col("purchases"), "left").otherwise("right").alias("dataset"),
         F.col("series_id").cast("string").alias("series_id"), "length", "errors", "purchases",
-        F.when(F.col("length") % 5 == 0, "rejected").otherwise("pass").alias("status"),
+        F.when(F.col("length") > 75, "rejected").otherwise("pass").alias("status"),
     )
 
 
@@ -194,7 +194,7 @@ def overlap_guard(spark, folder):
 
 
 def hash_sample(spark, folder):
-    counts = {"left": 5, "right": 9}
+    counts = {"left": 3, "right": 4}
     return select.first_by_hash(_manifests(spark, folder), counts, "study-v2").select("dataset", "series_id", "selection_hash")
 
 
@@ -252,8 +252,8 @@ cmp AS (SELECT n.*, o.selected_radius AS old_selected_radius, o.rule_count AS ol
   FROM new n LEFT JOIN old o ON n.dataset = o.dataset AND n.series_id = o.series_id)"""
 _ALL = _P + "," + picked_sql("res")
 _MAN = """WITH per AS (SELECT user_id, count(*) AS length, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS purchases FROM events GROUP BY 1),
-man AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'left' ELSE 'right' END AS dataset, CAST(user_id AS VARCHAR) AS series_id, length, errors, purchases,
-  CASE WHEN length % 5 = 0 THEN 'rejected' ELSE 'pass' END AS status FROM per)"""
+man AS (SELECT CASE WHEN errors > purchases THEN 'left' ELSE 'right' END AS dataset, CAST(user_id AS VARCHAR) AS series_id, length, errors, purchases,
+  CASE WHEN length > 75 THEN 'rejected' ELSE 'pass' END AS status FROM per)"""
 _STRATA = _MAN + """,
 rk AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY length, series_id) AS length_rank, count(*) OVER (PARTITION BY dataset) AS n FROM man),
 st AS (SELECT *, CAST(greatest(ceil((length_rank - 1) * least(3, n)::DOUBLE / greatest(n - 1, 1)) - 1, 0) AS INTEGER) AS stratum FROM rk)"""
@@ -359,7 +359,7 @@ FROM (SELECT dataset, errors >= 14 AS a, purchases >= 14 AS b FROM man) WHERE a
     "hash_sample": (hash_sample, _MAN + """,
 h AS (SELECT dataset, series_id, sha256('study-v2|' || dataset || '|' || series_id) AS selection_hash FROM man)
 SELECT dataset, series_id, selection_hash FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY selection_hash, series_id) AS rn FROM h)
-WHERE rn <= CASE dataset WHEN 'left' THEN 5 ELSE 9 END"""),
+WHERE rn <= CASE dataset WHEN 'left' THEN 3 ELSE 4 END"""),
     "length_strata": (length_strata, _STRATA + " SELECT dataset, series_id, length, length_rank, stratum FROM st"),
     "stratified_sample": (stratified_sample, _STRATA + """,
 h AS (SELECT *, sha256('42|' || dataset || '|' || series_id) AS hsh FROM st),

@@ -23,7 +23,7 @@ def _place(spark) -> str:
 def _user_panel(spark, folder):
     path = _place(spark)
     raw = panels.user_day(spark, folder).withColumns(
-        {"value": F.round("value", 2), "user_class": F.when(F.col("series_id") % 2 == 0, "Bank user").otherwise("generated")}
+        {"value": F.round("value", 2), "user_class": F.when(F.length(F.col("series_id").cast("string")) == 2, "Bank user").otherwise("generated")}
     )
     names = {"series_id": "string", "user_class": "string"}
     tsf.write_panel(raw, path, names, {"relation": "users", "frequency": "daily", "horizon": "7", "missing": "true", "equallength": "true"})
@@ -83,10 +83,10 @@ def region_files(spark, folder):
 def id_file(spark, folder):
     """Ids written as text with comments and blank lines, read back and used to override origins."""
     path = _place(spark)
-    users = panels.table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("value"), "c_acctbal", "c_custkey")
+    users = panels.table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("value"), "c_acctbal", "c_mktsegment")
     lines = users.select(
         F.when(F.col("c_acctbal") < 0, F.concat(F.lit("# "), "value"))
-        .when(F.col("c_custkey") % 7 == 0, F.lit("  "))
+        .when(F.col("c_mktsegment") == "MACHINERY", F.lit("  "))
         .otherwise(F.concat(F.lit(" "), "value", F.lit(" "))).alias("value")
     )
     lines.write.text(path)
@@ -132,7 +132,7 @@ def flat_settings(spark, folder):
 
 
 _USERS = "WITH " + sql.USER_DAY + """,
-uf AS (SELECT CAST(series_id AS VARCHAR) AS sid, CASE WHEN series_id % 2 = 0 THEN 'Bank user' ELSE 'generated' END AS cls, pos, round(value, 2) AS value FROM user_day)"""
+uf AS (SELECT CAST(series_id AS VARCHAR) AS sid, CASE WHEN length(CAST(series_id AS VARCHAR)) = 2 THEN 'Bank user' ELSE 'generated' END AS cls, pos, round(value, 2) AS value FROM user_day)"""
 
 CHECKS = {
     "panel_file": (panel_file, _USERS + """
@@ -153,7 +153,7 @@ SELECT series_id, strftime(TIMESTAMP '1995-01-02' + to_days(CAST(s.pos * 7 AS IN
 WITH h AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, avg(value) AS v, count(*) AS c FROM events WHERE event_type IN ('click', 'purchase') AND value > 0 GROUP BY 1, 2)
 SELECT series_id, CAST(sum(c) AS BIGINT) AS raw_rows, count(*) AS hours, round(avg(v), 6) AS mean_value FROM h GROUP BY 1"""),
     "id_file": (id_file, """
-SELECT CASE WHEN c_acctbal >= 0 AND c_custkey % 7 <> 0 THEN 'real' ELSE 'artificial' END AS origin, count(*) AS series FROM customer GROUP BY 1"""),
+SELECT CASE WHEN c_acctbal >= 0 AND c_mktsegment <> 'MACHINERY' THEN 'real' ELSE 'artificial' END AS origin, count(*) AS series FROM customer GROUP BY 1"""),
     "file_manifest": (file_manifest, None),
     "model_store": (model_store, "WITH " + sql.prepared(sql.EVT_HOUR, "evt_hour", 24) + """
 SELECT series_id, count(*) FILTER (role = 'test') AS test_rows, round(avg(value_imputed) FILTER (role = 'test'), 6) AS test_mean, count(*) AS rows, count(*) FILTER (was_imputed) AS imputed_rows FROM p GROUP BY 1"""),
