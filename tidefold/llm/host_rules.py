@@ -39,11 +39,11 @@ def repeated_words(windows: Column) -> Column:
             ordered,
             lambda x, i: F.when((F.get(ordered, i - 1)["h"] == x["h"]) | (F.get(ordered, i + 1)["h"] == x["h"]), x["p"]),
         )
-        places = F.array_sort(F.filter(again, lambda p: p.isNotNull()))
+        places = F.sort_array(F.filter(again, lambda p: p.isNotNull()))
         step = lambda r: F.transform(r, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(r, j + 1) - p, F.lit(WINDOW))))
         return let(places, lambda r: F.aggregate(step(r), F.lit(0).cast("long"), lambda a, b: a + b))
 
-    ordered = F.array_sort(F.transform(windows, lambda h, p: F.struct(h.alias("h"), p.alias("p"))))
+    ordered = F.sort_array(F.transform(windows, lambda h, p: F.struct(h.alias("h"), p.alias("p"))))
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(ordered, covered))
 
 

@@ -6,9 +6,10 @@ character that is no ASCII white space. A line's shingles are all runs of
 shingle. Two lines are near-equal from a Jaccard similarity of ``SIMILAR`` on.
 
 **Signatures.** Those shingles that begin with a space (a sample chosen by content,
-about one a word) are hashed once; ``BANDS`` further hashes put them in as many
-orders, and the smallest ``ROWS`` of each order are one band. Lines at the threshold
-share a band with a chance of 1 - (1 - 0.8**3)**8, about 0.997.
+about one a word) are hashed and sorted. ``BANDS`` rotations of the hash space are
+as many orders of them; the smallest ``ROWS`` of each order, read off the one
+sorted array, are one band. Lines at the threshold share a band with a chance
+of about 1 - (1 - 0.8**3)**8, which is 0.997.
 
 **Candidates.** Lines that are equal have one key, so copies cost nothing. Below a
 shared band each key is compared with one center; keys that are not near it are
@@ -54,24 +55,31 @@ def key_of(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def shingles(line: Column, first: str = ".") -> Column:
-    """Hashes of the shingles that begin with ``first``; a line with none of them is one shingle."""
-    found = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(f"(?s)(?=({first}.{{{SHINGLE - 1}}}))"), F.lit(1))
+def _hashed(line: Column, pattern: str) -> Column:
+    """Hashes of what the pattern's group finds; a line without a find is hashed whole."""
+    found = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(pattern), F.lit(1))
     return F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(line)), lambda s: F.xxhash64(s))
 
 
-def _reordered(k: int):
-    return lambda h: F.xxhash64(h, F.lit(k))
+def shingles(line: Column) -> Column:
+    return F.array_distinct(_hashed(line, f"(?s)(?=(.{{{SHINGLE}}}))"))
 
 
 def bands(line: Column) -> Column:
     """The BANDS band keys of a line."""
+    starts = [-(1 << 63) + k * ((1 << 64) // BANDS) for k in range(BANDS)]
 
-    def each(hashes: Column) -> Column:
-        orders = [hashes, *[F.transform(hashes, _reordered(k)) for k in range(1, BANDS)]]
-        return F.array(*[F.xxhash64(F.lit(k), F.slice(F.array_sort(order), 1, ROWS)) for k, order in enumerate(orders)])
+    def each(ordered: Column) -> Column:
+        # Places of the starting points: sorted in among the hashes, less the points before them.
+        merged = F.sort_array(F.concat(ordered, F.array(*[F.lit(x) for x in starts])))
+        around = F.concat(ordered, ordered, ordered)
 
-    return let(F.array_distinct(shingles(line, " ")), each)
+        return let(
+            F.struct(merged.alias("m"), around.alias("r")),
+            lambda x: F.array(*[F.xxhash64(F.lit(k), F.slice(x["r"], F.array_position(x["m"], starts[k]).cast("int") - k, ROWS)) for k in range(BANDS)]),
+        )
+
+    return let(F.sort_array(F.array_distinct(_hashed(line, f"(?s) (?=(.{{{SHINGLE - 1}}}))"))), each)
 
 
 def near(left: Column, right: Column) -> Column:
@@ -103,7 +111,7 @@ def near_lines(docs: DataFrame) -> DataFrame:
     wanted = members.select("key").distinct()
     sets = store(
         lines.select(key_of(F.col("line")).alias("key"), "line").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-        .select("key", F.array_distinct(shingles(F.col("line"))).alias("set"))
+        .select("key", shingles(F.col("line")).alias("set"))
     )
     found = []
     for turn in range(2):
