@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,11 +37,14 @@ def build_session(master: str, app: str = "tidefold", shuffle_partitions: int =
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A private folder is used only when the session names none (local tests).
+    A private folder is used only in local mode; on a cluster executors and
+    driver would not see each other's files, so a missing setting is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidefold-"))
     return context.getCheckpointDir()
 
