@@ -39,7 +39,7 @@ def wide_study(spark, folder) -> tuple[float, int, int]:
     p = panels.SHIP_WEEKS
     started = time.perf_counter()
     prepared = prepare.by_ratio_panel(panels.supplier_week(spark, folder), p.season, max_len=p.slots)
-    case = decide.Case(prepared, Grid(), p.season, "robust", 1000, max_len=p.slots)
+    case = decide.Case(prepared, Grid(), p.season, "robust", max_len=p.slots)
     drain(case.outcomes(case.decisions()))
     seconds = time.perf_counter() - started
     row = case.build_report().agg(F.count("*"), F.sum("candidate_count")).first()

@@ -333,3 +333,33 @@ def test_samples_are_limited_before_the_shuffle(spark):
     assert (spread.groupby(["dataset", "stratum"]).size() == 3).all()
     # Fewer series than the target: all of them.
     assert select.stratified_sample(df.filter("dataset = 'e'"), 50, 1).count() == 30
+
+
+def test_short_series_fail_alike_on_both_plans(spark):
+    """A lag longer than the prior role has no rows there: both plans say so and build nothing for it."""
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"series_id": "s", "pos": np.arange(30), "value": rng.normal(size=30).cumsum()})
+    short = prepare.by_ratio_panel(spark.createDataFrame(rows), 2, max_len=40)
+    grid = Grid(lags=(3, 12), radii=(1.0,), ridge_alphas=(0.1,), max_rules=2, families=("ridge", "dense_tsk"), sparse_active=1)
+    found = []
+    for bound in ({"max_len": 40}, {"max_len": None, "chunk": 16}):
+        one = decide.Case(short, grid, 2, "simple", **bound)
+        specs = {(r["lag"], r["family"]): r["failure"] for r in one.specs.collect()}
+        assert specs[12, "ridge"] == "no prior rows" and specs[12, "dense_tsk"] == "no prior rows" and specs[3, "ridge"] is None
+        ids = sorted(r["candidate_id"] for r in one.candidates.collect())
+        report = one.build_report().first()
+        assert report["build_failures"] == 2 and len(ids) == report["candidate_count"]
+        found.append(ids)
+    assert found[0] == found[1] and found[0]
+
+
+def test_stated_series_count_must_agree(prepared):
+    with pytest.raises(ValueError, match="3 series, but there are 2"):
+        decide.Case(prepared, SMALL, 7, "simple", 3, max_len=200)
+
+
+def test_gram_sums_end_as_one_row(spark):
+    rows = [("s", p, 1, 1.0, float(p), [1.0], [1.0]) for p in range(40)]
+    frame = spark.createDataFrame(rows, "series_id string, part long, n long, yy double, max_abs double, rhs array<double>, gram array<double>")
+    got = merge_grams(frame, ["series_id"], levels=0).collect()
+    assert len(got) == 1 and got[0]["n"] == 40 and got[0]["gram"] == [40.0] and got[0]["max_abs"] == 39.0

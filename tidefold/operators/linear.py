@@ -61,7 +61,7 @@ def gram_rows(rows: DataFrame, order_list: Sequence[int]) -> DataFrame:
 
 
 def merge_grams(grams: DataFrame, keys: Sequence[str], levels: int = 2) -> DataFrame:
-    """Tree sum of block rows: a task adds at most ``FAN`` blocks of one key per level."""
+    """Tree sum of block rows to one row a key: a task adds at most ``FAN`` blocks of one key at each of ``levels``, then what is left of it."""
     keys = list(keys)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -76,7 +76,8 @@ def merge_grams(grams: DataFrame, keys: Sequence[str], levels: int = 2) -> DataF
 
     for _ in range(levels):
         grams = grams.groupBy(*keys, "part").applyInPandas(add, grams.schema)
-    return grams
+    # One row for FAN ** (levels + 1) blocks and more: the last sum takes what remains, whatever its depth.
+    return grams.groupBy(*keys).applyInPandas(add, grams.schema)
 
 
 def fit_linear(

@@ -93,8 +93,16 @@ def lag_context(prepared: DataFrame, largest: int, max_len: int | None, chunk: i
 
 def specs(rows: DataFrame, covers: DataFrame | None, grid: Grid) -> DataFrame:
     """One row per series, lag, family and radius or count: its design, or why it has none."""
-    base = rows.select("series_id").distinct().withColumn("lag", F.explode(F.array(*[F.lit(p) for p in grid.lags])))
-    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
+    # Rows that a lag can use in each role; no family is built on a role without any.
+    usable = {
+        (p, role): F.count_if((F.col("step") >= p) & (F.col("role") == role)) for p in grid.lags for role in ("prior", "bound", "validation")
+    }
+    per_lag = F.array(*[
+        F.struct(F.lit(p).alias("lag"), *[usable[p, role].alias(f"_{role}") for role in ("prior", "bound", "validation")]) for p in grid.lags
+    ])
+    base = rows.groupBy("series_id").agg(per_lag.alias("_lags")).select("series_id", F.inline("_lags"))
+    missing = F.coalesce(*[F.when(F.col(f"_{role}") == 0, f"no {role} rows") for role in ("prior", "bound", "validation")])
+    none_d = F.lit(None).cast("double")
 
     def spec(family, radius, wanted, k, active, rule_count, capped, failure) -> Column:
         return F.struct(
@@ -106,7 +114,7 @@ def specs(rows: DataFrame, covers: DataFrame | None, grid: Grid) -> DataFrame:
     zero = F.lit(0)
     entries = []
     if "ridge" in grid.families:
-        entries.append(spec("ridge", none_d, F.lit(1), zero, zero, F.lit(1), F.lit(False), none_s))
+        entries.append(spec("ridge", none_d, F.lit(1), zero, zero, F.lit(1), F.lit(False), missing))
     if grid.uses_rules:
         if covers is None:
             raise ValueError("Rule families need covers.")
@@ -116,7 +124,7 @@ def specs(rows: DataFrame, covers: DataFrame | None, grid: Grid) -> DataFrame:
             F.first("n_prior").alias("n_prior"), F.first("reach").alias("reach"), by_k.alias("cuts")
         )
         base = base.join(heads, ["series_id", "lag"], "left")
-        no_prior = F.when(F.col("n_prior").isNull(), "no prior rows")
+        no_prior = F.coalesce(missing, F.when(F.col("n_prior").isNull(), "no prior rows"))
         if "fixed_k_dense_tsk" in grid.families:
             for count in grid.counts:
                 have = F.col("n_prior") >= count

@@ -286,10 +286,24 @@ def role_metrics(forecasts: DataFrame, keys: list[str], prefix: str = "test") ->
     )
 
 
+def counted_series(rows: DataFrame, stated: int | None) -> int:
+    """Number of series in the rows; a stated number that differs is an error."""
+    found = rows.select("series_id").distinct().count()
+    if stated is not None and stated != found:
+        raise ValueError(f"The confidence level is for {stated} series, but there are {found}.")
+    return max(1, found)
+
+
 class Case:
-    """The frames of one locked decision run; each is a plain lazy DataFrame."""
+    """The frames of one locked decision run.
+
+    Making one writes the lagged rows, the covers and the specs to the shared
+    folder; everything after them is lazy. The confidence left to a series is
+    ``delta_total`` over the number of series, which is counted; a stated
+    ``series_count`` must agree with it.
+    """
 
-    def __init__(self, prepared: DataFrame, grid: Grid, season: int, gate: str, series_count: int, delta_total: float = 0.05,
+    def __init__(self, prepared: DataFrame, grid: Grid, season: int, gate: str, series_count: int | None = None, delta_total: float = 0.05,
                  fallback: str = "seasonal_naive", max_len: int | None = None, chunk: int = CHUNK):
         self.grid = grid
         self.gate = gate
@@ -305,7 +319,7 @@ class Case:
         self.specs, self._scored, self.covers = run_sweep(self.lagged, grid, max_len, chunk)
         self.scale = scalers(self.lagged.filter(F.col("role") == "prior"))
         self.base = seasonal_validation(self.shifted, grid.validation_blocks)
-        self.delta = delta_total / series_count
+        self.delta = delta_total / counted_series(self.lagged, series_count)
         self.fallback = fallback
 
     @cached_property

@@ -13,7 +13,7 @@ from tidefold.operators.cover import as_rules, firing_strengths, standardize
 from tidefold.operators.ordered import CHUNK
 from tidefold.operators.select import best
 from tidefold.operators.sweep import Grid, lag_context, run_sweep
-from tidefold.plans.decide import MODEL, candidates, open_role, role_metrics, scalers
+from tidefold.plans.decide import MODEL, candidates, counted_series, open_role, role_metrics, scalers
 from tidefold.session import store
 
 # The two selection strategies and their keys.
@@ -23,7 +23,7 @@ STRATEGIES = {"validation_rmse": "rmse", "certificate": "certificate"}
 class Sweep:
     """Candidates of all series with both prior centers and both confidence levels."""
 
-    def __init__(self, prepared: DataFrame, grid: Grid, series_count: int, delta_total: float = 0.05,
+    def __init__(self, prepared: DataFrame, grid: Grid, series_count: int | None = None, delta_total: float = 0.05,
                  max_len: int | None = None, chunk: int = CHUNK):
         self.grid = grid
         self.lagged = store(
@@ -31,7 +31,7 @@ class Sweep:
         )
         self.specs, self._scored, self.covers = run_sweep(self.lagged, grid, max_len, chunk)
         self.scale = scalers(self.lagged.filter(F.col("role") == "prior"))
-        self.deltas = (delta_total / series_count, delta_total)
+        self.deltas = (delta_total / counted_series(self.lagged, series_count), delta_total)
 
     @cached_property
     def candidates(self) -> DataFrame:
