@@ -133,3 +133,19 @@ def test_wide_panel_contract(spark, tmp_path):
         files.read_wide_panel(spark, write("gap", (1, 2, 4), (1, 2, 3)), ["x", "y"], 3, day).collect()
     with pytest.raises(PySparkException, match="positive"):
         files.read_wide_panel(spark, write("negative", (1, 2, 3), (1, -2, 3)), ["x", "y"], 3, day).collect()
+
+
+def test_attributes_are_checked_against_their_types(spark, panel):
+    """Numeric ids are written plainly; wrong values, unknown types and files without a data line fail."""
+    numeric = GOOD.replace("@attribute series_name string", "@attribute series_name numeric").replace("first:2:", "007:2.50:")
+    rows = tsf.read_panel(spark, panel(numeric, "a.tsf")).select("series_id", F.col("attributes")["weight"].alias("weight")).distinct().collect()
+    assert sorted(r["series_id"] for r in rows) == ["7", "series_0001"]
+    assert {r["weight"] for r in rows} == {"2.5", "3"}
+    for name, text, message in (
+        ("b", GOOD.replace("first:2:", "first:two:"), "attribute is not numeric"),
+        ("c", GOOD.replace("2020-01-01 00-00-00", "yesterday"), "attribute is not date"),
+        ("d", GOOD.replace("weight numeric", "weight foo"), "unknown attribute type"),
+        ("e", GOOD.split("first:")[0], "no data line"),
+    ):
+        with pytest.raises(PySparkException, match=message):
+            tsf.read_panel(spark, panel(text, f"{name}.tsf")).collect()

@@ -11,6 +11,7 @@ from tidefold.operators.ordered import number_rows
 # Attribute names that may hold the series id or its horizon.
 ID_NAMES = ("series_name", "series_id", "item_id", "id", "name")
 HORIZON_NAMES = ("horizon", "forecast_horizon", "prediction_length")
+KINDS = ("string", "numeric", "date")
 DATE_FORMAT = "yyyy-MM-dd HH-mm-ss"
 
 
@@ -73,18 +74,22 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per data line: ``file, index, attributes, values`` and the file's metadata.
 
-    ``?`` is NULL. No attributes, no data tag, a wrong field count, a line
+    ``?`` is NULL. Attributes are checked against their declared types. No data
+    line, no attributes, an unknown type, no data tag, a wrong field count, a line
     before the tag or a line without any value fails the job.
     """
     lines = _lines(spark, path)
     rows = number_rows(
         lines.filter(~F.col("line").startswith("@")), ["file"], [F.col("block"), F.col("seq")], F.col("block"), "index"
     )
-    joined = rows.join(_headers(lines), "file", "left")
+    # A file with a header and no data line comes out of the full join with no index.
+    joined = rows.join(_headers(lines), "file", "full")
     count = F.size("names")
     fields = F.split("line", ":", count + 1)
     problem = (
-        F.when(F.col("names").isNull() | (count == 0), "no attributes declared")
+        F.when(F.col("index").isNull(), "no data line")
+        .when(F.col("names").isNull() | (count == 0), "no attributes declared")
+        .when(F.exists("kinds", lambda k: ~k.isin(*KINDS)), "unknown attribute type")
         .when(F.col("data_place").isNull(), "no data tag")
         .when(F.struct("block", "seq") < F.col("data_place"), "data before the data tag")
         .when(F.size(fields) != count + 1, "wrong number of fields")
@@ -95,8 +100,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     numbers = F.transform(
         F.split(F.get(fields, count), ","), lambda t: F.when(F.trim(t) != "?", F.trim(t).cast("double"))
     )
+    texts = F.zip_with("kinds", F.slice(fields, F.lit(1), count), lambda kind, text: as_declared(text, kind))
     parsed = good.select(
-        "file", "index", F.map_from_arrays("names", F.slice(fields, F.lit(1), count)).alias("attributes"),
+        "file", "index", F.map_from_arrays("names", texts).alias("attributes"),
         F.map_from_arrays("names", "kinds").alias("kinds"), numbers.alias("values"), "frequency", "dataset_horizon",
         "contains_missing", "equal_length",
     )
@@ -105,6 +111,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def as_declared(text: Column, kind: Column) -> Column:
+    """Attribute text checked against its declared type; a number is written plainly (``007`` and ``7.0`` are ``7``)."""
+    number = text.try_cast("double")
+    plain = F.when(number == F.floor(number), F.floor(number).cast("long").cast("string")).otherwise(number.cast("string"))
+    bad = _fail(F.concat(F.lit("attribute is not "), kind, F.lit(": "), text)).cast("string")
+    numeric = F.when(number.isNull() | F.isnan(number), bad).otherwise(plain)
+    date = F.when(F.try_to_timestamp(text, F.lit(DATE_FORMAT)).isNull(), bad).otherwise(text)
+    return F.when(F.trim(text).isin("", "?"), text).when(kind == "numeric", numeric).when(kind == "date", date).otherwise(text)
+
+
 def typed(value: Column, kind: str) -> Column:
     """Attribute text in its declared type."""
     if kind == "string":
