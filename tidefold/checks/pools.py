@@ -15,6 +15,7 @@ from tidefold.operators.lags import with_lags
 from tidefold.operators.ordered import per_group
 from tidefold.operators.select import best, usable
 from tidefold.plans.prepare import by_ratio_panel
+from tidefold.session import spread_keys
 from tidefold.sources import panels
 
 LAGS = (1, 2, 4)
@@ -50,7 +51,8 @@ def pool(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> Dat
         *[F.struct(F.lit(p).alias("lag_order"), F.lit(r).alias("radius"), F.lit(a).alias("ridge_alpha"))
           for p in LAGS for r in RADII for a in ALPHAS]
     )
-    spread = rows.filter(F.col("role").isin("validation", "test")).select("*", F.inline(combos))
+    # The rows are few bytes and much work: they are dealt out evenly before each becomes 36.
+    spread = spread_keys(rows.filter(F.col("role").isin("validation", "test")), "series_id", "step").select("*", F.inline(combos))
     raw = (1 - F.col("ridge_alpha")) * F.get("features", F.col("lag_order") - 1)
     cut = F.least(F.greatest(raw, -F.col("radius")), F.col("radius"))
     err = F.col("scaler_scale") * (F.col("z") - cut)

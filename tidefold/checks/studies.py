@@ -147,16 +147,18 @@ def study_build_report(spark, folder):
 
 
 def study_alignment(spark, folder):
-    """Deployed forecasts against the panel: rows that do not match (none)."""
+    """Deployed forecasts against a panel with rows left out and values moved: exactly these do not match."""
     case = _case(spark, folder, "simple")
-    return compare.misaligned(case.predictions(case.decisions()), case.shifted.filter(F.col("role") == "test").withColumn("actual", F.col("value_imputed")))
+    moved = F.col("value_imputed") + F.when(F.col("step") % 5 == 0, 1.0).otherwise(0.0)
+    panel = case.shifted.filter((F.col("role") == "test") & (F.col("step") % 11 != 0)).withColumn("actual", moved)
+    return compare.misaligned(case.predictions(case.decisions()), panel)
 
 
 def many_series_decisions(spark, folder):
     """Every supplier decided with the robust gate: the wide study."""
     prepared = prepare.by_ratio_panel(panels.supplier_week(spark, folder), SHIP.season, max_len=SHIP.slots)
     case = decide.Case(prepared, Grid(lags=(3, 6), radii=(1.0, 1.5, 2.5), ridge_alphas=(0.01, 1.0), max_rules=4), SHIP.season,
-                       "robust", 100, max_len=SHIP.slots)
+                       "robust", max_len=SHIP.slots)
     return case.decisions().drop("selected")
 
 
@@ -244,7 +246,8 @@ CHECKS = {
     "study_structures": (study_structures, None),
     "study_build_report": (study_build_report, None),
     "study_alignment": (study_alignment, "WITH " + sql.prepared(sql.EVT_HOUR, "evt_hour", 24) + """
-SELECT CAST(series_id AS VARCHAR) AS series_id, step, value_imputed AS _a, value_imputed AS _b FROM p WHERE role = 'test' AND value_imputed IS NULL"""),
+SELECT CAST(series_id AS VARCHAR) AS series_id, step, value_imputed AS _a, CASE WHEN step % 11 <> 0 THEN value_imputed + 1 END AS _b
+FROM p WHERE role = 'test' AND (step % 11 = 0 OR step % 5 = 0)"""),
     "many_series_decisions": (many_series_decisions, None),
     "ets_level": (ets_level, _EVT + """,
 al AS (SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS alpha),
