@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidefold.functions import metrics as m
 from tidefold.functions.text import hash_draw
 from tidefold.operators.ordered import CHUNK, average_rank, fits, look_back, number_rows, with_medians
+from tidefold.session import spread_keys
 
 NEAR_ZERO = 1e-8
 
@@ -260,6 +261,7 @@ def block_bootstrap(
     draws = (
         plan.withColumn("blocks", blocks)
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+        .transform(lambda df: spread_keys(df, "series_id", "block_length", "rep"))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn(
             "start", hash_draw(F.col("n"), F.lit(seed), F.col("series_id"), F.col("block_length"), F.col("rep"), F.col("j"))
