@@ -149,3 +149,24 @@ def test_attributes_are_checked_against_their_types(spark, panel):
     ):
         with pytest.raises(PySparkException, match=message):
             tsf.read_panel(spark, panel(text, f"{name}.tsf")).collect()
+
+
+def test_lag_rows_are_read_under_their_contract(spark, tmp_path):
+    from tidefold.operators.compare import paired
+
+    schema = "series_id string, step long, role string, features array<double>, context_imputed_count long, target_observed boolean"
+    rows = [("a", k, "prior" if k < 6 else "test", [1.0, 2.0], 0, True) for k in range(2, 9)]
+    path = str(tmp_path / "lags")
+    files.write_lagged(spark.createDataFrame(rows, schema), path, 2)
+    assert files.read_lagged(spark, path, 2).count() == 7 and files.read_lagged(spark, path, 2, "test").count() == 3
+    assert files.read_lagged(spark, path, 3).count() == 0
+    bad = str(tmp_path / "bad")
+    files.write_lagged(spark.createDataFrame(rows + rows[:1], schema), bad, 2)
+    with pytest.raises(PySparkException, match="break their contract"):
+        files.read_lagged(spark, bad, 2).collect()
+
+    left = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "k string, v double")
+    right = spark.createDataFrame([("x", 0.5)], "k string, v double")
+    assert paired(left, right, ["k"], ["v"], 1).count() == 1
+    with pytest.raises(PySparkException, match="expected 2 rows, found 1"):
+        paired(left, right, ["k"], ["v"], 2).collect()

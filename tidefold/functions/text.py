@@ -60,12 +60,13 @@ def origin_of(attributes: Column) -> Column:
 def override_origin(df: DataFrame, verified: DataFrame, id_column: str = "series_id") -> DataFrame:
     """Listed ids are real and all others artificial; an empty list changes nothing."""
     listed = verified.select(F.col("id").alias(id_column)).distinct().withColumn("_listed", F.lit(True))
-    if verified.isEmpty():
-        return df
+    # One row that says whether the list holds anything.
+    some = verified.agg((F.count("*") > 0).alias("_some")).withColumn("_one", F.lit(1))
+    named = F.when(F.col("_listed"), "real").otherwise("artificial")
     return (
-        df.join(listed, id_column, "left")
-        .withColumn("origin", F.when(F.col("_listed"), "real").otherwise("artificial"))
-        .drop("_listed")
+        df.join(listed, id_column, "left").withColumn("_one", F.lit(1)).join(F.broadcast(some), "_one")
+        .withColumn("origin", F.when(F.col("_some"), named).otherwise(F.col("origin")))
+        .drop("_listed", "_some", "_one")
     )
 
 

@@ -93,23 +93,20 @@ def table_code(candidates: DataFrame, keys: Sequence[str], eta_rule: float, eta_
 def match_structure(selected: DataFrame, codes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Code length of each selected structure; anything but one match fails the job.
 
-    Grid values are matched on a 1e-12 raster so the join stays an equi-join.
+    Lag and rule count are the equi-join; grid values may then differ by 1e-12.
     """
     keys = list(keys)
-
-    def raster(name: str) -> Column:
-        return F.round(F.col(name) * F.lit(1e12)).cast("decimal(38,0)")
-
     right = codes.select(
-        *keys, F.col("lag_order").alias("_lag"), raster("radius").alias("_radius"), raster("ridge_alpha").alias("_alpha"),
-        F.col("rule_count").alias("_rules"), "structure_kl",
+        *keys, F.col("lag_order").alias("_lag"), F.col("rule_count").alias("_rules"), F.col("radius").alias("_to_radius"),
+        F.col("ridge_alpha").alias("_to_alpha"), "structure_kl",
     )
     left = selected.withColumns(
-        {"_lag": F.col("selected_lag"), "_radius": raster("selected_radius"), "_alpha": raster("selected_ridge_alpha"),
-         "_rules": F.col("rule_count")}
+        {"_lag": F.col("selected_lag"), "_radius": F.col("selected_radius"), "_alpha": F.col("selected_ridge_alpha"), "_rules": F.col("rule_count")}
     )
     on = [*keys, "_lag", "_radius", "_alpha", "_rules"]
-    agg = right.groupBy(*on).agg(F.count("*").alias("_matches"), F.first("structure_kl").alias("structure_kl"))
+    close = (F.abs(F.col("_radius") - F.col("_to_radius")) <= 1e-12) & (F.abs(F.col("_alpha") - F.col("_to_alpha")) <= 1e-12)
+    met = left.select(*on).distinct().join(right, [*keys, "_lag", "_rules"]).filter(close)
+    agg = met.groupBy(*on).agg(F.count("*").alias("_matches"), F.first("structure_kl").alias("structure_kl"))
     joined = left.join(agg, on, "left")
     return joined.filter(
         F.when(F.col("_matches") == 1, F.lit(True)).otherwise(

@@ -425,12 +425,20 @@ def replace_dataset(results: DataFrame, fresh: DataFrame, dataset: str) -> DataF
     return results.filter(F.col("dataset") != dataset).unionByName(checked, allowMissingColumns=True)
 
 
-def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """Inner pairs as long rows ``keys, metric, difference`` (left minus right)."""
+def paired(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], metrics: Sequence[str], expected_pairs: int | None = None
+) -> DataFrame:
+    """Inner pairs as long rows ``keys, metric, difference`` (left minus right).
+
+    With ``expected_pairs`` the job fails when another number of keys meets, so
+    a key that one side lacks is not passed over in silence.
+    """
     keys = list(keys)
     a = unique_keys(left.select(*keys, *[F.col(m).alias(f"_l_{m}") for m in metrics]), keys, "left side")
     b = unique_keys(right.select(*keys, *[F.col(m).alias(f"_r_{m}") for m in metrics]), keys, "right side")
     both = a.join(b, keys)
+    if expected_pairs is not None:
+        both = require_rows(both, expected_pairs, "pairs")
     pairs = F.array(
         *[F.struct(F.lit(m).alias("metric"), (F.col(f"_l_{m}") - F.col(f"_r_{m}")).alias("difference")) for m in metrics]
     )

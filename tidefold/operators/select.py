@@ -99,9 +99,8 @@ def first_by_hash(
     )
     if not strict:
         return picked
-    have = picked.groupBy("dataset").agg(F.count("*").alias("_have"))
     return (
-        picked.join(F.broadcast(have), "dataset")
+        picked.withColumn("_have", F.count("*").over(Window.partitionBy("dataset")))
         .filter(
             F.when(F.col("_have") == wanted, F.lit(True)).otherwise(
                 F.raise_error(F.lit("too few fresh series remain")).cast("boolean")

@@ -174,8 +174,12 @@ def forecast(
     score: str,
     max_len: int,
     value: str = "value_imputed",
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (series, candidate, step of the scored role); a failed fit is one row with its error."""
+    """One row per (series, candidate, step of the scored role); a failed fit is one row with its error.
+
+    With ``wanted(series_id, candidate)`` only these specs of a series are fitted.
+    """
     if max_len > CHUNK:
         raise ValueError("These recursions need series of a bounded length.")
     specs = tuple(specs)
@@ -190,7 +194,10 @@ def forecast(
         n = int(np.isin(role, train).sum())
         picked = np.flatnonzero(role == score)
         out = []
+        chosen = set(pdf["_wanted"].iloc[0]) if restricted else None
         for spec in specs:
+            if chosen is not None and spec.name not in chosen:
+                continue
             head = [pdf["series_id"].iloc[0], spec.family, spec.name]
             try:
                 if n < spec.minimum_length(season):
@@ -206,9 +213,13 @@ def forecast(
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
         return frame.astype({"step": "Int64"})
 
+    restricted = wanted is not None
     used = rows.filter(F.col("role").isin(*train, score)).select(
         F.col("series_id").cast("string").alias("series_id"), "step", "role", F.col(value).alias("y")
     )
+    if restricted:
+        names = wanted.groupBy("series_id").agg(F.collect_set("candidate").alias("_wanted"))  # one a family at most
+        used = used.join(names, "series_id")
     return spread_keys(used, "series_id").groupBy("series_id").applyInPandas(one, SCHEMA)
 
 
@@ -243,8 +254,7 @@ def benchmark(
     chosen = best(cands.filter(F.col("status") == "ok"), ["series_id", "family"], primary).select(
         "series_id", "family", "candidate", "validation_rmse", "validation_mae", "validation_weighted_cost"
     )
-    # All candidates are refitted in the same pass; only the chosen ones are kept.
-    final = forecast(rows, specs, season, ("prior", "bound", "validation"), "test", max_len)
+    final = forecast(rows, specs, season, ("prior", "bound", "validation"), "test", max_len, wanted=chosen)
     kept = final.join(chosen, ["series_id", "family", "candidate"]).filter(F.col("status") == "ok")
     base = with_shift(rows, season, "value_imputed", "fallback", max_len=max_len).filter(F.col("role") == "test").select(
         "series_id", "step", F.col("value_imputed").alias("actual"), "fallback"

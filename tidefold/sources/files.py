@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidefold.functions.arrays import finite
 from tidefold.functions.clock import epoch_seconds
 from tidefold.operators.compare import require_rows
-from tidefold.operators.quality import exact_columns
+from tidefold.operators.quality import exact_columns, lagged_contract
 from tidefold.operators.resample import long
 
 
@@ -132,6 +132,18 @@ def write_lagged(lagged: DataFrame, path: str, order: int) -> None:
     write_new(lagged.withColumn("lag", F.lit(order)), path, ("lag", "role"))
 
 
+def read_lagged(spark: SparkSession, path: str, order: int, *roles: str) -> DataFrame:
+    """Lag rows of one order (and some roles); rows that break the contract of lag rows fail the job."""
+    rows = spark.read.parquet(path).filter(F.col("lag") == order).drop("lag")
+    if roles:
+        rows = rows.filter(F.col("role").isin(*roles))
+    status = lagged_contract(rows, order).select("series_id", "status")
+    fine = F.when(F.col("status") == "PASS", F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("lag rows break their contract: "), F.col("series_id").cast("string"))).cast("boolean")
+    )
+    return rows.join(status, "series_id").filter(fine).drop("status")
+
+
 def write_models(models: DataFrame, covers: DataFrame | None, path: str) -> None:
     """Fitted coefficients and rule geometry as two tables; loading them is a key join."""
     write_new(models, f"{path}/models")
