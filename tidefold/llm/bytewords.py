@@ -101,10 +101,10 @@ def split(texts: pa.Array, word_bytes: np.ndarray, fold: bool = True) -> Words:
     edges = edges[edges > 0] - 1
     stops[edges] = inside[edges]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return Words(data, start, end, _keys(data, start, end), np.searchsorted(start, bounds), bounds[:-1])
+    return Words(data, start, end, keys_of(data, start, end), np.searchsorted(start, bounds), bounds[:-1])
 
 
-def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def keys_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each word from running sums of byte times power."""
     out = np.empty(len(start), np.uint64)
     at = 0

@@ -83,14 +83,19 @@ def bands(line: Column) -> Column:
 
 
 def near(left: Column, right: Column) -> Column:
-    both = F.size(F.array_intersect(left, right))
-    return both >= F.lit(SIMILAR) * (F.size(left) + F.size(right) - both)
+    """Whether two lines' shingle sets reach the threshold; each set is worked out once."""
 
+    def reaches(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        return let(F.size(F.array_intersect(x, y)), lambda both: both >= F.lit(SIMILAR) * (F.size(x) + F.size(y) - both))
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` that are near-equal by ``sets(key, set)``."""
-    left = sets.select(F.col("key").alias("a"), F.col("set").alias("_left"))
-    right = sets.select(F.col("key").alias("b"), F.col("set").alias("_right"))
+    return let(F.struct(shingles(left).alias("x"), shingles(right).alias("y")), reaches)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` that are near-equal by ``texts(key, line)``; lines travel, their sets are made where they meet."""
+    left = texts.select(F.col("key").alias("a"), F.col("line").alias("_left"))
+    right = texts.select(F.col("key").alias("b"), F.col("line").alias("_right"))
     return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").filter(near(F.col("_left"), F.col("_right"))).select("a", "b")
 
 
@@ -109,19 +114,16 @@ def near_lines(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("bucket")
     members = store(rows.join(shared, "bucket").select("bucket", "key"))
     wanted = members.select("key").distinct()
-    sets = store(
-        lines.select(key_of(F.col("line")).alias("key"), "line").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-        .select("key", shingles(F.col("line")).alias("set"))
-    )
+    texts = store(lines.select(key_of(F.col("line")).alias("key"), "line").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
     found = []
     for turn in range(2):
         placed = _center(members, turn).filter("key != center")
-        found.append(store(verified(placed.select(F.col("center").alias("a"), F.col("key").alias("b")), sets)))
+        found.append(store(verified(placed.select(F.col("center").alias("a"), F.col("key").alias("b")), texts)))
         settled = found[-1].select(F.col("a").alias("center"), F.col("b").alias("key"))
         members = store(placed.join(settled, ["center", "key"], "left_anti").select("bucket", "key"))
     # What two centers did not settle is compared within its bucket.
     other = members.withColumnRenamed("key", "b")
-    found.append(verified(members.withColumnRenamed("key", "a").join(other, "bucket").filter("a < b"), sets))
+    found.append(verified(members.withColumnRenamed("key", "a").join(other, "bucket").filter("a < b"), texts))
     return reduce(DataFrame.unionByName, found)
 
 

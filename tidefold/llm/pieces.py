@@ -1,17 +1,22 @@
-"""Encoding with a tokenizers file through a bounded cache of pieces.
+"""Encoding Arrow text columns with a tokenizers file, each distinct piece once.
 
-Encoding whole texts spends most of its time on words it has seen before. A
-text is cut at places where the tokenizer itself always cuts, so the pieces
-encode to the same ids as the whole; the cache is only a shortcut.
+Encoding whole texts spends most of its time on words it has seen before. Texts
+are cut into pieces at places where the tokenizer itself always cuts, so the ids
+of the pieces one after another are the ids of the whole. The pieces of a slice
+of rows are found and hashed on bytes, each distinct one is looked up in a
+bounded cache or encoded by the library, and the ids are gathered by index.
 
-``dropped``: the tokenizer removes white space and none of its rules look across
-a space or a line end, so every one of these is a cut.
+A cut is made, with ASCII letter or letter of U+00C0-U+00FF called a letter,
 
-``kept``: byte-level rules where white space leads the next word. A space or
-line end after a character that is no white space always begins a new piece;
-texts with longer white space are encoded whole.
+* before a space or a line end that follows a printable ASCII character or a
+  letter: byte-level rules let white space lead the next piece and never take it
+  into one that has begun; rules that drop white space part there as well;
+* between a letter and ASCII punctuation other than ``'``, ``<``, ``>`` and ``|``: a run of
+  letters ends there in either rule set.
 
-Strings of special tokens hold no space or line end, so no cut divides them.
+Everything else stays in one piece, so longer white space, apostrophes, other
+scripts and strings of special tokens (made of ``<``, ``|``, letters and ``>``) are seen
+whole by the library. Pieces are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,12 +24,27 @@ from __future__ import annotations
 import os
 import re
 
-LIMIT = 400_000
-MISSES = 4_096
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tidefold.llm import bytewords as bw
 
+LIMIT = 1_000_000
+MISSES = 4_096
+LONG = 4 << 20
+
+_byte = np.arange(256)
+_SPACE = (_byte == 0x20) | (_byte == 0x0A)
+_LETTER = ((_byte >= 0x41) & (_byte <= 0x5A)) | ((_byte >= 0x61) & (_byte <= 0x7A))
+_PRINTABLE = (_byte >= 0x21) & (_byte <= 0x7E)
+_PUNCTUATION = _PRINTABLE & ~_LETTER & ~((_byte >= 0x30) & (_byte <= 0x39)) & ~np.isin(_byte, list(b"'<>|"))
+# Second bytes of U+00C0-U+00FF without the signs of multiplication and division.
+_SECOND = (_byte >= 0x80) & (_byte <= 0xBF) & (_byte != 0x97) & (_byte != 0xB7)
+_FOLDED = np.where(_byte == 0x0A, 0x20, bw.FOLD).astype(np.uint8)
+
+_safe_cut = re.compile(r"(?<=[A-Za-z]) ")
 _loaded: dict = {}
-_leading = re.compile(r"[ \n]?[^ \n]+|[ \n]")
-_double = re.compile(r"\s[ \n]")
 
 
 def load(path: str):
@@ -40,59 +60,92 @@ def load(path: str):
     return _loaded[path]
 
 
-def cut(text: str, spaces: str) -> list[str]:
-    if spaces == "dropped":
-        return text.replace("\n", " ").split(" ")
-    if _double.search(text):
-        return [text]
-    return _leading.findall(text)
-
-
-class PieceCache:
-    """``value(encoding)`` of pieces; at most LIMIT short ones are remembered."""
-
-    def __init__(self, path: str, spaces: str, value):
-        self.tokenizer, self.spaces, self.value, self.seen = load(path), spaces, value, {}
-
-    def of(self, texts: list[str]) -> list[list]:
-        cuts = [cut(t, self.spaces) for t in texts]
-        wanted = set().union(*cuts) if cuts else set()
-        missing = [p for p in wanted if p not in self.seen]
-        if len(self.seen) + len(missing) > LIMIT:
-            self.seen.clear()
-            missing = list(wanted)
-        found: dict = {}
+def cut(raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where pieces begin; ``rows`` are the places where rows begin."""
+    begins = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 1:
+        letter = _LETTER[raw[:-1]]
+        letter[1:] |= _SECOND[raw[1:-1]] & (raw[:-2] == 0xC3)
+        after = raw[1:]
+        begins[1:-1] = (_SPACE[after] & (letter | _PRINTABLE[raw[:-1]])) | (letter & _PUNCTUATION[after])
+    begins[rows] = True
+    return np.flatnonzero(begins[:-1])
+
+
+class Encoder:
+    """Ids of texts. ``folds``: the tokenizer lower-cases and drops white space, so A-Z and line ends may be folded."""
+
+    def __init__(self, path: str, folds: bool):
+        self.tokenizer, self.table = load(path), _FOLDED if folds else _byte.astype(np.uint8)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.new: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def _values(self, keys: list[int], data: np.ndarray, start: list[int], end: list[int]) -> list[bytes]:
+        """Ids of the distinct pieces as bytes; what was not asked for lately is forgotten."""
+        if len(self.new) > LIMIT // 2:
+            self.old, self.new = self.new, {}
+        new, old, missing = self.new, self.old, []
+        for place, key in enumerate(keys):
+            if key not in new:
+                value = old.get(key)
+                if value is None:
+                    missing.append(place)
+                else:
+                    new[key] = value
+        body = data.tobytes() if missing else b""
+        long = {}
         for at in range(0, len(missing), MISSES):
             part = missing[at : at + MISSES]
-            for piece, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                found[piece] = self.value(encoding)
-        self.seen.update(found)
-        out = [[self.seen[p] for p in c] for c in cuts]
-        for piece in found:
-            if len(piece) > 64:
-                del self.seen[piece]
-        return out
-
-
-_caches: dict = {}
-
-
-def cache(path: str, spaces: str, name: str, value) -> PieceCache:
-    """One cache per process, kept between tasks of a reused worker."""
-    key = (path, spaces, name)
-    if key not in _caches:
-        _caches[key] = PieceCache(path, spaces, value)
-    return _caches[key]
-
-
-def batches(texts, most_chars: int = 1 << 20):
-    """Lists of texts of about ``most_chars`` characters together."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= most_chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+            texts = [body[start[k] : end[k]].decode() for k in part]
+            for k, text, encoding in zip(part, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                (new if len(text) <= 64 else long)[keys[k]] = np.asarray(encoding.ids, self.kind).tobytes()
+        return [new[k] if k in new else long[k] for k in keys]
+
+    def rows(self, texts: pa.Array):
+        """(first row, ids, offsets) of consecutive slices of rows; NULL is the empty text."""
+        for a, b in bw.slices(texts):
+            part = pc.fill_null(texts.slice(a, b - a), "").cast(pa.large_string())
+            if b - a == 1 and len(part[0].as_buffer() or b"") > LONG:
+                yield a, *self._long(part[0].as_py())
+            else:
+                yield a, *self._slice(part)
+
+    def _long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A very long text in parts that end at cuts."""
+        at, ids = 0, []
+        while at < len(text):
+            stop = _safe_cut.search(text, at + LONG)
+            to = stop.start() if stop else len(text)
+            ids.append(self._slice(pa.array([text[at:to]], pa.large_string()))[0])
+            at = to
+        flat = np.concatenate(ids)
+        return flat, np.asarray([0, len(flat)])
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+        bounds = bounds - bounds[0]
+        data = self.table[raw]
+        start = cut(data, bounds[:-1])
+        if not len(start):
+            return np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)
+        end = np.append(start[1:], len(raw))
+        keys, first, which = np.unique(bw.keys_of(data, start, end), return_index=True, return_inverse=True)
+        values = self._values(keys.tolist(), data, start[first].tolist(), end[first].tolist())
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        flat, begin = np.frombuffer(b"".join(values), self.kind), np.cumsum(size) - size
+        each = size[which]
+        stop = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(begin[which] - stop[:-1], each) + np.arange(stop[-1])]
+        return ids, stop[np.searchsorted(start, bounds)]
+
+
+_encoders: dict = {}
+
+
+def encoder(path: str, folds: bool) -> Encoder:
+    """One encoder per process, kept between tasks of a reused worker."""
+    if (path, folds) not in _encoders:
+        _encoders[path, folds] = Encoder(path, folds)
+    return _encoders[path, folds]

@@ -42,12 +42,11 @@ _boundary = re.compile(r"(?<=\S)[ \n]")
 
 def _counted(tokenizer: str):
     def count(batches):
-        coder = pieces.cache(tokenizer, "kept", "count", len)
+        coder = pieces.encoder(tokenizer, False)
         for batch in batches:
-            n = []
-            for group in pieces.batches(t or "" for t in batch.column("text").to_pylist()):
-                n += map(sum, coder.of(group))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            n = [np.diff(stops) for _, _, stops in coder.rows(batch.column("text"))]
+            column = pa.array(np.concatenate(n) if n else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), column], ["doc_id", "n_bytes", "n_tokens"])
 
     return count
 

@@ -55,10 +55,9 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
         system, path = _opened(folder)
         system.create_dir(path, recursive=True)
         shard = TaskContext.get().partitionId()
-        width = 2 if max(pieces.load(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        kind = f"<u{width}"
-        coder = pieces.cache(tokenizer, "dropped", f"ids{width}", lambda e: np.asarray(e.ids, kind).tobytes())
-        end = np.asarray([end_id], kind).tobytes()
+        coder = pieces.encoder(tokenizer, True)
+        kind = np.dtype("<u4") if end_id >= 1 << 16 else coder.kind
+        width = kind.itemsize
         mark = f"{path}/.{uuid.uuid4().hex}"
         offsets, docs, nulls, out = array("Q", [0]), array("q"), 0, None
         for batch in batches:
@@ -66,12 +65,11 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
             nulls += ids.null_count
             docs.frombytes(np.ascontiguousarray(ids.fill_null(0).to_numpy(zero_copy_only=False), "<i8").tobytes())
             out = out or system.open_output_stream(f"{mark}-tokens")
-            for group in pieces.batches(t or "" for t in batch.column("text").to_pylist()):
-                for parts in coder.of(group):
-                    parts.append(end)
-                    body = b"".join(parts)
-                    offsets.append(offsets[-1] + len(body) // width)
-                    out.write(body)
+            for _, ids, stops in coder.rows(batch.column("text")):
+                # The end id goes behind every row's ids.
+                whole = np.insert(ids.astype(kind, copy=False), stops[1:], end_id)
+                offsets.frombytes((offsets[-1] + stops[1:] + np.arange(1, len(stops))).astype("<u8").tobytes())
+                out.write(whole.tobytes())
         if out is None:
             return
         out.close()
