@@ -31,6 +31,18 @@ def test_near_copies_of_odd_rows(odd_docs, no_docs):
     assert jaccard_join.near_copies(no_docs).count() == 0 and jaccard_join.one_of_each(no_docs).count() == 0
 
 
+def test_unlinked_texts_of_one_id_stay(spark):
+    """Rows are dropped for their texts, whatever ids they share."""
+    text = [" ".join(f"t{k}w{j}" for j in range(80)) for k in range(7)]
+    near = text[5].replace("t5w20", "other")
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (3, text[3]), (3, text[4]), (3, text[4]), (4, text[5]), (3, near), (None, near), (None, None), (None, None), (5, "!"), (5, "!")]
+    docs = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, __row string")
+    kept = jaccard_join.one_of_each(docs)
+    want = [(None, text[0]), (None, text[1]), (None, text[2]), (3, text[3]), (3, text[4]), (3, near), (None, None), (None, None), (5, "!"), (5, "!")]
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
+
+
 def test_large_group_is_compared_in_blocks(spark, monkeypatch):
     """A family cut into blocks has the same links as a whole one."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 300)
