@@ -45,6 +45,15 @@ def test_pieces_encode_like_whole_texts(path, folds, monkeypatch):
     assert ids_of(encoder, texts[:300]) == want[:300]
 
 
+@pytest.mark.parametrize("path,folds", [(BYTES, False), (WORDS, True)])
+def test_special_strings_in_other_case(path, folds):
+    """Only the exact spelling is a special token; other spellings are ordinary text."""
+    plain = Tokenizer.from_file(path)
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "<|EndOfText|>", "x<|StartOfText|>Y\n<|startoftext|>Z", "<|STARTOFTEXT|>\nA|B <C", "One\nTwo ONE"]
+    encoder = pieces.Encoder(path, folds)
+    assert ids_of(encoder, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "LIMIT", 50)
     plain, encoder = Tokenizer.from_file(BYTES), pieces.Encoder(BYTES, False)

@@ -16,7 +16,8 @@ A cut is made, with ASCII letter or letter of U+00C0-U+00FF called a letter,
 
 Everything else stays in one piece, so longer white space, apostrophes, other
 scripts and strings of special tokens (made of ``<``, ``|``, letters and ``>``) are seen
-whole by the library. Pieces are told apart by 64-bit hashes.
+whole by the library. Special strings are matched before lower-casing, so pieces that
+hold ``<`` or ``|`` are never folded. Pieces are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ _PRINTABLE = (_byte >= 0x21) & (_byte <= 0x7E)
 _PUNCTUATION = _PRINTABLE & ~_LETTER & ~((_byte >= 0x30) & (_byte <= 0x39)) & ~np.isin(_byte, list(b"'<>|"))
 # Second bytes of U+00C0-U+00FF without the signs of multiplication and division.
 _SECOND = (_byte >= 0x80) & (_byte <= 0xBF) & (_byte != 0x97) & (_byte != 0xB7)
+_SPECIAL = np.isin(_byte, list(b"<|"))
 _FOLDED = np.where(_byte == 0x0A, 0x20, bw.FOLD).astype(np.uint8)
 
 _safe_cut = re.compile(r"(?<=[A-Za-z]) ")
@@ -76,7 +78,7 @@ class Encoder:
     """Ids of texts. ``folds``: the tokenizer lower-cases and drops white space, so A-Z and line ends may be folded."""
 
     def __init__(self, path: str, folds: bool):
-        self.tokenizer, self.table = load(path), _FOLDED if folds else _byte.astype(np.uint8)
+        self.tokenizer, self.folds = load(path), folds
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.new: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
@@ -122,15 +124,25 @@ class Encoder:
         flat = np.concatenate(ids)
         return flat, np.asarray([0, len(flat)])
 
+    def _folded(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """``raw`` with its pieces folded, but for those in which a special string may stand."""
+        data = _FOLDED[raw]
+        special = np.flatnonzero(_SPECIAL[raw])
+        if len(special):
+            whole = np.zeros(len(start), bool)
+            whole[np.searchsorted(start, special, "right") - 1] = True
+            np.copyto(data, raw, where=np.repeat(whole, end - start))
+        return data
+
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
         bounds = bounds - bounds[0]
-        data = self.table[raw]
-        start = cut(data, bounds[:-1])
+        start = cut(raw, bounds[:-1])
         if not len(start):
             return np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)
         end = np.append(start[1:], len(raw))
+        data = self._folded(raw, start, end) if self.folds else raw
         keys, first, which = np.unique(bw.keys_of(data, start, end), return_index=True, return_inverse=True)
         values = self._values(keys.tolist(), data, start[first].tolist(), end[first].tolist())
         size = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
