@@ -109,6 +109,31 @@ def test_lines_match_brute_force(spark):
     assert all(r["class_lines"] == len(classes[r["class_id"]]) for r in got)
 
 
+def line_groups(spark, rows):
+    """(classes found, classes by brute force), each as sorted places."""
+    classes = {}
+    for r in line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        classes.setdefault(r["class_id"], []).append((r["doc_id"], r["line_no"]))
+    return sorted(map(sorted, classes.values())), sorted(map(sorted, line_components(rows).values()))
+
+
+def test_lines_without_spaces_meet(spark):
+    """Long tokens, tabs, other scripts and lines of one to three words, changed near their start."""
+    import random
+
+    rng = random.Random(5)
+    han = [chr(0x4E00 + k) for k in range(2000)]
+    rows = []
+    for k in range(60):
+        word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789/-", k=120))
+        tabs = "\t".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(17))
+        three = word[:40] + " " + word[40:80] + " " + tabs[:40].replace("\t", "x")
+        for j, line in enumerate([word, tabs, "".join(rng.choices(han, k=120)), three]):
+            rows += [(k * 100 + j * 10, line), (k * 100 + j * 10 + 1, line[: k % 8] + "Q" + line[k % 8 + 1 :])]
+    got, want = line_groups(spark, rows)
+    assert len(want) == 240 and len(got) <= 242 and got != [[p] for x in want for p in x]
+
+
 def test_lines_of_odd_rows(odd_docs, no_docs):
     got = line_dedup.line_classes(odd_docs).collect()
     assert len(got) == sum(bool(brute.SPACED.search(x)) for _, t in rows_of(odd_docs) for x in (t or "").split("\n"))

@@ -5,11 +5,10 @@ character that is no ASCII white space. A line's shingles are all runs of
 ``SHINGLE`` characters of it with a space put in front; a shorter line is one
 shingle. Two lines are near-equal from a Jaccard similarity of ``SIMILAR`` on.
 
-**Signatures.** Those shingles that begin with a space (a sample chosen by content,
-about one a word) are hashed and sorted. ``BANDS`` rotations of the hash space are
-as many orders of them; the smallest ``ROWS`` of each order, read off the one
-sorted array, are one band. Lines at the threshold share a band with a chance
-of about 1 - (1 - 0.8**3)**8, which is 0.997.
+**Signatures.** All shingles of a line are hashed and sorted. ``BANDS`` rotations of
+the hash space are as many orders of them; the smallest ``ROWS`` of each order, read
+off the one sorted array, are one band. Lines at the threshold share a band with a
+chance of about 1 - (1 - 0.8**3)**8, which is 0.997, whatever their words and spaces.
 
 **Candidates.** Lines that are equal have one key, so copies cost nothing. Below a
 shared band each key is compared with one center; keys that are not near it are
@@ -55,18 +54,14 @@ def key_of(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def _hashed(line: Column, pattern: str) -> Column:
-    """Hashes of what the pattern's group finds; a line without a find is hashed whole."""
-    found = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(pattern), F.lit(1))
-    return F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(line)), lambda s: F.xxhash64(s))
-
-
 def shingles(line: Column) -> Column:
-    return F.array_distinct(_hashed(line, f"(?s)(?=(.{{{SHINGLE}}}))"))
+    """Distinct hashes of a line's shingles; a line shorter than one is hashed whole."""
+    found = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.array_distinct(let(found, lambda x: F.transform(F.when(F.size(x) > 0, x).otherwise(F.array(line)), lambda s: F.xxhash64(s))))
 
 
-def bands(line: Column) -> Column:
-    """The BANDS band keys of a line."""
+def signature(line: Column) -> Column:
+    """Number of shingles and the BANDS band keys of a line."""
     starts = [-(1 << 63) + k * ((1 << 64) // BANDS) for k in range(BANDS)]
 
     def each(ordered: Column) -> Column:
@@ -75,11 +70,14 @@ def bands(line: Column) -> Column:
         around = F.concat(ordered, ordered, ordered)
 
         return let(
-            F.struct(merged.alias("m"), around.alias("r")),
-            lambda x: F.array(*[F.xxhash64(F.lit(k), F.slice(x["r"], F.array_position(x["m"], starts[k]).cast("int") - k, ROWS)) for k in range(BANDS)]),
+            F.struct(merged.alias("m"), around.alias("r"), F.size(ordered).alias("n")),
+            lambda x: F.struct(
+                x["n"].alias("size"),
+                F.array(*[F.xxhash64(F.lit(k), F.slice(x["r"], F.array_position(x["m"], starts[k]).cast("int") - k, ROWS)) for k in range(BANDS)]).alias("bands"),
+            ),
         )
 
-    return let(F.sort_array(F.array_distinct(_hashed(line, f"(?s) (?=(.{{{SHINGLE - 1}}}))"))), each)
+    return let(F.sort_array(shingles(line)), each)
 
 
 def near(left: Column, right: Column) -> Column:
@@ -109,7 +107,7 @@ def _center(members: DataFrame, turn: int) -> DataFrame:
 def near_lines(docs: DataFrame) -> DataFrame:
     """(a, b): verified near-equal keys, enough of them to connect every component that the bands show."""
     lines = lines_of(docs)
-    banded = store(lines.select(key_of(F.col("line")).alias("key"), bands(F.col("line")).alias("bands")).dropDuplicates(["key"]))
+    banded = store(lines.select(key_of(F.col("line")).alias("key"), signature(F.col("line"))["bands"].alias("bands")).dropDuplicates(["key"]))
     rows = banded.select("key", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("bucket")
     members = store(rows.join(shared, "bucket").select("bucket", "key"))
