@@ -117,6 +117,22 @@ def line_groups(spark, rows):
     return sorted(map(sorted, classes.values())), sorted(map(sorted, line_components(rows).values()))
 
 
+@pytest.mark.parametrize("block", [1_024, 3])
+def test_lines_near_a_center_are_compared_too(spark, monkeypatch, block):
+    """Variants near the hub and not near each other are one component, whatever the center."""
+    import random
+
+    monkeypatch.setattr(line_dedup, "BLOCK_KEYS", block)
+    rng = random.Random(4)
+    rows = []
+    for group in range(15):
+        hub = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(20))[:120].strip()
+        places = range(8, 104, 8)
+        rows += [(group * 100 + k, x) for k, x in enumerate([hub, *(hub[:p] + "Z" + hub[p + 1 :] for p in places)])]
+    got, want = line_groups(spark, rows)
+    assert len(want) == 15 and got == want
+
+
 def test_lines_without_spaces_meet(spark):
     """Long tokens, tabs, other scripts and lines of one to three words, changed near their start."""
     import random

@@ -11,11 +11,13 @@ off the one sorted array, are one band. Lines at the threshold share a band with
 chance of about 1 - (1 - 0.8**3)**8, which is 0.997, whatever their words and spaces.
 
 **Candidates.** Lines that are equal have one key, so copies cost nothing. Below a
-shared band each key is compared with one center; keys that are not near it are
-compared with a second center, and what is then left over with each other. A
-bucket of near-equal lines is settled by its first center, so no pairs of a
-large group are made, and no pair of a bucket is left undecided that another
-center has not settled.
+shared band each key is compared with one center, and keys that are not near it
+with a second center. The components that these links give over all buckets say
+which pairs need no comparison: a bucket of near-equal lines is one component by
+its first center, so no pairs of a large group are made. In a bucket of several
+components every pair of keys of different components whose set sizes allow the
+threshold is compared, in pairs of blocks of about ``BLOCK_KEYS`` keys. So each pair
+of a bucket is compared or already connected.
 
 **Verification** is on whole shingle sets, and near-equal pairs are joined by
 distributed union-find. The line that stays is the one of the smallest
@@ -35,11 +37,13 @@ from pyspark.sql import functions as F
 from tidefold.functions.arrays import let
 from tidefold.llm.common import table
 from tidefold.llm.components import components
+from tidefold.llm.jaccard_join import in_blocks
 from tidefold.session import store
 
 SHINGLE = 9
 SIMILAR = 0.8
 BANDS, ROWS = 8, 3
+BLOCK_KEYS = 1_024
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -104,24 +108,39 @@ def _center(members: DataFrame, turn: int) -> DataFrame:
     return members.join(centers, "bucket")
 
 
+def _unconnected(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``members(bucket, key, size)`` that share a bucket, are not connected by ``roots`` and can reach the threshold."""
+    placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("root", "key")).drop("root")
+    mixed = (
+        placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).filter("low != high")
+        .select("bucket", F.ceil(F.col("n") / BLOCK_KEYS).alias("blocks"))
+    )
+    rows = store(in_blocks(placed.join(mixed, "bucket"), "bucket", "blocks", "key").select("group", "pair", "own", "key", "part", "size"))
+    left, right = rows.alias("l"), rows.alias("r")
+    once = F.when(F.col("l.pair"), F.col("l.own") < F.col("r.own")).otherwise(F.col("l.key") < F.col("r.key"))
+    sized = F.least("l.size", "r.size") >= F.lit(SIMILAR) * F.greatest("l.size", "r.size")
+    met = left.join(right, (F.col("l.group") == F.col("r.group")) & (F.col("l.part") != F.col("r.part")) & sized & once)
+    return met.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b"))
+
+
 def near_lines(docs: DataFrame) -> DataFrame:
     """(a, b): verified near-equal keys, enough of them to connect every component that the bands show."""
-    lines = lines_of(docs)
-    banded = store(lines.select(key_of(F.col("line")).alias("key"), signature(F.col("line"))["bands"].alias("bands")).dropDuplicates(["key"]))
-    rows = banded.select("key", F.explode("bands").alias("bucket"))
+    lines = lines_of(docs).select(key_of(F.col("line")).alias("key"), "line")
+    distinct = store(lines.dropDuplicates(["key"]))
+    signed = store(distinct.select("key", signature(F.col("line")).alias("s")))
+    rows = signed.select("key", F.col("s.size").alias("size"), F.explode("s.bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("bucket")
-    members = store(rows.join(shared, "bucket").select("bucket", "key"))
-    wanted = members.select("key").distinct()
-    texts = store(lines.select(key_of(F.col("line")).alias("key"), "line").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-    found = []
+    members = store(rows.join(shared, "bucket").select("bucket", "key", "size"))
+    texts = store(distinct.join(members.select("key").distinct(), "key", "left_semi"))
+    found, left = [], members.select("bucket", "key")
     for turn in range(2):
-        placed = _center(members, turn).filter("key != center")
+        placed = _center(left, turn).filter("key != center")
         found.append(store(verified(placed.select(F.col("center").alias("a"), F.col("key").alias("b")), texts)))
         settled = found[-1].select(F.col("a").alias("center"), F.col("b").alias("key"))
-        members = store(placed.join(settled, ["center", "key"], "left_anti").select("bucket", "key"))
-    # What two centers did not settle is compared within its bucket.
-    other = members.withColumnRenamed("key", "b")
-    found.append(verified(members.withColumnRenamed("key", "a").join(other, "bucket").filter("a < b"), texts))
+        left = store(placed.join(settled, ["center", "key"], "left_anti").select("bucket", "key"))
+    roots = store(components(reduce(DataFrame.unionByName, found)))
+    # A key near a center may be near to others that the center is not near to.
+    found.append(verified(_unconnected(members, roots), texts))
     return reduce(DataFrame.unionByName, found)
 
 
