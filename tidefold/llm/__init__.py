@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "jaccard_join", "decontaminate", "mixing", "html_layout", "token_counts", "suffix_tree", "line_dedup", "toxicity", "host_rules", "token_files",
-    "lexical_search",
+    "lexical_search", "packing", "spelling",
 )
 
 
