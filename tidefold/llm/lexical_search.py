@@ -107,7 +107,7 @@ def occurrences(terms: Terms, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     begins = np.flatnonzero(inside[1:] & ~inside[:-1])
     size = len(terms.terms)
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in windows(data):
+    for a, b in windows(data) if size else ():  # a block may be without terms
         found = np.fromiter(chain.from_iterable(terms.automaton().iter(data[a : b + 1].tobytes().decode("latin-1"))), np.int64)
         end, term = a + found[::2], found[1::2]
         key, count = np.unique((np.searchsorted(guards, end) - 1) * size + term, return_counts=True)
