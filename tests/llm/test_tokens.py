@@ -35,7 +35,7 @@ def test_pieces_encode_like_whole_texts(path, folds, monkeypatch):
     parts = [p for t in ODD for p in t.split(" ")] + [" ", "\n", "  ", "'", "!"]
     texts = ODD + ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(3000)]
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    encoder = pieces.Encoder(path, folds)
+    encoder = pieces.Encoder(path)
     assert ids_of(encoder, texts) == want == ids_of(encoder, texts)  # the second time from the cache
     assert ids_of(encoder, [None, "", None]) == [[], [], []] and ids_of(encoder, []) == []
     monkeypatch.setattr(pieces, "LONG", 100)
@@ -50,17 +50,43 @@ def test_special_strings_in_other_case(path, folds):
     """Only the exact spelling is a special token; other spellings are ordinary text."""
     plain = Tokenizer.from_file(path)
     texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "<|EndOfText|>", "x<|StartOfText|>Y\n<|startoftext|>Z", "<|STARTOFTEXT|>\nA|B <C", "One\nTwo ONE"]
-    encoder = pieces.Encoder(path, folds)
+    encoder = pieces.Encoder(path)
+    assert ids_of(encoder, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_go_to_the_model_as_the_rules_leave_them():
+    """Every letter that counts as known, alone, doubled and between others, with and without a blank, in either case."""
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]]
+    texts = [f"{x} {x}{x} a{x}b A{x} {x}B a {x}" for x in letters] + ["naïve Ärger GROẞE straße ÿÿ", "e\u0301 É E\u0301"]
+    for path in (BYTES, WORDS):
+        plain = Tokenizer.from_file(path)
+        assert ids_of(pieces.Encoder(path), texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rules_are_read_from_the_file(tmp_path):
+    """Other rules than the known ones: no cuts, and still the library's ids."""
+    import json
+
+    assert (pieces.rules(BYTES), pieces.rules(WORDS)) == ("bytes", "words")
+    with open(WORDS) as f:
+        changed = json.load(f)
+    changed["normalizer"]["normalizers"].pop()
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(changed, f)
+    plain, encoder = Tokenizer.from_file(path), pieces.Encoder(path)
+    assert encoder.rules is None
+    texts = ["Hello World", "hello world", "", "A\nB", "Hello World"]
     assert ids_of(encoder, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "LIMIT", 50)
-    plain, encoder = Tokenizer.from_file(BYTES), pieces.Encoder(BYTES, False)
+    plain, encoder = Tokenizer.from_file(BYTES), pieces.Encoder(BYTES)
     for k in range(20):
         text = " ".join(f"word{k}n{j}, Abc" for j in range(40))
         assert ids_of(encoder, [text]) == [plain.encode(text).ids]
-        assert len(encoder.new) + len(encoder.old) < 400
+        assert len(encoder.keys) <= 50 and len(encoder.flat) == encoder.size.sum()
 
 
 def test_long_texts_are_spliced(spark):

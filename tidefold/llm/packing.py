@@ -141,7 +141,7 @@ def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 def _cutter(tokenizer: str, end_id: int, size: int):
     def cut(batches):
-        coder = pieces.encoder(tokenizer, False)
+        coder = pieces.encoder(tokenizer)
         kind = np.dtype("<u4") if end_id >= 1 << 16 else coder.kind
         shard, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:

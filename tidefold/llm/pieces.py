@@ -16,14 +16,21 @@ A cut is made, with ASCII letter or letter of U+00C0-U+00FF called a letter,
 
 Everything else stays in one piece, so longer white space, apostrophes, other
 scripts and strings of special tokens (made of ``<``, ``|``, letters and ``>``) are seen
-whole by the library. Special strings are matched before lower-casing, so pieces that
+whole by the library. A piece that is one word of known letters goes straight to the
+library's model, since the rules before it would leave it as it is. Special strings are matched before lower-casing, so pieces that
 hold ``<`` or ``|`` are never folded. Pieces are told apart by 64-bit hashes.
+
+Cuts and folding are proven for two rule sets, which are read from the tokenizer's
+file: byte-level rules without a normalizer, and rules that compose, lower-case and
+keep runs of letters, single digits and runs of other signs. With any other file every text is one piece.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +49,17 @@ _PRINTABLE = (_byte >= 0x21) & (_byte <= 0x7E)
 _PUNCTUATION = _PRINTABLE & ~_LETTER & ~((_byte >= 0x30) & (_byte <= 0x39)) & ~np.isin(_byte, list(b"'<>|"))
 # Second bytes of U+00C0-U+00FF without the signs of multiplication and division.
 _SECOND = (_byte >= 0x80) & (_byte <= 0xBF) & (_byte != 0x97) & (_byte != 0xB7)
+_LOWER_SECOND = _SECOND & (_byte >= 0x9F)
+# Byte-level models spell a byte by the character of its number where that is printable, other bytes by those from 256 on.
+_plain = ((_byte >= 0x21) & (_byte <= 0x7E)) | ((_byte >= 0xA1) & (_byte != 0xAD))
+_SPELLED = np.where(_plain, _byte, 255 + np.cumsum(~_plain)).astype("<u2")
 _SPECIAL = np.isin(_byte, list(b"<|"))
 _FOLDED = np.where(_byte == 0x0A, 0x20, bw.FOLD).astype(np.uint8)
 
 _safe_cut = re.compile(r"(?<=[A-Za-z]) ")
+_marked = re.compile(r"<\|[a-z]+\|>")
+# Fixed value: the pattern of the rules that keep words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _loaded: dict = {}
 
 
@@ -74,41 +88,108 @@ def cut(raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:-1])
 
 
+def rules(path: str) -> str | None:
+    """Which of the known rule sets the tokenizer's file holds."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    before, cutter = found.get("normalizer"), found.get("pre_tokenizer") or {}
+    if any(x["content"] != x["content"].lower() or not _marked.fullmatch(x["content"]) or x["lstrip"] or x["rstrip"] for x in found["added_tokens"]):
+        return None
+    if before is None and cutter.get("type") == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]:
+        return "bytes"
+    steps = [x["type"] for x in (before or {}).get("normalizers", ())]
+    first = (cutter.get("pretokenizers") or [{}])[0]
+    if steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"]:
+        return "words" if first["pattern"].get("Regex") == WORDS else None
+    return None
+
+
 class Encoder:
-    """Ids of texts. ``folds``: the tokenizer lower-cases and drops white space, so A-Z and line ends may be folded."""
+    """Ids of texts. Where the tokenizer lower-cases and drops white space, A-Z and line ends are folded and a leading blank is left out."""
 
-    def __init__(self, path: str, folds: bool):
-        self.tokenizer, self.folds = load(path), folds
+    def __init__(self, path: str):
+        self.tokenizer, self.rules = load(path), rules(path)
+        self.folds = self.rules == "words"
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.new: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
-
-    def _values(self, keys: list[int], data: np.ndarray, start: list[int], end: list[int]) -> list[bytes]:
-        """Ids of the distinct pieces as bytes; what was not asked for lately is forgotten."""
-        if len(self.new) > LIMIT // 2:
-            self.old, self.new = self.new, {}
-        new, old, missing = self.new, self.old, []
-        for place, key in enumerate(keys):
-            if key not in new:
-                value = old.get(key)
-                if value is None:
-                    missing.append(place)
-                else:
-                    new[key] = value
-        body = data.tobytes() if missing else b""
-        long = {}
-        for at in range(0, len(missing), MISSES):
-            part = missing[at : at + MISSES]
-            texts = [body[start[k] : end[k]].decode() for k in part]
-            for k, text, encoding in zip(part, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                (new if len(text) <= 64 else long)[keys[k]] = np.asarray(encoding.ids, self.kind).tobytes()
-        return [new[k] if k in new else long[k] for k in keys]
+        self.turn = 0
+        # Known pieces, sorted by hash: where their ids are in ``flat``, how many, and when they were last asked for.
+        self.keys, self.begin, self.size, self.used = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        self.flat = np.zeros(0, self.kind)
+
+    def _one_word(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which pieces are one word of known letters: the rules hand it as it is to the tokenizer's model."""
+        second = _LOWER_SECOND if self.folds else _SECOND
+        lead = data == 0xC3
+        strange = ~(_LETTER[data] | lead)
+        strange[1:] &= ~(lead[:-1] & second[data[1:]])
+        strange[1:] |= lead[:-1] & ~second[data[1:]]
+        strange = np.concatenate([[0], np.cumsum(strange)])
+        first = start + (data[start] == 0x20) if len(start) and not self.folds else start
+        return (strange[end] == strange[first]) & (end > first)
+
+    def _encoded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after another, ids of each)."""
+        if not len(start):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        size = end - start
+        stop = np.cumsum(size)
+        data = data[np.repeat(start - stop + size, size) + np.arange(stop[-1])]
+        start, end = stop - size, stop
+        body = data.tobytes()
+        found: list = [None] * len(start)
+        if self.rules:
+            # One character a byte, as byte-level models spell them.
+            spelled, model = _SPELLED[data].tobytes().decode("utf-16-le"), self.tokenizer.model
+            word = self._one_word(data, start, end)
+            for k, a, b in zip(np.flatnonzero(word).tolist(), start[word].tolist(), end[word].tolist()):
+                found[k] = [x.id for x in model.tokenize(spelled[a:b])]
+            others = np.flatnonzero(~word)
+        else:
+            others = np.arange(len(start))
+        for at in range(0, len(others), MISSES):
+            part = others[at : at + MISSES]
+            texts = [body[a:b].decode() for a, b in zip(start[part].tolist(), end[part].tolist())]
+            for k, x in zip(part.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                found[k] = x.ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
+
+    def _values(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each distinct piece's ids begin, how many); ``keys`` are sorted."""
+        self.turn += 1
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
+        begin, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        begin[known], size[known] = self.begin[place[known]], self.size[place[known]]
+        self.used[place[known]] = self.turn
+        new = np.flatnonzero(~known)
+        ids, size[new] = self._encoded(data, start[new], end[new])
+        begin[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
+        flat = np.concatenate([self.flat, ids])
+        short = new[(end - start)[new] <= 64]
+        self._keep(keys[short], begin[short], size[short], flat)
+        return flat, begin, size
+
+    def _keep(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray, flat: np.ndarray):
+        """Add short pieces to the known ones; what was not asked for lately is forgotten."""
+        merged = np.concatenate([self.keys, keys])
+        order = np.argsort(merged, kind="stable")
+        used = np.concatenate([self.used, np.full(len(keys), self.turn)])[order]
+        if len(merged) > LIMIT:
+            order = order[used > np.partition(used, len(used) // 2)[len(used) // 2]] if used.min() < used.max() else order[: LIMIT // 2]
+            used = np.concatenate([self.used, np.full(len(keys), self.turn)])[order]
+        begin, size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        stop = np.cumsum(size)
+        self.flat = flat[np.repeat(begin - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        self.keys, self.begin, self.size, self.used = merged[order], stop - size, size, used
 
     def rows(self, texts: pa.Array):
         """(first row, ids, offsets) of consecutive slices of rows; NULL is the empty text."""
         for a, b in bw.slices(texts):
             part = pc.fill_null(texts.slice(a, b - a), "").cast(pa.large_string())
-            if b - a == 1 and len(part[0].as_buffer() or b"") > LONG:
+            if self.rules and b - a == 1 and len(part[0].as_buffer() or b"") > LONG:
                 yield a, *self._long(part[0].as_py())
             else:
                 yield a, *self._slice(part)
@@ -138,15 +219,15 @@ class Encoder:
         bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
         bounds = bounds - bounds[0]
-        start = cut(raw, bounds[:-1])
+        start = cut(raw, bounds[:-1]) if self.rules else np.unique(bounds[:-1][np.diff(bounds) > 0])
         if not len(start):
             return np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)
         end = np.append(start[1:], len(raw))
         data = self._folded(raw, start, end) if self.folds else raw
-        keys, first, which = np.unique(bw.keys_of(data, start, end), return_index=True, return_inverse=True)
-        values = self._values(keys.tolist(), data, start[first].tolist(), end[first].tolist())
-        size = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
-        flat, begin = np.frombuffer(b"".join(values), self.kind), np.cumsum(size) - size
+        # White space parts pieces and is dropped: a word is the same piece with and without a blank before it.
+        inner = start + ((data[start] == 0x20) & (end - start > 1)) if self.folds else start
+        keys, first, which = np.unique(bw.keys_of(data, inner, end), return_index=True, return_inverse=True)
+        flat, begin, size = self._values(keys, data, inner[first], end[first])
         each = size[which]
         stop = np.concatenate([[0], np.cumsum(each)])
         ids = flat[np.repeat(begin[which] - stop[:-1], each) + np.arange(stop[-1])]
@@ -156,8 +237,8 @@ class Encoder:
 _encoders: dict = {}
 
 
-def encoder(path: str, folds: bool) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder per process, kept between tasks of a reused worker."""
-    if (path, folds) not in _encoders:
-        _encoders[path, folds] = Encoder(path, folds)
-    return _encoders[path, folds]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

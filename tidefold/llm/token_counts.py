@@ -42,7 +42,7 @@ _boundary = re.compile(r"(?<=\S)[ \n]")
 
 def _counted(tokenizer: str):
     def count(batches):
-        coder = pieces.encoder(tokenizer, False)
+        coder = pieces.encoder(tokenizer)
         for batch in batches:
             n = [np.diff(stops) for _, _, stops in coder.rows(batch.column("text"))]
             column = pa.array(np.concatenate(n) if n else [], pa.int64())

@@ -55,7 +55,7 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
         system, path = _opened(folder)
         system.create_dir(path, recursive=True)
         shard = TaskContext.get().partitionId()
-        coder = pieces.encoder(tokenizer, True)
+        coder = pieces.encoder(tokenizer)
         kind = np.dtype("<u4") if end_id >= 1 << 16 else coder.kind
         width = kind.itemsize
         mark = f"{path}/.{uuid.uuid4().hex}"
@@ -89,7 +89,7 @@ def _write_shard(folder: str, tokenizer: str, end_id: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Encode ``docs(doc_id, text)`` into ``folder``; returns the manifest with bases (stored).
 
-    One range shuffle of the texts by id; the tokenizer must drop white space.
+    One range shuffle of the texts by id.
     """
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
