@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidefold.functions.text import hash_draw
+from tidefold.functions import draws
+from tidefold.functions.text import digest_head
 from tidefold.operators import compare, infer, smooth
 
 
@@ -75,10 +76,8 @@ def test_block_bootstrap_equals_direct_resampling(spark, chunk, max_len):
     got = {r["block_length"]: r for r in infer.block_bootstrap(df, lengths, reps, primary=7, seed=1, max_len=max_len, chunk=chunk).collect()}
     for length in lengths:
         count = math.ceil(n / length)
-        draws = spark.range(reps).crossJoin(spark.range(count).withColumnRenamed("id", "j")).select(
-            "id", "j", hash_draw(F.lit(n), F.lit(1), F.lit("s"), F.lit(length), F.col("id"), F.col("j")).alias("start")
-        ).toPandas().sort_values(["id", "j"])
-        starts = draws["start"].to_numpy().reshape(reps, count)
+        key = spark.range(1).select(digest_head(F.lit(1), F.lit("s"), F.lit(length))).first()[0]
+        starts = draws.draw_array(n, key, np.arange(reps), np.arange(count))
         idx = ((starts[:, :, None] + np.arange(length)) % n).reshape(reps, -1)[:, :n]
         gains = 1 - np.sqrt(((y - d) ** 2)[idx].mean(1)) / np.sqrt(((y - b) ** 2)[idx].mean(1))
         cost = lambda f: 2 * np.maximum(y - f, 0) + np.maximum(f - y, 0)

@@ -319,12 +319,23 @@ def test_evidence_needs_every_status(spark):
     assert got == [True, False, False]
 
 
-def test_samples_are_limited_before_the_shuffle(spark):
+@pytest.mark.parametrize("digits", [4, 1, 0])
+def test_large_samples_order_only_the_last_prefix(spark, monkeypatch, digits):
+    """The lowest hashes of groups of any size, in whatever number of prefixes they are counted."""
+    monkeypatch.setattr(select, "DIGITS", digits)
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "d").otherwise("e").alias("dataset"), F.concat(F.lit("s"), "id").alias("series_id"))
+    got = select.first_by_hash(df, {"d": 1234, "e": 4000}, "ns")
+    scored = df.withColumn("h", F.sha2(F.concat_ws("|", F.lit("ns"), "dataset", "series_id"), 256)).toPandas().sort_values(["dataset", "h"])
+    want = [set(g.head(n)["series_id"]) for (_, g), n in zip(scored.groupby("dataset"), (1234, 4000))]
+    rows = got.collect()
+    assert [{r["series_id"] for r in rows if r["dataset"] == d} for d in "de"] == want and len(rows) == 5234
+    assert got.columns == ["dataset", "series_id", "selection_hash"]
+
+
+def test_samples_of_each_dataset(spark):
     rows = [("d" if i % 3 else "e", f"s{i}", i % 7) for i in range(90)]
     df = spark.createDataFrame(rows, "dataset string, series_id string, length int")
     sample = select.first_by_hash(df, {"d": 4, "e": 6}, "ns", strict=False)
-    plan = sample._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
     assert {r["dataset"]: r["n"] for r in sample.groupBy("dataset").agg(F.count("*").alias("n")).collect()} == {"d": 4, "e": 6}
     with pytest.raises(PySparkException, match="too few"):
         select.first_by_hash(df, {"d": 400}, "ns").collect()

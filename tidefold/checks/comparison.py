@@ -198,6 +198,14 @@ def hash_sample(spark, folder):
     return select.first_by_hash(_manifests(spark, folder), counts, "study-v2").select("dataset", "series_id", "selection_hash")
 
 
+def hash_sample_lines(spark, folder):
+    """Thousands of order lines of each return flag in hash order."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        F.col("l_returnflag").alias("dataset"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("series_id")
+    )
+    return select.first_by_hash(lines, {"A": 10_000, "N": 20_000, "R": 1_000}, "lines", strict=False)
+
+
 def length_strata(spark, folder):
     return select.length_strata(_manifests(spark, folder), 3).select("dataset", "series_id", "length", "length_rank", "stratum")
 
@@ -360,6 +368,10 @@ FROM (SELECT dataset, errors >= 14 AS a, purchases >= 14 AS b FROM man) WHERE a
 h AS (SELECT dataset, series_id, sha256('study-v2|' || dataset || '|' || series_id) AS selection_hash FROM man)
 SELECT dataset, series_id, selection_hash FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY selection_hash, series_id) AS rn FROM h)
 WHERE rn <= CASE dataset WHEN 'left' THEN 3 ELSE 4 END"""),
+    "hash_sample_lines": (hash_sample_lines, """
+WITH h AS (SELECT l_returnflag AS dataset, l_orderkey || '-' || l_linenumber AS series_id, sha256('lines|' || l_returnflag || '|' || l_orderkey || '-' || l_linenumber) AS selection_hash FROM lineitem)
+SELECT dataset, series_id, selection_hash FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY selection_hash, series_id) AS rn FROM h)
+WHERE rn <= CASE dataset WHEN 'A' THEN 10000 WHEN 'N' THEN 20000 WHEN 'R' THEN 1000 END"""),
     "length_strata": (length_strata, _STRATA + " SELECT dataset, series_id, length, length_rank, stratum FROM st"),
     "stratified_sample": (stratified_sample, _STRATA + """,
 h AS (SELECT *, sha256('42|' || dataset || '|' || series_id) AS hsh FROM st),

@@ -10,7 +10,7 @@ from tidefold.checks import sql
 from tidefold.checks.models import rounded
 from tidefold.functions.clock import slot_start, text
 from tidefold.functions.text import flatten_schema, origin_of, override_origin, sorted_json
-from tidefold.operators import impute
+from tidefold.operators import impute, resample
 from tidefold.plans import prepare
 from tidefold.session import shared_folder
 from tidefold.sources import files, panels, tsf
@@ -51,32 +51,53 @@ def panel_file_prepared(spark, folder):
 
 
 def zone_file(spark, folder):
-    """A wide CSV with one column per flag, read back as long rows."""
+    """A wide CSV with one column for each flag of the table, read back as long rows; cells that break the contract are marked."""
     path = _place(spark)
     p = panels.SHIP_WEEKS
     raw = panels.ship_week(spark, folder).filter(F.col("value").isNotNull())
     timed = raw.withColumn("DateTime", F.date_format(slot_start(F.col("pos"), p.start, p.step), "M/d/yyyy H:mm"))
-    wide = timed.groupBy("DateTime").pivot("series_id", ["A", "N", "R"]).agg(F.first("value")).dropna()
-    names = {"A": "Zone 1 Load", "N": "Zone 2  Load", "R": "Zone 3  Load"}
+    zones = resample.names_of(raw)
+    names = {z: f"Zone {z}  Load" for z in zones}
+    wide = timed.groupBy("DateTime").pivot("series_id", zones).agg(F.first("value"))
     wide.select("DateTime", *[F.col(c).alias(n) for c, n in names.items()]).write.option("header", "true").csv(path)
-    got = files.zones_csv(spark, path, {n: c for c, n in names.items()})
-    return got.select("series_id", text(F.col("ts")).alias("week"), F.round("value", 4).alias("value"))
+    got = files.zones_csv(spark, path, {n: c for c, n in names.items()}, on_bad="mark")
+    return got.select("series_id", text(F.col("ts")).alias("week"), F.round("value", 4).alias("value"), "problem")
 
 
 def region_files(spark, folder):
-    """One CSV per event type with repeated timestamps, read back and collapsed by hour."""
+    """One CSV for each event type with repeated timestamps, read back under the contract and collapsed by hour."""
     root = _place(spark)
-    # The regions of the study.
-    kinds = ("click", "purchase")
+    events = panels.events(spark, folder)
+    # Every event type of the table is a region; one value in 97 is negative, which the contract has to find.
+    kinds = resample.names_of(events)
+    value = F.when(F.col("event_id") % 97 == 0, -F.col("value")).otherwise(F.col("value"))
     for kind in kinds:
-        part = panels.events(spark, folder).filter((F.col("series_id") == kind) & (F.col("value") > 0))
-        part.select(F.date_format(F.col("ts"), "yyyy-MM-dd HH:00:00").alias("Datetime"), F.col("value").alias("LOAD")).write.option(
+        part = events.filter(F.col("series_id") == kind)
+        part.select(F.date_format(F.col("ts"), "yyyy-MM-dd HH:00:00").alias("Datetime"), value.alias("LOAD")).write.option(
             "header", "true"
         ).csv(f"{root}/{kind}")
-    rows = files.regions_csv(spark, {k: (f"{root}/{k}", "LOAD") for k in kinds})
-    collapsed = rows.groupBy("series_id", "ts").agg(F.avg("value").alias("value"), F.count("*").alias("copies"))
+    rows = files.regions_csv(spark, {k: (f"{root}/{k}", "LOAD") for k in kinds}, on_bad="mark")
+    good = F.col("problem").isNull()
+    collapsed = rows.groupBy("series_id", "ts").agg(F.avg(F.when(good, F.col("value"))).alias("value"), F.count_if(good).alias("copies"), F.count_if(~good).alias("bad"))
     return collapsed.groupBy("series_id").agg(
-        F.sum("copies").alias("raw_rows"), F.count("*").alias("hours"), F.round(F.avg("value"), 6).alias("mean_value")
+        F.sum("copies").alias("raw_rows"), F.sum("bad").alias("bad_rows"), F.count("*").alias("hours"), F.round(F.avg("value"), 6).alias("mean_value")
+    )
+
+
+def panel_file_typed(spark, folder):
+    """Numeric and date attributes of a panel file: plain numbers in the JSON, typed columns."""
+    path = _place(spark)
+    user = F.col("series_id")
+    raw = panels.user_day(spark, folder).withColumns(
+        {"value": F.round("value", 2), "user_no": F.lpad(user.cast("string"), 6, "0"), "share": (user / 4).cast("string"),
+         "opened": F.format_string("2023-%02d-01 06-30-00", F.pmod(user, F.lit(12)) + 1)}
+    )
+    kinds = {"series_id": "string", "user_no": "numeric", "share": "numeric", "opened": "date"}
+    tsf.write_panel(raw, path, kinds, {"relation": "users", "frequency": "daily", "horizon": "7", "missing": "true", "equallength": "true"})
+    got = tsf.read_panel(spark, path)
+    number = [F.try_variant_get(F.col("typed")[c], "$", t).alias(c) for c, t in (("user_no", "bigint"), ("share", "double"))]
+    return got.groupBy("series_id").agg(F.first(sorted_json(F.col("typed"))).alias("attributes_json"), F.first("typed").alias("typed"), F.count("value").alias("days")).select(
+        "series_id", "attributes_json", *number, F.try_variant_get(F.col("typed")["opened"], "$", "string").cast("timestamp_ntz").cast("date").cast("string").alias("opened"), "days",
     )
 
 
@@ -147,14 +168,23 @@ s AS (SELECT series_id, min(n) + min(dropped) AS original_length, min(n) AS proc
 SELECT * EXCLUDE (m, sd), round(m, 6) AS scaler_mean, round(CASE WHEN sd > 1e-12 THEN sd ELSE 1 END, 6) AS scaler_scale, NOT coalesce(sd > 1e-12, false) AS scaler_fallback
 FROM s WHERE prior_n >= 4 AND bound_n >= 4"""),
     "zone_file": (zone_file, "WITH " + sql.SHIP_WEEK + """,
-ok AS (SELECT pos FROM ship_week GROUP BY 1 HAVING count(value) = 3)
-SELECT series_id, strftime(TIMESTAMP '1995-01-02' + to_days(CAST(s.pos * 7 AS INT)), '%Y-%m-%d %H:%M:%S') AS week, round(value, 4) AS value FROM ship_week s JOIN ok ON ok.pos = s.pos"""),
+ok AS (SELECT pos FROM ship_week GROUP BY 1 HAVING count(value) > 0)
+SELECT series_id, strftime(TIMESTAMP '1995-01-02' + to_days(CAST(s.pos * 7 AS INT)), '%Y-%m-%d %H:%M:%S') AS week, round(value, 4) AS value, CASE WHEN value IS NULL THEN 'missing' WHEN value <= 0 THEN 'not positive' END AS problem
+FROM ship_week s JOIN ok ON ok.pos = s.pos"""),
     "region_files": (region_files, """
-WITH h AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, avg(value) AS v, count(*) AS c FROM events WHERE event_type IN ('click', 'purchase') AND value > 0 GROUP BY 1, 2)
-SELECT series_id, CAST(sum(c) AS BIGINT) AS raw_rows, count(*) AS hours, round(avg(v), 6) AS mean_value FROM h GROUP BY 1"""),
+WITH e AS (SELECT event_type, date_trunc('hour', ts) AS ts, CASE WHEN event_id % 97 = 0 THEN -value ELSE value END AS value FROM events),
+h AS (SELECT event_type AS series_id, ts, avg(value) FILTER (value > 0) AS v, count(*) FILTER (value > 0) AS c, count(*) FILTER (value IS NULL OR value <= 0) AS b FROM e GROUP BY 1, 2)
+SELECT series_id, CAST(sum(c) AS BIGINT) AS raw_rows, CAST(sum(b) AS BIGINT) AS bad_rows, count(*) AS hours, round(avg(v), 6) AS mean_value FROM h GROUP BY 1"""),
+    "panel_file_typed": (panel_file_typed, "WITH " + sql.USER_DAY + """,
+u AS (SELECT series_id AS s, series_id / 4 AS share, '2023-' || lpad(CAST(series_id % 12 + 1 AS VARCHAR), 2, '0') || '-01' AS opened, count(value) AS days FROM user_day GROUP BY 1)
+SELECT CAST(s AS VARCHAR) AS series_id, '{"opened":"' || opened || 'T06:30:00","series_id":"' || s || '","share":' || CASE WHEN share = floor(share) THEN CAST(CAST(share AS BIGINT) AS VARCHAR) ELSE CAST(share AS VARCHAR) END
+ || ',"user_no":' || s || '}' AS attributes_json, CAST(s AS BIGINT) AS user_no, CAST(share AS DOUBLE) AS share, opened, days FROM u"""),
     "id_file": (id_file, """
 SELECT CASE WHEN c_acctbal >= 0 AND c_mktsegment <> 'MACHINERY' THEN 'real' ELSE 'artificial' END AS origin, count(*) AS series FROM customer GROUP BY 1"""),
-    "file_manifest": (file_manifest, None),
+    # The table files, one of them changed in the manifest and one that is not there.
+    "file_manifest": (file_manifest, """
+SELECT name, CASE name WHEN 'nation.parquet' THEN 'changed' WHEN 'absent.parquet' THEN 'missing' ELSE 'same' END AS state FROM (SELECT unnest(['absent', 'region', 'nation', 'customer', 'supplier', 'part',
+ 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS name)"""),
     "model_store": (model_store, "WITH " + sql.prepared(sql.EVT_HOUR, "evt_hour", 24) + """
 SELECT series_id, count(*) FILTER (role = 'test') AS test_rows, round(avg(value_imputed) FILTER (role = 'test'), 6) AS test_mean, count(*) AS rows, count(*) FILTER (was_imputed) AS imputed_rows FROM p GROUP BY 1"""),
     "resumed_tasks": (resumed_tasks, "WITH " + sql.USER_DAY + "," + sql.imputed("user_day", 7) + """,

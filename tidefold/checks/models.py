@@ -12,6 +12,7 @@ from tidefold.checks.comparison import rounded
 from tidefold.checks.pools import picked, picked_sql, pool
 from tidefold.functions import metrics as m
 from tidefold.functions.arrays import dot
+from tidefold.functions.text import digest_head
 from tidefold.operators import certify, compare, infer, lags
 from tidefold.operators.ordered import with_medians
 from tidefold.operators.linear import fit_linear, gram_rows, merge_grams, predict, score, with_chunk
@@ -25,6 +26,7 @@ SEASON = 24
 ALPHAS = (0.01, 0.1, 1.0)
 AR1 = Grid(families=("ridge",), lags=(1,), ridge_alphas=ALPHAS)
 DELTA = 0.05
+REPLICATES = 20_000
 
 
 def _evt(spark, folder):
@@ -253,15 +255,27 @@ def holm(spark, folder):
 
 
 def bootstrap_mean(spark, folder):
-    out = infer.bootstrap_mean(store(_differences(spark, folder)), ["comparison", "metric"], "difference", "pair", 100, 7)
+    out = infer.bootstrap_mean(store(_differences(spark, folder)), ["comparison", "metric"], "difference", "pair", REPLICATES, 7)
     return rounded(out, mean=6, ci_low=6, ci_high=6)
 
 
 def paired_statistics(spark, folder):
-    """Full paired table; the p-value needs a tail function SQL lacks, so there is no SQL for it."""
-    return infer.paired_statistics(
-        store(_differences(spark, folder)), ["comparison", "metric"], "pair", 200, ["comparison"]
+    """The full paired table: mean, median, interval, counts, signed-rank p, Holm p and effect."""
+    out = infer.paired_statistics(store(_differences(spark, folder)), ["comparison", "metric"], "pair", REPLICATES, ["comparison"], seed=7)
+    return rounded(out, mean=6, median_difference=6, ci_low=6, ci_high=6, p_value=9, p_holm=9, rank_biserial=9)
+
+
+def signed_rank_p(spark, folder):
+    """Rank sums and p-values of comparisons of few series, where the exact distribution is used, and of many."""
+    rows = store(_differences(spark, folder))
+    # Series of one last digit: groups of at most some tens of pairs; without ties they are exact.
+    few = rows.withColumn("part", F.concat_ws("|", "dataset", F.right("series_id", F.lit(1)))).withColumn(
+        "difference", F.col("difference") + digest_head(F.col("pair")) / 1e14
+    )
+    out = infer.wilcoxon(few, ["comparison", "metric", "part"]).unionByName(
+        infer.wilcoxon(rows.withColumn("part", F.lit("all")), ["comparison", "metric", "part"], zeros="wilcox")
     )
+    return rounded(out, z_score=6, p_value=9)
 
 
 def block_bootstrap(spark, folder):
@@ -270,7 +284,7 @@ def block_bootstrap(spark, folder):
     pairs = rows.select(
         "series_id", F.col("role_step").alias("at"), F.col("role_size").alias("n"), F.col("value_imputed").alias("actual"), "base", "deployed"
     )
-    out = infer.block_bootstrap(pairs, (7, 24), 200, primary=24, seed=3, max_len=SLOTS, round_gain=9)
+    out = infer.block_bootstrap(pairs, (7, 24), REPLICATES, primary=24, seed=3, max_len=SLOTS, round_gain=9)
     return rounded(out, **{c: 6 for c, t in out.dtypes if t == "double"})
 
 
@@ -343,8 +357,40 @@ ra AS (SELECT *, rank() OVER (PARTITION BY comparison, metric ORDER BY abs(d)) +
   count(*) OVER (PARTITION BY comparison, metric, abs(d)) AS ties FROM df {where})"""
 
 
-def _draw(expr: str, n: str) -> str:
-    return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT) % {n}"
+_MEANS = _DIFF + """,
+nb AS (SELECT comparison, metric, d, row_number() OVER (PARTITION BY comparison, metric ORDER BY md5(dataset || '|' || series_id), dataset || '|' || series_id) - 1 AS place, count(*) OVER (PARTITION BY comparison, metric) AS n FROM df),
+gr AS (SELECT DISTINCT comparison, metric, n, """ + sql.digest_head("'7|' || comparison || '|' || metric") + f""" AS key, rep FROM nb, (SELECT unnest(range({REPLICATES})) AS rep)),""" + sql.mixed(
+    "gr", "xor(key, rep)", "gm", "h") + """,
+gp AS (SELECT g.comparison, g.metric, g.rep, g.n, g.h, b.place FROM gm g JOIN nb b ON b.comparison = g.comparison AND b.metric = g.metric),""" + sql.mixed("gp", "xor(h, place)", "dr", "pick") + """,
+mn AS (SELECT r.comparison, r.metric, rep, avg(d) AS v FROM dr r JOIN nb b ON b.comparison = r.comparison AND b.metric = r.metric AND b.place = r.pick % r.n GROUP BY ALL),
+ci AS (SELECT comparison, metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM mn GROUP BY 1, 2),
+st AS (SELECT comparison, metric, count(*) AS n, avg(d) AS mean, min(d) AS a, max(d) AS b FROM df GROUP BY 1, 2)"""
+_INTERVAL = """round(mean, 6) AS mean, round(CASE WHEN b - a <= 1e-8 + 1e-5 * abs(a) THEN a ELSE lo END, 6) AS ci_low, round(CASE WHEN b - a <= 1e-8 + 1e-5 * abs(a) THEN a ELSE hi END, 6) AS ci_high"""
+
+
+def _p_sql(rows: str, name: str, keys: str, zeros: str) -> str:
+    """Rank sums and p-values of ``rows(keys, d)``: exact counts by recursion over ranks, the normal tail by Simpson's rule."""
+    where = "" if zeros == "pratt" else "WHERE d <> 0"
+    on = " AND ".join(f"w.{k} = s.{k}" for k in keys.split(", "))
+    zero_mean, zero_var = ("- z * (z + 1) / 4.0::DOUBLE", "- z * (z + 1) * (2 * z + 1)") if zeros == "pratt" else ("", "")
+    return f"""
+{name}_r AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {keys}, abs(d)) - 1) / 2.0::DOUBLE AS rk,
+  count(*) OVER (PARTITION BY {keys}, abs(d)) AS ties FROM {rows} {where}),
+{name}_s AS (SELECT {keys}, count(*) AS n, count(*) FILTER (d = 0) AS z, coalesce(sum(rk) FILTER (d > 0), 0) AS up, coalesce(sum(rk) FILTER (d < 0), 0) AS down,
+  CAST(coalesce(sum(ties * ties - 1) FILTER (d <> 0), 0) AS BIGINT) AS tt FROM {name}_r GROUP BY {keys}),
+{name}_z AS (SELECT *, n <= 50 AND z = 0 AND tt = 0 AS exact, sqrt((n * (n + 1) * (2 * n + 1) {zero_var} - tt / 2.0::DOUBLE) / 24.0::DOUBLE) AS sd, n * (n + 1) / 4.0::DOUBLE {zero_mean} AS mean FROM {name}_s),
+{name}_v AS (SELECT *, CASE WHEN sd > 0 THEN (least(up, down) - mean) / sd ELSE 0 END AS zs FROM {name}_z),
+{name}_w AS (SELECT {keys}, sum(ways) AS ways, any_value(n) AS n FROM (SELECT s.*, c.ways FROM {name}_v s JOIN sign_ways c ON c.k = s.n AND c.total <= round(least(up, down)) WHERE exact) GROUP BY {keys}),
+{name}_f AS (SELECT {keys}, max(abs(d)) <= 1e-8 AS flat FROM {rows} GROUP BY {keys}),
+{name} AS (SELECT s.*, CASE WHEN s.flat OR s.n IS NULL OR s.n = z THEN 1.0::DOUBLE WHEN exact THEN least(1.0::DOUBLE, 2.0::DOUBLE * w.ways / 2.0::DOUBLE ** s.n)
+  ELSE least(1.0::DOUBLE, 2 / sqrt(2 * pi()) * list_sum(list_transform(range(4001), lambda k: (CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (abs(zs) + k * 0.003) ** 2))) * 0.001) END AS p
+  FROM (SELECT f.*, v.* EXCLUDE ({keys}) FROM {name}_f f LEFT JOIN {name}_v v ON {on.replace("w.", "f.").replace("s.", "v.")}) s LEFT JOIN {name}_w w ON {on})"""
+
+
+_WAYS = """
+sign_steps(k, total, ways) AS (SELECT 0::BIGINT, 0::BIGINT, 1.0::DOUBLE UNION ALL
+  SELECT k + 1, t, sum(w) FROM (SELECT k, total AS t, ways AS w FROM sign_steps UNION ALL SELECT k, total + k + 1, ways FROM sign_steps) WHERE k < 50 GROUP BY 1, 2),
+sign_ways AS (SELECT * FROM sign_steps)"""
 
 
 CHECKS = {
@@ -438,25 +484,34 @@ p AS (SELECT comparison, metric, dataset, round((count(*) FILTER (d > 0) + 1) /
 s AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY comparison) - row_number() OVER (PARTITION BY comparison ORDER BY p_value) + 1) * p_value) AS st,
   row_number() OVER (PARTITION BY comparison ORDER BY p_value) AS rn FROM p)
 SELECT comparison, metric, dataset, p_value, round(max(st) OVER (PARTITION BY comparison ORDER BY rn ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM s"""),
-    "bootstrap_mean": (bootstrap_mean, _DIFF + """,
-nb AS (SELECT comparison, metric, d, row_number() OVER (PARTITION BY comparison, metric ORDER BY md5(dataset || '|' || series_id), dataset || '|' || series_id) - 1 AS place, count(*) OVER (PARTITION BY comparison, metric) AS n FROM df),
-dr AS (SELECT comparison, metric, rep, """ + _draw("'7|' || rep || '|' || place", "n") + """ AS pick FROM nb, (SELECT unnest(range(100)) AS rep)),
-mn AS (SELECT r.comparison, r.metric, rep, avg(d) AS v FROM dr r JOIN nb b ON b.comparison = r.comparison AND b.metric = r.metric AND b.place = r.pick GROUP BY ALL),
-ci AS (SELECT comparison, metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM mn GROUP BY 1, 2),
-st AS (SELECT comparison, metric, count(*) AS n, avg(d) AS mean, min(d) AS a, max(d) AS b FROM df GROUP BY 1, 2)
-SELECT s.comparison, s.metric, n AS pair_count, round(mean, 6) AS mean, round(CASE WHEN b - a <= 1e-8 + 1e-5 * abs(a) THEN a ELSE lo END, 6) AS ci_low, round(CASE WHEN b - a <= 1e-8 + 1e-5 * abs(a) THEN a ELSE hi END, 6) AS ci_high
-FROM st s JOIN ci ON ci.comparison = s.comparison AND ci.metric = s.metric"""),
-    "paired_statistics": (paired_statistics, None),
+    "bootstrap_mean": (bootstrap_mean, _MEANS + f"""
+SELECT s.comparison, s.metric, n AS pair_count, {_INTERVAL} FROM st s JOIN ci ON ci.comparison = s.comparison AND ci.metric = s.metric"""),
+    "signed_rank_p": (signed_rank_p, _DIFF.replace("WITH ", "WITH RECURSIVE ", 1) + "," + _WAYS + """,
+fw AS (SELECT comparison, metric, dataset || '|' || right(series_id, 1) AS part, d + """ + sql.digest_head("dataset || '|' || series_id") + """ / 1e14::DOUBLE AS d FROM df),
+al AS (SELECT comparison, metric, 'all' AS part, d FROM df),""" + _p_sql("fw", "pf", "comparison, metric, part", "pratt") + "," + _p_sql("al", "pa_", "comparison, metric, part", "wilcox") + """
+SELECT comparison, metric, part, coalesce(n, 0) AS pair_count, coalesce(z, 0) AS zero_count, coalesce(up, 0) AS rank_sum_positive, coalesce(down, 0) AS rank_sum_negative, coalesce(tt, 0) AS tie_term,
+ round(coalesce(zs, 0), 6) AS z_score, round(p, 9) AS p_value FROM (SELECT * FROM pf UNION ALL BY NAME SELECT * FROM pa_)"""),
+    "paired_statistics": (paired_statistics, _MEANS.replace("WITH ", "WITH RECURSIVE ", 1) + "," + _WAYS + "," + _p_sql("df", "pv", "comparison, metric", "pratt") + """,
+rb AS (SELECT comparison, metric, (coalesce(sum(rk) FILTER (d > 0), 0) - coalesce(sum(rk) FILTER (d < 0), 0)) / sum(rk) AS e FROM (
+  SELECT *, rank() OVER (PARTITION BY comparison, metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY comparison, metric, abs(d)) - 1) / 2.0::DOUBLE AS rk FROM df WHERE abs(d) > 1e-8) GROUP BY 1, 2),
+ho AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY comparison) - row_number() OVER (PARTITION BY comparison ORDER BY p) + 1) * p) AS sp, row_number() OVER (PARTITION BY comparison ORDER BY p) AS rn FROM pv),
+hx AS (SELECT comparison, metric, p, max(sp) OVER (PARTITION BY comparison ORDER BY rn ROWS UNBOUNDED PRECEDING) AS ph FROM ho),
+ct AS (SELECT comparison, metric, median(d) AS md, count(*) FILTER (d < 0) AS lo_n, count(*) FILTER (d > 0) AS hi_n, count(*) FILTER (abs(d) <= 1e-8) AS ties FROM df GROUP BY 1, 2)
+SELECT s.comparison, s.metric, n AS pair_count, """ + _INTERVAL + """, round(md, 6) AS median_difference, lo_n AS left_lower_count, hi_n AS left_higher_count, ties,
+ round(hx.p, 9) AS p_value, round(hx.ph, 9) AS p_holm, round(coalesce(e, 0), 9) AS rank_biserial
+FROM st s JOIN ci ON ci.comparison = s.comparison AND ci.metric = s.metric JOIN ct ON ct.comparison = s.comparison AND ct.metric = s.metric
+ JOIN hx ON hx.comparison = s.comparison AND hx.metric = s.metric LEFT JOIN rb ON rb.comparison = s.comparison AND rb.metric = s.metric"""),
     "block_bootstrap": (block_bootstrap, _LAG + """,
 pa AS (SELECT series_id, role_step AS at, role_size AS n, (value_imputed - seas) ** 2 AS bs, (value_imputed - last1) ** 2 AS ds,
   2 * greatest(value_imputed - seas, 0) + greatest(seas - value_imputed, 0) AS bc, 2 * greatest(value_imputed - last1, 0) + greatest(last1 - value_imputed, 0) AS dc FROM x WHERE role = 'test'),
 ob AS (SELECT series_id, min(n) AS n, 1 - sqrt(avg(ds)) / sqrt(avg(bs)) AS orr, 1 - avg(dc) / avg(bc) AS oc FROM pa GROUP BY 1),
-pl AS (SELECT series_id, n, len, rep, unnest(range(CAST(ceil(n / len) AS BIGINT))) AS j FROM ob, (SELECT unnest([7, 24]) AS len), (SELECT unnest(range(200)) AS rep)),
-dw AS (SELECT *, """ + _draw("'3|' || series_id || '|' || len || '|' || rep || '|' || j", "n") + """ AS start FROM pl),
+pr_ AS (SELECT series_id, n, len, rep, """ + sql.digest_head("'3|' || series_id || '|' || len") + f""" AS key FROM ob, (SELECT unnest([7, 24]) AS len), (SELECT unnest(range({REPLICATES})) AS rep)),""" + sql.mixed("pr_", "xor(key, rep)", "pm", "h") + """,
+pl AS (SELECT series_id, n, len, rep, h, unnest(range(CAST(ceil(n / len) AS BIGINT))) AS j FROM pm),""" + sql.mixed("pl", "xor(h, j)", "px", "hash") + """,
+dw AS (SELECT *, hash % n AS start FROM px),
 ex AS (SELECT series_id, len, rep, n, (start + o) % n AS at FROM (SELECT *, unnest(range(len)) AS o FROM dw) WHERE j * len + o < n),
 gn AS (SELECT e.series_id, len, rep, round(1 - sqrt(sum(ds)) / sqrt(sum(bs)), 9) AS g, round(1 - sum(dc) / sum(bc), 9) AS c FROM ex e JOIN pa ON pa.series_id = e.series_id AND pa.at = e.at GROUP BY ALL)
-SELECT g.series_id, len AS block_length, round(quantile_cont(g, 0.025), 6) AS rmse_ci_low, round(quantile_cont(g, 0.975), 6) AS rmse_ci_high, round((count(*) FILTER (g <= 0) + 1) / 201, 6) AS rmse_bootstrap_probability_nonpositive,
- round(quantile_cont(c, 0.025), 6) AS cost_ci_low, round(quantile_cont(c, 0.975), 6) AS cost_ci_high, round((count(*) FILTER (c <= 0) + 1) / 201, 6) AS cost_bootstrap_probability_nonpositive, count(*) AS bootstrap_resamples,
+SELECT g.series_id, len AS block_length, round(quantile_cont(g, 0.025), 6) AS rmse_ci_low, round(quantile_cont(g, 0.975), 6) AS rmse_ci_high, round((count(*) FILTER (g <= 0) + 1) / 20001, 6) AS rmse_bootstrap_probability_nonpositive,
+ round(quantile_cont(c, 0.025), 6) AS cost_ci_low, round(quantile_cont(c, 0.975), 6) AS cost_ci_high, round((count(*) FILTER (c <= 0) + 1) / 20001, 6) AS cost_bootstrap_probability_nonpositive, count(*) AS bootstrap_resamples,
  min(n) AS sample_size, round(min(orr), 6) AS observed_rmse_improvement, round(min(oc), 6) AS observed_cost_improvement, CASE WHEN len = 24 THEN 'primary' ELSE 'sensitivity' END AS analysis_role
 FROM gn g JOIN ob ON ob.series_id = g.series_id GROUP BY g.series_id, len"""),
 }

@@ -68,9 +68,40 @@ def wide_panel(spark, folder):
     """Weeks as rows and segments as columns, aligned on time, gaps as NULL."""
     p = panels.ORDER_WEEKS
     long = resample.with_step(panels.seg_week(spark, folder), p.start, p.step)
-    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    got = resample.wide(long.withColumn("value", F.round("value", 4)), names)
-    return got.select(text(F.col("ts")).alias("week"), *[F.col(n).alias(n.lower()) for n in names])
+    got = resample.wide(long.withColumn("value", F.round("value", 4)))
+    return got.select(text(F.col("ts")).alias("week"), *[F.col(n).alias(n.lower()) for n in got.columns if n != "ts"])
+
+
+def panel_period(spark, folder):
+    """The fixed periods against the tables: rows outside each of them, and the period that would hold all rows."""
+    sources = {
+        "events": (panels.events(spark, folder), panels.EVENT_HOURS), "orders": (panels.orders_by_segment(spark, folder), panels.ORDER_WEEKS),
+        "shipments": (panels.shipments(spark, folder), panels.SHIP_WEEKS),
+        # Half a year as the period: rows on both sides are counted, not lost in silence.
+        "half_year": (panels.shipments(spark, folder), panels.Period(datetime(1998, 1, 5), datetime(1998, 7, 6), panels.WEEK, 52)),
+    }
+    out = None
+    for name, (rows, p) in sources.items():
+        own = panels.observed_period(rows, p.step, p.season, p.start)
+        part = panels.outside(rows, p).select(F.lit(name).alias("source"), "*", F.lit(own.slots).alias("observed_slots"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def observed_panel(spark, folder):
+    """Weeks of shipments over the period that the rows themselves span."""
+    p = panels.observed_period(panels.shipments(spark, folder), panels.WEEK, 52, panels.SHIP_WEEKS.start)
+    got = panels.ship_week(spark, folder, p)
+    return resample.with_step(got, p.start, p.step).select("series_id", text(F.col("ts")).alias("week"), F.round("value", 4).alias("value"), "readings")
+
+
+def preparation_status(spark, folder):
+    """Users with all values missing, with too few days and with enough: every one has a row with its reason."""
+    raw = panels.user_day(spark, folder)
+    planted = raw.withColumn(
+        "value", F.when(F.col("series_id") % 7 == 0, F.lit(None).cast("double")).when((F.col("series_id") % 5 == 0) & (F.col("pos") < 15), F.lit(None).cast("double")).otherwise(F.col("value"))
+    )
+    return prepare.horizon_status(planted, F.lit(7))
 
 
 def series_quality(spark, folder):
@@ -271,6 +302,27 @@ FROM evt_hour GROUP BY 1"""),
 SELECT strftime(TIMESTAMP '1994-12-26' + to_days(CAST(pos * 7 AS INT)), '%Y-%m-%d %H:%M:%S') AS week,
 """ + ", ".join(f"round(max(value) FILTER (series_id = '{n}'), 4) AS {n.lower()}" for n in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + """
 FROM seg_week GROUP BY pos"""),
+    "panel_period": (panel_period, " UNION ALL ".join(
+        f"SELECT '{n}' AS source, series_id, count(*) AS rows, count(*) FILTER (ts < TIMESTAMP '{lo}') AS rows_before, count(*) FILTER (ts >= TIMESTAMP '{hi}') AS rows_behind, 0::BIGINT AS rows_without_time, "
+        f"(SELECT CAST(floor((epoch(max({t})) - epoch(TIMESTAMP '{lo}')) / {st}) - floor((epoch(min({t})) - epoch(TIMESTAMP '{lo}')) / {st}) + 1 AS BIGINT) FROM {tab}) AS observed_slots FROM {src} GROUP BY ALL"
+        for n, src, tab, t, lo, hi, st in (
+            ("events", "(SELECT event_type AS series_id, ts FROM events)", "events", "ts", "2024-01-01", "2024-01-31", 3600),
+            ("orders", "(SELECT c_mktsegment AS series_id, o_orderdate AS ts FROM orders JOIN customer ON o_custkey = c_custkey)", "orders", "o_orderdate", "1994-12-26", "2001-08-06", 604800),
+            ("shipments", "(SELECT l_returnflag AS series_id, l_shipdate AS ts FROM lineitem)", "lineitem", "l_shipdate", "1995-01-02", "2001-11-05", 604800),
+            ("half_year", "(SELECT l_returnflag AS series_id, l_shipdate AS ts FROM lineitem)", "lineitem", "l_shipdate", "1998-01-05", "1998-07-06", 604800),
+        ))),
+    "observed_panel": (observed_panel, """
+WITH b AS (SELECT l_returnflag AS series_id, CAST(floor((epoch(l_shipdate) - epoch(TIMESTAMP '1995-01-02')) / 604800) AS BIGINT) AS w, sum(l_extendedprice * (1 - l_discount)) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2),
+g AS (SELECT series_id, unnest(range((SELECT min(w) FROM b), (SELECT max(w) + 1 FROM b))) AS w FROM (SELECT DISTINCT series_id FROM b))
+SELECT g.series_id, strftime(TIMESTAMP '1995-01-02' + to_days(CAST(g.w * 7 AS INT)), '%Y-%m-%d %H:%M:%S') AS week, round(v, 4) AS value, coalesce(n, 0) AS readings
+FROM g LEFT JOIN b ON b.series_id = g.series_id AND b.w = g.w"""),
+    "preparation_status": (preparation_status, "WITH " + sql.USER_DAY + """,
+q AS (SELECT series_id, pos, CASE WHEN series_id % 7 = 0 THEN NULL WHEN series_id % 5 = 0 AND pos < 15 THEN NULL ELSE value END AS value FROM user_day),
+s AS (SELECT series_id, count(*) AS original_length, count(*) FILTER (value IS NULL) AS missing_values, coalesce(max(pos) - min(pos) FILTER (value IS NOT NULL) + 1, 0) AS usable_length FROM q GROUP BY 1),
+z AS (SELECT *, least(greatest(4, CAST(floor((usable_length - 14) * 0.30::DOUBLE) AS BIGINT)), usable_length - 14 - 4) AS prior_n FROM s),
+r AS (SELECT *, usable_length - 14 - prior_n AS bound_n, 7::BIGINT AS validation_n, 7::BIGINT AS test_n FROM z)
+SELECT *, CASE WHEN usable_length = 0 THEN 'no observed value' WHEN prior_n < 4 THEN 'prior role below 4 rows' WHEN bound_n < 4 THEN 'bound role below 4 rows' END AS reason,
+ CASE WHEN usable_length > 0 AND prior_n >= 4 AND bound_n >= 4 THEN 'PASS' ELSE 'SKIPPED' END AS status FROM r"""),
     "series_quality": (series_quality, """
 WITH a AS (SELECT event_type AS series_id, ts, value, coalesce(ts > lag(ts) OVER (PARTITION BY event_type ORDER BY event_id), true) AS rises FROM events),
 q AS (SELECT series_id, count(*) AS n_rows, count(*) FILTER (value IS NULL OR isnan(value)) + count(*) FILTER (ts IS NULL) AS missing_value_count,

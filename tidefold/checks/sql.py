@@ -89,3 +89,20 @@ def scaled(name: str, out: str) -> str:
 def prepared(panel: str, name: str, season: int) -> str:
     """Panel, fill, split and scale as CTEs ending in ``p``."""
     return ",".join([panel, imputed(name, season), roles(f"{name}_i", "pr"), scaled("pr", "p")])
+
+
+FACTOR, MASK = 0x45D9F3B, 0xFFFFFFFF
+
+
+def digest_head(text: str) -> str:
+    """The first 32 bits of the MD5 of a text."""
+    return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT)"
+
+
+def mixed(source: str, value: str, name: str, out: str) -> str:
+    """CTEs that add ``out``, the spread 32 bits of ``value``, to the rows of ``source``."""
+    return f"""
+{name}_0 AS (SELECT *, {value} AS h_0 FROM {source}),
+{name}_1 AS (SELECT * EXCLUDE (h_0), (xor(h_0 >> 16, h_0) * {FACTOR}) & {MASK} AS h_1 FROM {name}_0),
+{name}_2 AS (SELECT * EXCLUDE (h_1), (xor(h_1 >> 16, h_1) * {FACTOR}) & {MASK} AS h_2 FROM {name}_1),
+{name} AS (SELECT * EXCLUDE (h_2), xor(h_2 >> 16, h_2) AS {out} FROM {name}_2)"""

@@ -71,7 +71,9 @@ def override_origin(df: DataFrame, verified: DataFrame, id_column: str = "series
 
 
 def sorted_json(attributes: Column) -> Column:
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(attributes))))
+    """Attributes (a map) as JSON by name; a VARIANT value keeps its type, so numbers are not quoted."""
+    names = F.array_sort(F.map_keys(attributes))
+    return F.to_json(F.map_from_arrays(names, F.transform(names, lambda k: attributes[k])))
 
 
 def flatten_schema(df: DataFrame) -> DataFrame:
@@ -122,7 +124,6 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
 
 
-def hash_draw(n: Column, *parts: Column) -> Column:
-    """Repeatable draw from 0..n-1: the first 32 bits of an MD5, modulo n."""
-    head = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8)
-    return F.pmod(F.conv(head, 16, 10).cast("long"), n)
+def digest_head(*parts: Column) -> Column:
+    """The first 32 bits of the MD5 of the parts joined by '|'."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")

@@ -189,32 +189,44 @@ def effective_delta(allocated: Column, blocks: Column, envelope: Column) -> Colu
     return allocated - 2.0 * (blocks - 1) * envelope
 
 
+def odd_block_means(
+    rows: DataFrame, keys: Sequence[str], block_lengths: Sequence[int], losses: Sequence[Column], position: str = "at", n: str = "n"
+) -> DataFrame:
+    """``block_length, blocks, used_observations, risks`` per group: mean of each loss over the retained blocks 0, 2, 4, ...
+
+    Retained blocks are complete, so the mean of their means is the mean of
+    their rows: one pass with a conditional sum for each length and loss, added up
+    before the shuffle, and no row is repeated or grouped by block. Lengths with
+    fewer than two retained blocks have NULL risks.
+    """
+    keys, at = list(keys), F.col(position)
+    sums = []
+    for i, length in enumerate(block_lengths):
+        used = (F.floor(at / length) % 2 == 0) & (at < 2 * length * F.floor(F.col(n) / (2 * length)))
+        sums += [F.sum(F.when(used, loss)).alias(f"_sum_{i}_{j}") for j, loss in enumerate(losses)]
+    grouped = rows.groupBy(*keys).agg(F.first(n).alias("_rows"), *sums)
+
+    def entry(i: int, length: int) -> Column:
+        blocks = F.floor(F.col("_rows") / (2 * length)).cast("long")
+        risks = F.array(*[F.when(blocks >= 2, F.col(f"_sum_{i}_{j}") / (blocks * length)) for j in range(len(losses))])
+        return F.struct(
+            F.lit(int(length)).alias("block_length"), blocks.alias("blocks"), (2 * blocks * length).alias("used_observations"), risks.alias("risks")
+        )
+
+    return grouped.select(*keys, F.inline(F.array(*[entry(i, a) for i, a in enumerate(block_lengths)])))
+
+
 def odd_block_risk(
     losses: DataFrame, keys: Sequence[str], block_lengths: Sequence[int], loss: str = "loss", position: str = "at", n: str = "n"
 ) -> DataFrame:
-    """Mean loss over the retained blocks 0, 2, 4, ... for each block length.
+    """Mean loss over the retained blocks for each block length.
 
     ``at`` is the zero-based place of a row among the ``n`` rows of its group.
     Every length needs at least two retained blocks; others come back with
     ``blocks`` below two and no risk.
     """
-    keys = list(keys)
-    lengths = F.array(*[F.lit(int(a)) for a in block_lengths])
-    spread = losses.withColumn("block_length", F.explode(lengths))
-    a = F.col("block_length")
-    blocks = F.floor(F.col(n) / (2 * a)).cast("long")
-    block = F.floor(F.col(position) / a)
-    used = (block % 2 == 0) & (F.col(position) < 2 * blocks * a)
-    per_block = (
-        spread.withColumn("blocks", blocks)
-        .withColumn("_block", F.when(used, block))
-        .groupBy(*keys, "block_length", "blocks", "_block")
-        .agg(F.avg(loss).alias("_mean"))
-    )
-    return per_block.groupBy(*keys, "block_length", "blocks").agg(
-        F.when(F.col("blocks") >= 2, F.avg(F.when(F.col("_block").isNotNull(), F.col("_mean")))).alias("block_risk"),
-        (2 * F.col("blocks") * F.col("block_length")).alias("used_observations"),
-    )
+    means = odd_block_means(losses, keys, block_lengths, [F.col(loss)], position, n)
+    return means.withColumn("block_risk", F.col("risks")[0]).drop("risks")
 
 
 # Statuses a verified mixing bound must carry.
@@ -257,13 +269,13 @@ def mixing_profile(
     confidence, come back with that status.
     """
     pairs = [(float(s), float(r)) for s in scales for r in ratios]
-    grid = F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(r).alias("ratio")) for s, r in pairs])
     model = ["series_id", "n", "dimension", "q_square", "structure_kl"]
-    variance = F.pow(F.col("scale") * F.col("ratio"), 2) * F.col("square_size")
-    losses = rows.select("*", F.inline(grid)).withColumn(
-        "loss", pointwise_loss(F.col("y"), F.col("center"), variance, F.col("clip_bound"))
-    )
-    risk = odd_block_risk(losses, [*model, "scale", "ratio"], block_lengths)
+    losses = [
+        pointwise_loss(F.col("y"), F.col("center"), F.lit((s * r) ** 2) * F.col("square_size"), F.col("clip_bound")) for s, r in pairs
+    ]
+    means = odd_block_means(rows, model, block_lengths, losses)
+    grid = F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(r).alias("ratio"), F.get("risks", F.lit(i)).alias("block_risk")) for i, (s, r) in enumerate(pairs)])
+    risk = means.select("*", F.inline(grid)).drop("risks")
     allocated = delta / len(block_lengths)
     a, mu = F.col("block_length"), F.col("blocks")
     envelope = mixing_envelope(a, tau, multiplier)

@@ -109,9 +109,14 @@ def panel(
     return densify(buckets(df, start, end, step, value, how), start, end, step)
 
 
-def wide(df: DataFrame, names: list[str], value: str = "value") -> DataFrame:
-    """One column per series, aligned on time; used for output only."""
-    return df.groupBy("ts").pivot("series_id", names).agg(F.first(value))
+def names_of(df: DataFrame, key: str = "series_id") -> list[str]:
+    """The distinct keys that become columns, in order; a wide table has few of them."""
+    return sorted(str(r[0]) for r in df.select(key).filter(F.col(key).isNotNull()).distinct().collect())
+
+
+def wide(df: DataFrame, names: list[str] | None = None, value: str = "value") -> DataFrame:
+    """One column per series, aligned on time; used for output only. Without ``names`` every series of the rows has its column."""
+    return df.groupBy("ts").pivot("series_id", names or names_of(df)).agg(F.first(value))
 
 
 def long(df: DataFrame, ts: str, names: list[str]) -> DataFrame:

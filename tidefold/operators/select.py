@@ -77,37 +77,53 @@ def accepted_if_any(df: DataFrame, status: str = "status") -> DataFrame:
     )
 
 
-def first_by_hash(
-    df: DataFrame, counts: dict[str, int], namespace: str, strict: bool = True
+DIGITS = 4
+
+
+def lowest_hashes(
+    df: DataFrame, keys: Sequence[str], wanted: Column, hash_column: str, strict: bool = False, tie: str = "series_id"
 ) -> DataFrame:
-    """The first N series of each dataset in hash order: a repeatable sample.
+    """The ``wanted`` rows of each group with the lowest hexadecimal hashes, for any number of rows.
 
-    The rank filter is pushed below the shuffle by Spark as a per-task limit.
+    Rows are counted by the first digits of their hash, with partial sums; running
+    counts over the at most 65,536 prefixes of a group give the prefix at which
+    the wanted number is reached. Rows below it are taken by a join, and only rows of that
+    one prefix are put in order. ``wanted`` is one value for each group;
+    with ``strict`` a group that has fewer rows is an error.
     """
-    scored = df.withColumn("selection_hash", digest(F.lit(namespace), F.col("dataset"), F.col("series_id")))
-    wanted = F.lit(None).cast("int")
-    for dataset, n in counts.items():
-        wanted = F.when(F.col("dataset") == dataset, n).otherwise(wanted)
-    limit = max(counts.values())
-    order = Window.partitionBy("dataset").orderBy("selection_hash", "series_id")
-    picked = (
-        scored.filter(F.col("dataset").isin(*counts))
-        .withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") <= limit)
-        .filter(F.col("_rn") <= wanted)
-        .drop("_rn")
+    keys = list(keys)
+    marked = df.withColumn("_prefix", F.substring(hash_column, 1, DIGITS))
+    groups = Window.partitionBy(*keys)
+    counts = (
+        marked.groupBy(*keys, "_prefix").agg(F.count("*").alias("_rows"), F.first(wanted).cast("long").alias("_wanted"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(groups.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     )
-    if not strict:
-        return picked
-    return (
-        picked.withColumn("_have", F.count("*").over(Window.partitionBy("dataset")))
-        .filter(
-            F.when(F.col("_have") == wanted, F.lit(True)).otherwise(
+    if strict:
+        have = F.sum("_rows").over(groups)
+        counts = counts.withColumn("_have", have).filter(
+            F.when(F.col("_have") >= F.col("_wanted"), F.lit(True)).otherwise(
                 F.raise_error(F.lit("too few fresh series remain")).cast("boolean")
             )
         )
-        .drop("_have")
+    marks = counts.select(*keys, "_prefix", "_rows", (F.col("_wanted") - F.col("_before")).alias("_need")).filter("_need > 0")
+    met = marked.join(marks, [*keys, "_prefix"])
+    order = Window.partitionBy(*keys).orderBy(hash_column, tie)
+    whole = met.filter(F.col("_need") >= F.col("_rows"))
+    last = met.filter(F.col("_need") < F.col("_rows")).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= F.col("_need"))
+    return whole.unionByName(last.drop("_rn")).drop("_prefix", "_rows", "_need")
+
+
+def first_by_hash(
+    df: DataFrame, counts: dict[str, int], namespace: str, strict: bool = True
+) -> DataFrame:
+    """The first N series of each dataset in hash order: a repeatable sample of any size."""
+    wanted = F.lit(None).cast("int")
+    for dataset, n in counts.items():
+        wanted = F.when(F.col("dataset") == dataset, n).otherwise(wanted)
+    scored = df.filter(F.col("dataset").isin(*counts)).withColumn(
+        "selection_hash", digest(F.lit(namespace), F.col("dataset"), F.col("series_id"))
     )
+    return lowest_hashes(scored, ["dataset"], wanted, "selection_hash", strict)
 
 
 def length_strata(df: DataFrame, strata: int, length: str = "length", groups: Sequence[str] = ("dataset",)) -> DataFrame:
@@ -122,12 +138,6 @@ def length_strata(df: DataFrame, strata: int, length: str = "length", groups: Se
     return out.withColumn("stratum", F.greatest(k, F.lit(0)).cast("int"))
 
 
-def _first_rows(df: DataFrame, keys: Sequence[str], limit: int, name: str = "_rn") -> DataFrame:
-    """The first ``limit`` rows of each group by hash; Spark limits each task before the shuffle."""
-    order = Window.partitionBy(*keys).orderBy("_hash", "series_id")
-    return df.withColumn(name, F.row_number().over(order)).filter(F.col(name) <= limit)
-
-
 def stratified_sample(
     df: DataFrame, target: int, seed: int, strata: int = 3, length: str = "length"
 ) -> DataFrame:
@@ -137,14 +147,12 @@ def stratified_sample(
     )
     bins = F.least(F.lit(strata), F.col("n_series"))
     take = F.floor(F.lit(target) / bins) + (F.col("stratum") < F.lit(target) % bins).cast("int")
-    first = _first_rows(keyed, ["dataset", "stratum"], target).filter(F.col("_rn") <= take).drop("_rn")
+    first = cut_lineage(lowest_hashes(keyed, ["dataset", "stratum"], take, "_hash"))
     # What the strata could not give comes from the other rows, again by hash.
-    other = keyed.join(first.select("dataset", "series_id"), ["dataset", "series_id"], "left_anti")
-    fill = _first_rows(other, ["dataset"], target).drop("_rn")
-    both = first.withColumn("_early", F.lit(1)).unionByName(fill.withColumn("_early", F.lit(0)))
-    # At most two times ``target`` rows per dataset are left here.
-    place = Window.partitionBy("dataset").orderBy(F.col("_early").desc(), "_hash", "series_id")
-    return both.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= target).drop("_hash", "_early", "_place")
+    missing = first.groupBy("dataset").agg((target - F.count("*")).alias("_missing")).filter("_missing > 0")
+    other = keyed.join(first.select("dataset", "series_id"), ["dataset", "series_id"], "left_anti").join(missing, "dataset")
+    fill = lowest_hashes(other, ["dataset"], F.col("_missing"), "_hash").drop("_missing")
+    return first.unionByName(fill).drop("_hash")
 
 
 def simple_gate(certificate_limit: float = 0.20, clipping_limit: float = 0.05) -> Column:

@@ -179,6 +179,7 @@ class _Block:
         self.y = pdf["y"].to_numpy(float)
         self.x = np.stack(pdf["features"].to_numpy())
         self.block = pdf["block"].to_numpy()
+        self._shared: dict = {}
 
     def take(self, p: int, *roles: str) -> np.ndarray:
         return (self.step >= p) & np.isin(self.role, roles)
@@ -187,9 +188,13 @@ class _Block:
         x = self.x[:, : row.lag]
         if row.k == 0:
             return blocks.affine(x), None
-        z = (x - np.asarray(row.feature_mean)) / np.asarray(row.feature_scale)
-        shape = (-1, row.lag)
-        weights = blocks.firing(z, np.reshape(row.centers, shape), np.reshape(row.spreads, shape), row.active)
+        # The rules of a lag have one standardisation, those of a cut one set of distances.
+        if row.lag not in self._shared:
+            self._shared = {row.lag: (x - np.asarray(row.feature_mean)) / np.asarray(row.feature_scale)}
+        z, shape = self._shared[row.lag], (-1, row.lag)
+        if (row.lag, row.k) not in self._shared:
+            self._shared[row.lag, row.k] = blocks.log_firing(z, np.reshape(row.centers, shape), np.reshape(row.spreads, shape))
+        weights = blocks.normalised(self._shared[row.lag, row.k], row.active)
         return blocks.rule_design(z, weights), weights
 
 
@@ -288,6 +293,7 @@ def fit_and_score(
 
 
 def _one_visit(rows: DataFrame, design_rows: DataFrame, grid: Grid, limit: int) -> DataFrame:
+    """One cogroup for each (series, lag): few series still use all tasks, and the designs of a lag share its rows."""
     alphas = list(grid.ridge_alphas)
 
     def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -306,8 +312,11 @@ def _one_visit(rows: DataFrame, design_rows: DataFrame, grid: Grid, limit: int)
                     out.append((row.series_id, row.lag, row.k, row.active, a, design.shape[1], limit_y, *s, *t))
         return pd.DataFrame(out, columns=_names(SCORED))
 
-    left = spread_keys(rows, "series_id").groupBy("series_id")
-    right = spread_keys(_fresh(design_rows), "series_id").groupBy("series_id")
+    lag = F.explode(F.array(*[F.lit(p) for p in grid.lags])).alias("lag")
+    per_lag = rows.select(lag, "*").filter(F.col("step") >= F.col("lag")).withColumn("features", F.slice("features", F.lit(1), F.col("lag")))
+    keys = ["series_id", "lag"]
+    left = spread_keys(per_lag, *keys).groupBy(*keys)
+    right = spread_keys(_fresh(design_rows), *keys).groupBy(*keys)
     return left.cogroup(right).applyInPandas(visit, SCORED)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,31 +15,42 @@ from tidefold.functions.clock import epoch_seconds
 from tidefold.operators.compare import require_rows
 from tidefold.operators.quality import exact_columns, lagged_contract
 from tidefold.operators.resample import long
+from tidefold.session import spread_keys
 
 
-def positive(df: DataFrame, value: str = "value") -> DataFrame:
-    """Pass the rows through; a missing, infinite or non-positive value fails the job."""
-    good = finite(F.col(value)) & (F.col(value) > 0)
+def positive(df: DataFrame, value: str = "value", on_bad: str = "fail") -> DataFrame:
+    """Rows under the contract of finite, positive values.
+
+    A bad value fails the job; with ``on_bad='mark'`` all rows stay and
+    ``problem`` says what is wrong with a row (NULL for a good one).
+    """
+    good = F.coalesce(finite(F.col(value)) & (F.col(value) > 0), F.lit(False))
+    if on_bad == "mark":
+        reason = F.when(F.col(value).isNull(), "missing").when(finite(F.col(value)), "not positive").otherwise("not finite")
+        return df.withColumn("problem", F.when(~good, reason))
+    if on_bad != "fail":
+        raise ValueError(f"Unknown rule for bad values {on_bad}.")
     return df.filter(
         F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit(f"{value} must be finite and positive")).cast("boolean"))
     )
 
 
-def region_csv(spark: SparkSession, path: str, region: str, value_column: str) -> DataFrame:
-    """``Datetime, <value>`` file of one region; other columns or bad cells fail the job."""
+def region_csv(spark: SparkSession, path: str, region: str, value_column: str, on_bad: str = "fail") -> DataFrame:
+    """``Datetime, <value>`` file of one region; other columns fail the job, bad cells fail it or are marked."""
     rows = (
         spark.read.schema(f"Datetime timestamp_ntz, `{value_column}` double")
         .option("header", "true").option("enforceSchema", "false").option("mode", "FAILFAST")
         .csv(path)
     )
-    return positive(rows.select(F.lit(region).alias("series_id"), F.col("Datetime").alias("ts"), F.col(value_column).alias("value")))
+    named = rows.select(F.lit(region).alias("series_id"), F.col("Datetime").alias("ts"), F.col(value_column).alias("value"))
+    return positive(named, on_bad=on_bad)
 
 
-def regions_csv(spark: SparkSession, files: dict[str, tuple[str, str]]) -> DataFrame:
+def regions_csv(spark: SparkSession, files: dict[str, tuple[str, str]], on_bad: str = "fail") -> DataFrame:
     """Union of several region files given as ``region -> (path, value column)``."""
     out = None
     for region, (path, column) in files.items():
-        part = region_csv(spark, path, region, column)
+        part = region_csv(spark, path, region, column, on_bad)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("At least one region file is needed.")
@@ -44,7 +58,7 @@ def regions_csv(spark: SparkSession, files: dict[str, tuple[str, str]]) -> DataF
 
 
 def zones_csv(
-    spark: SparkSession, path: str, columns: dict[str, str], time: str = "DateTime", pattern: str = "M/d/yyyy H:mm"
+    spark: SparkSession, path: str, columns: dict[str, str], time: str = "DateTime", pattern: str = "M/d/yyyy H:mm", on_bad: str = "fail"
 ) -> DataFrame:
     """Wide file with one column per zone, as long rows. ``columns`` maps file names to zone names."""
     fields = ", ".join([f"`{time}` string", *[f"`{c}` double" for c in columns]])
@@ -54,7 +68,7 @@ def zones_csv(
     named = rows.select(
         F.to_timestamp_ntz(F.col(time), F.lit(pattern)).alias("ts"), *[F.col(f"`{c}`").alias(z) for c, z in columns.items()]
     )
-    return positive(long(named, "ts", list(columns.values())))
+    return positive(long(named, "ts", list(columns.values())), on_bad=on_bad)
 
 
 def read_wide_panel(
@@ -89,12 +103,28 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter((line != "") & ~line.startswith("#")).select(line.alias("id")).distinct()
 
 
+PART = 8 << 20
+
+
+def _hashed(batches):
+    """SHA-256 of each path, read in parts of ``PART`` bytes."""
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            system, place = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                while part := stream.read(PART):
+                    digest.update(part)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "sha256"])
+
+
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of every file under a folder; one file is one row."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    """SHA-256 of every file under a folder, of any size: only names are rows, a file's bytes pass through its task."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    names = listed.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("bytes"))
+    return spread_keys(names, "path").mapInArrow(_hashed, "name string, path string, bytes long, sha256 string")
 
 
 def verify_hashes(found: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ any data is read. That length is what lets the operators use plain windows.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,27 @@ ORDER_WEEKS = Period(datetime(1994, 12, 26), datetime(2001, 8, 6), WEEK, 52)
 SHIP_WEEKS = Period(datetime(1995, 1, 2), datetime(2001, 11, 5), WEEK, 52)
 
 
+def observed_period(rows: DataFrame, step: int, season: int, anchor: datetime = datetime(1970, 1, 1), ts: str = "ts") -> Period:
+    """The period of whole steps, counted from ``anchor``, that holds every row: nothing lies outside.
+
+    One job over a single column; a file's statistics answer it where the source has them.
+    """
+    first, last = rows.agg(F.min(ts).cast("timestamp_ntz"), F.max(ts).cast("timestamp_ntz")).first()
+    if first is None:
+        raise ValueError("There are no rows to take a period from.")
+    slot = timedelta(seconds=step)
+    return Period(anchor + slot * ((first - anchor) // slot), anchor + slot * ((last - anchor) // slot + 1), step, season)
+
+
+def outside(rows: DataFrame, period: Period, ts: str = "ts") -> DataFrame:
+    """Per series: rows before, in and behind a fixed period, which a panel over it would leave out."""
+    low, high = (F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz") for t in (period.start, period.end))
+    return rows.groupBy("series_id").agg(
+        F.count("*").alias("rows"), F.count_if(F.col(ts) < low).alias("rows_before"), F.count_if(F.col(ts) >= high).alias("rows_behind"),
+        F.count_if(F.col(ts).isNull()).alias("rows_without_time"),
+    )
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -65,26 +86,26 @@ def shipments(spark: SparkSession, folder: str, key: str = "l_returnflag") -> Da
     )
 
 
-def evt_hour(spark: SparkSession, folder: str) -> DataFrame:
-    p = EVENT_HOURS
+def evt_hour(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
+    p = period or EVENT_HOURS
     return panel(events(spark, folder), p.start, p.end, p.step)
 
 
-def user_day(spark: SparkSession, folder: str) -> DataFrame:
-    p = EVENT_DAYS
+def user_day(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
+    p = period or EVENT_DAYS
     return panel(events(spark, folder, "user_id"), p.start, p.end, p.step, how="sum")
 
 
-def seg_week(spark: SparkSession, folder: str) -> DataFrame:
-    p = ORDER_WEEKS
+def seg_week(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
+    p = period or ORDER_WEEKS
     return panel(orders_by_segment(spark, folder), p.start, p.end, p.step)
 
 
-def ship_week(spark: SparkSession, folder: str) -> DataFrame:
-    p = SHIP_WEEKS
+def ship_week(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
+    p = period or SHIP_WEEKS
     return panel(shipments(spark, folder), p.start, p.end, p.step, how="sum")
 
 
-def supplier_week(spark: SparkSession, folder: str) -> DataFrame:
-    p = SHIP_WEEKS
+def supplier_week(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
+    p = period or SHIP_WEEKS
     return panel(shipments(spark, folder, "l_suppkey"), p.start, p.end, p.step, how="sum")

@@ -121,15 +121,22 @@ def as_declared(text: Column, kind: Column) -> Column:
     return F.when(F.trim(text).isin("", "?"), text).when(kind == "numeric", numeric).when(kind == "date", date).otherwise(text)
 
 
-def typed(value: Column, kind: str) -> Column:
-    """Attribute text in its declared type."""
-    if kind == "string":
-        return value
-    if kind == "numeric":
-        return value.cast("double")
-    if kind == "date":
-        return F.to_timestamp_ntz(value, F.lit(DATE_FORMAT))
-    raise ValueError(f"Unknown attribute type {kind}.")
+def typed(text: Column, kind: Column) -> Column:
+    """Attribute text that was checked against its type, as a VARIANT: whole and other numbers, moments in ISO form, text."""
+    number = text.try_cast("double")
+    whole = F.when(number == F.floor(number), F.floor(number).cast("long"))
+    moment = F.date_format(F.try_to_timestamp(text, F.lit(DATE_FORMAT)), "yyyy-MM-dd'T'HH:mm:ss")
+    numeric = F.when(whole.isNotNull(), whole.cast("variant")).otherwise(number.cast("variant"))
+    return (
+        F.when((kind == "numeric") & number.isNotNull(), numeric)
+        .when((kind == "date") & moment.isNotNull(), moment.cast("variant"))
+        .otherwise(text.cast("variant"))
+    )
+
+
+def typed_attributes(attributes: Column, kinds: Column) -> Column:
+    """Map of attribute names to VARIANT values in their declared types."""
+    return F.map_from_arrays(F.map_keys(attributes), F.transform(F.map_keys(attributes), lambda k: typed(attributes[k], kinds[k])))
 
 
 def _lowered(attributes: Column) -> Column:
@@ -153,12 +160,15 @@ def horizon(attributes: Column, dataset: Column, fallback: int | None = None) ->
 
 
 def read_panel(spark: SparkSession, path: str, fallback_horizon: int | None = None) -> DataFrame:
-    """Long table ``file, series_id, horizon, attributes, pos, value`` ready for the preparation plan."""
+    """Long table ``file, series_id, horizon, attributes, typed, pos, value`` ready for the preparation plan.
+
+    ``attributes`` holds the texts, ``typed`` the same values in their declared types.
+    """
     records = read_records(spark, path)
     return records.select(
         "file", series_id(F.col("attributes"), F.col("index")).alias("series_id"),
         horizon(F.col("attributes"), F.col("dataset_horizon"), fallback_horizon).alias("horizon"), "attributes",
-        F.posexplode("values").alias("pos", "value"),
+        typed_attributes(F.col("attributes"), F.col("kinds")).alias("typed"), F.posexplode("values").alias("pos", "value"),
     ).withColumn("pos", F.col("pos").cast("long"))
 
 
