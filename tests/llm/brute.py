@@ -46,9 +46,8 @@ def contamination(rows, items, length=10):
     for item, text in items:
         w = alnum_words(text)
         n = min(length, len(w))
-        if n and item is not None:
-            for k in range(len(w) - n + 1):
-                windows[tuple(w[k : k + n])].add(str(item))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[k : k + n])] |= set() if item is None else {str(item)}
     out = []
     for doc, text in rows:
         w, hit, found = alnum_words(text), set(), set()

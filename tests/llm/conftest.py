@@ -1,6 +1,6 @@
 import pytest
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score string, node int, size string, copies int, toxic string, __extra string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score string, node int, size string, copies int, toxic string, __extra string, __score string, __found string, __id long, __a string, __one string"
 
 
 def words(seed: int, n: int) -> list[str]:
@@ -18,7 +18,7 @@ def odd_docs(spark):
         (7, " ".join(words(2, 30_000)), "a"), (8, "x\n\n y\t z", None), (9, "Idiot! " + " ".join(words(3, 50)), "b"), (10, " ".join(words(4, 60)), "c"),
         (10, " ".join(words(4, 60)), "c"), (11, "!!! ??? ***", "b"), (12, "é ü ñ 漢字 émile", "a"), (None, None, None),
     ]
-    rows = [(i, t, "en", s, None, "s", 1, "z", 2, None, "e") for i, t, s in texts]
+    rows = [(i, t, "en", s, None, "s", 1, "z", 2, None, "e", "p", "f", 3, "a", "o") for i, t, s in texts]
     return spark.createDataFrame(rows, COLUMNS)
 
 

@@ -18,3 +18,11 @@ def fold(doc_id: Column, folds: int) -> Column:
 def in_fold(doc_id: Column, folds: int, wanted: int) -> Column:
     """True for the wanted fold; a NULL id is in none."""
     return F.coalesce(fold(doc_id, folds) == wanted, F.lit(False))
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix for helper columns that no column of ``df`` begins with."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

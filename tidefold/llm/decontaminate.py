@@ -8,8 +8,9 @@ windows, so what is broadcast has a fixed bound: a larger benchmark takes more
 passes over the texts, never a larger broadcast. A hash that is found is
 verified against the window's words before it counts.
 
-NULL, empty and word-free texts have no hit. Items with a NULL id or without a
-word are no items. Items that repeat an id count once for it. Extra columns are
+NULL, empty and word-free texts have no hit. Items without a word are no items.
+The windows of an item with a NULL id count as hits, but it is in no list of
+items. Items that repeat an id count once for it. Extra columns are
 ignored by ``contamination`` and kept by ``without_spans``.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm import bytewords as bw
-from tidefold.llm.common import table
+from tidefold.llm.common import free_prefix, table
 from tidefold.session import store
 
 LENGTH = 10
@@ -48,7 +49,7 @@ def item_windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
                 window, n, item = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), pa.array(n, pa.int32()), pa.array(item, pa.string())], ["window", "n", "item"])
 
-    known = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null")
+    known = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     return known.mapInArrow(cut, "window binary, n int, item string").distinct()
 
 
@@ -57,7 +58,9 @@ def _block_of(rows) -> tuple[dict, dict]:
     items: dict[bytes, list[str]] = {}
     sizes: dict[bytes, int] = {}
     for window, n, item in rows:
-        items.setdefault(bytes(window), []).append(item)
+        named = items.setdefault(bytes(window), [])
+        if item is not None:
+            named.append(item)
         sizes[bytes(window)] = n
     by_size = {}
     for n in sorted(set(sizes.values())):
@@ -107,7 +110,7 @@ def _scanner(shared):
                 if bits is not None:
                     own = own | np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
                 bits = None
-                if found:
+                if own.any():
                     edges = lo + np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
                     begin, stop = w.start[edges[::2]] - w.row_start[row], w.end[edges[1::2] - 1] - w.row_start[row]
                     spans = [{"start": x, "stop": y} for x, y in zip(begin.tolist(), stop.tolist())]
@@ -129,20 +132,22 @@ def _blocks(items: DataFrame, length: int, block: int):
         yield k == blocks - 1, spark.sparkContext.broadcast(_block_of([tuple(r) for r in part.toLocalIterator()]))
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK) -> DataFrame:
-    """``keep`` columns of each row in ``__found``: n_words, n_hit, the items (sorted as text), byte spans of hit words.
+def contamination(
+    docs: DataFrame, items: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK, name: str = "__found"
+) -> DataFrame:
+    """``keep`` columns of each row and, in ``name``: n_words, n_hit, the items (sorted as text), byte spans of hit words.
 
     With one block this is a map over the scan. More blocks are passed through
     one after another over a written table, so a task holds one block at a time.
     """
     columns = list(dict.fromkeys([*keep, "text"]))
-    out = docs.select(*columns, F.lit(None).cast(NOTHING).alias("__found"))
+    out = docs.select(*columns, F.lit(None).cast(NOTHING).alias(name))
     for last, shared in _blocks(items, length, block):
-        earlier = F.struct(F.col("__found.hits").alias("hits"), F.col("__found.items").alias("items"))
-        out = out.select(*columns, _scanner(shared)(F.col("text").cast("string"), earlier).alias("__found"))
+        earlier = F.struct(F.col(f"{name}.hits").alias("hits"), F.col(f"{name}.items").alias("items"))
+        out = out.select(*columns, _scanner(shared)(F.col("text").cast("string"), earlier).alias(name))
         if not last:
             out = store(out)
-    return out.select(*keep, "__found")
+    return out.select(*keep, name)
 
 
 def without_spans(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -161,13 +166,15 @@ def without_spans(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> Da
             out.append(body)
         return pd.Series(out, dtype=object)
 
-    found = contamination(docs, items, length, tuple(docs.columns))
-    return found.withColumn("text", cut(F.col("text").cast("string"), F.col("__found"))).select(*docs.columns)
+    name = f"{free_prefix(docs)}found"
+    found = contamination(docs, items, length, tuple(docs.columns), name=name)
+    return found.withColumn("text", cut(F.col("text").cast("string"), F.col(name))).select(*docs.columns)
 
 
 def without_documents(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows of ``docs`` in which no window of an item occurs."""
-    return contamination(docs, items, length, tuple(docs.columns)).filter(F.col("__found.n_hit") == 0).select(*docs.columns)
+    name = f"{free_prefix(docs)}found"
+    return contamination(docs, items, length, tuple(docs.columns), name=name).filter(F.col(f"{name}.n_hit") == 0).select(*docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +192,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH item_words AS (
     SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-    FROM benchmark WHERE item_id IS NOT NULL
+    FROM benchmark
 ), windows AS (
     SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS window
     FROM item_words, LATERAL unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(k)

@@ -6,9 +6,11 @@ skip-grams over one word, ``2**BITS`` slots in all; words are as in
 most weights at zero, so the trained model is one array of at most ``2**BITS``
 floats: that size, and not the corpus, bounds what is broadcast.
 
-Training uses at most ``MOST_ROWS`` labelled rows, those with the smallest hash
+Training uses at most ``MOST_ROWS`` labelled texts, those with the smallest hash
 of id and text (a documented bound on the sample of labelled rows; scoring
-covers every row). FTRL takes one example after another, so the sample, as
+covers every row). The sample is chosen from ids and hashes alone, by counts of hash
+prefixes, and only the chosen texts are fetched. Rows that repeat an id and a text are
+one example. FTRL takes one example after another, so the sample, as
 integer slots, is learnt from in one task; its size is fixed by that bound.
 
 The threshold on the score is ``CUT``. An empty, NULL or word-free text has the
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm import bytewords as bw
-from tidefold.llm.common import in_fold, table
+from tidefold.llm.common import free_prefix, in_fold, table
+from tidefold.operators.select import lowest_hashes
 from tidefold.session import spread_keys, store
 
 BITS = 20
@@ -98,14 +101,23 @@ def _learn(rounds: int):
     return learn
 
 
-def train(labelled: DataFrame, most_rows: int = MOST_ROWS, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights from ``labelled(doc_id, text, toxic)``; features are made in parallel, the bounded sample is learnt from in one order."""
-    sample = (
-        labelled.filter(F.col("toxic").isNotNull())
-        .select(F.xxhash64(F.lit(7), "doc_id", "text").alias("key"), F.col("toxic").cast("double").alias("toxic"), "text")
-        .orderBy("key", "toxic").limit(most_rows)
+def sample_of(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(key, toxic, text) of at most ``most_rows`` labelled texts outside the held-out fold."""
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    known = own.select("doc_id", "text_hash").join(toxic_labels(labels), F.col("doc_id") == F.col("__label_id"))
+    learnable = known.filter(~in_fold(F.col("doc_id"), 4, 2) & F.col("toxic").isNotNull())
+    hashed = learnable.groupBy("doc_id", "text_hash").agg(F.max("toxic").cast("double").alias("toxic")).withColumn(
+        "key", F.lpad(F.hex(F.xxhash64(F.lit(7), "doc_id", "text_hash")), 16, "0")
     )
-    rows = store(spread_keys(sample, "key").mapInArrow(_examples, "key long, toxic double, slots array<int>"))
+    chosen = store(lowest_hashes(hashed, [], F.lit(most_rows), "key", tie="doc_id").select("doc_id", "text_hash", "toxic", "key"))
+    # Bounded: at most ``most_rows`` small rows meet the texts.
+    return own.join(F.broadcast(chosen), ["doc_id", "text_hash"]).groupBy("key").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text"))
+
+
+def train(sample: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights from a bounded ``sample(key, toxic, text)``; features are made in parallel and learnt from in one order."""
+    rows = store(spread_keys(sample, "key").mapInArrow(_examples, "key string, toxic double, slots array<int>"))
     learnt = rows.repartition(1).sortWithinPartitions("key", "toxic").mapInArrow(_learn(rounds), "slot long, weight double").toArrow()
     weights = np.zeros(1 << BITS, np.float32)
     weights[learnt.column("slot").to_numpy()] = learnt.column("weight").to_numpy()
@@ -140,14 +152,13 @@ def toxic_labels(labels: DataFrame) -> DataFrame:
 
 def learnt(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights from the labelled rows outside the held-out fold."""
-    own = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pairs = own.join(toxic_labels(labels), F.col("doc_id") == F.col("__label_id"))
-    return train(pairs.filter(~in_fold(F.col("doc_id"), 4, 2)).select("doc_id", "text", "toxic"))
+    return train(sample_of(docs, labels))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """Rows of ``docs`` that score below ``cut``; columns unchanged."""
-    return scored(docs, learnt(docs, labels), name="__score").filter(F.col("__score") < cut).select(*docs.columns)
+    name = f"{free_prefix(docs)}score"
+    return scored(docs, learnt(docs, labels), name=name).filter(F.col(name) < cut).select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
