@@ -2,7 +2,7 @@
 
 import zlib
 from collections import Counter
-from math import isclose, log10
+from math import log, log10
 
 import numpy as np
 import public_tokenizers
@@ -133,43 +133,76 @@ def test_counts_and_files_of_odd_rows(odd_docs, no_docs, tmp_path):
     assert isinstance(ids, np.memmap) and len(ids) == row["n_tokens"] == offsets[-1] and offsets.dtype == np.dtype("<u8")
 
 
-def test_scores_match_a_direct_model(spark, monkeypatch):
-    """Base scores exactly; the tree's prediction of every context sums to one and helps where contexts repeat."""
-    monkeypatch.setattr(suffix_tree, "BATCH_BYTES", 4_000)
+def tree_scores(rows, held, state, following):
+    """(base, score) of each text by the definition, with dictionaries of word tuples."""
+    texts = [brute.SPACED.findall((t or "").translate(brute.FOLD)) + [None] for _, t in rows]
+    counts = [Counter() for _ in range(suffix_tree.DEPTH + 2)]
+    for (k, _), x in zip(rows, texts):
+        if not held(k):
+            for length in range(1, suffix_tree.DEPTH + 2):
+                counts[length].update(tuple(x[i : i + length]) for i in range(len(x) - length + 1))
+    total, distinct, smooth = sum(counts[1].values()), len(counts[1]), suffix_tree.SMOOTH
+    retained = {}
+
+    def predicted(before, x, depth):
+        p = (counts[1][(x,)] + 0.5) / (total + 0.5 * (distinct + 1))
+        for d in range(1, min(depth, len(before)) + 1):
+            if before[-d:] in retained:
+                c, entries = retained[before[-d:]]
+                p = (entries.get(x, 0) + (c - sum(entries.values()) + smooth) * p) / (c + smooth)
+        return p
+
+    for depth in range(1, suffix_tree.DEPTH + 1):
+        entries = {}
+        for gram, n in counts[depth + 1].items():
+            if n >= following:
+                entries.setdefault(gram[:-1], {})[gram[-1]] = n
+        new = {}
+        for s, c in counts[depth].items():
+            if c >= state and s in entries:
+                own = {x: (n / c, predicted(s, x, depth - 1)) for x, n in entries[s].items()}
+                rest, below = 1 - sum(a for a, _ in own.values()), 1 - sum(b for _, b in own.values())
+                gain = sum(a * log(a / b) for a, b in own.values()) + (rest * log(rest / max(below, 1e-12)) if rest > 1e-15 else 0)
+                if gain >= suffix_tree.DIVERGENCE:
+                    new[s] = c, entries[s]
+        retained.update(new)
+    out = []
+    for x in texts:
+        each = [(predicted((), w, 0), predicted(tuple(x[max(0, i - suffix_tree.DEPTH) : i]), w, suffix_tree.DEPTH)) for i, w in enumerate(x)]
+        out.append((len(x), sum(counts[1][(w,)] > 0 for w in x), total, *(sum(log10(e[k]) for e in each) for k in (0, 1))))
+    return out, retained
+
+
+@pytest.mark.parametrize("state,following,batch", [(2, 1, 4_000), (16, 4, 4_000), (6, 2, 32 << 20)])
+def test_scores_match_a_direct_tree(spark, monkeypatch, state, following, batch):
+    """Base and tree scores of every text, with NULLs, repeated rows and copies of NULL ids, in one batch and in many."""
+    monkeypatch.setattr(suffix_tree, "BATCH_BYTES", batch)
+    monkeypatch.setattr(suffix_tree, "STATE", state)
+    monkeypatch.setattr(suffix_tree, "NEXT", following)
     rng = np.random.default_rng(4)
     rows = [(k, " ".join(w for _ in range(60) for w in (("red", "car") if rng.random() < 0.5 else ("Blue", "sky", str(rng.integers(0, 40)))))) for k in range(40)]
-    rows += [(100, None), (101, ""), (None, "red car"), (7, rows[7][1])]
+    rows += [(100, None), (101, ""), (None, "red car"), (7, rows[7][1]), (None, "a b c d"), (None, "a b c d"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     held = (docs["doc_id"] % 5 == 1).__and__(docs["doc_id"].isNotNull())
     got = suffix_tree.scores(docs, held).collect()
-    tokens = lambda t: brute.SPACED.findall((t or "").translate(brute.FOLD)) + [None]
-    counts = Counter(x for k, t in rows if k is None or k % 5 != 1 for x in tokens(t))
-    total, distinct = sum(counts.values()), len(counts)
-    want = sorted(
-        (str(k), len(tokens(t)), sum(counts[x] > 0 for x in tokens(t)), total, round(sum(log10((counts[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in tokens(t)), 6))
-        for k, t in rows
+    want, retained = tree_scores(rows, lambda k: k is not None and k % 5 == 1, state, following)
+    assert len(retained) > 3 and {len(s) for s in retained} >= {1, 2}
+    key = lambda r: (str(r[0]), *(round(x, 6) for x in r[1:]))
+    assert sorted(key((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])) for r in got) == sorted(
+        key((k, *w)) for (k, _), w in zip(rows, want)
     )
-    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert sum(r["score"] for r in got if r["held_out"]) > 0.8 * sum(r["base_score"] for r in got if r["held_out"])
-    assert all(r["score"] < 0 for r in got)
-
-
-def test_every_state_sums_to_one(spark):
-    docs = spark.createDataFrame([("a b a c a b d b a b",), ("a b b a c",)], "text string")
-    import pyarrow as pa
-
-    texts = pa.array([r["text"] for r in docs.collect()])
-    keys, first = suffix_tree.tokens(texts)
-    unique, n = np.unique(keys, return_counts=True)
-    words = spark.createDataFrame([(int(k), int(c)) for k, c in zip(unique.view(np.int64), n)], "key long, n long")
-    model = suffix_tree.learn(docs, words)
-    assert any(len(level.key) for level in model.levels)
-    for level_number, level in enumerate(model.levels, 1):
-        for state in level.key:
-            # All words after this state, through the shorter suffixes as well: sums over the vocabulary and the unknown word.
-            p = model.root(np.append(n, 0))
-            out = model.refine(level, p, np.full(len(p), state), np.append(unique, np.uint64(12345)))
-            assert isclose(out.sum(), 1.0, rel_tol=1e-9) and level_number <= suffix_tree.DEPTH
+
+
+@pytest.mark.parametrize("filler", [20, 2_000])
+def test_a_passage_is_learnt_in_a_corpus_of_any_size(spark, filler):
+    """A passage of 100 training texts keeps its score when the rest of the corpus grows a hundredfold."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    rng = np.random.default_rng(5)
+    rows = [(5 * k, passage) for k in range(100)] + [(1, passage)] + [(5 * k + 2, " ".join(f"f{w}" for w in rng.integers(0, 500, 200))) for k in range(filler)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_tree.scores(docs, docs["doc_id"] == 1).filter("held_out").first()
+    # The first word is the root's matter; the other forty tokens follow a learnt context.
+    assert got["score"] > -8 and got["base_score"] < -60
 
 
 def test_scores_of_odd_rows(spark, odd_docs, no_docs):

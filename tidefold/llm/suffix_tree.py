@@ -1,33 +1,39 @@
 """Language-model scores of texts by a probabilistic suffix tree over words.
 
 Tokens are the lower-cased (A-Z) runs of characters that are no ASCII white
-space, then one end token a text. The root predicts every token from its count;
-this part of the model grows with the vocabulary and is never gathered: texts
-are dealt into batches of about ``BATCH_BYTES``, each batch asks for the counts of
-its own distinct words, and meets them again for scoring.
-
-Deeper states are the contexts of up to ``DEPTH`` words that make up at least a
-share ``STATE`` of the training tokens; a state lists the next tokens that follow
-it in at least a share ``NEXT`` of all. Both shares bound the model by
-construction, whatever the corpus: at most ``1/STATE`` states and ``1/NEXT`` next
-tokens at each depth, which is what is sent to the tasks. A context extends a
-context of one word less. A state is retained if its distribution diverges from
-that of its longest retained suffix by ``DIVERGENCE`` nats or more. With ``c`` its
-count, ``k(x)`` its listed counts and ``K`` their sum it predicts
+space, then one end token a text. The root predicts every token from its count.
+Deeper states are the contexts of up to ``DEPTH`` words that occur at least
+``STATE`` times in training; a state lists the next tokens that follow it at least
+``NEXT`` times. Both are plain counts, so the tree grows with the corpus, and a
+passage that occurs often enough is learnt in a corpus of any size. A state is
+retained if its distribution diverges from that of its longest retained suffix
+by ``DIVERGENCE`` nats or more. With ``c`` its count, ``k(x)`` its listed counts and
+``K`` their sum it predicts
 
     P(x) = (k(x) + (c - K + SMOOTH) * P'(x)) / (c + SMOOTH)
 
 where ``P'`` is the prediction of that suffix, so every state sums to one. A token
 is scored by its longest retained suffix.
 
+The tree is never gathered. Texts are dealt into batches of about ``BATCH_BYTES``
+and written as a table bucketed by batch. Depth by depth each batch asks for the
+word sequences it holds: it sends every distinct sequence once, with its own
+training count and the prediction of the shorter suffix, which it can work out
+from the answers it has; counts are added up by sequence, divergences by state,
+and what is listed or retained goes back to the batches that asked. A sequence is
+asked for only if all of it but the last word is frequent enough to be a state. At
+the end each batch scores its own texts. A sequence has at most one row a batch,
+so even the most frequent one is a small group.
+
 NULL and empty texts are the end token alone. Rows of a NULL id are learnt from.
-Repeated rows are learnt from and scored one by one. Without training rows all
-counts are zero and the score is that of the root.
+Repeated rows are learnt from and scored one by one, in whatever batches they fall.
+Without training rows all counts are zero and the score is that of the root.
+Words and sequences are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,27 +42,18 @@ from pyspark.sql import functions as F
 
 from tidefold.llm import bytewords as bw
 from tidefold.llm.common import in_fold, table
-from tidefold.llm.grouped import groups
-from tidefold.session import spread_keys, store
+from tidefold.session import shared_folder, store
 
 DEPTH = 3
-STATE, NEXT = 1e-4, 2e-6
+STATE, NEXT = 16, 4
 DIVERGENCE = 0.01
 SMOOTH = 20.0
 BATCH_BYTES = 32 << 20
-FLUSH = 1 << 22
 END = bw.mix(np.asarray([0x454E44], np.uint64))[0]
 
-
-@dataclass
-class Level:
-    """States of one depth, sorted by key, and their listed next tokens, sorted by key."""
-
-    key: np.ndarray
-    count: np.ndarray
-    listed: np.ndarray
-    entry: np.ndarray
-    entry_count: np.ndarray
+ANSWER = "batch long, depth int, is_state boolean, key long, n long, listed long"
+GRAM = "batch long, gram long, state long, n long, p float"
+SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +65,20 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def grams(keys: np.ndarray, length: int) -> np.ndarray:
+    """For each token the hash of the ``length`` tokens that end with it; only right where they are in the same text."""
+    if length == 1:
+        return keys
+    out = np.zeros(len(keys), np.uint64)
+    if len(keys) >= length:
+        out[length - 1 :] = bw.runs(keys, length)
+    return out
+
+
 def context(keys: np.ndarray, depth: int) -> np.ndarray:
-    """For each token the hash of the ``depth`` tokens before it; only right where they are in the same text."""
+    """For each token the hash of the ``depth`` tokens before it."""
     out = np.zeros(len(keys), np.uint64)
-    if len(keys) > depth:
-        out[depth:] = bw.runs(keys, depth)[: len(keys) - depth]
+    out[1:] = grams(keys, depth)[:-1]
     return out
 
 
@@ -88,176 +94,158 @@ def look_up(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def followed(state: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return bw.mix(state * bw.STEP + token + np.uint64(3))
+def _unsigned(part: pa.Table, name: str) -> np.ndarray:
+    return part.column(name).to_numpy().astype(np.int64).view(np.uint64)
 
 
-def _as_long(keys: np.ndarray) -> pa.Array:
-    return pa.array(keys.view(np.int64))
-
-
-def _word_counts(batches):
-    for part in groups(batches, "batch"):
-        train = part.column("train").to_numpy()
-        texts, held, learnt = part.column("text").combine_chunks(), [], []
-        for a, b in bw.slices(texts):
-            keys, first = tokens(texts.slice(a, b - a))
-            own = np.repeat(train[a:b], np.diff(first))
-            learnt.append(keys[own])
-            held.append(np.unique(keys[~own]))
-        key, n = np.unique(np.concatenate(learnt), return_counts=True)
-        other = np.setdiff1d(np.concatenate(held), key)
-        keys = np.concatenate([key, other])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(keys), part.column("batch")[0].as_py())), _as_long(keys), pa.array(np.concatenate([n, np.zeros(len(other), np.int64)]))],
-            ["batch", "key", "n"],
-        )
+class Known:
+    """What a batch was told: training counts of its words, its states and listed sequences of each depth."""
 
+    def __init__(self, answers: pa.Table, total: int, distinct: int):
+        self.total, self.distinct = total, distinct
+        key, n, listed, depth = _unsigned(answers, "key"), *(answers.column(c).to_numpy() for c in ("n", "listed", "depth"))
+        state = answers.column("is_state").to_numpy(zero_copy_only=False).astype(bool) if answers.num_rows else np.zeros(0, bool)
+        order = np.argsort(key)
+        self.rows = {}
+        for d in range(DEPTH + 1):
+            for is_state in (False, True):
+                at = order[(depth == d)[order] & (state == is_state)[order]]
+                self.rows[d, is_state] = key[at], n[at], listed[at]
 
-def _pair_counts(shared, depth: int):
-    """Counts of (context, next token) for the given contexts and next tokens."""
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        words, n, _ = self.rows[0, False]
+        return n[np.searchsorted(words, keys)]
 
-    def count(batches):
-        contexts, following = shared.value
-        waiting, size = [], 0
+    def frequent(self, depth: int, least: int) -> np.ndarray:
+        """The contexts of this many words that occur at least so often."""
+        key, n, _ = self.rows[depth - 1, False]
+        return key[n >= least]
 
-        def flush():
-            pair, n = np.unique(np.concatenate(waiting), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [_as_long(contexts[pair // len(following)]), _as_long(following[pair % len(following)]), pa.array(n)], ["state", "token", "n"]
-            )
+    def root(self, count: np.ndarray) -> np.ndarray:
+        return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in bw.slices(texts):
-                keys, first = tokens(texts.slice(a, b - a))
-                state = look_up(contexts, context(keys, depth))
-                at = np.flatnonzero((state >= 0) & (place_in_text(first) >= depth))
-                token = look_up(following, keys[at])
-                at, token = at[token >= 0], token[token >= 0]
-                waiting.append(state[at] * len(following) + token)
-                size += len(at)
-                if size >= FLUSH:
-                    yield from flush()
-                    waiting, size = [], 0
-        if size:
-            yield from flush()
+    def predicted(self, keys: np.ndarray, place: np.ndarray, count: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+        """Probability of each token by its longest retained suffix of at most ``depth`` words."""
+        p = self.root(count)
+        for d in range(1, depth + 1):
+            states, c, listed = self.rows[d, True]
+            if not len(states):
+                continue
+            at = np.flatnonzero(place >= d)
+            s = look_up(states, context(keys, d)[at])
+            at, s = at[s >= 0], s[s >= 0]
+            sequence, n, retained = self.rows[d, False]
+            e = look_up(sequence, grams(keys, d + 1)[at])
+            k = np.where((e >= 0) & (retained[e] > 0), n[e], 0) if len(sequence) else 0
+            p[at] = (k + (c[s] - listed[s] + SMOOTH) * p[at]) / (c[s] + SMOOTH)
+        return p
+
+
+def _long(keys: np.ndarray) -> pa.Array:
+    return pa.array(keys.view(np.int64))
 
-    return count
 
+def _batch(part: pa.Table, rows: int) -> pa.Array:
+    return pa.array(np.full(rows, part.column("batch")[0].as_py(), np.int64))
+
+
+def _slices(part: pa.Table):
+    """(first row, last row, tokens, first token of each row) of a batch, some megabytes at a time."""
+    texts = part.column("text").combine_chunks()
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    for a, b in bw.slices(texts):
+        yield a, b, *tokens(texts.slice(a, b - a))
+
+
+def _word_rows(part: pa.Table) -> pa.Table:
+    """The distinct words of a batch with their training counts in it; words of held-out texts alone have none."""
+    held, found = part.column("held_out").to_numpy(zero_copy_only=False), []
+    for a, b, keys, first in _slices(part):
+        key, which = np.unique(keys, return_inverse=True)
+        found.append((key, np.bincount(which, np.repeat(~held[a:b], np.diff(first)), len(key)).astype(np.int64)))
+    key, which = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    n = np.bincount(which, np.concatenate([n for _, n in found]), len(key)).astype(np.int64)
+    return pa.table([_batch(part, len(key)), _long(key), pa.array(n)], ["batch", "key", "n"])
+
+
+def _gram_rows(depth: int, total: int, distinct: int, least_state: int, least_next: int):
+    """The distinct sequences of a frequent context and a frequent next token in a batch."""
+
+    def ask(part: pa.Table, answers: pa.Table) -> pa.Table:
+        known = Known(answers, total, distinct)
+        contexts = known.frequent(depth, least_state)
+        held, found = part.column("held_out").to_numpy(zero_copy_only=False), []
+        for a, b, keys, first in _slices(part):
+            count, place = known.counts(keys), place_in_text(first)
+            before = context(keys, depth)
+            at = np.flatnonzero((place >= depth) & (count >= least_next))
+            at = at[look_up(contexts, before[at]) >= 0]
+            gram, one, which = np.unique(grams(keys, depth + 1)[at], return_index=True, return_inverse=True)
+            own = np.repeat(~held[a:b], np.diff(first))[at]
+            p = known.predicted(keys, place, count, depth - 1)[at][one]
+            found.append((gram, before[at][one], np.bincount(which, own, len(gram)).astype(np.int64), p.astype(np.float32)))
+        gram, state, n, p = (np.concatenate(x) for x in zip(*found))
+        gram, one, which = np.unique(gram, return_index=True, return_inverse=True)
+        n = np.bincount(which, n, len(gram)).astype(np.int64)
+        return pa.table([_batch(part, len(gram)), _long(gram), _long(state[one]), pa.array(n), pa.array(p[one])], ["batch", "gram", "state", "n", "p"])
+
+    return ask
+
+
+def _score(total: int, distinct: int):
+    def score(part: pa.Table, answers: pa.Table) -> pa.Table:
+        known, out = Known(answers, total, distinct), []
+        for _, _, keys, first in _slices(part):
+            count = known.counts(keys)
+            base, best = np.log10(known.root(count)), np.log10(known.predicted(keys, place_in_text(first), count))
+            out.append([np.diff(first), *(np.add.reduceat(x, first[:-1]) for x in ((count > 0).astype(np.int64), base, best))])
+        n_tokens, seen, base, best = (pa.array(np.concatenate(c)) for c in zip(*out))
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.table([part.column("doc_id"), part.column("held_out"), n_tokens, seen, pa.array(np.full(part.num_rows, total, np.int64)), base, best], names)
 
-class Model:
-    """Root totals and the retained levels (bounded by STATE and NEXT)."""
+    return score
 
-    def __init__(self, total: int, distinct: int, levels=()):
-        self.total, self.distinct, self.levels = total, distinct, [Level(*arrays) for arrays in levels]
 
-    def plain(self) -> tuple:
-        return self.total, self.distinct, [(x.key, x.count, x.listed, x.entry, x.entry_count) for x in self.levels]
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once as a table bucketed by ``key``: jobs that group it by the key do not shuffle it again."""
+    spark = df.sparkSession
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"batches_{uuid.uuid4().hex}"
+    writer = df.repartition(parts, key).sortWithinPartitions(key).write.bucketBy(parts, key).sortBy(key)
+    writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
-    def root(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-    def refine(self, level: Level, p: np.ndarray, state_key: np.ndarray, token: np.ndarray) -> np.ndarray:
-        state = look_up(level.key, state_key)
-        at = np.flatnonzero(state >= 0)
-        s = state[at]
-        entry = look_up(level.entry, followed(state_key[at], token[at]))
-        k = np.where(entry >= 0, level.entry_count[entry] if len(level.entry) else 0, 0)
-        out = p.copy()
-        out[at] = (k + (level.count[s] - level.listed[s] + SMOOTH) * p[at]) / (level.count[s] + SMOOTH)
-        return out
-
-    def add(self, words: list[np.ndarray], count: np.ndarray, state: np.ndarray, token: np.ndarray, n: np.ndarray, root_count: np.ndarray) -> None:
-        """Test candidate states of the next depth and retain those that diverge.
-
-        ``words`` holds each candidate's words, first to last; ``state`` is the
-        candidate's index for each listed (token, n).
-        """
-        depth = len(words)
-        key = bw.runs(np.stack(words, axis=1).reshape(-1), depth)[::depth] if len(count) else np.zeros(0, np.uint64)
-        p = self.root(root_count)
-        for d, level in enumerate(self.levels, 1):
-            suffix = bw.runs(np.stack(words[depth - d :], axis=1).reshape(-1), d)[::d] if len(count) else key
-            p = self.refine(level, p, suffix[state], token)
-        own = n / count[state]
-        listed = np.bincount(state, n, len(count))
-        rest, below = 1 - listed / np.maximum(count, 1), 1 - np.bincount(state, p, len(count))
-        gain = np.bincount(state, own * np.log(own / p), len(count)) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / np.maximum(below, 1e-12)), 0.0)
-        good = gain >= DIVERGENCE
-        order = np.argsort(key[good])
-        entry = followed(key[state], token)[good[state]]
-        entry_order = np.argsort(entry)
-        self.levels.append(Level(key[good][order], count[good][order], listed[good][order], entry[entry_order], n[good[state]][entry_order]))
-
-    def log10(self, keys: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(root, longest state) log10 probability of each token."""
-        root = self.root(count)
-        p, place = root, place_in_text(first)
-        for d, level in enumerate(self.levels, 1):
-            if len(level.key):
-                at = np.flatnonzero(place >= d)
-                p = p.copy()
-                p[at] = self.refine(level, p[at], context(keys, d)[at], keys[at])
-        return np.log10(root), np.log10(p)
-
-
-def _unsigned(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).to_numpy().astype(np.int64).view(np.uint64)
-
-
-def learn(training: DataFrame, words: DataFrame) -> Model:
-    """``training(text)``; ``words(key, n)`` has each word's training count once."""
-    total, distinct = words.filter("n > 0").agg(F.sum("n"), F.count("*")).first()
-    model = Model(total or 0, distinct or 0)
-    if not total:
-        return model
-    # At most 1/NEXT words and 1/NEXT listed tokens a depth: bounded whatever the corpus.
-    frequent = words.filter(F.col("n") >= max(1.0, NEXT * total)).toArrow()
-    following, counts = _unsigned(frequent, "key"), frequent.column("n").to_numpy()
-    order = np.argsort(following)
-    following, counts = following[order], counts[order]
-    enough = (counts >= STATE * total) & (following != END)
-    chain, count = [following[enough]], counts[enough]
+def _levels(dealt: DataFrame, words: DataFrame, total: int, distinct: int) -> DataFrame:
+    """Answers of all depths, one depth after another."""
+    none = F.lit(0).cast("long")
+    answers = words.select("batch", F.lit(0).alias("depth"), F.lit(False).alias("is_state"), "key", "n", none.alias("listed"))
+    # Rows (batch, key, n, is_first) of what may be a context of the next depth.
+    contexts = words.filter(F.col("n") >= STATE).select("batch", "key", "n", "is_first")
     for depth in range(1, DEPTH + 1):
-        if not len(count):
-            break
-        key = bw.runs(np.stack(chain, axis=1).reshape(-1), depth)[::depth]
-        order = np.argsort(key)
-        chain, count, key = [c[order] for c in chain], count[order], key[order]
-        shared = training.sparkSession.sparkContext.broadcast((key, following))
-        pairs = training.mapInArrow(_pair_counts(shared, depth), "state long, token long, n long")
-        listed = pairs.groupBy("state", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(1.0, NEXT * total)).toArrow()
-        state, token, n = look_up(key, _unsigned(listed, "state")), _unsigned(listed, "token"), listed.column("n").to_numpy()
-        order = np.lexsort([token, state])
-        state, token, n = state[order], token[order], n[order]
-        model.add(chain, count, state, token, n, counts[look_up(following, token)])
-        longer = (n >= STATE * total) & (token != END)
-        chain, count = [c[state[longer]] for c in chain] + [token[longer]], n[longer]
-    return model
-
-
-def _score(shared):
-    def score(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        model = Model(*shared.value)
-        key = _unsigned(counts, "key")
-        order = np.argsort(key)
-        key, n = key[order], counts.column("n").to_numpy()[order]
-        texts = docs.column("text").combine_chunks()
-        out = []
-        for a, b in bw.slices(texts):
-            keys, first = tokens(texts.slice(a, b - a))
-            count = n[np.searchsorted(key, keys)]
-            base, best = model.log10(keys, first, count)
-            out.append([np.diff(first), np.add.reduceat((count > 0).astype(np.int64), first[:-1]), np.add.reduceat(base, first[:-1]), np.add.reduceat(best, first[:-1])])
-        n_tokens, known, base, best = (pa.array(np.concatenate(c)) for c in zip(*out))
-        total = pa.array(np.full(docs.num_rows, model.total, np.int64))
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), n_tokens, known, total, base, best], RESULT)
-
-    return score
-
-
-RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        rows = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_gram_rows(depth, total, distinct, STATE, NEXT), GRAM)
+        same = Window.partitionBy("gram")
+        counted = rows.withColumns({"total": F.sum("n").over(same), "is_first": F.col("batch") == F.min("batch").over(same)})
+        listed = store(counted.filter(F.col("total") >= NEXT).select("batch", "gram", "state", F.col("total").alias("n"), "p", "is_first"))
+        k, p, c = F.col("n"), F.col("p").cast("double"), F.col("c")
+        sums = listed.filter("is_first").groupBy("state").agg(
+            F.sum("n").alias("listed"), F.sum(k * F.log(k / p)).alias("_gain"), F.sum(p).alias("_below")
+        )
+        rest = 1 - F.col("listed") / c
+        gain = (F.col("_gain") - F.col("listed") * F.log(c)) / c + F.when(
+            rest > 0, rest * F.log(rest / F.greatest(1 - F.col("_below"), F.lit(1e-12)))
+        ).otherwise(0.0)
+        own = contexts.filter("is_first").select(F.col("key").alias("state"), F.col("n").alias("c"))
+        states = store(sums.join(own, "state").filter(gain >= DIVERGENCE).select("state", "c", "listed"))
+        told = contexts.join(states, F.col("key") == F.col("state")).select(
+            "batch", F.lit(depth).alias("depth"), F.lit(True).alias("is_state"), "key", F.col("c").alias("n"), "listed"
+        )
+        kept = listed.join(states.select("state", F.lit(1).cast("long").alias("listed")), "state", "left")
+        sequences = kept.filter(F.col("listed").isNotNull() | (F.col("n") >= STATE)).select(
+            "batch", F.lit(depth).alias("depth"), F.lit(False).alias("is_state"), F.col("gram").alias("key"), "n", F.coalesce("listed", none).alias("listed")
+        )
+        answers = answers.unionByName(store(told.unionByName(sequences)))
+        contexts = listed.filter(F.col("n") >= STATE).select("batch", F.col("gram").alias("key"), "n", "is_first")
+    return answers
 
 
 def scores(docs: DataFrame, held_out) -> DataFrame:
@@ -267,19 +255,14 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
     )
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-size // BATCH_BYTES))
-    dealt = own.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
-    marked = dealt.select("batch", "text", (~F.col("held_out")).alias("train"))
-    asked = spread_keys(marked, "batch").sortWithinPartitions("batch").mapInArrow(_word_counts, "batch long, key long, n long")
-    # A word has at most one row a batch, so even the most frequent one is a small group.
-    known = store(
-        asked.select("batch", "key", F.sum("n").over(Window.partitionBy("key")).alias("n"), F.min("batch").over(Window.partitionBy("key")).alias("first"))
-    )
-    model = learn(own.filter(~F.col("held_out")).select("text"), known.filter("batch = first").select("key", "n"))
-    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
-    return (
-        dealt.groupBy("batch").cogroup(known.select("batch", "key", "n").groupBy("batch"))
-        .applyInArrow(_score(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    )
+    # By row, so that repeated rows fall in many batches; written once, so every job sees the same batches.
+    dealt = _bucketed(own.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches))), "batch")
+    asked = dealt.groupBy("batch").applyInArrow(_word_rows, "batch long, key long, n long")
+    same = Window.partitionBy("key")
+    words = store(asked.select("batch", "key", F.sum("n").over(same).alias("n"), (F.col("batch") == F.min("batch").over(same)).alias("is_first")))
+    total, distinct = words.filter("is_first AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    answers = _levels(dealt, words, total, distinct)
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(total, distinct), SCORE)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
