@@ -11,7 +11,14 @@ again), closed ``details`` and ``dialog``.
 
 Paragraph-like blocks stand apart by one empty line, other blocks begin a line.
 Lists are marked and indented, cells of a table are padded to their column's
-width and parted by `` | ``; a cell of several lines stays in its column.
+width and parted by `` | ``; a cell of several lines stays in its column. A cell
+takes the columns and rows of its ``colspan`` and ``rowspan``; columns in which no
+cell begins are not drawn.
+
+The work is linear in the page but for tables: nested boxes are set into each other
+once, at the end, marks and indents grow up to ``INDENT`` columns and stay there for
+what is nested deeper, and tables nested deeper than ``TABLES`` are plain blocks.
+What follows the last ``>`` of a page holds no tag and is not searched for any.
 
 Never fails on broken markup: an unknown or stray tag is passed over, an
 unfinished one is text. NULL and empty pages have the empty text. Rows are
@@ -21,6 +28,7 @@ handled one by one; nothing depends on other rows or columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from html import unescape
 
@@ -60,12 +68,17 @@ IMPLIED_ENDS = {
 # Elements that an end tag from outside a cell or table does not cross.
 WALLS = frozenset(("table", "td", "th", "caption"))
 
+# Columns of indent at most, and tables in tables; the limits of spans are those of the HTML standard.
+INDENT, TABLES = 64, 8
+MOST_COLUMNS, MOST_ROWS = 1_000, 65_534
+
 IN_TABLE = frozenset("caption tbody td tfoot th thead tr".split())
 
 _tag = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
     re.DOTALL,
 )
+_unended = re.compile(r"<!--|<!\[CDATA\[")
 _attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _spaces = re.compile(r"[ \t\n\r\f]+")
 _hiding = re.compile(r"display\s*:\s*none", re.IGNORECASE)
@@ -73,10 +86,10 @@ _visibility = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNOR
 
 
 class Box:
-    """Lines of text with pending space and pending empty lines."""
+    """Lines of text, and marked groups of such, with pending space and pending empty lines."""
 
     def __init__(self):
-        self.lines: list[str] = []
+        self.lines: list[str | tuple[str, list]] = []
         self.line: list[str] = []
         self.space = False
         self.gap = 0
@@ -128,43 +141,107 @@ class Box:
         self.end_line()
         self.gap = max(self.gap, gap)
 
-    def add(self, lines: list[str]) -> None:
+    def add(self, lines: list) -> None:
         if lines:
             self.end_line()
             self._begin()
             self.lines += lines
 
-    def finished(self) -> list[str]:
+    def finished(self) -> list:
         self.end_line()
         while self.lines and not self.lines[-1]:
             self.lines.pop()
         return self.lines
 
 
+def flat(lines: list) -> list[str]:
+    """Lines with the groups in them set out: a group's mark before its first line, blanks before the others."""
+    out, stack, head = [], [(iter(lines), "")], None
+    while stack:
+        entry = next(stack[-1][0], None)
+        rest = stack[-1][1]
+        if entry is None:
+            stack.pop()
+        elif isinstance(entry, tuple):
+            mark, inner = entry
+            head = (rest if head is None else head) + mark
+            stack.append((iter(inner), rest + " " * len(mark) if len(rest) < INDENT else rest))
+        else:
+            out.append((rest if head is None else head) + entry if entry else entry)
+            head = None
+    return out
+
+
 class Open:
     """An open element."""
 
-    __slots__ = ("tag", "off", "unseen", "pre", "box", "own", "count", "mark", "closed")
+    __slots__ = ("tag", "off", "unseen", "pre", "box", "own", "count", "mark", "closed", "deep", "span")
 
     def __init__(self, tag, off, unseen, pre, box, own=None):
         self.tag, self.off, self.unseen, self.pre, self.box, self.own = tag, off, unseen, pre, box, own
-        self.count, self.mark, self.closed = 0, "", False
+        self.count, self.mark, self.closed, self.deep, self.span = 0, "", False, False, (1, 1)
 
 
-def _aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table whose cells are lists of lines."""
-    width = [0] * max((len(r) for r in rows), default=0)
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """(first column, columns, lines) of each row's cells, and of cells of earlier rows that reach into it, in order."""
+    out, hanging = [], []  # hanging: (first column, columns, rows left)
     for row in rows:
-        for at, cell in enumerate(row):
-            width[at] = max(width[at], max(map(len, cell), default=0))
+        reaching = sorted(hanging)
+        placed = [(at, wide, []) for at, wide, _ in reaching]
+        hanging = [(at, wide, left - 1) for at, wide, left in hanging if left > 1]
+        at = turn = 0
+        for lines, wide, high in row:
+            while turn < len(reaching) and reaching[turn][0] <= at:
+                at = max(at, reaching[turn][0] + reaching[turn][1])
+                turn += 1
+            placed.append((at, wide, lines))
+            if high > 1:
+                hanging.append((at, wide, high - 1))
+            at += wide
+        out.append(sorted(placed, key=lambda x: x[0]))
+    return out
+
+
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table whose cells are (lines, columns, rows)."""
+    placed = _placed(rows)
+    # Only columns in which a cell begins are drawn.
+    begins = sorted({at for row in placed for at, _, _ in row})
+    width, spread = [0] * len(begins), []
+    for row in placed:
+        for at, wide, lines in row:
+            first, last = bisect_left(begins, at), bisect_left(begins, at + wide)
+            longest = max(map(len, lines), default=0)
+            if last - first == 1:
+                width[first] = max(width[first], longest)
+            else:
+                spread.append((last - first, first, last, longest))
+    for _, first, last, longest in sorted(spread):
+        width[last - 1] += max(0, longest - sum(width[first:last]) - 3 * (last - first - 1))
     out = []
-    for row in rows:
-        for level in range(max((len(cell) for cell in row), default=0)):
-            parts = [(cell[level] if level < len(cell) else "").ljust(width[at]) for at, cell in enumerate(row)]
+    for row, own in zip(placed, rows):
+        for level in range(max((len(lines) for lines, _, _ in own), default=0)):
+            parts, column = [], 0
+            for at, wide, lines in row:
+                first, last = bisect_left(begins, at), bisect_left(begins, at + wide)
+                if first < column:
+                    continue  # a cell below one that reaches down; its text is in the rows it began in
+                parts += [" " * width[c] for c in range(column, first)]
+                text = lines[level] if level < len(lines) else ""
+                parts.append(text.ljust(sum(width[first:last]) + 3 * (last - first - 1)))
+                column = last
             out.append(" | ".join(parts).rstrip())
     return out
 
 
+def _span(found: dict, name: str, most: int) -> int:
+    number = found.get(name, "").strip()
+    if not re.fullmatch(r"\d{1,9}", number, re.ASCII):
+        return 1
+    value = int(number)
+    return min(value, most) if value else (most if name == "rowspan" else 1)
+
+
 class _Page:
     def __init__(self):
         self.box = Box()
@@ -196,17 +273,16 @@ class _Page:
                 lines = done.own.finished()
                 if tag in ("td", "th"):
                     if self.rows and self.rows[-1]:
-                        self.rows[-1][-1].append(lines)
+                        self.rows[-1][-1].append((flat(lines), *done.span))
                 elif tag == "table":
                     captions, rows = lines, self.rows.pop()
                     if not done.off:
                         around.apart(1)
-                        around.add(captions + _aligned([r for r in rows if any(r)]))
+                        around.add(captions + _aligned(rows))
                         around.apart(1)
                 elif not done.off:
-                    first = done.mark
                     around.apart(0)
-                    around.add([(first if k == 0 else " " * len(first)) + x if x else x for k, x in enumerate(lines)])
+                    around.add([(done.mark, lines)] if lines else [])
                     around.apart(1 if tag == "blockquote" else 0)
             elif tag in BLOCK and not done.off:
                 around.apart(1 if tag in SPACED else 0)
@@ -261,16 +337,24 @@ class _Page:
         if tag in VOID:
             return
         own = None
-        if tag in ("td", "th", "table", "li", "blockquote", "dd"):
+        deep = around.deep or (tag == "table" and len(self.rows) >= TABLES)
+        if tag in ("li", "blockquote", "dd") or (tag in ("td", "th", "table") and not deep):
             own = Box()
         elif tag in BLOCK and not off:
             box.apart(1 if tag in SPACED and not (tag in ("ul", "ol") and self.find(("li",), ("table",))) else 0)
         element = Open(tag, off, unseen, around.pre or tag in ("pre", "textarea"), own or box, own)
         element.closed = tag == "details" and "open" not in found
-        if tag == "table":
+        element.deep = deep
+        if deep:
+            pass  # a block like any other
+        elif tag == "table":
             self.rows.append([])
         elif tag == "tr" and self.rows:
             self.rows[-1].append([])
+        elif tag in ("td", "th"):
+            element.span = _span(found, "colspan", MOST_COLUMNS), _span(found, "rowspan", MOST_ROWS)
+        if tag in IN_TABLE or tag == "table":
+            pass
         elif tag == "li":
             at = self.find(("ul", "ol", "menu", "dir"), ("table",))
             element.mark = "- "
@@ -301,20 +385,24 @@ class _Page:
 
     def finished(self) -> str:
         self.close_to(1)
-        return "\n".join(self.box.finished())
+        return "\n".join(flat(self.box.finished()))
 
 
 def visible_text(html: str | None) -> str:
     if not html:
         return ""
     page, at, lowered = _Page(), 0, None
+    last = html.rfind(">") + 1
     while True:
-        found = _tag.search(html, at)
+        found = _tag.search(html, at, last) if at < last else None
         if not found:
-            page.text(html[at:])
+            _tail(page, html[at:])
             return page.finished()
         if found.start() > at:
             page.text(html[at : found.start()])
+        if found.end() == last and (html.startswith("<!--", found.start()) and not found.group().endswith("-->") or html.startswith("<![CDATA[", found.start()) and not found.group().endswith("]]>")):
+            _tail(page, html[found.start() :])
+            return page.finished()
         at = found.end()
         data, end, name, attributes, end2, name2, attributes2 = found.groups()
         if data is not None:
@@ -337,6 +425,16 @@ def visible_text(html: str | None) -> str:
             at = len(html) if close < 0 else close + 1
 
 
+def _tail(page: _Page, rest: str) -> None:
+    """What is left when no tag follows: text up to a comment or character data that never ends."""
+    begin = _unended.search(rest)
+    if not begin:
+        return page.text(rest)
+    page.text(rest[: begin.start()])
+    if begin.group() != "<!--":
+        page.text(rest[begin.end() :], True)
+
+
 def _rendered(batches):
     for batch in batches:
         texts = [visible_text(h) for h in batch.column("html").to_pylist()]
