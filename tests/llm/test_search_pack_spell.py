@@ -28,16 +28,14 @@ def by_sql(docs, items):
 
 
 @pytest.mark.parametrize("table,block,window,cells", [("given", 1 << 18, 8 << 20, 1 << 22), ("given", 300, 1000, 50), ("odd", 1 << 18, 8 << 20, 1 << 22), ("odd", 5, 64, 1)])
-def test_ranks_equal_sql(spark, odd_docs, monkeypatch, table, block, window, cells):
+def test_ranks_equal_sql(spark, odd_docs, table, block, window, cells):
     """Blocks of items, windows of texts and small score tables change nothing."""
-    monkeypatch.setattr(lexical_search, "WINDOW", window)
-    monkeypatch.setattr(lexical_search, "CELLS", cells)
     items = spark.createDataFrame([(1, "W1x one, SHORT short"), (2, None), (3, ""), (4, "!!"), (None, "idiot é x"), (5, "émile EMILE"), (1, "x y z"), (6, "nowhere")], "item_id long, text string")
     # Ties between repeated ids may come in any order; texts of theirs are equal.
     docs = odd_docs if table == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
     items = items if table == "odd" else spark.read.parquet(f"{SF}/benchmark.parquet")
     names, want = by_sql(docs, items)
-    got = lexical_search.ranked(docs, items, block=block).select(*names).collect()
+    got = lexical_search.ranked(docs, items, block=block, window=window, cells=cells).select(*names).collect()
     assert sorted(map(tuple, got), key=str) == want and want
 
 
@@ -176,8 +174,7 @@ def variants_of(words):
     return sorted((w, form.get(w), root(w), words[w], len(near[w]), words[form[w]] if w in form else None) for w in words), form
 
 
-def test_variants_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(spelling, "WINDOW", 500)
+def test_variants_match_brute_force(spark):
     rng = random.Random(3)
     base = ["".join(rng.choices("abcdeéÿ", k=rng.randint(6, 11))) for _ in range(40)]
     rows = []
@@ -193,7 +190,7 @@ def test_variants_match_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, word string")
     words = words_of(rows_of(docs))
     want, form = variants_of(words)
-    got = spelling.variants(docs).select("word", "form", "root", "n", "n_near", "form_n").collect()
+    got = spelling.variants(docs, window=500).select("word", "form", "root", "n", "n_near", "form_n").collect()
     assert sorted(map(tuple, got)) == want and len(form) > 5
 
 

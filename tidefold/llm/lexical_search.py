@@ -85,29 +85,29 @@ def guarded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(_GUARDED[raw], bounds, BLANK), bounds + np.arange(len(bounds))
 
 
-def windows(data: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``WINDOW`` bytes that begin and end at a blank; neighbours share it."""
+def windows(data: np.ndarray, size: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``size`` bytes that begin and end at a blank; neighbours share it."""
     at = 0
     while at < len(data) - 1:
-        to = min(at + WINDOW, len(data) - 1)
+        to = min(at + size, len(data) - 1)
         if data[to] != BLANK:
             near = np.flatnonzero(data[at + 1 : to] == BLANK)
             while not len(near):
-                to, begin = min(to + WINDOW, len(data) - 1), to
+                to, begin = min(to + size, len(data) - 1), to
                 near = begin - at - 1 + np.flatnonzero(data[begin : to + 1] == BLANK)
             to = at + 1 + int(near[-1])
         yield at, to
         at = to
 
 
-def occurrences(terms: Terms, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def occurrences(terms: Terms, texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terms in all of each row, row, term, count) of the terms found."""
     data, guards = guarded(texts)
     inside = data != BLANK
     begins = np.flatnonzero(inside[1:] & ~inside[:-1])
     size = len(terms.terms)
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in windows(data) if size else ():  # a block may be without terms
+    for a, b in windows(data, window) if size else ():  # a block may be without terms
         found = np.fromiter(chain.from_iterable(terms.automaton().iter(data[a : b + 1].tobytes().decode("latin-1"))), np.int64)
         end, term = a + found[::2], found[1::2]
         key, count = np.unique((np.searchsorted(guards, end) - 1) * size + term, return_counts=True)
@@ -140,11 +140,11 @@ def item_terms(items: DataFrame) -> DataFrame:
     return store(rows.mapInArrow(count, f"item long, item_id {kind}, term binary, times long"))
 
 
-def _scan(shared):
+def _scan(shared, window: int):
     def scan(batches):
         for batch in batches:
             for a, b in bw.slices(batch.column("text")):
-                n, row, term, count = occurrences(shared.value, batch.column("text").slice(a, b - a))
+                n, row, term, count = occurrences(shared.value, batch.column("text").slice(a, b - a), window)
                 stops = pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(stops, pa.array(x, kind)) for x, kind in ((term, pa.int32()), (count, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), *lists], ["doc_id", "n", "terms", "counts"])
@@ -152,7 +152,7 @@ def _scan(shared):
     return scan
 
 
-def _scored(shared, documents: int, all_terms: int, best: int):
+def _scored(shared, documents: int, all_terms: int, best: int, cells: int):
     """Each task's best rows of every item, kept over its batches."""
 
     def score(batches):
@@ -170,7 +170,7 @@ def _scored(shared, documents: int, all_terms: int, best: int):
             work = spread[stops] + np.arange(len(stops)) * width
             a = 0
             while a < len(n):
-                b = max(a + 1, int(np.searchsorted(work, work[a] + CELLS, "right")) - 1)
+                b = max(a + 1, int(np.searchsorted(work, work[a] + cells, "right")) - 1)
                 t, f = term[stops[a] : stops[b]], count[stops[a] : stops[b]]
                 row = np.repeat(np.arange(b - a), np.diff(stops[a : b + 1]))
                 value = block.weight[t] * ((1_000_000_000 * f) // (1000 * f + 8 * m[a + row]))
@@ -201,7 +201,7 @@ def _scored(shared, documents: int, all_terms: int, best: int):
     return score
 
 
-def ranked(docs: DataFrame, items: DataFrame, best: int = BEST, block: int = BLOCK) -> DataFrame:
+def ranked(docs: DataFrame, items: DataFrame, best: int = BEST, block: int = BLOCK, window: int = WINDOW, cells: int = CELLS) -> DataFrame:
     """(item_id, rank, doc_id, score): the best documents of each item."""
     spark = docs.sparkSession
     entries = item_terms(items)
@@ -213,14 +213,14 @@ def ranked(docs: DataFrame, items: DataFrame, best: int = BEST, block: int = BLO
         # Bounded: a block holds about ``block`` entries whatever the number of items.
         terms = Terms([(r[0], bytes(r[1]), r[2]) for r in mine.toLocalIterator()])
         shared = spark.sparkContext.broadcast(terms)
-        found = store(texts.mapInArrow(_scan(shared), "doc_id long, n long, terms array<int>, counts array<long>").filter("n > 0"))
+        found = store(texts.mapInArrow(_scan(shared, window), "doc_id long, n long, terms array<int>, counts array<long>").filter("n > 0"))
         documents, all_terms = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         holding = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         weights = holding.select("term", F.floor(1000 * F.log((2 * F.lit(documents) + 2) / (2 * F.col("df") + 1))).alias("w"))
         for row in weights.toLocalIterator():
             terms.weight[row["term"]] = row["w"]
         weighted = spark.sparkContext.broadcast(terms)
-        tops.append(store(found.mapInArrow(_scored(weighted, documents, all_terms, best), "item long, part int, doc_id long, score long")))
+        tops.append(store(found.mapInArrow(_scored(weighted, documents, all_terms, best, cells), "item long, part int, doc_id long, score long")))
         shared.destroy()
         weighted.destroy()
     rows = tops[0]

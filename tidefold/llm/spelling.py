@@ -56,7 +56,7 @@ _LEAD = 0xC3  # lead byte of U+00C0-U+00FF
 _FINAL, _ARC = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
-def letter_runs(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+def letter_runs(texts: pa.Array, window: int = WINDOW) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, starts, ends, rows) of the runs with enough letters, window by window."""
     for first, to in bw.slices(texts):
         part = pc.fill_null(texts.slice(first, to - first), "").cast(pa.large_string())
@@ -72,7 +72,7 @@ def letter_runs(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray
         seconds = np.concatenate([[0], np.cumsum(lead)])
         at = 0
         while at < len(data) - 1:
-            end = min(at + WINDOW, len(data))
+            end = min(at + window, len(data))
             while end < len(data) and inside[end - 1]:
                 end += 1
             turns = np.flatnonzero(np.diff(inside[at:end].astype(np.int8))) + 1 + at
@@ -83,48 +83,51 @@ def letter_runs(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray
             at = end - 1
 
 
-def _counted(batches):
-    """(word, n) with equal words of some slices added up."""
-    held: dict[bytes, int] = {}
-
-    def flushed():
-        words = [x.decode() for x in held]
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-        held.clear()
-        return out
-
-    for batch in batches:
-        heads = [zlib.crc32(b"%s:" % (b"" if k is None else str(k).encode())) for k in batch.column("doc_id").to_pylist()]
-        for data, start, stop, row in letter_runs(batch.column("text")):
-            body = memoryview(data)
-            key = bw.keys_of(data, start, stop)
-            # A run's fate hangs on its document and itself, so equal runs of a row are one.
-            _, one, times = np.unique(bw.mix(key + row.astype(np.uint64) * bw.STEP), return_index=True, return_counts=True)
-            crc = np.fromiter(
-                (zlib.crc32(body[a:b], heads[r]) for a, b, r in zip(start[one].tolist(), stop[one].tolist(), row[one].tolist())), np.int64, len(one)
-            )
-            changed = crc % EVERY == 0
-            for k in np.flatnonzero(changed):
-                run = bytes(body[start[one[k]] : stop[one[k]]]).decode()
-                place = int(crc[k]) % len(run)
-                word = run[:place] + run[place + 1 :]
-                if len(word) >= LETTERS:
-                    held[word.encode()] = held.get(word.encode(), 0) + int(times[k])
-            one, times = one[~changed], times[~changed]
-            _, place, which = np.unique(key[one], return_index=True, return_inverse=True)
-            total = np.bincount(which, times, len(place)).astype(np.int64)
-            for a, b, n in zip(start[one[place]].tolist(), stop[one[place]].tolist(), total.tolist()):
-                word = bytes(body[a:b])
-                held[word] = held.get(word, 0) + n
-            if len(held) > HELD:
-                yield flushed()
-    yield flushed()
-
-
-def vocabulary(docs: DataFrame) -> DataFrame:
+def _counter(window: int):
+    def count(batches):
+        """(word, n) with equal words of some slices added up."""
+        held: dict[bytes, int] = {}
+
+        def flushed():
+            words = [x.decode() for x in held]
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            heads = [zlib.crc32(b"%s:" % (b"" if k is None else str(k).encode())) for k in batch.column("doc_id").to_pylist()]
+            for data, start, stop, row in letter_runs(batch.column("text"), window):
+                body = memoryview(data)
+                key = bw.keys_of(data, start, stop)
+                # A run's fate hangs on its document and itself, so equal runs of a row are one.
+                _, one, times = np.unique(bw.mix(key + row.astype(np.uint64) * bw.STEP), return_index=True, return_counts=True)
+                crc = np.fromiter(
+                    (zlib.crc32(body[a:b], heads[r]) for a, b, r in zip(start[one].tolist(), stop[one].tolist(), row[one].tolist())), np.int64, len(one)
+                )
+                changed = crc % EVERY == 0
+                for k in np.flatnonzero(changed):
+                    run = bytes(body[start[one[k]] : stop[one[k]]]).decode()
+                    place = int(crc[k]) % len(run)
+                    word = run[:place] + run[place + 1 :]
+                    if len(word) >= LETTERS:
+                        held[word.encode()] = held.get(word.encode(), 0) + int(times[k])
+                one, times = one[~changed], times[~changed]
+                _, place, which = np.unique(key[one], return_index=True, return_inverse=True)
+                total = np.bincount(which, times, len(place)).astype(np.int64)
+                for a, b, n in zip(start[one[place]].tolist(), stop[one[place]].tolist(), total.tolist()):
+                    word = bytes(body[a:b])
+                    held[word] = held.get(word, 0) + n
+                if len(held) > HELD:
+                    yield flushed()
+        yield flushed()
+
+    return count
+
+
+def vocabulary(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(word, n) of the words that occur often enough; stored."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = rows.mapInArrow(_counted, "word string, n long")
+    counts = rows.mapInArrow(_counter(window), "word string, n long")
     return store(counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST))
 
 
@@ -322,9 +325,9 @@ def _roots(forms: DataFrame) -> DataFrame:
     return state.select("word", "root")
 
 
-def variants(docs: DataFrame, ratio: int = RATIO, symbols: int = SYMBOLS) -> DataFrame:
+def variants(docs: DataFrame, ratio: int = RATIO, symbols: int = SYMBOLS, window: int = WINDOW) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word."""
-    words = vocabulary(docs)
+    words = vocabulary(docs, window)
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best")
     near = near_words(words, symbols).groupBy("word").agg(F.count("*").alias("n_near"), best)
     is_form = -F.col("best.less") >= ratio * F.col("n")
