@@ -15,9 +15,9 @@ by ``DIVERGENCE`` nats or more. With ``c`` its count, ``k(x)`` its listed counts
 where ``P'`` is the prediction of that suffix, so every state sums to one. A token
 is scored by its longest retained suffix.
 
-The tree is never gathered. Texts are dealt into batches of about ``BATCH_BYTES``
-and written as a table bucketed by batch. Depth by depth each batch asks for the
-word sequences it holds: it sends every distinct sequence once, with its own
+The tree is never gathered. Texts are dealt into batches of about ``BATCH_BYTES`` and
+written once as numbers of the batch's own sorted words, in a table bucketed by
+batch. Depth by depth each batch asks for the word sequences it holds: it sends every distinct sequence once, with its own
 training count and the prediction of the shorter suffix, which it can work out
 from the answers it has; counts are added up by sequence, divergences by state,
 and what is listed or retained goes back to the batches that asked. A sequence is
@@ -37,21 +37,23 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm import bytewords as bw
 from tidefold.llm.common import in_fold, table
-from tidefold.session import shared_folder, store
+from tidefold.session import shared_folder, spread_keys, store
 
 DEPTH = 3
 STATE, NEXT = 16, 4
 DIVERGENCE = 0.01
 SMOOTH = 20.0
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 24 << 20
+TOKENS = 1 << 20
 END = bw.mix(np.asarray([0x454E44], np.uint64))[0]
 
-ANSWER = "batch long, depth int, is_state boolean, key long, n long, listed long"
+NUMBERED = "batch long, doc_id long, held_out boolean, ids binary, words binary, counts binary"
 GRAM = "batch long, gram long, state long, n long, p float"
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -75,13 +77,6 @@ def grams(keys: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def context(keys: np.ndarray, depth: int) -> np.ndarray:
-    """For each token the hash of the ``depth`` tokens before it."""
-    out = np.zeros(len(keys), np.uint64)
-    out[1:] = grams(keys, depth)[:-1]
-    return out
-
-
 def place_in_text(first: np.ndarray) -> np.ndarray:
     return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
 
@@ -98,23 +93,79 @@ def _unsigned(part: pa.Table, name: str) -> np.ndarray:
     return part.column(name).to_numpy().astype(np.int64).view(np.uint64)
 
 
-class Known:
-    """What a batch was told: training counts of its words, its states and listed sequences of each depth."""
+def _numbered(part: pa.Table) -> pa.Table:
+    """The texts of a batch as numbers of its sorted words, and one row with these words and their training counts."""
+    texts, held = part.column("text").combine_chunks(), part.column("held_out").to_numpy(zero_copy_only=False)
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    found = []
+    for a, b in bw.slices(texts):
+        keys, first = tokens(texts.slice(a, b - a))
+        key, which = np.unique(keys, return_inverse=True)
+        found.append((key, which.astype(np.int32), np.diff(first), np.bincount(which, np.repeat(~held[a:b], np.diff(first)), len(key)).astype(np.int64)))
+    words, place = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+    counts = np.bincount(place, np.concatenate([x[3] for x in found]), len(words)).astype(np.int64)
+    ids, at = [], 0
+    for key, which, sizes, _ in found:
+        mine = place[at : at + len(key)].astype("<i4")[which]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        ids += [mine[x:y].tobytes() for x, y in zip(stops[:-1].tolist(), stops[1:].tolist())]
+        at += len(key)
+    none = pa.nulls(len(ids), pa.binary())
+    batch = part.column("batch")[0].as_py()
+    texts_part = pa.table([part.column("batch"), part.column("doc_id"), part.column("held_out"), pa.array(ids, pa.binary()), none, none], NAMES)
+    words_part = pa.table(
+        [pa.array([batch], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], NAMES
+    )
+    return pa.concat_tables([texts_part, words_part])
+
+
+NAMES = [f.split()[0] for f in NUMBERED.split(", ")]
+
+
+def _word_rows(batches):
+    """(batch, key, n) of every batch's words."""
+    for part in batches:
+        for batch, words, counts in zip(part.column("batch").to_pylist(), part.column("words"), part.column("counts")):
+            key, n = np.frombuffer(words.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), batch)), pa.array(key), pa.array(n)], ["batch", "key", "n"])
+
+
+def _unsigned(part: pa.Table, name: str) -> np.ndarray:
+    return part.column(name).to_numpy().astype(np.int64).view(np.uint64)
+
+
+class Batch:
+    """A batch's texts as numbers of its words, and what it was told: training counts of its words, its states and listed sequences of each depth."""
 
-    def __init__(self, answers: pa.Table, total: int, distinct: int):
+    def __init__(self, part: pa.Table, answers: pa.Table, total: int, distinct: int):
         self.total, self.distinct = total, distinct
+        texts = pc.is_null(part.column("words"))
+        self.words = np.frombuffer(part.filter(pc.invert(texts)).column("words")[0].as_buffer(), np.uint64)
+        self.texts = part.filter(texts).combine_chunks()
+        ids = self.texts.column("ids").combine_chunks()
+        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+        bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+        self.ids = np.frombuffer(ids.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<i4")
+        self.first = (bounds - bounds[0]) // 4
         key, n, listed, depth = _unsigned(answers, "key"), *(answers.column(c).to_numpy() for c in ("n", "listed", "depth"))
-        state = answers.column("is_state").to_numpy(zero_copy_only=False).astype(bool) if answers.num_rows else np.zeros(0, bool)
+        state = answers.column("is_state").to_numpy(zero_copy_only=False).astype(bool)
         order = np.argsort(key)
         self.rows = {}
         for d in range(DEPTH + 1):
             for is_state in (False, True):
                 at = order[(depth == d)[order] & (state == is_state)[order]]
                 self.rows[d, is_state] = key[at], n[at], listed[at]
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        words, n, _ = self.rows[0, False]
-        return n[np.searchsorted(words, keys)]
+        self.counts = self.rows[0, False][1]  # in the order of the words
+        self.word_state = look_up(self.rows[1, True][0], self.words)
+
+    def slices(self):
+        """(first row, last row, numbers, keys, first token of each row) of about ``TOKENS`` tokens; a text stays whole."""
+        at = 0
+        while at < len(self.first) - 1:
+            to = max(at + 1, int(np.searchsorted(self.first, self.first[at] + TOKENS, "right")) - 1)
+            ids = self.ids[self.first[at] : self.first[to]]
+            yield at, to, ids, self.words[ids], self.first[at : to + 1] - self.first[at]
+            at = to
 
     def frequent(self, depth: int, least: int) -> np.ndarray:
         """The contexts of this many words that occur at least so often."""
@@ -124,84 +175,64 @@ class Known:
     def root(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-    def predicted(self, keys: np.ndarray, place: np.ndarray, count: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-        """Probability of each token by its longest retained suffix of at most ``depth`` words."""
-        p = self.root(count)
+    def predicted(self, ids: np.ndarray, keys: np.ndarray, place: np.ndarray, at: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+        """Probability of the tokens ``at`` by their longest retained suffixes of at most ``depth`` words."""
+        p = self.root(self.counts[ids[at]])
         for d in range(1, depth + 1):
             states, c, listed = self.rows[d, True]
             if not len(states):
                 continue
-            at = np.flatnonzero(place >= d)
-            s = look_up(states, context(keys, d)[at])
-            at, s = at[s >= 0], s[s >= 0]
+            some = np.flatnonzero(place[at] >= d)
+            before = at[some] - 1
+            s = self.word_state[ids[before]] if d == 1 else look_up(states, grams(keys, d)[before])
+            some, s = some[s >= 0], s[s >= 0]
             sequence, n, retained = self.rows[d, False]
-            e = look_up(sequence, grams(keys, d + 1)[at])
+            e = look_up(sequence, grams(keys, d + 1)[at[some]])
             k = np.where((e >= 0) & (retained[e] > 0), n[e], 0) if len(sequence) else 0
-            p[at] = (k + (c[s] - listed[s] + SMOOTH) * p[at]) / (c[s] + SMOOTH)
+            p[some] = (k + (c[s] - listed[s] + SMOOTH) * p[some]) / (c[s] + SMOOTH)
         return p
 
 
-def _long(keys: np.ndarray) -> pa.Array:
-    return pa.array(keys.view(np.int64))
-
-
-def _batch(part: pa.Table, rows: int) -> pa.Array:
-    return pa.array(np.full(rows, part.column("batch")[0].as_py(), np.int64))
-
-
-def _slices(part: pa.Table):
-    """(first row, last row, tokens, first token of each row) of a batch, some megabytes at a time."""
-    texts = part.column("text").combine_chunks()
-    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-    for a, b in bw.slices(texts):
-        yield a, b, *tokens(texts.slice(a, b - a))
-
-
-def _word_rows(part: pa.Table) -> pa.Table:
-    """The distinct words of a batch with their training counts in it; words of held-out texts alone have none."""
-    held, found = part.column("held_out").to_numpy(zero_copy_only=False), []
-    for a, b, keys, first in _slices(part):
-        key, which = np.unique(keys, return_inverse=True)
-        found.append((key, np.bincount(which, np.repeat(~held[a:b], np.diff(first)), len(key)).astype(np.int64)))
-    key, which = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-    n = np.bincount(which, np.concatenate([n for _, n in found]), len(key)).astype(np.int64)
-    return pa.table([_batch(part, len(key)), _long(key), pa.array(n)], ["batch", "key", "n"])
-
-
 def _gram_rows(depth: int, total: int, distinct: int, least_state: int, least_next: int):
     """The distinct sequences of a frequent context and a frequent next token in a batch."""
 
     def ask(part: pa.Table, answers: pa.Table) -> pa.Table:
-        known = Known(answers, total, distinct)
-        contexts = known.frequent(depth, least_state)
-        held, found = part.column("held_out").to_numpy(zero_copy_only=False), []
-        for a, b, keys, first in _slices(part):
-            count, place = known.counts(keys), place_in_text(first)
-            before = context(keys, depth)
-            at = np.flatnonzero((place >= depth) & (count >= least_next))
-            at = at[look_up(contexts, before[at]) >= 0]
+        batch = Batch(part, answers, total, distinct)
+        following = batch.counts >= least_next
+        leading = batch.counts >= least_state
+        contexts = batch.frequent(depth, least_state)
+        held, found = batch.texts.column("held_out").to_numpy(zero_copy_only=False).astype(bool), []
+        for a, b, ids, keys, first in batch.slices():
+            place = place_in_text(first)
+            at = np.flatnonzero((place >= depth) & following[ids])
+            if depth == 1:
+                at = at[leading[ids[at - 1]]]
+            else:
+                at = at[look_up(contexts, grams(keys, depth)[at - 1]) >= 0]
             gram, one, which = np.unique(grams(keys, depth + 1)[at], return_index=True, return_inverse=True)
-            own = np.repeat(~held[a:b], np.diff(first))[at]
-            p = known.predicted(keys, place, count, depth - 1)[at][one]
-            found.append((gram, before[at][one], np.bincount(which, own, len(gram)).astype(np.int64), p.astype(np.float32)))
+            n = np.bincount(which, np.repeat(~held[a:b], np.diff(first))[at], len(gram)).astype(np.int32)
+            p = batch.predicted(ids, keys, place, at[one], depth - 1)
+            found.append((gram, grams(keys, depth)[at[one] - 1], n, p.astype(np.float32)))
         gram, state, n, p = (np.concatenate(x) for x in zip(*found))
         gram, one, which = np.unique(gram, return_index=True, return_inverse=True)
         n = np.bincount(which, n, len(gram)).astype(np.int64)
-        return pa.table([_batch(part, len(gram)), _long(gram), _long(state[one]), pa.array(n), pa.array(p[one])], ["batch", "gram", "state", "n", "p"])
+        number = pa.array(np.full(len(gram), part.column("batch")[0].as_py(), np.int64))
+        return pa.table([number, pa.array(gram.view(np.int64)), pa.array(state[one].view(np.int64)), pa.array(n), pa.array(p[one])], ["batch", "gram", "state", "n", "p"])
 
     return ask
 
 
 def _score(total: int, distinct: int):
     def score(part: pa.Table, answers: pa.Table) -> pa.Table:
-        known, out = Known(answers, total, distinct), []
-        for _, _, keys, first in _slices(part):
-            count = known.counts(keys)
-            base, best = np.log10(known.root(count)), np.log10(known.predicted(keys, place_in_text(first), count))
-            out.append([np.diff(first), *(np.add.reduceat(x, first[:-1]) for x in ((count > 0).astype(np.int64), base, best))])
+        batch, out = Batch(part, answers, total, distinct), []
+        for _, _, ids, keys, first in batch.slices():
+            count = batch.counts[ids]
+            best = np.log10(batch.predicted(ids, keys, place_in_text(first), np.arange(len(ids))))
+            out.append([np.diff(first), *(np.add.reduceat(x, first[:-1]) for x in ((count > 0).astype(np.int64), np.log10(batch.root(count)), best))])
         n_tokens, seen, base, best = (pa.array(np.concatenate(c)) for c in zip(*out))
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.table([part.column("doc_id"), part.column("held_out"), n_tokens, seen, pa.array(np.full(part.num_rows, total, np.int64)), base, best], names)
+        texts = batch.texts
+        return pa.table([texts.column("doc_id"), texts.column("held_out"), n_tokens, seen, pa.array(np.full(texts.num_rows, total, np.int64)), base, best], names)
 
     return score
 
@@ -210,7 +241,7 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
     """``df`` written once as a table bucketed by ``key``: jobs that group it by the key do not shuffle it again."""
     spark = df.sparkSession
     parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"batches_{uuid.uuid4().hex}"
-    writer = df.repartition(parts, key).sortWithinPartitions(key).write.bucketBy(parts, key).sortBy(key)
+    writer = df.write.bucketBy(parts, key).sortBy(key)
     writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
@@ -256,8 +287,9 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-size // BATCH_BYTES))
     # By row, so that repeated rows fall in many batches; written once, so every job sees the same batches.
-    dealt = _bucketed(own.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches))), "batch")
-    asked = dealt.groupBy("batch").applyInArrow(_word_rows, "batch long, key long, n long")
+    rows = own.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)))
+    dealt = _bucketed(spread_keys(rows, "batch").groupBy("batch").applyInArrow(_numbered, NUMBERED), "batch")
+    asked = dealt.filter("words IS NOT NULL").select("batch", "words", "counts").mapInArrow(_word_rows, "batch long, key long, n long")
     same = Window.partitionBy("key")
     words = store(asked.select("batch", "key", F.sum("n").over(same).alias("n"), (F.col("batch") == F.min("batch").over(same)).alias("is_first")))
     total, distinct = words.filter("is_first AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
