@@ -39,7 +39,7 @@ def test_pieces_encode_like_whole_texts(path, folds, monkeypatch):
     assert ids_of(encoder, texts) == want == ids_of(encoder, texts)  # the second time from the cache
     assert ids_of(encoder, [None, "", None]) == [[], [], []] and ids_of(encoder, []) == []
     monkeypatch.setattr(pieces, "LONG", 100)
-    monkeypatch.setattr(pieces.bw, "SLICE_BYTES", 64)
+    monkeypatch.setattr(pieces, "SLICE", 64)
     long = " ".join(texts)
     assert ids_of(encoder, [long]) == [plain.encode(long, add_special_tokens=False).ids]
     assert ids_of(encoder, texts[:300]) == want[:300]
@@ -86,7 +86,7 @@ def test_cache_is_bounded(monkeypatch):
     for k in range(20):
         text = " ".join(f"word{k}n{j}, Abc" for j in range(40))
         assert ids_of(encoder, [text]) == [plain.encode(text).ids]
-        assert len(encoder.keys) <= 50 and len(encoder.flat) == encoder.size.sum()
+        assert len(encoder.known.keys) <= 50 and len(encoder.recent.keys) <= 50 and len(encoder.known.flat) == encoder.known.size.sum()
 
 
 def test_long_texts_are_spliced(spark):

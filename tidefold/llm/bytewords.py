@@ -71,15 +71,15 @@ class Words:
         return np.repeat(self.first[1:], self.counts)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of some megabytes; one long row is a range of its own."""
+def slices(texts: pa.Array, most: int = 0) -> Iterator[tuple[int, int]]:
+    """Row ranges of some megabytes (or about ``most`` bytes); one long row is a range of its own."""
     if len(texts) == 0:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
     while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(total, total[at] + (most or SLICE_BYTES), "right")) - 1)
         yield at, min(to, len(sizes))
         at = to
 

@@ -28,6 +28,7 @@ from tidefold.session import store
 
 LENGTH = 10
 BLOCK = 1 << 20
+SLICE = 2 << 20
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>, hits binary"
 NOTHING = "struct<hits:binary,items:array<string>>"
 
@@ -101,7 +102,7 @@ def _scanner(shared):
         """Findings with this block's windows added to those of earlier blocks."""
         column = pa.array(text, pa.large_string(), from_pandas=True)
         out = []
-        for a, b in bw.slices(column):
+        for a, b in bw.slices(column, SLICE):
             w = bw.split(column.slice(a, b - a), bw.ALNUM)
             hit, items = _scan(shared.value, w)
             before = zip(earlier["hits"].iloc[a:b], earlier["items"].iloc[a:b])

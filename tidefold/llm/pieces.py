@@ -38,7 +38,8 @@ import pyarrow.compute as pc
 
 from tidefold.llm import bytewords as bw
 
-LIMIT = 1_000_000
+LIMIT = 600_000
+SLICE = 2 << 20
 MISSES = 4_096
 LONG = 4 << 20
 
@@ -104,6 +105,38 @@ def rules(path: str) -> str | None:
     return None
 
 
+class Pieces:
+    """Known pieces, sorted by hash: where their ids are in ``flat``, how many, and when they were last asked for."""
+
+    def __init__(self, keys, begin, size, used, flat):
+        self.keys, self.begin, self.size, self.used, self.flat = keys, begin, size, used, flat
+
+    @classmethod
+    def none(cls, kind):
+        return cls(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, kind))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, place, -1)
+
+    def merged(self, keys, begin, size, used, flat, limit: int) -> "Pieces":
+        """These and others whose ids are in ``flat``; beyond ``limit`` what was not asked for lately is forgotten."""
+        keys, used = np.concatenate([self.keys, keys]), np.concatenate([self.used, used])
+        begin, size = np.concatenate([self.begin, begin + len(self.flat)]), np.concatenate([self.size, size])
+        flat = np.concatenate([self.flat, flat])
+        order = np.argsort(keys, kind="stable")
+        if len(keys) > limit:
+            middle = np.partition(used, len(used) // 2)[len(used) // 2]
+            order = order[used[order] > middle] if used.max() > middle else order[: limit // 2]
+        begin, size = begin[order], size[order]
+        stop = np.cumsum(size)
+        ids = flat[np.repeat(begin - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        return Pieces(keys[order], stop - size, size, used[order], ids)
+
+
 class Encoder:
     """Ids of texts. Where the tokenizer lower-cases and drops white space, A-Z and line ends are folded and a leading blank is left out."""
 
@@ -112,9 +145,8 @@ class Encoder:
         self.folds = self.rules == "words"
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.turn = 0
-        # Known pieces, sorted by hash: where their ids are in ``flat``, how many, and when they were last asked for.
-        self.keys, self.begin, self.size, self.used = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-        self.flat = np.zeros(0, self.kind)
+        # New pieces wait in a small table, so that the large one is seldom written anew.
+        self.known, self.recent = Pieces.none(self.kind), Pieces.none(self.kind)
 
     def _one_word(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Which pieces are one word of known letters: the rules hand it as it is to the tokenizer's model."""
@@ -155,39 +187,32 @@ class Encoder:
         return np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
 
     def _values(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, where each distinct piece's ids begin, how many); ``keys`` are sorted."""
+        """(ids, where each distinct piece's ids begin, how many)."""
         self.turn += 1
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
-        begin, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-        begin[known], size[known] = self.begin[place[known]], self.size[place[known]]
-        self.used[place[known]] = self.turn
-        new = np.flatnonzero(~known)
+        begin, size, missing, before = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64), np.ones(len(keys), bool), 0
+        for part in (self.known, self.recent):
+            place = part.find(keys)
+            hit = place >= 0
+            begin[hit], size[hit] = before + part.begin[place[hit]], part.size[place[hit]]
+            part.used[place[hit]] = self.turn
+            missing &= ~hit
+            before += len(part.flat)
+        new = np.flatnonzero(missing)
         ids, size[new] = self._encoded(data, start[new], end[new])
-        begin[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
-        flat = np.concatenate([self.flat, ids])
-        short = new[(end - start)[new] <= 64]
-        self._keep(keys[short], begin[short], size[short], flat)
+        own = np.cumsum(size[new]) - size[new]
+        begin[new] = before + own
+        flat = np.concatenate([self.known.flat, self.recent.flat, ids])
+        short = (end - start)[new] <= 64
+        stamp = np.full(int(short.sum()), self.turn)
+        self.recent = self.recent.merged(keys[new][short], own[short], size[new][short], stamp, ids, LIMIT)
+        if len(self.recent.keys) > LIMIT // 8:
+            r = self.recent
+            self.known, self.recent = self.known.merged(r.keys, r.begin, r.size, r.used, r.flat, LIMIT), Pieces.none(self.kind)
         return flat, begin, size
 
-    def _keep(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray, flat: np.ndarray):
-        """Add short pieces to the known ones; what was not asked for lately is forgotten."""
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged, kind="stable")
-        used = np.concatenate([self.used, np.full(len(keys), self.turn)])[order]
-        if len(merged) > LIMIT:
-            order = order[used > np.partition(used, len(used) // 2)[len(used) // 2]] if used.min() < used.max() else order[: LIMIT // 2]
-            used = np.concatenate([self.used, np.full(len(keys), self.turn)])[order]
-        begin, size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
-        stop = np.cumsum(size)
-        self.flat = flat[np.repeat(begin - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
-        self.keys, self.begin, self.size, self.used = merged[order], stop - size, size, used
-
     def rows(self, texts: pa.Array):
         """(first row, ids, offsets) of consecutive slices of rows; NULL is the empty text."""
-        for a, b in bw.slices(texts):
+        for a, b in bw.slices(texts, SLICE):
             part = pc.fill_null(texts.slice(a, b - a), "").cast(pa.large_string())
             if self.rules and b - a == 1 and len(part[0].as_buffer() or b"") > LONG:
                 yield a, *self._long(part[0].as_py())

@@ -37,6 +37,7 @@ MOST_ROWS = 12_288
 ROUNDS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 CUT = 0.3
+SLICE = 1 << 20  # three features of some bytes a word: smaller slices than elsewhere
 
 
 def features(w: bw.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +76,7 @@ def _examples(batches):
     """Rows (key, toxic, slots): the distinct slots of each text, and the intercept's."""
     for batch in batches:
         texts = batch.column("text")
-        for a, b in bw.slices(texts):
+        for a, b in bw.slices(texts, SLICE):
             row, slot = features(bw.split(texts.slice(a, b - a), bw.ALNUM))
             pair = np.unique(np.concatenate([(row << BITS) | slot, np.arange(b - a) << BITS]))
             cuts = np.searchsorted(pair, np.arange(b - a + 1) << BITS).astype(np.int32)
@@ -135,7 +136,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
         dense[shared.value[0]] = shared.value[1]
         texts = pa.array(batches, pa.large_string(), from_pandas=True)
         out = []
-        for a, b in bw.slices(texts):
+        for a, b in bw.slices(texts, SLICE):
             row, slot = features(bw.split(texts.slice(a, b - a), bw.ALNUM))
             live = dense[slot] != 0
             pair = np.unique((row[live] << BITS) | slot[live])
