@@ -185,3 +185,42 @@ def test_spec_rules():
     spec = smooth.SARIMA[4]
     assert spec.constant and spec.complexity == 4 and spec.minimum_length(7) == 20 and smooth.SARIMA[0].minimum_length(7) == 23
     assert smooth.SARIMA[1].candidate_id(7) == "sarima__p0_d1_q1__P0_D1_Q1_m7__trend_n"
+
+
+@pytest.mark.parametrize("chunk", [65_536, 5])
+def test_bootstrap_mean_equals_direct_resampling(spark, chunk):
+    """Tiles of replicates and draws in rows give the same means, also for a NULL key and groups of both sizes."""
+    rng = np.random.default_rng(12)
+    groups = {"x": rng.normal(0, 1, 9), None: rng.normal(3, 1, 4), "one": np.asarray([2.5])}
+    rows = [(g, f"p{i}", float(v)) for g, vs in groups.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "comparison string, pair string, difference double")
+    got = {r["comparison"]: r for r in infer.bootstrap_mean(df, ["comparison"], "difference", "pair", 700, 5, chunk=chunk).collect()}
+    order = {f"p{i}": r[0] for i, r in enumerate(spark.range(9).select(F.md5(F.concat(F.lit("p"), "id"))).collect())}
+    for name, values in groups.items():
+        key = spark.range(1).select(digest_head(F.lit(5), F.lit(name).cast("string"))).first()[0]
+        placed = values[sorted(range(len(values)), key=lambda i: order[f"p{i}"])]
+        means = placed[draws.draw_array(len(values), key, np.arange(700), np.arange(len(values)))].mean(axis=1)
+        assert got[name]["pair_count"] == len(values) and got[name]["mean"] == pytest.approx(values.mean())
+        assert got[name]["ci_low"] == pytest.approx(np.quantile(means, 0.025)) and got[name]["ci_high"] == pytest.approx(np.quantile(means, 0.975))
+
+
+def test_draws_agree_and_are_even(spark):
+    n, key = 7, 123_456_789
+    got = spark.range(40).select(*[draws.draw(F.lit(n), F.lit(key).cast("long"), F.col("id"), F.lit(j).cast("long")).alias(f"d{j}") for j in range(50)]).toPandas().to_numpy()
+    assert (got == draws.draw_array(n, key, np.arange(40), np.arange(50))).all()
+    share = np.bincount(draws.draw_array(n, key, np.arange(2000), np.arange(50)).ravel(), minlength=n) / 100_000
+    assert np.abs(share - 1 / n).max() < 0.005
+
+
+def test_erfc_and_exact_ranks(spark):
+    xs = [0.0, 1e-9, 0.3, 1.0, 2.4999, 2.5, 3.0, 6.0, 12.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(infer.erfc(F.col("x"))).collect()]
+    assert got == pytest.approx([math.erfc(x) for x in xs], rel=1e-10)
+    rows = [(n, low) for n in (1, 2, 5, 12, 50) for low in (0.0, n * (n + 1) / 8, n * (n + 1) / 4) if low == int(low)]
+    found = spark.createDataFrame(rows, "n long, low double").coalesce(1).select("n", "low", infer.exact_signed_rank_p(F.col("n"), F.col("low")).alias("p")).collect()
+    for r in found:
+        ways = np.zeros(r["n"] * (r["n"] + 1) // 2 + 1)
+        ways[0] = 1
+        for rank in range(1, r["n"] + 1):
+            ways[rank:] += ways[:-rank].copy()
+        assert r["p"] == pytest.approx(min(1.0, 2 * ways[: int(r["low"]) + 1].sum() / 2.0 ** r["n"]))

@@ -374,3 +374,13 @@ def test_gram_sums_end_as_one_row(spark):
     frame = spark.createDataFrame(rows, "series_id string, part long, n long, yy double, max_abs double, rhs array<double>, gram array<double>")
     got = merge_grams(frame, ["series_id"], levels=0).collect()
     assert len(got) == 1 and got[0]["n"] == 40 and got[0]["gram"] == [40.0] and got[0]["max_abs"] == 39.0
+
+
+def test_one_decomposition_serves_all_penalties():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 5))
+    x = np.hstack([x, x[:, :1] + x[:, 1:2]])  # a singular Gram matrix
+    gram, rhs = x.T @ x, x.T @ rng.normal(size=40)
+    for (beta, diag), a in zip(blocks.ridge_path(gram, rhs, [0.01, 1.0, 10.0]), [0.01, 1.0, 10.0]):
+        inverse = np.linalg.inv(gram + a * np.eye(6))
+        assert beta == pytest.approx(inverse @ rhs, rel=1e-6) and diag == pytest.approx(np.diag(inverse), rel=1e-6)

@@ -40,9 +40,10 @@ def test_panel_file(spark, panel):
     assert head["frequency"] == "daily" and head["contains_missing"] is True and head["equal_length"] is False
     assert head["names"] == ["series_name", "weight", "start"]
     row = tsf.read_records(spark, path).filter("index = 0").select(
-        tsf.typed(F.col("attributes")["weight"], "numeric").alias("w"), tsf.typed(F.col("attributes")["start"], "date").alias("d")
+        F.to_json(tsf.typed_attributes(F.col("attributes"), F.col("kinds"))).alias("j"),
+        F.variant_get(tsf.typed(F.col("attributes")["weight"], F.lit("numeric")), "$", "double").alias("w"),
     ).first()
-    assert row["w"] == 2.0 and str(row["d"]) == "2020-01-01 00:00:00"
+    assert row["w"] == 2.0 and '"weight":2' in row["j"] and '"start":"2020-01-01T00:00:00"' in row["j"]
 
 
 @pytest.mark.parametrize(
@@ -170,3 +171,35 @@ def test_lag_rows_are_read_under_their_contract(spark, tmp_path):
     assert paired(left, right, ["k"], ["v"], 1).count() == 1
     with pytest.raises(PySparkException, match="expected 2 rows, found 1"):
         paired(left, right, ["k"], ["v"], 2).collect()
+
+
+def test_bad_cells_are_marked_or_fail(spark, tmp_path):
+    path = str(tmp_path / "r")
+    spark.createDataFrame([("2020-01-01 00:00:00", 1.0), ("2020-01-01 01:00:00", -2.0), ("2020-01-01 02:00:00", None), ("2020-01-01 03:00:00", float("nan"))], "Datetime string, L double").write.option("header", "true").csv(path)
+    got = {str(r["ts"])[11:13]: r["problem"] for r in files.region_csv(spark, path, "r", "L", on_bad="mark").collect()}
+    assert got == {"00": None, "01": "not positive", "02": "missing", "03": "not finite"}
+    with pytest.raises(Exception, match="finite and positive"):
+        files.region_csv(spark, path, "r", "L").collect()
+
+
+def test_hashes_are_streamed(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    bodies = {"a.bin": b"\n", "b.bin": b"x" * (3 * files.PART + 7), "c.bin": b"one"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    found = files.file_hashes(spark, str(tmp_path), "*.bin")
+    assert {r["name"]: (r["bytes"], r["sha256"]) for r in found.collect()} == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items()}
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_period_holds_all_rows(spark):
+    from datetime import datetime
+
+    from tidefold.sources import panels
+
+    rows = spark.createDataFrame([("a", datetime(2019, 12, 31, 23, 59)), ("b", datetime(2021, 1, 1)), ("b", None)], "series_id string, ts timestamp_ntz")
+    p = panels.observed_period(rows, panels.DAY, 7)
+    assert (p.start, p.end) == (datetime(2019, 12, 31), datetime(2021, 1, 2))
+    got = {r["series_id"]: (r["rows"], r["rows_before"], r["rows_behind"], r["rows_without_time"]) for r in panels.outside(rows, panels.Period(datetime(2020, 1, 1), datetime(2021, 1, 1), panels.DAY, 7)).collect()}
+    assert got == {"a": (1, 1, 0, 0), "b": (2, 0, 1, 1)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("preparation", "comparison", "models", "studies", "files")
+MODULES = ("preparation", "comparison", "models", "studies", "rules", "files")
 
 
 def catalog() -> dict:

@@ -106,3 +106,26 @@ def mixed(source: str, value: str, name: str, out: str) -> str:
 {name}_1 AS (SELECT * EXCLUDE (h_0), (xor(h_0 >> 16, h_0) * {FACTOR}) & {MASK} AS h_1 FROM {name}_0),
 {name}_2 AS (SELECT * EXCLUDE (h_1), (xor(h_1 >> 16, h_1) * {FACTOR}) & {MASK} AS h_2 FROM {name}_1),
 {name} AS (SELECT * EXCLUDE (h_2), xor(h_2 >> 16, h_2) AS {out} FROM {name}_2)"""
+
+
+def inverted(source: str, name: str, size: int) -> str:
+    """CTEs that solve the symmetric systems of ``source``: columns ``g{i}_{j}`` and ``t{i}`` become ``b{i}`` (solution) and ``v{i}`` (diagonal of the inverse).
+
+    Gauss-Jordan elimination, one step a CTE; positive definite systems need no pivoting.
+    """
+    width = 2 * size + 1
+
+    def cell(i: int, j: int) -> str:
+        if j < size:
+            return f"g{min(i, j)}_{max(i, j)}"
+        return f"t{i}" if j == size else f"{float(i == j - size - 1)}::DOUBLE"
+
+    cells = [(i, j) for i in range(size) for j in range(width)]
+    out = [f"{name}_0 AS (SELECT *, {', '.join(f'{cell(i, j)} AS m{i}_{j}' for i, j in cells)} FROM {source})"]
+    names = ", ".join(f"m{i}_{j}" for i, j in cells)
+    for k in range(size):
+        step = [f"m{k}_{j} / m{k}_{k} AS m{k}_{j}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k} AS m{i}_{j}" for i, j in cells]
+        out.append(f"{name}_{k + 1} AS (SELECT * EXCLUDE ({names}), {', '.join(step)} FROM {name}_{k})")
+    found = ", ".join([f"m{i}_{size} AS b{i}" for i in range(size)] + [f"m{i}_{size + 1 + i} AS v{i}" for i in range(size)])
+    out.append(f"{name} AS (SELECT * EXCLUDE ({names}), {found} FROM {name}_{size})")
+    return ",".join(out)

@@ -198,7 +198,7 @@ def _moved(new: str, old: str) -> str:
   FROM (SELECT zp.*, c.a1, c.a2, c.b1, c.b2, {_nearest("c.a")} AS g1, {_nearest("c.b")} AS g2 FROM zp JOIN {old} c ON c.series_id = zp.series_id) p GROUP BY 1)"""
 
 
-_TWO_RULES = _EVT + """,
+TWO_RULES = _EVT + """,
 x AS (SELECT * FROM (SELECT *, lag(value_scaled, 1) OVER w AS l1, lag(value_scaled, 2) OVER w AS l2 FROM p WINDOW w AS (PARTITION BY series_id ORDER BY step)) WHERE step >= 2),
 sd AS (SELECT series_id, count(*) AS n, avg(l1) AS m1, avg(l2) AS m2, stddev_pop(l1) AS s1, stddev_pop(l2) AS s2 FROM x WHERE role = 'prior' GROUP BY 1),
 zz AS (SELECT x.series_id, step, role, (l1 - m1) / s1 AS z1, (l2 - m2) / s2 AS z2, n FROM x JOIN sd ON sd.series_id = x.series_id),
@@ -220,7 +220,8 @@ lw AS (SELECT z.series_id, -0.5 * (((z1 - a1) / ta1) ** 2 + ((z2 - a2) / ta2) **
   FROM zz z JOIN wd ON wd.series_id = z.series_id WHERE role IN ('bound', 'validation')),
 fr AS (SELECT series_id, 1 / (1 + exp(v - u)) AS w1, 1 / (1 + exp(u - v)) AS w2 FROM lw),
 us AS (SELECT series_id, count(*) FILTER (w1 >= w2) AS h1, count(*) FILTER (w1 < w2) AS h2, avg(w1) AS m1, avg(w2) AS m2,
-  avg(CAST(w1 > 1e-8 AS INT) + CAST(w2 > 1e-8 AS INT)) AS act, max(CAST(w1 > 1e-8 AS INT) + CAST(w2 > 1e-8 AS INT)) AS top FROM fr GROUP BY 1)
+  avg(CAST(w1 > 1e-8 AS INT) + CAST(w2 > 1e-8 AS INT)) AS act, max(CAST(w1 > 1e-8 AS INT) + CAST(w2 > 1e-8 AS INT)) AS top FROM fr GROUP BY 1)"""
+_TWO_RULES = TWO_RULES + """
 SELECT u.series_id, 2::BIGINT AS rule_count, CAST(h1 > 0 AS BIGINT) + CAST(h2 > 0 AS BIGINT) AS effective_rule_count, least(h1, h2) AS minimum_hard_rule_support,
  greatest(h1, h2) AS maximum_hard_rule_support, round(act, 6) AS mean_active_rules, top AS maximum_active_rules, round(-(m1 * ln(m1) + m2 * ln(m2)) / ln(2::DOUBLE), 6) AS rule_usage_entropy,
  n_prior, round(reach_1, 6) AS reach_1, round(reach_2, 6) AS reach_2, round(realized, 6) AS realized, support_1, support_2

@@ -22,6 +22,7 @@ from tidefold.session import cut_lineage, spread_keys
 # Limits of the rule widths and the smallest usable deviation.
 SPREAD_FLOOR, SPREAD_CEILING, EPSILON = 0.15, 3.0, 1e-12
 REFINEMENTS = 2
+KEYS = ("series_id", "lag")
 
 # One row per (series, lag, k). Centers and spreads are row-major, ``rule_count`` x ``lag``.
 COVER_SCHEMA = (
@@ -49,71 +50,63 @@ def cover(
 
 
 def _cover_blocks(prior: DataFrame, order_list: Sequence[int], max_rules: int, limit: int) -> DataFrame:
-    orders = [int(p) for p in order_list]
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > limit:
             raise ValueError("A series is longer than the bound that was promised.")
         pdf = pdf.sort_values("step")
-        step = pdf["step"].to_numpy()
-        x_all = np.stack(pdf["features"].to_numpy())
+        p, x = int(pdf["lag"].iloc[0]), np.stack(pdf["features"].to_numpy())
         out = []
-        for p in orders:
-            x = x_all[step >= p, :p]
-            if not len(x):
-                continue
-            mean, scale = x.mean(axis=0), x.std(axis=0)
-            scale = np.where(scale > EPSILON, scale, 1.0)
-            z = (x - mean) / scale
-            order, reach = blocks.farthest_first(z, max_rules)
-            wide = z.std(axis=0)
-            wide = np.where(wide > EPSILON, wide, 1.0)
-            for k in range(1, len(order) + 1):
-                centers = z[order[:k]]
-                for _ in range(REFINEMENTS):
-                    label, _gap = blocks.nearest(z, centers)
-                    centers = blocks.group_mean(z, label, centers)
+        mean, scale = x.mean(axis=0), x.std(axis=0)
+        scale = np.where(scale > EPSILON, scale, 1.0)
+        z = (x - mean) / scale
+        order, reach = blocks.farthest_first(z, max_rules)
+        wide = z.std(axis=0)
+        wide = np.where(wide > EPSILON, wide, 1.0)
+        for k in range(1, len(order) + 1):
+            centers = z[order[:k]]
+            for _ in range(REFINEMENTS):
                 label, _gap = blocks.nearest(z, centers)
-                kept = np.unique(label)
-                centers = centers[kept]
-                label, gap = blocks.nearest(z, centers)
-                support = np.bincount(label, minlength=len(centers))
-                sd = np.stack([z[label == j].std(axis=0) for j in range(len(centers))])
-                sd = np.where((support[:, None] >= 2) & (sd > EPSILON), sd, wide)
-                out.append(
-                    (pdf["series_id"].iloc[0], p, k, len(x), mean, scale, reach, len(centers), k - len(kept),
-                     max(float(np.sqrt(gap.max())), EPSILON), support, centers.ravel(),
-                     np.clip(sd, SPREAD_FLOOR, SPREAD_CEILING).ravel())
-                )
+                centers = blocks.group_mean(z, label, centers)
+            label, _gap = blocks.nearest(z, centers)
+            kept = np.unique(label)
+            centers = centers[kept]
+            label, gap = blocks.nearest(z, centers)
+            support = np.bincount(label, minlength=len(centers))
+            sd = np.stack([z[label == j].std(axis=0) for j in range(len(centers))])
+            sd = np.where((support[:, None] >= 2) & (sd > EPSILON), sd, wide)
+            out.append(
+                (pdf["series_id"].iloc[0], p, k, len(x), mean, scale, reach, len(centers), k - len(kept),
+                 max(float(np.sqrt(gap.max())), EPSILON), support, centers.ravel(),
+                 np.clip(sd, SPREAD_FLOOR, SPREAD_CEILING).ravel())
+            )
         return pd.DataFrame(out, columns=[c.split()[0] for c in COVER_SCHEMA.split(", ")])
 
-    return spread_keys(prior, "series_id").groupBy("series_id").applyInPandas(one, COVER_SCHEMA)
+    lags = F.explode(F.array(*[F.lit(int(p)) for p in order_list])).alias("lag")
+    per_lag = prior.select("*", lags).filter(F.col("step") >= F.col("lag")).withColumn("features", F.slice("features", F.lit(1), F.col("lag")))
+    return spread_keys(per_lag, *KEYS).groupBy(*KEYS).applyInPandas(one, COVER_SCHEMA)
 
 
-def _vector_avg(column: str, width: int) -> list[Column]:
-    return [F.avg(F.col(column)[i]).alias(f"_m{i}") for i in range(width)]
+def _each(column: str, width: int, measure) -> Column:
+    """``measure`` of every coordinate as an array; lags of less than ``width`` leave NULLs behind their own."""
+    return F.array(*[measure(F.get(column, F.lit(i))) for i in range(width)])
 
 
 def _cover_rounds(prior: DataFrame, order_list: Sequence[int], max_rules: int) -> DataFrame:
-    parts = [_rounds_for_lag(prior, int(p), max_rules) for p in order_list]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _rounds_for_lag(prior: DataFrame, p: int, max_rules: int) -> DataFrame:
-    """Centers for all series in ``max_rules`` rounds; each round is one map-side combined max."""
-    x = prior.filter(F.col("step") >= p).select("series_id", "step", F.slice("features", 1, p).alias("x"))
-    mean = [F.avg(F.col("x")[i]) for i in range(p)]
-    dev = [F.stddev_pop(F.col("x")[i]) for i in range(p)]
-    stats = x.groupBy("series_id").agg(
-        F.count("*").alias("n_prior"),
-        F.array(*mean).alias("feature_mean"),
-        F.transform(F.array(*dev), lambda s: F.when(s > EPSILON, s).otherwise(1.0)).alias("feature_scale"),
+    """Centers for all series and lags together in ``max_rules`` rounds; each round is one map-side combined max."""
+    widest = max(int(p) for p in order_list)
+    lags = F.explode(F.array(*[F.lit(int(p)) for p in order_list])).alias("lag")
+    x = prior.select("series_id", "step", "features", lags).filter(F.col("step") >= F.col("lag")).select(
+        *KEYS, "step", F.slice("features", F.lit(1), F.col("lag")).alias("x")
     )
-    z = x.join(stats, "series_id").select(
-        "series_id", "step",
+    own = F.lit(1), F.col("lag")
+    stats = x.groupBy(*KEYS).agg(
+        F.count("*").alias("n_prior"), _each("x", widest, F.avg).alias("feature_mean"), _each("x", widest, F.stddev_pop).alias("feature_scale")
+    ).withColumns({
+        "feature_mean": F.slice("feature_mean", *own),
+        "feature_scale": F.transform(F.slice("feature_scale", *own), lambda s: F.when(s > EPSILON, s).otherwise(1.0)),
+    })
+    z = x.join(stats, list(KEYS)).select(
+        *KEYS, "step",
         F.transform(
             F.arrays_zip("x", "feature_mean", "feature_scale"),
             lambda t: (t["x"] - t["feature_mean"]) / t["feature_scale"],
@@ -122,48 +115,47 @@ def _rounds_for_lag(prior: DataFrame, p: int, max_rules: int) -> DataFrame:
     # Every round reads these rows, so they are written once to shared storage.
     z = cut_lineage(z)
     zero = F.transform("z", lambda v: v * 0.0)
-    first = z.groupBy("series_id").agg(
+    first = z.groupBy(*KEYS).agg(
         F.min_by("z", F.struct(mean_square_gap(F.col("z"), zero).alias("d"), "step")).alias("pick")
     )
-    centers = cut_lineage(first.select("series_id", F.array("pick").alias("picks"), F.array().cast("array<double>").alias("reach")))
+    centers = cut_lineage(first.select(*KEYS, F.array("pick").alias("picks"), F.array().cast("array<double>").alias("reach")))
     for k in range(1, max_rules + 1):
         near = F.array_min(F.transform("picks", lambda c: mean_square_gap(F.col("z"), c)))
         far = (
-            z.join(centers.select("series_id", "picks"), "series_id")
+            z.join(centers.select(*KEYS, "picks"), list(KEYS))
             .withColumn("near", near)
-            .groupBy("series_id")
+            .groupBy(*KEYS)
             .agg(F.max("near").alias("far"), F.max_by("z", F.struct("near", (-F.col("step")).alias("s"))).alias("pick"), F.count("*").alias("n"))
         )
-        grown = centers.join(far, "series_id")
+        grown = centers.join(far, list(KEYS))
         full = F.size("picks") >= F.least(F.lit(max_rules), F.col("n"))
         done = F.size("reach") >= F.size("picks")
         centers = cut_lineage(
             grown.select(
-                "series_id",
+                *KEYS,
                 F.when(full, F.col("picks")).otherwise(F.concat("picks", F.array("pick"))).alias("picks"),
                 F.when(done, F.col("reach")).otherwise(F.concat("reach", F.array(F.sqrt("far")))).alias("reach"),
             )
         )
     cuts = centers.select(
-        "series_id", F.explode(F.sequence(F.lit(1), F.size("picks"))).alias("k"), "picks"
-    ).select("series_id", "k", F.slice("picks", F.lit(1), F.col("k")).alias("centers"))
+        *KEYS, F.explode(F.sequence(F.lit(1), F.size("picks"))).alias("k"), "picks"
+    ).select(*KEYS, "k", F.slice("picks", F.lit(1), F.col("k")).alias("centers"))
     for _ in range(REFINEMENTS):
-        cuts = cut_lineage(_refine(z, cuts, p))
+        cuts = cut_lineage(_refine(z, cuts, widest))
     # Rules that no row is nearest to are dropped, then rows are assigned again.
-    used = _assign(z, cuts).groupBy("series_id", "k").agg(F.array_sort(F.collect_set("rule")).alias("used"))
-    kept = cuts.join(used, ["series_id", "k"]).select(
-        "series_id", "k", (F.size("centers") - F.size("used")).alias("empty"),
+    used = _assign(z, cuts).groupBy(*KEYS, "k").agg(F.array_sort(F.collect_set("rule")).alias("used"))
+    kept = cuts.join(used, [*KEYS, "k"]).select(
+        *KEYS, "k", (F.size("centers") - F.size("used")).alias("empty"),
         F.transform("used", lambda j: F.col("centers")[j]).alias("centers"),
     )
     kept = cut_lineage(kept)
     labelled = _assign(z, kept)
-    wide = z.groupBy("series_id").agg(
-        F.transform(F.array(*[F.stddev_pop(F.col("z")[i]) for i in range(p)]), lambda s: F.when(s > EPSILON, s).otherwise(1.0)).alias("wide")
+    wide = z.groupBy(*KEYS).agg(_each("z", widest, F.stddev_pop).alias("wide")).withColumn(
+        "wide", F.transform(F.slice("wide", *own), lambda s: F.when(s > EPSILON, s).otherwise(1.0))
     )
-    per_rule = labelled.groupBy("series_id", "k", "rule").agg(
-        F.count("*").alias("support"), F.max("gap").alias("gap"),
-        F.array(*[F.stddev_pop(F.col("z")[i]) for i in range(p)]).alias("sd"),
-    ).join(wide, "series_id")
+    per_rule = labelled.groupBy(*KEYS, "k", "rule").agg(
+        F.count("*").alias("support"), F.max("gap").alias("gap"), _each("z", widest, F.stddev_pop).alias("sd")
+    ).withColumn("sd", F.slice("sd", *own)).join(wide, list(KEYS))
     spread = F.transform(
         F.arrays_zip("sd", "wide"),
         lambda t: F.least(
@@ -174,15 +166,15 @@ def _rounds_for_lag(prior: DataFrame, p: int, max_rules: int) -> DataFrame:
         ),
     )
     # At most max_rules entries per group.
-    packed = per_rule.withColumn("spread", spread).groupBy("series_id", "k").agg(
+    packed = per_rule.withColumn("spread", spread).groupBy(*KEYS, "k").agg(
         F.array_sort(F.collect_list(F.struct("rule", "spread", "support"))).alias("r"), F.max("gap").alias("gap")
     )
     return (
-        kept.join(packed, ["series_id", "k"])
-        .join(stats, "series_id")
-        .join(centers.select("series_id", "reach"), "series_id")
+        kept.join(packed, [*KEYS, "k"])
+        .join(stats, list(KEYS))
+        .join(centers.select(*KEYS, "reach"), list(KEYS))
         .select(
-            "series_id", F.lit(p).alias("lag"), F.col("k").cast("int").alias("k"), "n_prior", "feature_mean",
+            *KEYS, F.col("k").cast("int").alias("k"), "n_prior", "feature_mean",
             "feature_scale", "reach", F.size("centers").alias("rule_count"), F.col("empty").cast("int").alias("empty"),
             F.greatest(F.sqrt("gap"), F.lit(EPSILON)).alias("realized"), F.col("r.support").alias("support"),
             F.flatten("centers").alias("centers"), F.flatten("r.spread").alias("spreads"),
@@ -194,7 +186,7 @@ def _assign(z: DataFrame, cuts: DataFrame) -> DataFrame:
     """Each row with its nearest center of every cut; the lower rule wins a tie."""
     gaps = F.transform("centers", lambda c: mean_square_gap(F.col("z"), c))
     return (
-        z.join(cuts, "series_id")
+        z.join(cuts, list(KEYS))
         .withColumn("_gaps", gaps)
         .withColumn("gap", F.array_min("_gaps"))
         .withColumn("rule", (F.array_position("_gaps", F.col("gap")) - 1).cast("int"))
@@ -202,13 +194,13 @@ def _assign(z: DataFrame, cuts: DataFrame) -> DataFrame:
     )
 
 
-def _refine(z: DataFrame, cuts: DataFrame, p: int) -> DataFrame:
-    means = _assign(z, cuts).groupBy("series_id", "k", "rule").agg(*_vector_avg("z", p))
-    moved = means.select("series_id", "k", "rule", F.array(*[f"_m{i}" for i in range(p)]).alias("center"))
-    old = cuts.select("series_id", "k", F.posexplode("centers").alias("rule", "old"))
-    new = old.join(moved, ["series_id", "k", "rule"], "left").withColumn("center", F.coalesce("center", "old"))
+def _refine(z: DataFrame, cuts: DataFrame, widest: int) -> DataFrame:
+    means = _assign(z, cuts).groupBy(*KEYS, "k", "rule").agg(_each("z", widest, F.avg).alias("center"))
+    moved = means.withColumn("center", F.slice("center", F.lit(1), F.col("lag")))
+    old = cuts.select(*KEYS, "k", F.posexplode("centers").alias("rule", "old"))
+    new = old.join(moved, [*KEYS, "k", "rule"], "left").withColumn("center", F.coalesce("center", "old"))
     ordered = F.array_sort(F.collect_list(F.struct("rule", "center")))
-    return new.groupBy("series_id", "k").agg(ordered["center"].alias("centers"))
+    return new.groupBy(*KEYS, "k").agg(ordered["center"].alias("centers"))
 
 
 def cut_for_radius(reach: Column, radius: Column) -> Column:

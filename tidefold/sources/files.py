@@ -121,7 +121,10 @@ def _hashed(batches):
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of every file under a folder, of any size: only names are rows, a file's bytes pass through its task."""
+    """SHA-256 of every file under a folder, of any size: only names are rows, a file's bytes pass through its task.
+
+    Spark's listing leaves empty files out, and so does this one.
+    """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     names = listed.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("bytes"))
     return spread_keys(names, "path").mapInArrow(_hashed, "name string, path string, bytes long, sha256 string")
