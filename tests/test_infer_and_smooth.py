@@ -224,3 +224,24 @@ def test_erfc_and_exact_ranks(spark):
         for rank in range(1, r["n"] + 1):
             ways[rank:] += ways[:-rank].copy()
         assert r["p"] == pytest.approx(min(1.0, 2 * ways[: int(r["low"]) + 1].sum() / 2.0 ** r["n"]))
+
+
+@pytest.mark.parametrize("chunk", [8, 13, 4096])
+def test_smoothing_of_chunks_equals_whole_series(spark, chunk):
+    """Maps of chunks carried over borders give the values of one run, for all five forms, with a short series among them."""
+    from tidefold.operators import smooth
+
+    rng = np.random.default_rng(21)
+    rows = []
+    for name, n in (("a", 90), ("b", 61), ("short", 12)):
+        y = 20 + np.cumsum(rng.normal(0, 0.5, n)) + 3 * np.sin(np.arange(n) * 2 * np.pi / 4)
+        rows += [(name, i, "prior" if i < n // 2 else "bound" if i < 3 * n // 4 else "validation", float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "series_id string, step long, role string, value_imputed double")
+    args = (smooth.ETS, 4, ("prior", "bound"), "validation")
+    names = ["series_id", "candidate", "step"]
+    want = smooth.forecast(df, *args, 1000).toPandas().sort_values(names).reset_index(drop=True)
+    got = smooth.forecast_long(df, *args, chunk=chunk).toPandas().sort_values(names).reset_index(drop=True)
+    assert (got[["series_id", "candidate", "status", "error", "n_train", "params"]].fillna("") == want[["series_id", "candidate", "status", "error", "n_train", "params"]].fillna("")).all().all()
+    assert set(want["status"]) == {"ok", "failed"} and set(want["candidate"]) == {x.name for x in smooth.ETS}
+    for column in ("aic", "bic", "step", "forecast"):
+        assert np.allclose(got[column].astype(float), want[column].astype(float), equal_nan=True, rtol=1e-9)

@@ -174,6 +174,27 @@ def ets_level(spark, folder):
     )
 
 
+def _forms(spark, folder, plan):
+    """All five smoothing forms on the event hours: best weights in sample and validation errors."""
+    prepared = _evt(spark, folder).withColumn("series_id", F.col("series_id").cast("string"))
+    got = plan(prepared, smooth.ETS, EVT.season, ("prior", "bound"), "validation")
+    out = smooth.candidate_scores(got, prepared.select("series_id", "step", F.col("value_imputed").alias("actual")))
+    weights = [F.get_json_object("spec_json", f"$.{n}").cast("double").alias(n) for n in ("alpha", "beta", "gamma", "phi")]
+    return rounded(
+        out.select("series_id", "candidate", "status", "n_train", "points", *weights, "aic", "bic", "validation_rmse", "validation_mae", "validation_weighted_cost"),
+        aic=4, bic=4, validation_rmse=6, validation_mae=6, validation_weighted_cost=6,
+    )
+
+
+def ets_forms(spark, folder):
+    return _forms(spark, folder, lambda *a: smooth.forecast(*a, EVT.slots))
+
+
+def ets_forms_long(spark, folder):
+    """The same without a length bound: chunks of 100 hours, their maps carried over the borders."""
+    return _forms(spark, folder, lambda *a: smooth.forecast_long(*a, chunk=100))
+
+
 def _ship(spark, folder):
     return prepare.by_ratio_panel(panels.ship_week(spark, folder), 13, max_len=SHIP.slots)
 
@@ -227,7 +248,29 @@ SELECT u.series_id, 2::BIGINT AS rule_count, CAST(h1 > 0 AS BIGINT) + CAST(h2 >
  n_prior, round(reach_1, 6) AS reach_1, round(reach_2, 6) AS reach_2, round(realized, 6) AS realized, support_1, support_2
 FROM us u JOIN wd ON wd.series_id = u.series_id JOIN p2 ON p2.series_id = u.series_id JOIN r2 ON r2.series_id = u.series_id"""
 
+_FORMS = _EVT + """,
+fm AS (SELECT * FROM (VALUES ('ets_level', false, false, false), ('ets_holt', true, false, false), ('ets_damped_holt', true, false, true), ('ets_seasonal', false, true, false), ('ets_holt_winters', true, true, false)) AS v(candidate, tr, se, da)),
+gw AS (SELECT candidate, tr, se, a AS alpha, b AS beta, g AS gamma, f AS phi FROM fm, (SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS a), (SELECT unnest([0.0, 0.01, 0.05, 0.1, 0.3]::DOUBLE[]) AS b),
+  (SELECT unnest([0.0, 0.01, 0.05, 0.1, 0.3]::DOUBLE[]) AS g), (SELECT unnest([0.8, 0.9, 0.98, 1.0]::DOUBLE[]) AS f) WHERE (b > 0) = tr AND (g > 0) = se AND (f < 1) = da),
+iv AS (SELECT series_id, max(value_imputed) FILTER (step = 0) AS y0, max(value_imputed) FILTER (step = 1) AS y1, avg(value_imputed) FILTER (step < 24) AS m1, avg(value_imputed) FILTER (step >= 24) AS m2,
+  list(value_imputed ORDER BY step) FILTER (step < 24) AS ys FROM p WHERE step < 48 GROUP BY 1),
+rs(series_id, candidate, alpha, beta, gamma, phi, step, level, slope, cycle, f, y, role) AS (
+  SELECT series_id, candidate, alpha, beta, gamma, phi, CASE WHEN se THEN 23 ELSE 0 END::BIGINT, CASE WHEN se THEN m1 ELSE y0 END, CASE WHEN NOT tr THEN 0 WHEN se THEN (m2 - m1) / 24 ELSE y1 - y0 END::DOUBLE,
+    CASE WHEN se THEN list_transform(ys, lambda v: v - m1) ELSE [0.0::DOUBLE] END, NULL::DOUBLE, NULL::DOUBLE, 'none' FROM iv, gw
+  UNION ALL
+  SELECT series_id, candidate, alpha, beta, gamma, phi, step, level + phi * slope + alpha * (y - f), phi * slope + beta * (y - f), cycle[1 : slot - 1] || [cycle[slot] + gamma * (y - f)] || cycle[slot + 1 : len(cycle)], f, y, role
+  FROM (SELECT r.series_id, candidate, alpha, beta, gamma, phi, p.step, level, slope, cycle, (p.step % len(cycle) + 1)::BIGINT AS slot, level + phi * slope + cycle[p.step % len(cycle) + 1] AS f, p.value_imputed AS y, p.role
+    FROM rs r JOIN p ON p.series_id = r.series_id AND p.step = r.step + 1 AND p.role <> 'test')),
+ss AS (SELECT series_id, candidate, alpha, beta, gamma, phi, sum((y - f) ** 2) AS sse, count(f) AS n FROM rs WHERE role IN ('prior', 'bound') GROUP BY ALL),
+bs AS (SELECT *, CAST(alpha <> 0 AS INT) + CAST(beta <> 0 AS INT) + CAST(gamma <> 0 AS INT) + CAST(phi <> 0 AS INT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY series_id, candidate ORDER BY sse, alpha, beta, gamma, phi) AS rn FROM ss) WHERE rn = 1)
+SELECT b.series_id, b.candidate, 'ok' AS status, b.n + CASE WHEN b.gamma > 0 THEN 24 ELSE 1 END AS n_train, count(*) AS points, b.alpha, b.beta, b.gamma, b.phi, round(min(b.n * ln(b.sse / b.n) + 2 * k), 4) AS aic, round(min(b.n * ln(b.sse / b.n) + k * ln(b.n)), 4) AS bic,
+ round(sqrt(avg((y - f) ** 2)), 6) AS validation_rmse, round(avg(abs(y - f)), 6) AS validation_mae, round(avg(2 * greatest(y - f, 0) + greatest(f - y, 0)), 6) AS validation_weighted_cost
+FROM bs b JOIN rs l ON l.series_id = b.series_id AND l.candidate = b.candidate AND l.alpha = b.alpha AND l.beta = b.beta AND l.gamma = b.gamma AND l.phi = b.phi AND l.role = 'validation'
+GROUP BY b.series_id, b.candidate, b.n, b.sse, b.k, b.alpha, b.beta, b.gamma, b.phi"""
+
 CHECKS = {
+    "ets_forms": (ets_forms, _FORMS),
+    "ets_forms_long": (ets_forms_long, _FORMS),
     "two_rule_usage": (two_rule_usage, _TWO_RULES),
     "two_rule_usage_rounds": (two_rule_usage_rounds, _TWO_RULES),
     "rule_covers": (rule_covers, None),

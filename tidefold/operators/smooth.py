@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidefold.functions import metrics as m
 from tidefold.operators.lags import with_shift
-from tidefold.operators.ordered import CHUNK
+from tidefold.operators.ordered import CHUNK, chunk_of, fits
 from tidefold.operators.select import best
 from tidefold.session import spread_keys, store
 
@@ -83,37 +83,189 @@ SCHEMA = (
 )
 
 
-def _smooth(y: np.ndarray, n: int, spec: Spec, season: int):
-    """All grid points at once; returns the best point, its error, its size and its forecasts."""
-    grid = np.array(
+def _grid(spec: Spec) -> np.ndarray:
+    """All weights of a form: one row (alpha, beta, gamma, phi) for each point."""
+    return np.array(
         list(product(LEVELS, TRENDS if spec.trend else (0.0,), SEASONS if spec.seasonal else (0.0,), DAMPING if spec.damped else (1.0,)))
     )
-    alpha, beta, gamma, phi = grid.T
-    size = len(grid)
+
+
+def _start(y: np.ndarray, spec: Spec, season: int, size: int):
+    """(first forecast, state before it) from the first values."""
     if spec.seasonal:
-        first = season
         base = y[:season].mean()
-        level = np.full(size, base)
-        slope = np.full(size, (y[season : 2 * season].mean() - base) / season if spec.trend else 0.0)
-        cycle = np.tile((y[:season] - base)[:, None], (1, size))
-    else:
-        first = 1
-        level = np.full(size, y[0])
-        slope = np.full(size, y[1] - y[0] if spec.trend else 0.0)
-        cycle = np.zeros((1, size))
-    out = np.full((len(y), size), np.nan)
-    for t in range(first, len(y)):
-        slot = t % season if spec.seasonal else 0
+        slope = (y[season : 2 * season].mean() - base) / season if spec.trend else 0.0
+        return season, (np.full(size, base), np.full(size, slope), np.tile((y[:season] - base)[:, None], (1, size)))
+    return 1, (np.full(size, y[0]), np.full(size, y[1] - y[0] if spec.trend else 0.0), np.zeros((1, size)))
+
+
+def _run(y: np.ndarray, place: int, state, grid: np.ndarray, unit=1.0, keep: bool = True):
+    """Forecasts of ``y``, whose first value is at ``place``, and the state behind it; all grid points (and columns) at once."""
+    alpha, beta, gamma, phi = grid.T
+    level, slope, cycle = state
+    out = np.empty((len(y), *level.shape)) if keep else None
+    for t, value in enumerate(y):
+        slot = (place + t) % len(cycle)
         ahead = level + phi * slope
-        out[t] = ahead + cycle[slot]
-        error = y[t] - out[t]
+        guess = ahead + cycle[slot]
+        if keep:
+            out[t] = guess
+        error = value * unit - guess
         level = ahead + alpha * error
         slope = phi * slope + beta * error
         cycle[slot] = cycle[slot] + gamma * error
-    sse = ((y[first:n, None] - out[first:n]) ** 2).sum(axis=0)
+    return out, (level, slope, cycle)
+
+
+def _fitted(grid: np.ndarray, k: int) -> tuple[dict, int]:
+    return dict(zip(("alpha", "beta", "gamma", "phi"), map(float, grid[k]))), int((grid[k] != 0).sum())
+
+
+def _smooth(y: np.ndarray, n: int, spec: Spec, season: int):
+    """All grid points at once; returns the best point, its error, its size and its forecasts."""
+    grid = _grid(spec)
+    first, state = _start(y, spec, season, len(grid))
+    ahead = np.full((len(y), len(grid)), np.nan)
+    ahead[first:], _ = _run(y[first:], first, state, grid)
+    sse = ((y[first:n, None] - ahead[first:n]) ** 2).sum(axis=0)
     k = int(np.argmin(sse))
-    names = ("alpha", "beta", "gamma", "phi")
-    return dict(zip(names, map(float, grid[k]))), float(sse[k]), n - first, int((grid[k] != 0).sum()), out[:, k]
+    params, size = _fitted(grid, k)
+    return params, float(sse[k]), n - first, size, ahead[:, k]
+
+
+# --- smoothing of series of any length ---------------------------------------------------
+# A step is an affine map of the state (level, slope, cycle), so a chunk is one too.
+
+
+def _chunk_map(y: np.ndarray, place: int, spec: Spec, season: int) -> np.ndarray:
+    """The chunk as a map: states x (states + 1) x grid points, from the recursion run on every unit vector and on zero."""
+    grid = _grid(spec)
+    slots = season if spec.seasonal else 1
+    size = slots + 2
+    unit = np.eye(size, size + 1)[:, :, None] * np.ones(len(grid))
+    value = np.zeros((size + 1, 1))
+    value[size] = 1.0
+    _, (level, slope, cycle) = _run(y, place, (unit[0], unit[1], unit[2:].copy()), grid, value, keep=False)
+    return np.concatenate([level[None], slope[None], cycle])
+
+
+def _moved(step: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return (step[:, :-1] * state[None]).sum(axis=1) + step[:, -1]
+
+
+def _as_state(flat: np.ndarray):
+    return flat[0].copy(), flat[1].copy(), flat[2:].copy()
+
+
+def forecast_long(
+    rows: DataFrame, specs: Sequence[Spec], season: int, train: Sequence[str], score: str, value: str = "value_imputed", chunk: int = CHUNK
+) -> DataFrame:
+    """:func:`forecast` for smoothing forms and series of any length, with the same values.
+
+    Every chunk of a series becomes an affine map of the state; the maps are applied
+    one after another, which gives the state at every border; then each chunk works
+    out its errors from its own border, and with the best weights its forecasts.
+    A task holds one chunk, the border states pass through it one by one.
+    """
+    if any(s.family != "ETS" for s in specs):
+        raise ValueError("Only smoothing forms run on series of any length.")
+    if chunk < 2 * season:
+        raise ValueError("A chunk must hold the first two seasons.")
+    by_name, train = {s.name: s for s in specs}, tuple(train)
+    base = rows.filter(F.col("role").isin(*train, score)).select(
+        F.col("series_id").cast("string").alias("series_id"), "step", "role", F.col(value).cast("double").alias("y"), chunk_of(F.col("step"), chunk).alias("chunk")
+    )
+    sizes = base.groupBy("series_id").agg(F.count_if(F.col("role").isin(*train)).alias("n"))
+    used = base.join(sizes, "series_id")
+    keys = ["series_id", "chunk"]
+
+    def usable(n: int):
+        return [s for s in specs if n >= s.minimum_length(season)]
+
+    def maps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("step")
+        y, place, out = pdf["y"].to_numpy(float), int(pdf["step"].iloc[0]), []
+        for spec in usable(int(pdf["n"].iloc[0])):
+            if place:
+                step = _chunk_map(y, place, spec, season)
+            else:
+                first, state = _start(y, spec, season, len(_grid(spec)))
+                _, (level, slope, cycle) = _run(y[first:], first, state, _grid(spec), keep=False)
+                last = np.concatenate([level[None], slope[None], cycle])
+                step = np.concatenate([np.zeros((len(last), len(last), last.shape[1])), last[:, None]], axis=1)
+            out.append((pdf["series_id"].iloc[0], spec.name, place // chunk, step.tobytes()))
+        return pd.DataFrame(out, columns=["series_id", "candidate", "chunk", "step"])
+
+    def borders(frames):
+        """The state before each chunk, over maps in the order of their chunks."""
+        now, state = None, None
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples():
+                if (row.series_id, row.candidate) != now:
+                    now, state = (row.series_id, row.candidate), None
+                spec = by_name[row.candidate]
+                size = (season if spec.seasonal else 1) + 2
+                step = np.frombuffer(row.step).reshape(size, size + 1, -1)
+                out.append((row.series_id, row.candidate, row.chunk, b"" if state is None else state.tobytes()))
+                state = _moved(step, np.zeros((size, step.shape[2])) if state is None else state)
+            yield pd.DataFrame(out, columns=["series_id", "candidate", "chunk", "state"])
+
+    def chunk_run(left: pd.DataFrame, candidate: str, state: bytes, grid: np.ndarray, point=None):
+        """(place of the first forecast, forecasts) of a chunk for the whole grid or one point of it."""
+        spec = by_name[candidate]
+        y, place = left["y"].to_numpy(float), int(left["step"].iloc[0])
+        if place:
+            flat = np.frombuffer(state).reshape((season if spec.seasonal else 1) + 2, -1)
+            first, begin = 0, _as_state(flat if point is None else flat[:, point : point + 1])
+        else:
+            first, begin = _start(y, spec, season, len(grid))
+        return first, _run(y[first:], place + first, begin, grid)[0]
+
+    def errors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        left = left.sort_values("step")
+        for row in right.itertuples():
+            first, ahead = chunk_run(left, row.candidate, row.state, _grid(by_name[row.candidate]))
+            inside = left["step"].to_numpy()[first:] < left["n"].to_numpy()[first:]
+            gap = left["y"].to_numpy(float)[first:][inside, None] - ahead[inside]
+            out.append((row.series_id, row.candidate, (gap**2).sum(axis=0).tolist()))
+        return pd.DataFrame(out, columns=["series_id", "candidate", "sse"])
+
+    def ahead_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        left = left.sort_values("step")
+        picked = np.flatnonzero(left["role"].to_numpy() == score)
+        for row in right.itertuples() if len(picked) else ():
+            spec, grid = by_name[row.candidate], _grid(by_name[row.candidate])
+            first, ahead = chunk_run(left, row.candidate, row.state, grid[row.k : row.k + 1], row.k)
+            n, (params, size) = int(left["n"].iloc[0]), _fitted(grid, row.k)
+            count = n - (season if spec.seasonal else 1)
+            log_error = count * np.log(max(row.total, 1e-300) / count)
+            head = (row.series_id, spec.family, spec.name, "ok", "", log_error + 2 * size, log_error + size * np.log(count), n, json.dumps(params, sort_keys=True))
+            out += [(*head, int(left["step"].iloc[i]), float(ahead[i - first, 0])) for i in picked]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    steps = used.groupBy(*keys).applyInPandas(maps, "series_id string, candidate string, chunk long, step binary")
+    states = store(
+        spread_keys(steps, "series_id", "candidate").sortWithinPartitions("series_id", "candidate", "chunk")
+        .mapInPandas(borders, "series_id string, candidate string, chunk long, state binary")
+    )
+    parts = used.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(errors, "series_id string, candidate string, sse array<double>")
+    totals = parts.select("series_id", "candidate", F.posexplode("sse").alias("k", "sse")).groupBy("series_id", "candidate", "k").agg(F.sum("sse").alias("total"))
+    best_of = store(totals.groupBy("series_id", "candidate").agg(F.min(F.struct("total", "k")).alias("b")).select("series_id", "candidate", "b.*"))
+    scored = base.filter(F.col("role") == score).select(*keys).distinct()
+    found = used.join(scored, keys, "left_semi").groupBy(*keys).cogroup(states.join(best_of, ["series_id", "candidate"]).groupBy(*keys)).applyInPandas(ahead_of, SCHEMA)
+    short = sizes.select("series_id", "n", F.explode(F.array(*[
+        F.struct(F.lit(s.family).alias("family"), F.lit(s.name).alias("candidate"), F.lit(s.minimum_length(season)).alias("least")) for s in specs
+    ])).alias("s")).filter(F.col("n") < F.col("s.least"))
+    nothing = F.lit(None)
+    failed = short.select(
+        "series_id", "s.family", "s.candidate", F.lit("failed").alias("status"), F.lit("the series is too short for this model").alias("error"),
+        nothing.cast("double").alias("aic"), nothing.cast("double").alias("bic"), F.col("n").alias("n_train"), nothing.cast("string").alias("params"),
+        nothing.cast("long").alias("step"), nothing.cast("double").alias("forecast"),
+    )
+    return found.unionByName(failed)
 
 
 def _lagged(values: np.ndarray, lags: Sequence[int]) -> np.ndarray:
@@ -172,16 +324,18 @@ def forecast(
     season: int,
     train: Sequence[str],
     score: str,
-    max_len: int,
+    max_len: int | None,
     value: str = "value_imputed",
     wanted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (series, candidate, step of the scored role); a failed fit is one row with its error.
 
     With ``wanted(series_id, candidate)`` only these specs of a series are fitted.
+    Without a length bound smoothing forms go chunk by chunk; autoregressions need the bound.
     """
-    if max_len > CHUNK:
-        raise ValueError("These recursions need series of a bounded length.")
+    if not fits(max_len):
+        long = forecast_long(rows, specs, season, train, score, value)
+        return long if wanted is None else long.join(wanted.select("series_id", "candidate").distinct(), ["series_id", "candidate"], "left_semi")
     specs = tuple(specs)
     train = tuple(train)
 
