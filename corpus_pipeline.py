@@ -47,7 +47,8 @@ STAGES = [
     ("token_files", write_tokens),
 ]
 
-# No SQL: trained weights, MinHash and a tokenizer have no SQL form. tests/llm compares every stage with brute force.
+# No SQL: trained weights, MinHash and a tokenizer have no SQL form. tests/llm compares each stage on its own input: scores with a plain
+# FTRL, near copies and decontamination with brute force, copies with their targets, token files with the tokenizers library.
 ORACLE_SQL = None
 
 

@@ -35,6 +35,74 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert {r["p"] for r in toxicity.scored(odd_docs, untrained, name="p").collect()} == {0.5}
 
 
+def test_passes_equal_plain_ftrl():
+    """Weights after every pass against one number at a time."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    examples = [(np.unique(np.append(rng.integers(1, 40, 12), 0)), float(rng.random() < 0.4)) for _ in range(60)]
+    z, n = np.zeros(40), np.zeros(40)
+    pz, pn = [0.0] * 40, [0.0] * 40
+
+    def weight(i):
+        bound = 0.0 if i == 0 else toxicity.L1
+        if abs(pz[i]) <= bound:
+            return 0.0
+        return -(pz[i] - math.copysign(bound, pz[i])) / ((toxicity.BETA + math.sqrt(pn[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        toxicity.ftrl_pass(examples, z, n)
+        for slots, label in examples:
+            w = {int(i): weight(int(i)) for i in slots}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in w:
+                step = (math.sqrt(pn[i] + g * g) - math.sqrt(pn[i])) / toxicity.ALPHA
+                pz[i] += g - step * w[i]
+                pn[i] += g * g
+        assert np.allclose(z, pz) and np.allclose(n, pn) and np.allclose(toxicity.weights_of(z, n), [weight(i) for i in range(40)])
+
+
+def test_scores_are_the_sum_of_the_weights(spark):
+    """The score of a text from its distinct words, neighbours and skip-grams, one by one."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidefold.llm import bytewords as bw
+
+    weights = np.random.default_rng(7).normal(0, 1, 1 << toxicity.BITS).astype(np.float32)
+    texts = ["one two three two one", "", None, "a", "A b C a B c " * 50]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, weights).collect()}
+
+    def slot(*words, salt=0):
+        keys = [bw.split(pa.array([w]), bw.ALNUM).key[0] for w in words]
+        h = keys[0] if len(keys) == 1 else bw.mix(np.asarray([keys[0]]) * bw.STEP + np.asarray([keys[1]]) + np.uint64(salt))[0]
+        return max(1, int(h >> np.uint64(64 - toxicity.BITS)))
+
+    for k, t in enumerate(texts):
+        w = brute.alnum_words(t)
+        slots = {slot(x) for x in w} | {slot(a, b, salt=1) for a, b in zip(w, w[1:])} | {slot(a, b, salt=2) for a, b in zip(w, w[2:])}
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(sum(float(weights[i]) for i in slots) + float(weights[0])))), rel=1e-6)
+
+
+def test_sample_is_bounded_and_counts_a_text_once(spark):
+    rows = [(k % 50, f"text {k % 50}") for k in range(400)] + [(None, "text 1")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1)], "doc_id long, toxic int")
+    every = toxicity.sample_of(docs, labels).collect()
+    import zlib
+
+    assert sorted(r["text"] for r in every) == sorted(f"text {k}" for k in range(50) if zlib.crc32(str(k).encode()) % 4 != 2)
+    some = toxicity.sample_of(docs, labels, 7).collect()
+    assert sorted(r["key"] for r in some) == sorted(r["key"] for r in every)[:7]
+    plan = toxicity.sample_of(docs, labels, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
 def test_folds(spark):
     import zlib
 
@@ -188,6 +256,45 @@ def test_broken_and_deep_pages_end(spark):
     assert html_layout.visible_text("<div>" * 20_000 + "x") == "x"
 
 
+SPANS = [
+    ("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>b<td>c</table>", "wide  | c\na | b | c"),
+    ("<table><tr><td rowspan=2>r<td>x<tr><td>y</table>", "r | x\n  | y"),
+    ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td colspan=3>a very long cell indeed<tr><td colspan=1000>z</table>", "a | b | c\nd |   | e\na very long cell indeed\nz"),
+    ("<table><tr><th colspan=2>head<tr><td>1<td>22<tr><td colspan='x'>3<td colspan=-1>4</table>", "head\n1 | 22\n3 | 4"),
+    ("<table><tr><td rowspan=3 colspan=2>big<td>1<tr><td>2<tr><td>3<tr><td>l<td>m<td>n</table>", "big   | 1\n      | 2\n      | 3\nl | m | n"),
+    ("<table><tr><td>1<br>2<td rowspan=2>x<br>y<br>z<tr><td>3</table>", "1 | x\n2 | y\n  | z\n3 |"),
+]
+
+
+@pytest.mark.parametrize("html,text", SPANS)
+def test_spans_take_their_columns_and_rows(html, text):
+    assert html_layout.visible_text(html) == text
+
+
+@pytest.mark.parametrize("piece", ["<ul><li>a", "<blockquote>a", "<a ", "<! ", "</ ", '<a "', "<table><td>a", "<ol><li>", "<li>a", "<div>a", "<!--x>", "<![CDATA[x>"])
+def test_pages_of_one_repeated_piece_are_linear(piece):
+    """Some hundred kilobytes in a few seconds, and no output beyond the stated indent."""
+    import time
+
+    html = piece * (300_000 // len(piece))
+    begun = time.process_time()
+    text = html_layout.visible_text(html)
+    assert time.process_time() - begun < 10
+    assert len(text) <= len(html) * (html_layout.INDENT + 8)
+    assert max(map(len, text.split("\n"))) < 300_001
+
+
+def test_what_never_ends_is_told_from_text():
+    assert html_layout.visible_text("a<b>c</b> d < e <!-- f > g") == "ac d < e"
+    assert html_layout.visible_text("a<p>x <![CDATA[1 < 2 > y") == "a\n\nx 1 < 2 > y"
+    assert html_layout.visible_text("<p>a <unfinished b") == "a <unfinished b"
+
+
+def test_deep_lists_stop_indenting():
+    lines = html_layout.visible_text("<ul><li>a" * 100).split("\n")
+    assert lines[0] == "- a" and lines[5] == " " * 10 + "- a" and len(lines) == 100 and lines[-1] == " " * html_layout.INDENT + "- a"
+
+
 def test_all_text_of_the_given_pages_is_kept(spark):
     import re
     from html import unescape
@@ -212,7 +319,22 @@ def test_pipeline_stages(spark):
     assert sorted(r["doc_id"] for r in seen[2].collect()) == sorted({c for c, _ in classes.values()})
     hits = {doc: n for doc, _, n, _ in brute.contamination(rows_of(seen[2]), items)}
     assert sorted(r["doc_id"] for r in seen[3].collect()) == sorted(d for d, n in hits.items() if not n)
-    assert {r["doc_id"] for r in seen[4].collect()} <= {r["doc_id"] for r in seen[3].collect()}
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tidefold.llm import mixing, token_files
+
+    taken = {r["doc_id"]: r["copies"] for r in mixing.copies(seen[3]).collect()}
+    assert Counter(r["doc_id"] for r in seen[4].collect()) == Counter({k: n for k, n in taken.items() if n})
+    library, text = Tokenizer.from_file(token_files.default_tokenizer()), dict(rows_of(seen[4]))
+    start = 0
+    for r in sorted(seen[5].collect(), key=lambda r: r["start"]):
+        ids = library.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids + [1]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        start += len(ids)
     assert seen[5].count() == seen[4].count()
 
 

@@ -43,6 +43,19 @@ def test_unlinked_texts_of_one_id_stay(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
 
 
+def test_many_rows_of_one_id_meet_only_their_own_class(spark):
+    """A third of the rows without an id, each with a near copy: one text is fetched for each class."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    base = [[f"v{x}" for x in rng.integers(0, 100_000, 60)] for _ in range(120)]
+    rows = [(None, " ".join(w)) for w in base] + [(k if k % 2 else 7, " ".join([*w[:30], "changed", *w[31:]])) for k, w in enumerate(base)] + [(k, f"alone {k}") for k in range(1000, 1120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, ((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_copies(docs).collect())))
+    assert got == sorted(str((rows[i][0], c, n)) for i, (c, n) in brute.near_copies(rows).items())
+    assert jaccard_join.one_of_each(docs).count() == 240
+
+
 def test_large_group_is_compared_in_blocks(spark, monkeypatch):
     """A family cut into blocks has the same links as a whole one."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 300)
@@ -139,6 +152,24 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert mixing.copies(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
 
 
+def test_rows_of_no_id_fall_in_many_buckets(spark):
+    """Many rows of NULL ids and equal sizes: sums still meet the targets, and every row keeps its own text."""
+    rows = [(None, f"a{k} b{k} c{k}", "x", k) for k in range(300)] + [(k, f"d{k} e", "y", k) for k in range(200)] + [(None, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _bucket long")
+    got = mixing.copies(docs, bucket_rows=20).collect()
+    sizes = {"x": 900, "y": 400, None: 0}
+    want = level_targets(sizes)
+    for source in ("x", "y"):
+        assert abs(sum(r["size"] * r["copies"] for r in got if r["source"] == source) - want[source]) <= 3
+    mixed = mixing.mixed(docs, bucket_rows=20)
+    assert mixed.columns == docs.columns
+    out = mixed.collect()
+    assert len(out) == sum(r["copies"] for r in got) and {tuple(r) for r in out} <= set(rows)
+    from collections import Counter
+
+    assert set(Counter(map(tuple, out)).values()) <= {1, 2}
+
+
 def test_rounding_keeps_expectations():
     import numpy as np
 

@@ -13,8 +13,8 @@ Each bucket of a source leaves at most one document with a fraction; these meet
 in a tree of ``FAN``-way merges, whose levels are ordinary grouped jobs.
 
 A source is cut into buckets by a hash of its rows, so a hot source is many
-groups; the draws are hashes of the ids, so reruns agree. Repeated rows are
-rounded one by one.
+groups; the draws are hashes of the ids, so reruns agree. Repeated rows, and rows
+of a NULL id, are numbered and rounded one by one.
 
 NULL texts have size 0 and are taken zero times; NULL is a source of its own,
 the last one.
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import table
+from tidefold.operators.ordered import number_rows
 from tidefold.session import store
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -103,15 +104,17 @@ def _round_group(columns: list[str]):
 def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, bucket_rows: int = BUCKET_ROWS, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for each row of ``docs(doc_id, source, text)``."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
-    sized = store(base)
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    # Rows of one id, source and size are alike here: counted with partial sums, then told apart by a number, so they fall in many buckets.
+    alike = store(base.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_times")))
+    by_source = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("_times")).alias("source_size"), F.sum("_times").alias("_rows"))
+    sized = alike.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_times")
     goal = targets(by_source.select("source", "source_size"), weights, share, most)
     # Below the bound every broadcast is Spark's own decision by size.
     goal = by_source.withColumnRenamed("source", "_s").join(goal.drop("source_size").withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).select(
         "_s", "source_size", "target", F.ceil(F.col("_rows") / bucket_rows).alias("_buckets")
     )
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    key = F.xxhash64(F.lit(seed), "doc_id", "size", "source")
+    key = F.xxhash64(F.lit(seed), "doc_id", "size", "source", "_copy")
     rows = (
         sized.join(goal, F.col("source").eqNullSafe(F.col("_s")))
         .drop("_s")
@@ -119,7 +122,7 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
         .withColumn("_part", due - F.col("_whole"))
         .withColumn("_key", key)
         .withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.col("_buckets")))
-        .drop("_buckets")
+        .drop("_buckets", "_copy")
     )
     schema = rows.withColumn("_open", F.lit(False)).schema
     by_turn = _round_group(["doc_id", "size"])
@@ -144,27 +147,31 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns unchanged.
 
-    Rows that share id, source and size get their copies in any order among them.
+    Rows that share id, source and size get their copies in the order of their
+    texts' hashes. They are only put in order where they are not all taken equally
+    often, and then in 256 parts by that hash.
     """
-    columns = docs.columns
-    same = ["__id", "__source", "__size"]
+    same = ["id", "source", "size"]
+    # The given row is packed, so that no helper column can clash with its columns.
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"),
+        size_of(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("hash"),
+    ).withColumn("key", F.to_json(F.struct(*same), {"ignoreNullFields": "false"}))
     taken = (
-        copies(docs, **options)
-        .groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-        .agg(F.count("*").alias("__rows"), F.array_sort(F.collect_list("copies")).alias("__each"))
+        copies(docs, **options).withColumnRenamed("doc_id", "id").withColumn("key", F.to_json(F.struct(*same), {"ignoreNullFields": "false"}))
+        .groupBy("key", "copies").agg(F.count("*").alias("n"))
     )
-    single, several = taken.filter("__rows = 1"), taken.filter("__rows > 1")
-    own = docs.withColumns({"__a": F.col("doc_id").cast("long"), "__b": F.col("source").cast("string"), "__c": size_of(F.col("text").cast("string"))})
-
-    def joined(part: DataFrame) -> DataFrame:
-        met = F.col("__a").eqNullSafe(F.col("__id")) & F.col("__b").eqNullSafe(F.col("__source")) & (F.col("__c") == F.col("__size"))
-        return own.join(part, met)
-
-    def repeated(df: DataFrame, times: Column) -> DataFrame:
-        return df.withColumn("__one", F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
-
-    turn = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("text")))
-    return repeated(joined(single), F.col("__each")[0]).unionByName(repeated(joined(several).withColumn("__turn", turn), F.element_at("__each", F.col("__turn").cast("int"))))
+    # At most three numbers of copies a key.
+    each = taken.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("copies", "n"))).alias("each"))
+    one, several = each.filter(F.size("each") == 1), each.filter(F.size("each") > 1)
+    alike = own.join(one, "key").select("row", F.col("each")[0]["copies"].alias("times"))
+    placed = number_rows(own.join(several, "key"), ["key"], [F.col("hash")], F.shiftright("hash", 56), "place").withColumn(
+        "before", F.transform("each", lambda e, i: F.aggregate(F.slice("each", 1, i), F.lit(0).cast("long"), lambda t, x: t + x["n"]))
+    )
+    turn = F.size(F.filter("before", lambda v: v <= F.col("place"))) - 1
+    unlike = placed.select("row", F.get("each", turn)["copies"].alias("times"))
+    repeated = alike.unionByName(unlike).select("row", F.explode(F.array_repeat(F.lit(1), F.col("times"))).alias("one"))
+    return repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
