@@ -203,3 +203,19 @@ def test_period_holds_all_rows(spark):
     assert (p.start, p.end) == (datetime(2019, 12, 31), datetime(2021, 1, 2))
     got = {r["series_id"]: (r["rows"], r["rows_before"], r["rows_behind"], r["rows_without_time"]) for r in panels.outside(rows, panels.Period(datetime(2020, 1, 1), datetime(2021, 1, 1), panels.DAY, 7)).collect()}
     assert got == {"a": (1, 1, 0, 0), "b": (2, 0, 1, 1)}
+
+
+def test_a_table_of_part_files_is_one_manifest_entry(spark, tmp_path):
+    """Part files of one name in two tables stay apart; a changed part changes its table."""
+    for table in ("documents", "labels"):
+        (tmp_path / f"{table}.parquet").mkdir()
+        for part in range(2):
+            (tmp_path / f"{table}.parquet" / f"part-{part}.parquet").write_bytes(f"{table} {part}".encode())
+    (tmp_path / "nation.parquet").write_bytes(b"one file")
+    found = files.file_hashes(spark, str(tmp_path), "*.parquet")
+    assert {r["name"] for r in found.collect()} == {f"{t}.parquet/part-{p}.parquet" for t in ("documents", "labels") for p in range(2)} | {"nation.parquet"}
+    kept = found.filter("name != 'nation.parquet'").withColumn("sha256", F.when(F.col("name") == "labels.parquet/part-1.parquet", "0").otherwise(F.col("sha256")))
+    gone = spark.createDataFrame([("absent.parquet/part-0.parquet", "0"), ("absent.parquet/part-1.parquet", "0")], "name string, sha256 string")
+    got = files.entry_states(files.verify_hashes(found, kept.select("name", "sha256").unionByName(gone)))
+    assert {r["name"]: r["state"] for r in got.collect()} == {
+        "documents.parquet": "same", "labels.parquet": "changed", "nation.parquet": "unexpected", "absent.parquet": "missing"}

@@ -117,11 +117,15 @@ def id_file(spark, folder):
 
 
 def file_manifest(spark, folder):
-    """Hashes of the table files checked against a manifest that has one file more and one changed."""
+    """State of every table of the folder against a manifest that has one table more and one changed.
+
+    A table is one file or a folder of part files; either is one row.
+    """
     found = files.file_hashes(spark, folder, "*.parquet")
-    base = found.select("name", F.when(F.col("name") == "nation.parquet", "0" * 64).otherwise(F.col("sha256")).alias("sha256"))
-    extra = base.filter(F.col("name") == "region.parquet").select(F.lit("absent.parquet").alias("name"), "sha256")
-    return files.verify_hashes(found, base.unionByName(extra)).select("name", "state")
+    table = F.element_at(F.split("name", "/"), 1)
+    base = found.select("name", F.when(table == "nation.parquet", "0" * 64).otherwise(F.col("sha256")).alias("sha256"))
+    extra = base.filter(table == "region.parquet").select(F.regexp_replace("name", "^region", "absent").alias("name"), "sha256")
+    return files.entry_states(files.verify_hashes(found, base.unionByName(extra)))
 
 
 def model_store(spark, folder):
@@ -181,10 +185,11 @@ SELECT CAST(s AS VARCHAR) AS series_id, '{"opened":"' || opened || 'T06:30:00","
  || ',"user_no":' || s || '}' AS attributes_json, CAST(s AS BIGINT) AS user_no, CAST(share AS DOUBLE) AS share, opened, days FROM u"""),
     "id_file": (id_file, """
 SELECT CASE WHEN c_acctbal >= 0 AND c_mktsegment <> 'MACHINERY' THEN 'real' ELSE 'artificial' END AS origin, count(*) AS series FROM customer GROUP BY 1"""),
-    # The table files, one of them changed in the manifest and one that is not there.
+    # The tables of the database, one of them changed in the manifest; one that is not there stands in for region.
     "file_manifest": (file_manifest, """
-SELECT name, CASE name WHEN 'nation.parquet' THEN 'changed' WHEN 'absent.parquet' THEN 'missing' ELSE 'same' END AS state FROM (SELECT unnest(['absent', 'region', 'nation', 'customer', 'supplier', 'part',
- 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS name)"""),
+WITH t AS (SELECT DISTINCT table_name AS name FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part',
+ 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations'))
+SELECT name || '.parquet' AS name, CASE name WHEN 'nation' THEN 'changed' ELSE 'same' END AS state FROM t UNION ALL SELECT 'absent.parquet', 'missing' FROM t WHERE name = 'region'"""),
     "model_store": (model_store, "WITH " + sql.prepared(sql.EVT_HOUR, "evt_hour", 24) + """
 SELECT series_id, count(*) FILTER (role = 'test') AS test_rows, round(avg(value_imputed) FILTER (role = 'test'), 6) AS test_mean, count(*) AS rows, count(*) FILTER (was_imputed) AS imputed_rows FROM p GROUP BY 1"""),
     "resumed_tasks": (resumed_tasks, "WITH " + sql.USER_DAY + "," + sql.imputed("user_day", 7) + """,

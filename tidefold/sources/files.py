@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -123,10 +125,15 @@ def _hashed(batches):
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SHA-256 of every file under a folder, of any size: only names are rows, a file's bytes pass through its task.
 
-    Spark's listing leaves empty files out, and so does this one.
+    A name is the path below the folder, so files of one name in two of its
+    folders stay apart. Spark's listing leaves empty files out, and so does this one.
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    names = listed.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("bytes"))
+    scheme = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
+    root = [p for p in re.sub(scheme, "", path if re.match(scheme, path) else os.path.abspath(path)).split("/") if p]
+    # The parts of "/a/b/name" begin with an empty one.
+    below = F.slice(F.split(F.regexp_replace("path", scheme, ""), "/"), len(root) + 2, 1 << 20)
+    names = listed.select(F.array_join(below, "/").alias("name"), "path", F.col("length").alias("bytes"))
     return spread_keys(names, "path").mapInArrow(_hashed, "name string, path string, bytes long, sha256 string")
 
 
@@ -142,6 +149,15 @@ def verify_hashes(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.withColumn("state", state)
 
 
+def entry_states(verified: DataFrame) -> DataFrame:
+    """States of :func:`verify_hashes` for whole entries of the folder: a table may be one file or a folder of part files.
+
+    An entry all of whose files have one state has that state; any other is changed.
+    """
+    entry = F.element_at(F.split("name", "/"), 1)
+    return verified.groupBy(entry.alias("name")).agg(F.when(F.min("state") == F.max("state"), F.min("state")).otherwise("changed").alias("state"))
+
+
 def write_new(df: DataFrame, path: str, partition_by: Sequence[str] = (), form: str = "parquet") -> None:
     """Write a result; an existing output is an error, so a finished run is never repeated over."""
     writer = df.write.mode("errorifexists").format(form)
