@@ -245,3 +245,31 @@ def test_smoothing_of_chunks_equals_whole_series(spark, chunk):
     assert set(want["status"]) == {"ok", "failed"} and set(want["candidate"]) == {x.name for x in smooth.ETS}
     for column in ("aic", "bic", "step", "forecast"):
         assert np.allclose(got[column].astype(float), want[column].astype(float), equal_nan=True, rtol=1e-9)
+
+
+def test_halves_of_a_difference_are_rounded_on_whole_numbers(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from tidefold.functions.metrics import exact_round
+
+    rng = np.random.default_rng(4)
+    left = rng.integers(10**5, 3 * 10**6, 4_000)
+    units = [(int(a), int(a) + int(b) * 100 + 50) for a, b in zip(left, rng.integers(-900, 900, 4_000))]
+    df = spark.createDataFrame([(k, a / 1e6 - b / 1e6) for k, (a, b) in enumerate(units)], "k int, d double")
+    got = {r["k"]: r["d"] for r in df.select("k", exact_round(F.col("d"), 4).alias("d")).collect()}
+    want = {k: float(Decimal(a - b).scaleb(-6).quantize(Decimal("0.0001"), ROUND_HALF_UP)) for k, (a, b) in enumerate(units)}
+    assert got == want
+
+
+def test_exact_mean_does_not_depend_on_the_order(spark):
+    from decimal import Decimal
+
+    from tidefold.functions.metrics import exact_mean
+
+    values = np.round(np.random.default_rng(9).uniform(1e4, 2e5, 20_000), 4).tolist()
+    want = float(sum(Decimal(str(v)) for v in values)) / len(values)
+    for rows in (values, sorted(values), sorted(values, reverse=True)):
+        df = spark.createDataFrame([(v,) for v in rows], "v double").repartition(3)
+        assert df.agg(exact_mean(F.col("v"))).first()[0] == want
+    odd = spark.createDataFrame([(1.0,), (float("inf"),)], "v double")
+    assert odd.agg(exact_mean(F.col("v"))).first()[0] == float("inf")

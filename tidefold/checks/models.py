@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -212,7 +213,8 @@ def recomputed_bounds(spark, folder):
     )
 
 
-def _differences(spark, folder):
+def _differences(spark, folder, exact=False):
+    """Differences of the errors to four places; ``exact`` ones, for ranks, are rounded on whole numbers (the errors have at most six places)."""
     p = store(pool(spark, folder))
     wide = picked(p, caps=(4,), modes=("uncapped_only",))
     narrow = picked(p, caps=(2,), modes=("uncapped_only",))
@@ -221,7 +223,8 @@ def _differences(spark, folder):
     for name, other in (("caps", narrow), ("radii", small)):
         part = compare.paired(wide, other, compare.SERIES, ["rmse", "mase"]).withColumn("comparison", F.lit(name))
         parts = part if parts is None else parts.unionByName(part)
-    return parts.withColumn("difference", F.round("difference", 4)).withColumn(
+    places = m.exact_round(F.col("difference"), 4) if exact else F.round("difference", 4)
+    return parts.withColumn("difference", places).withColumn(
         "pair", F.concat_ws("|", "dataset", "series_id")
     )
 
@@ -238,7 +241,7 @@ def paired_counts(spark, folder):
 
 
 def signed_ranks(spark, folder):
-    out = infer.signed_ranks(store(_differences(spark, folder)), ["comparison", "metric"])
+    out = infer.signed_ranks(store(_differences(spark, folder, exact=True)), ["comparison", "metric"])
     return rounded(out, z_score=6)
 
 
@@ -267,7 +270,7 @@ def paired_statistics(spark, folder):
 
 def signed_rank_p(spark, folder):
     """Rank sums and p-values of comparisons of few series, where the exact distribution is used, and of many."""
-    rows = store(_differences(spark, folder))
+    rows = store(_differences(spark, folder, exact=True))
     # Series of one last digit: groups of at most some tens of pairs; without ties they are exact.
     few = rows.withColumn("part", F.concat_ws("|", "dataset", F.right("series_id", F.lit(1)))).withColumn(
         "difference", F.col("difference") + digest_head(F.col("pair")) / 1e14
@@ -352,7 +355,10 @@ df AS (SELECT 'caps' AS comparison, 'rmse' AS metric, w.dataset, w.series_id, ro
  UNION ALL SELECT 'caps', 'mase', w.dataset, w.series_id, round(w.mase - o.mase, 4) FROM w JOIN nr o ON w.dataset = o.dataset AND w.series_id = o.series_id
  UNION ALL SELECT 'radii', 'rmse', w.dataset, w.series_id, round(w.rmse - o.rmse, 4) FROM w JOIN sm o ON w.dataset = o.dataset AND w.series_id = o.series_id
  UNION ALL SELECT 'radii', 'mase', w.dataset, w.series_id, round(w.mase - o.mase, 4) FROM w JOIN sm o ON w.dataset = o.dataset AND w.series_id = o.series_id)"""
-_RANKED = _DIFF + """,
+# Errors have at most six places, so one difference in a hundred ends in a half of the fourth: rounded on whole numbers, noise does not decide it.
+_UNITS = r"CAST(round((w.\1 - o.\1) * 1000000) AS BIGINT)"
+_EXACT = re.sub(r"round\(w\.(\w+) - o\.\1, 4\)", f"sign({_UNITS}) * ((abs({_UNITS}) + 50) // 100) / 10000.0::DOUBLE", _DIFF)
+_RANKS = """,
 ra AS (SELECT *, rank() OVER (PARTITION BY comparison, metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY comparison, metric, abs(d)) - 1) / 2.0::DOUBLE AS rk,
   count(*) OVER (PARTITION BY comparison, metric, abs(d)) AS ties FROM df {where})"""
 
@@ -471,12 +477,12 @@ SELECT series_id, len AS block_length, mu AS blocks, CASE WHEN mu >= 2 THEN roun
     "paired_counts": (paired_counts, _DIFF + """
 SELECT comparison, metric, count(*) AS pair_count, round(avg(d), 6) AS mean_difference, round(median(d), 6) AS median_difference, count(*) FILTER (d < 0) AS left_lower, count(*) FILTER (d > 0) AS left_higher,
  count(*) FILTER (abs(d) <= 1e-8) AS ties FROM df GROUP BY 1, 2"""),
-    "signed_ranks": (signed_ranks, _RANKED.format(where="") + """,
+    "signed_ranks": (signed_ranks, _EXACT + _RANKS.format(where="") + """,
 s AS (SELECT comparison, metric, count(*) AS n, count(*) FILTER (d = 0) AS z, coalesce(sum(rk) FILTER (d > 0), 0) AS up, coalesce(sum(rk) FILTER (d < 0), 0) AS down,
   CAST(coalesce(sum(ties * ties - 1) FILTER (d <> 0), 0) AS BIGINT) AS tt FROM ra GROUP BY 1, 2),
 v AS (SELECT *, sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - tt / 2.0::DOUBLE) / 24.0::DOUBLE) AS sd, n * (n + 1) / 4.0::DOUBLE - z * (z + 1) / 4.0::DOUBLE AS mean FROM s)
 SELECT comparison, metric, n AS pair_count, z AS zero_count, up AS rank_sum_positive, down AS rank_sum_negative, tt AS tie_term, round(CASE WHEN sd > 0 THEN (least(up, down) - mean) / sd ELSE 0 END, 6) AS z_score FROM v"""),
-    "rank_biserial": (rank_biserial, _RANKED.format(where="WHERE abs(d) > 1e-8") + """
+    "rank_biserial": (rank_biserial, _DIFF + _RANKS.format(where="WHERE abs(d) > 1e-8") + """
 SELECT k.comparison, k.metric, round(coalesce(e, 0), 9) AS rank_biserial FROM (SELECT DISTINCT comparison, metric FROM df) k LEFT JOIN
  (SELECT comparison, metric, (coalesce(sum(rk) FILTER (d > 0), 0) - coalesce(sum(rk) FILTER (d < 0), 0)) / sum(rk) AS e FROM ra GROUP BY 1, 2) r ON r.comparison = k.comparison AND r.metric = k.metric"""),
     "holm": (holm, _DIFF + """,
@@ -486,7 +492,7 @@ s AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY comparison) - row_number
 SELECT comparison, metric, dataset, p_value, round(max(st) OVER (PARTITION BY comparison ORDER BY rn ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM s"""),
     "bootstrap_mean": (bootstrap_mean, _MEANS + f"""
 SELECT s.comparison, s.metric, n AS pair_count, {_INTERVAL} FROM st s JOIN ci ON ci.comparison = s.comparison AND ci.metric = s.metric"""),
-    "signed_rank_p": (signed_rank_p, _DIFF.replace("WITH ", "WITH RECURSIVE ", 1) + "," + _WAYS + """,
+    "signed_rank_p": (signed_rank_p, _EXACT.replace("WITH ", "WITH RECURSIVE ", 1) + "," + _WAYS + """,
 fw AS (SELECT comparison, metric, dataset || '|' || right(series_id, 1) AS part, d + """ + sql.digest_head("dataset || '|' || series_id") + """ / 1e14::DOUBLE AS d FROM df),
 al AS (SELECT comparison, metric, 'all' AS part, d FROM df),""" + _p_sql("fw", "pf", "comparison, metric, part", "pratt") + "," + _p_sql("al", "pa_", "comparison, metric, part", "wilcox") + """
 SELECT comparison, metric, part, coalesce(n, 0) AS pair_count, coalesce(z, 0) AS zero_count, coalesce(up, 0) AS rank_sum_positive, coalesce(down, 0) AS rank_sum_negative, coalesce(tt, 0) AS tie_term,

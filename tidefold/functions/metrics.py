@@ -6,6 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def exact_round(value: Column, digits: int, given: int = 6) -> Column:
+    """``value``, a whole multiple of 10^-given but for noise, to ``digits`` places: halves go away from zero.
+
+    The rounding is done on whole numbers, so the noise of a difference does not decide a half.
+    """
+    units = F.round(value * 10.0**given).cast("long")
+    step = 10 ** (given - digits)
+    return F.signum(units) * F.floor((F.abs(units) + step // 2) / step) / 10.0**digits
+
+
+def exact_mean(value: Column, digits: int = 9) -> Column:
+    """Mean of the values to ``digits`` places, summed as decimals: the order of the rows cannot change it.
+
+    Where a value has no decimal (not finite, or beyond 10^18) this is the plain mean.
+    """
+    parts = value.try_cast(f"decimal(28,{digits})")
+    return F.when(F.count(parts) == F.count(value), F.sum(parts).cast("double") / F.count(value)).otherwise(F.avg(value))
+
+
 def mae(actual: Column, forecast: Column) -> Column:
     return F.avg(F.abs(actual - forecast))
 
