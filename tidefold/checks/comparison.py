@@ -85,7 +85,7 @@ def selection_changes(spark, folder):
 
 
 def grid_extension(spark, folder):
-    """Boundary summary and decision after widening the grid of one dataset."""
+    """Boundary summary and decision after widening the grid of one dataset; means are of decimals, so no order of rows shows in their ninth place."""
     p = store(pool(spark, folder))
     chosen = store(compare.analysis_rows(picked(p), "suppliers", "uncapped_only", 4))
     before = compare.analysis_rows(picked(p, max_radius=1.5), "suppliers", "uncapped_only", 4)
@@ -309,8 +309,8 @@ r AS (SELECT a.rmse / b.rmse AS q FROM a LEFT JOIN b ON a.series_id = b.series_i
 s AS (SELECT count(*) AS series, count(*) AS pass_count, 0::BIGINT AS failure_count, 0.0::DOUBLE AS failure_rate, count(*) FILTER (selected_radius = 2.0) AS upper_boundary_count,
   count(*) FILTER (selected_radius = 2.0) / count(*) AS upper_boundary_rate, count(*) FILTER (radius_cap_reached) AS selected_cap_count,
   count(*) FILTER (radius_cap_reached) / count(*) AS selected_cap_rate, avg(selected_radius) AS mean_selected_radius, median(selected_radius) AS median_selected_radius,
-  avg(rmse) AS mean_rmse, median(rmse) AS median_rmse, avg(mase) AS mean_mase, median(mase) AS median_mase, avg(rule_count) AS mean_rule_count, median(rule_count) AS median_rule_count,
-  avg(total_parameter_count) AS mean_total_parameters, (SELECT count(q) FROM r) AS matched_previous_series, (SELECT avg(q) FROM r) AS mean_rmse_ratio_to_previous,
+  sum(rmse::DECIMAL(28, 9))::DOUBLE / count(rmse) AS mean_rmse, median(rmse) AS median_rmse, sum(mase::DECIMAL(28, 9))::DOUBLE / count(mase) AS mean_mase, median(mase) AS median_mase, avg(rule_count) AS mean_rule_count, median(rule_count) AS median_rule_count,
+  avg(total_parameter_count) AS mean_total_parameters, (SELECT count(q) FROM r) AS matched_previous_series, (SELECT sum(q::DECIMAL(28, 12))::DOUBLE / count(q) FROM r) AS mean_rmse_ratio_to_previous,
   (SELECT median(q) FROM r) AS median_rmse_ratio_to_previous, 2.0::DOUBLE AS maximum_radius FROM a),
 d AS (SELECT *, upper_boundary_rate <= 0.05 AS boundary_ok, failure_rate <= 0 AS failures_ok, selected_cap_rate <= 0 AS caps_ok,
   mean_rmse_ratio_to_previous - 1 AS mean_rmse_penalty_vs_previous, mean_rmse_ratio_to_previous - 1 <= 0 AS performance_ok FROM s),

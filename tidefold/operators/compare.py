@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.functions.arrays import finite
+from tidefold.functions.metrics import exact_mean
 from tidefold.functions.text import digest, plain_number
 from tidefold.operators.ordered import with_medians
 from tidefold.operators.quality import require_columns, unique_keys
@@ -164,11 +165,11 @@ def boundary_summary(selected: DataFrame, comparison: DataFrame, maximum: float)
              share(edge, passed).alias("upper_boundary_rate"), caps.alias("selected_cap_count"),
              share(caps, passed).alias("selected_cap_rate")]
     for name in ("selected_radius", "rmse", "mase", "rule_count"):
-        stats.append(F.avg(F.when(ok, F.col(name))).alias(f"mean_{name}"))
+        stats.append(exact_mean(F.when(ok, F.col(name))).alias(f"mean_{name}"))
     stats.append(F.avg(F.when(ok, F.col("total_parameter_count"))).alias("mean_total_parameters"))
     ratio = F.when(finite(F.col("rmse_ratio_to_previous")), F.col("rmse_ratio_to_previous"))
     ratios = comparison.agg(
-        F.count(ratio).alias("matched_previous_series"), F.avg(ratio).alias("mean_rmse_ratio_to_previous"),
+        F.count(ratio).alias("matched_previous_series"), exact_mean(ratio, 12).alias("mean_rmse_ratio_to_previous"),
     )
     ratios = with_medians(ratios, comparison, [], {"median_rmse_ratio_to_previous": ratio})
     # Both sides are one-row aggregates.
