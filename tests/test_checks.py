@@ -72,3 +72,25 @@ def test_bounded_preparation_shuffles_once_after_the_panel(spark):
         return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
     assert shuffles(got) <= shuffles(raw) + 1
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange " in line]
+
+
+def test_the_pool_moves_rows_by_series_and_makes_buckets_once(spark):
+    from tidefold.checks.pools import pool
+    from tidefold.sources import panels
+
+    moved = exchanges(pool(spark, SF))
+    assert moved and not [line for line in moved if ", step#" in line or ",step#" in line]
+    # One partial and one final sum by slot: the buckets are not made again for the names of the grid.
+    plan = panels.supplier_week(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Aggregate(keys=[" in line and "pos#" in line for line in plan.splitlines()) == 2
+
+
+def test_key_guard_reads_its_rows_once(spark):
+    from tidefold.operators.quality import unique_keys
+
+    plan = unique_keys(spark.read.parquet(f"{SF}/supplier.parquet"), ["s_suppkey"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

@@ -32,7 +32,8 @@ DATASETS = {
 def lagged(spark: SparkSession, folder: str) -> DataFrame:
     out = None
     for name, (build, slots, _sql, _table) in DATASETS.items():
-        prepared = by_ratio_panel(build(spark, folder), 52, max_len=slots)
+        # Few bytes become much work below: whole series are dealt out once, and every window and sum stays where its series is.
+        prepared = by_ratio_panel(spread_keys(build(spark, folder), "series_id"), 52, max_len=slots)
         rows = with_lags(prepared, max(LAGS), max_len=slots)
         # In-sample mean step of the series, in the same shuffle as the lags.
         step = F.when(F.col("role").isin("prior", "bound"), F.abs(F.col("value_scaled") - F.col("features")[0]))
@@ -51,8 +52,8 @@ def pool(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> Dat
         *[F.struct(F.lit(p).alias("lag_order"), F.lit(r).alias("radius"), F.lit(a).alias("ridge_alpha"))
           for p in LAGS for r in RADII for a in ALPHAS]
     )
-    # The rows are few bytes and much work: they are dealt out evenly before each becomes 36.
-    spread = spread_keys(rows.filter(F.col("role").isin("validation", "test")), "series_id", "step").select("*", F.inline(combos))
+    # A series lies in one task, so its partial sums are the sums: 36 rows of it are moved, whatever its length.
+    spread = rows.filter(F.col("role").isin("validation", "test")).select("*", F.inline(combos))
     raw = (1 - F.col("ridge_alpha")) * F.get("features", F.col("lag_order") - 1)
     cut = F.least(F.greatest(raw, -F.col("radius")), F.col("radius"))
     err = F.col("scaler_scale") * (F.col("z") - cut)

@@ -40,12 +40,12 @@ def without_test_columns(df: DataFrame) -> DataFrame:
 
 
 def unique_keys(df: DataFrame, keys: list[str], name: str = "table") -> DataFrame:
-    """Pass the rows through; a repeated key fails the job when it is read."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_copies"))
-    repeated = counts.filter(
-        F.when(F.col("_copies") > 1, F.raise_error(F.lit(f"{name} has duplicate keys")).cast("boolean")).otherwise(F.lit(False))
-    )
-    return df.join(repeated.select(*[F.col(k).alias(k) for k in keys]), keys, "left_anti")
+    """Pass the rows through; a repeated key fails the job when it is read.
+
+    The copies of a key are counted beside its rows, so ``df`` is worked out once.
+    """
+    once = F.when(F.col("_copies") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"{name} has duplicate keys")).cast("boolean"))
+    return df.withColumn("_copies", F.count("*").over(Window.partitionBy(*keys))).filter(once).drop("_copies")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

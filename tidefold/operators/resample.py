@@ -59,15 +59,16 @@ def with_step(df: DataFrame, start: datetime, step: int) -> DataFrame:
     return df.withColumn("ts", slot_start(F.col("pos"), start, step))
 
 
-def densify(bucketed: DataFrame, start: datetime, end: datetime, step: int) -> DataFrame:
+def densify(bucketed: DataFrame, start: datetime, end: datetime, step: int, series: DataFrame | None = None) -> DataFrame:
     """Every slot of the period for every series; empty slots hold NULL.
 
     The grid is generated by ``sequence`` per series, so its size is known and
-    nothing is crossed.
+    nothing is crossed. ``series`` may give the rows that name the series of
+    ``bucketed``, so that the buckets are not made a second time for their names.
     """
     slots = slots_between(start, end, step)
     grid = (
-        bucketed.select("series_id")
+        (bucketed if series is None else series).select("series_id")
         .distinct()
         .select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("pos"))
     )
@@ -106,7 +107,7 @@ def panel(
     how: str = "mean",
 ) -> DataFrame:
     """Regular panel ``series_id, pos, value, readings`` over the whole period."""
-    return densify(buckets(df, start, end, step, value, how), start, end, step)
+    return densify(buckets(df, start, end, step, value, how), start, end, step, in_period(df, start, end))
 
 
 def names_of(df: DataFrame, key: str = "series_id") -> list[str]:
