@@ -52,7 +52,8 @@ def rule_decisions(spark, folder):
 
 def _models(spark, folder):
     """The pool in the columns of a candidate table: lags as families, radii as rule counts, a made bound."""
-    p = pool(spark, folder).filter(F.col("dataset") == "suppliers")
+    # Stored: its rows meet their own mean, which would make the pool twice.
+    p = store(pool(spark, folder).filter(F.col("dataset") == "suppliers"))
     bound = F.round(F.col("rmse") / (2 * F.col("_mean")) + F.col("ridge_alpha") / 10, 9)
     mean = p.groupBy("dataset").agg(F.avg("rmse").alias("_mean"))
     rows = p.join(mean, "dataset")
