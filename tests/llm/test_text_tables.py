@@ -186,3 +186,30 @@ def test_rounding_keeps_expectations():
 def test_filters_stay_at_the_scan(spark):
     plan = decontaminate.op2(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_links_at_and_above_any_threshold():
+    """Nine tenths of small sets, and a plain threshold on sets of thousands, where products of a float's ratio overflow."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidefold.llm import jaccard_join as jj
+
+    def linked(threshold, *sets):
+        rows = pa.RecordBatch.from_arrays(
+            [pa.array([1] * len(sets)), pa.array([False] * len(sets)), pa.array([0] * len(sets), pa.int32()), pa.array(range(len(sets)), pa.int64()),
+             pa.array([1] * len(sets), pa.int64()), pa.array([np.asarray(s, np.uint64).tobytes() for s in sets], pa.binary())],
+            ["group", "pair", "own", "node", "copies", "set"],
+        )
+        return sorted(n for out in jj._links(threshold)(iter([rows])) for n in out.column("node").to_pylist())
+
+    assert linked(0.9, range(10), range(9)) == [0, 1]
+    assert linked(0.9, range(10), range(8)) == []
+    assert linked(0.8, range(5), range(4)) == [0, 1] and linked(0.8, range(5), range(3)) == []
+    for threshold in (0.7, 1 / 3, 0.85):
+        assert linked(threshold, range(6_000), range(5_400)) == [0, 1]
+        assert linked(threshold, range(6_000), range(int(6_000 * threshold) - 1)) == []
+    sizes = np.arange(2, 400)
+    for top, bottom, threshold in ((4, 5, 0.8), (9, 10, 0.9), (7, 10, 0.7)):
+        least = jj.least_common(sizes, threshold)
+        assert (bottom * least >= top * (sizes - least)).all() and (bottom * (least - 1) < top * (sizes - least + 1)).all()
