@@ -7,6 +7,7 @@ from math import log, log10
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -193,6 +194,42 @@ def test_scores_match_a_direct_tree(spark, monkeypatch, state, following, batch)
     )
 
 
+def test_batches_send_only_sequences_that_can_be_listed():
+    """Two batches: pairs that reach the count only together are sent by both, all rarer ones by none."""
+    rng = np.random.default_rng(6)
+    texts = [[" ".join(["red", "car", *(f"w{k}" for k in rng.integers(0, 60, 300))]) for _ in range(3)] for _ in range(2)]
+    parts, words = [], Counter()
+    for b, mine in enumerate(texts):
+        columns = [pa.array([b] * 3, pa.int64()), pa.array(range(3), pa.int64()), pa.array([False, False, b == 1]), pa.array(mine)]
+        parts.append(suffix_tree._numbered(pa.table(columns, ["batch", "doc_id", "held_out", "text"])))
+        row = parts[-1].slice(3)
+        for k, n in zip(np.frombuffer(row["words"][0].as_buffer(), np.int64).tolist(), np.frombuffer(row["counts"][0].as_buffer(), np.int64).tolist()):
+            words[k] += n
+
+    def answers(part, marks=()):
+        own = np.frombuffer(part.slice(3)["words"][0].as_buffer(), np.int64)
+        rows = pa.table({"batch": part["batch"][0].as_py() * np.ones(len(own), int), "depth": np.zeros(len(own), np.int32), "is_state": np.zeros(len(own), bool),
+                         "key": own, "n": np.asarray([words[k] for k in own.tolist()]), "listed": np.zeros(len(own), int)})
+        return pa.concat_tables([suffix_tree._in_arrays(rows), suffix_tree._table(list(marks))])
+
+    total, bits = sum(words.values()), 5
+    counted = pa.concat_tables([suffix_tree._packed_counts(1, total, len(words), 2, 4, bits)(p, answers(p)) for p in parts])
+    marks = [m for r in set(counted["range"].to_pylist()) for m in suffix_tree._marked(1, 4)(counted.filter(pc.equal(counted["range"], r))).to_pylist()]
+    sent = [suffix_tree._gram_rows(1, total, len(words), 2, 4, bits)(p, answers(p, [m for m in marks if m["batch"] == b])) for b, p in enumerate(parts)]
+    together, own = Counter(), []
+    for b, mine in enumerate(texts):
+        pairs = Counter()
+        for k, t in enumerate(mine):
+            keys, _ = suffix_tree.tokens(pa.array([t]))
+            for g in suffix_tree.grams(keys, 2)[1:].view(np.int64).tolist():
+                pairs[g] += not (b == 1 and k == 2)
+        own.append(pairs)
+        together.update(pairs)
+    for got, pairs in zip(sent, own):
+        assert dict(zip(got["gram"].to_pylist(), got["n"].to_pylist())) == {g: n for g, n in pairs.items() if together[g] >= 4}
+    assert any(0 < n < 4 for pairs in own for g, n in pairs.items() if together[g] >= 4) and len(together) > 2 * sent[0].num_rows
+
+
 @pytest.mark.parametrize("filler", [20, 2_000])
 def test_a_passage_is_learnt_in_a_corpus_of_any_size(spark, filler):
     """A passage of 100 training texts keeps its score when the rest of the corpus grows a hundredfold."""

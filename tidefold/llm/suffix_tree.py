@@ -15,13 +15,18 @@ by ``DIVERGENCE`` nats or more. With ``c`` its count, ``k(x)`` its listed counts
 where ``P'`` is the prediction of that suffix, so every state sums to one. A token
 is scored by its longest retained suffix.
 
-The tree is never gathered. Texts are dealt into batches of about ``BATCH_BYTES`` and
+The tree is never gathered. Each input partition is cut into batches of about ``BATCH_BYTES``,
 written once as numbers of the batch's own sorted words, in a table bucketed by
 batch. Depth by depth each batch asks for the word sequences it holds: it sends every distinct sequence once, with its own
 training count and the prediction of the shorter suffix, which it can work out
-from the answers it has; counts are added up by sequence, divergences by state,
+from the answers it has (arrays in a few rows, in tables bucketed by batch, too); counts are added up by sequence, divergences by state,
 and what is listed or retained goes back to the batches that asked. A sequence is
-asked for only if all of it but the last word is frequent enough to be a state. At
+asked for only if all of it but the last word is frequent enough to be a state.
+Most of these are still too rare to be listed. So before rows of sequences are sent,
+the batches count shorter hashes of them in packed arrays, one for each range of the
+hash space; whoever adds up a range tells every batch which of its hashes reach
+``NEXT`` together. A hash is never rarer than a sequence that it stands for, so
+nothing that could be listed is held back, and what is sent is counted exactly. At
 the end each batch scores its own texts. A sequence has at most one row a batch,
 so even the most frequent one is a small group.
 
@@ -38,11 +43,13 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm import bytewords as bw
-from tidefold.llm.common import in_fold, table
+from tidefold.llm.common import give_back, in_fold, lean, table
+from tidefold.llm.grouped import groups
 from tidefold.session import shared_folder, spread_keys, store
 
 DEPTH = 3
@@ -50,11 +57,14 @@ STATE, NEXT = 16, 4
 DIVERGENCE = 0.01
 SMOOTH = 20.0
 BATCH_BYTES = 24 << 20
-TOKENS = 1 << 20
+TOKENS = 1 << 18
+ROWS = 1 << 14
 END = bw.mix(np.asarray([0x454E44], np.uint64))[0]
 
 NUMBERED = "batch long, doc_id long, held_out boolean, ids binary, words binary, counts binary"
 GRAM = "batch long, gram long, state long, n long, p float"
+PACKED = "range long, batch long, cells binary, counts binary"
+ANSWERS = "batch long, depth int, is_state boolean, range long, keys binary, n binary, listed binary, cells binary"
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -122,6 +132,29 @@ def _numbered(part: pa.Table) -> pa.Table:
 NAMES = [f.split()[0] for f in NUMBERED.split(", ")]
 
 
+def _dealer(most: int):
+    """Batches of about ``most`` bytes of a partition's rows, numbered; no text is shuffled."""
+
+    def numbered(rows: list[pa.RecordBatch], batch: int):
+        part = pa.Table.from_batches(rows)
+        return _numbered(part.append_column("batch", pa.array(np.full(part.num_rows, batch, np.int64)))).to_batches()
+
+    def deal(batches):
+        waiting, size, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a, b in bw.slices(batch.column("text"), -(-most // 4)):
+                waiting.append(batch.slice(a, b - a))
+                size += pc.sum(pc.binary_length(waiting[-1].column("text"))).as_py()
+                if size >= most:
+                    yield from numbered(waiting, number)
+                    waiting, size, number = [], 0, number + 1
+                    give_back()
+        if waiting:
+            yield from numbered(waiting, number)
+
+    return deal
+
+
 def _word_rows(batches):
     """(batch, key, n) of every batch's words."""
     for part in batches:
@@ -142,20 +175,21 @@ class Batch:
         texts = pc.is_null(part.column("words"))
         self.words = np.frombuffer(part.filter(pc.invert(texts)).column("words")[0].as_buffer(), np.uint64)
         self.texts = part.filter(texts).combine_chunks()
+        self.held = self.texts.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         ids = self.texts.column("ids").combine_chunks()
         ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
         bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
         self.ids = np.frombuffer(ids.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<i4")
         self.first = (bounds - bounds[0]) // 4
-        key, n, listed, depth = _unsigned(answers, "key"), *(answers.column(c).to_numpy() for c in ("n", "listed", "depth"))
-        state = answers.column("is_state").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.argsort(key)
-        self.rows = {}
-        for d in range(DEPTH + 1):
-            for is_state in (False, True):
-                at = order[(depth == d)[order] & (state == is_state)[order]]
-                self.rows[d, is_state] = key[at], n[at], listed[at]
-        self.counts = self.rows[0, False][1]  # in the order of the words
+        self.rows = {(d, s): (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for d in range(DEPTH + 1) for s in (False, True)}
+        names, self.marked = ("depth", "is_state", "range", "keys", "n", "listed", "cells"), [np.zeros(0, np.uint64)]
+        for d, is_state, r, keys, n, listed, cells in sorted(zip(*(answers.column(c).to_pylist() for c in names)), key=lambda x: x[2] or 0):
+            if cells is None:
+                keys = np.frombuffer(keys, np.uint64) if d else self.words
+                self.rows[d, is_state] = keys, _wide(n, len(keys)), _wide(listed, len(keys))
+            else:
+                self.marked.append(np.cumsum(_from_planes(cells), dtype=np.uint64) + (np.uint64(r) << np.uint64(32)))
+        self.counts = self.rows[0, False][1]
         self.word_state = look_up(self.rows[1, True][0], self.words)
 
     def slices(self):
@@ -172,6 +206,19 @@ class Batch:
         key, n, _ = self.rows[depth - 1, False]
         return key[n >= least]
 
+    def asking(self, depth: int, least_state: int, least_next: int):
+        """What :meth:`slices` gives, each token's place in its text, and the tokens that end a sequence of a frequent context and a frequent next token."""
+        following, leading = self.counts >= least_next, self.counts >= least_state
+        contexts = self.frequent(depth, least_state)
+        for a, b, ids, keys, first in self.slices():
+            place = place_in_text(first)
+            at = np.flatnonzero((place >= depth) & following[ids])
+            if depth == 1:
+                at = at[leading[ids[at - 1]]]
+            else:
+                at = at[look_up(contexts, grams(keys, depth)[at - 1]) >= 0]
+            yield a, b, ids, keys, first, place, at
+
     def root(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
@@ -193,31 +240,122 @@ class Batch:
         return p
 
 
-def _gram_rows(depth: int, total: int, distinct: int, least_state: int, least_next: int):
-    """The distinct sequences of a frequent context and a frequent next token in a batch."""
+def _in_planes(values: np.ndarray) -> bytes:
+    """32-bit integers, all first bytes before all second ones: high bytes of small values are runs that compress."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _ranges(cells: np.ndarray):
+    """(range, first, last) of the ranges in sorted cells; the low 32 bits of a cell are its place in the range."""
+    high = cells >> np.uint64(32)
+    edges = np.concatenate([[0], np.flatnonzero(high[1:] != high[:-1]) + 1, [len(cells)]]) if len(cells) else np.zeros(1, np.int64)
+    return zip(high[edges[:-1]].tolist() if len(cells) else [], edges[:-1].tolist(), edges[1:].tolist())
+
+
+def _pieces(found: list[tuple[np.ndarray, ...]], bits: int):
+    """What slices found, sorted by a first column of ``bits`` bits, put together for one eighth of its values after another."""
+    edges = [np.searchsorted(x[0], np.arange(1, 8, dtype=np.uint64) << np.uint64(bits - 3)) for x in found]
+    edges = [[0, *e.tolist(), len(x[0])] for e, x in zip(edges, found)]
+    for k in range(8):
+        yield tuple(np.concatenate(c) for c in zip(*[[column[e[k] : e[k + 1]] for column in x] for e, x in zip(edges, found)]))
+
+
+def _packed_counts(depth: int, total: int, distinct: int, least_state: int, least_next: int, bits: int):
+    """The training counts of a batch's sequences by the first ``bits`` and 32 bits of their hash, a row for each range of the first."""
+
+    def few(n: np.ndarray) -> np.ndarray:
+        return np.minimum(n, least_next).astype(np.min_scalar_type(least_next))
+
+    def count(part: pa.Table, answers: pa.Table) -> pa.Table:
+        batch, found = Batch(part, answers, total, distinct), []
+        for a, b, ids, keys, first, _, at in batch.asking(depth, least_state, least_next):
+            cell, which = np.unique(grams(keys, depth + 1)[at] >> np.uint64(32 - bits), return_inverse=True)
+            found.append((cell, few(np.bincount(which, np.repeat(~batch.held[a:b], np.diff(first))[at], len(cell)))))
+        out, number = [], part.column("batch")[0].as_py()
+        for cell, n in _pieces(found, bits + 32):
+            cells, which = np.unique(cell, return_inverse=True)
+            n = few(np.bincount(which, n, len(cells)))
+            low = (cells & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            out += [{"range": r, "batch": number, "cells": _in_planes(np.diff(low[x:y], prepend=0)), "counts": n[x:y].tobytes()} for r, x, y in _ranges(cells)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.Table.from_pylist(out, pa.schema(list(zip(("range", "batch", "cells", "counts"), kinds))))
+
+    return count
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def _wide(body: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(body, f"<u{max(1, len(body) // max(1, count))}").astype(np.int64)
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.Table.from_pylist(rows, pa.schema([(c, kinds[k]) for c, k in (f.split() for f in ANSWERS.split(", "))]))
+
+
+def _marked(depth: int, least_next: int):
+    """For each batch the cells of a range that reach the count over all batches."""
+
+    def mark(part: pa.Table) -> pa.Table:
+        low = [np.cumsum(_from_planes(x), dtype=np.int64) for x in part.column("cells").to_pylist()]
+        n = np.concatenate([np.frombuffer(x, np.min_scalar_type(least_next)) for x in part.column("counts").to_pylist()])
+        cells, which = np.unique(np.concatenate(low), return_inverse=True)
+        enough = (np.bincount(which, n, len(cells)) >= least_next)[which]
+        stops = np.cumsum([0, *map(len, low)]).tolist()
+        kept = [_in_planes(np.diff(x[enough[a:b]], prepend=0)) for x, a, b in zip(low, stops[:-1], stops[1:])]
+        places = zip(part.column("batch").to_pylist(), part.column("range").to_pylist(), kept)
+        return _table([{"batch": b, "depth": depth, "is_state": False, "range": r, "cells": x} for b, r, x in places])
+
+    return mark
+
+
+def _in_chunks(rows: pa.Table) -> pa.Table:
+    """The same rows in many small Arrow batches, which the JVM reads one after another."""
+    return pa.concat_tables([rows.slice(at, ROWS) for at in range(0, max(1, rows.num_rows), ROWS)])
+
+
+def _in_arrays(part: pa.Table) -> pa.Table:
+    """What a batch is told of one depth: sorted keys with their numbers; the keys of words are left out, as it has them."""
+    depth, state, key = part.column("depth").to_numpy(), part.column("is_state").to_numpy(zero_copy_only=False).astype(bool), _unsigned(part, "key")
+    n, listed, order, out = part.column("n").to_numpy(), part.column("listed").to_numpy(), np.argsort(key), []
+    for is_state in (False, True):
+        at = order[(state == is_state)[order]]
+        if len(at):
+            d = int(depth[0])
+            out.append(
+                {"batch": part.column("batch")[0].as_py(), "depth": d, "is_state": is_state, "keys": key[at].tobytes() if d else b"", "n": _narrow(n[at]), "listed": _narrow(listed[at])}
+            )
+    return _table(out)
+
+
+def _gram_rows(depth: int, total: int, distinct: int, least_state: int, least_next: int, bits: int):
+    """The distinct sequences of a frequent context and a frequent next token in a batch, where their cell is marked."""
 
     def ask(part: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = Batch(part, answers, total, distinct)
-        following = batch.counts >= least_next
-        leading = batch.counts >= least_state
-        contexts = batch.frequent(depth, least_state)
-        held, found = batch.texts.column("held_out").to_numpy(zero_copy_only=False).astype(bool), []
-        for a, b, ids, keys, first in batch.slices():
-            place = place_in_text(first)
-            at = np.flatnonzero((place >= depth) & following[ids])
-            if depth == 1:
-                at = at[leading[ids[at - 1]]]
-            else:
-                at = at[look_up(contexts, grams(keys, depth)[at - 1]) >= 0]
-            gram, one, which = np.unique(grams(keys, depth + 1)[at], return_index=True, return_inverse=True)
-            n = np.bincount(which, np.repeat(~held[a:b], np.diff(first))[at], len(gram)).astype(np.int32)
+        batch, found = Batch(part, answers, total, distinct), []
+        marked = np.concatenate(batch.marked)
+        for a, b, ids, keys, first, place, at in batch.asking(depth, least_state, least_next):
+            whole = grams(keys, depth + 1)
+            at = at[look_up(marked, whole[at] >> np.uint64(32 - bits)) >= 0]
+            gram, one, which = np.unique(whole[at], return_index=True, return_inverse=True)
+            n = np.bincount(which, np.repeat(~batch.held[a:b], np.diff(first))[at], len(gram)).astype(np.int32)
             p = batch.predicted(ids, keys, place, at[one], depth - 1)
             found.append((gram, grams(keys, depth)[at[one] - 1], n, p.astype(np.float32)))
-        gram, state, n, p = (np.concatenate(x) for x in zip(*found))
-        gram, one, which = np.unique(gram, return_index=True, return_inverse=True)
-        n = np.bincount(which, n, len(gram)).astype(np.int64)
-        number = pa.array(np.full(len(gram), part.column("batch")[0].as_py(), np.int64))
-        return pa.table([number, pa.array(gram.view(np.int64)), pa.array(state[one].view(np.int64)), pa.array(n), pa.array(p[one])], ["batch", "gram", "state", "n", "p"])
+        out, number = [], part.column("batch")[0].as_py()
+        for gram, state, n, p in _pieces(found, 64):
+            gram, one, which = np.unique(gram, return_index=True, return_inverse=True)
+            n = np.bincount(which, n, len(gram)).astype(np.int64)
+            columns = np.full(len(gram), number, np.int64), gram.view(np.int64), state[one].view(np.int64), n, p[one]
+            out.append(pa.table(list(map(pa.array, columns)), ["batch", "gram", "state", "n", "p"]))
+        return _in_chunks(pa.concat_tables(out))
 
     return ask
 
@@ -237,26 +375,67 @@ def _score(total: int, distinct: int):
     return score
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` written once as a table bucketed by ``key``: jobs that group it by the key do not shuffle it again."""
+def _bucketed(df: DataFrame, key: str, name: str | None = None) -> str:
+    """Name of a table bucketed by ``key`` that ``df`` is written to, or added to: jobs that group it by the key do not shuffle it again."""
     spark = df.sparkSession
-    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"batches_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(parts, key).sortBy(key)
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), name or f"batches_{uuid.uuid4().hex}"
+    writer = df.write.mode("append").bucketBy(parts, key).sortBy(key)
     writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return name
+
+
+def _alone(work):
+    """``work`` on a group, which gives back what it freed before the next one."""
+
+    def run(part: pa.Table) -> pa.Table:
+        out = work(part)
+        give_back()
+        return out
+
+    return run
+
+
+def _paired(work):
+    """The same for cogroups."""
+
+    def run(part: pa.Table, answers: pa.Table) -> pa.Table:
+        out = work(part, answers)
+        give_back()
+        return out
+
+    return run
+
+
+def _told(rows: DataFrame, name: str | None = None) -> str:
+    """Answers (batch, depth, is_state, key, n, listed) of one depth as arrays, in a table bucketed by batch."""
+
+    def packed(batches):
+        for part in groups(batches, "batch"):
+            yield from _in_arrays(part).to_batches()
+
+    # Rows come in batches of bounded size; a group of them at once would be held outside the JVM's heap.
+    return _bucketed(spread_keys(rows, "batch").sortWithinPartitions("batch").mapInArrow(lean(packed), ANSWERS), "batch", name)
 
 
-def _levels(dealt: DataFrame, words: DataFrame, total: int, distinct: int) -> DataFrame:
+def _levels(dealt: DataFrame, words: DataFrame, total: int, distinct: int, batches: int) -> DataFrame:
     """Answers of all depths, one depth after another."""
     none = F.lit(0).cast("long")
-    answers = words.select("batch", F.lit(0).alias("depth"), F.lit(False).alias("is_state"), "key", "n", none.alias("listed"))
+    # More batches make more ranges, so what one range holds stays the same.
+    bits = min(32, batches.bit_length() + 3)
+    # One table for all depths, read anew after each.
+    spark = dealt.sparkSession
+    name = _told(words.select("batch", F.lit(0).alias("depth"), F.lit(False).alias("is_state"), "key", "n", none.alias("listed")))
     # Rows (batch, key, n, is_first) of what may be a context of the next depth.
     contexts = words.filter(F.col("n") >= STATE).select("batch", "key", "n", "is_first")
     for depth in range(1, DEPTH + 1):
-        rows = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_gram_rows(depth, total, distinct, STATE, NEXT), GRAM)
+        answers = spark.table(name).filter("cells IS NULL")
+        packed = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_paired(_packed_counts(depth, total, distinct, STATE, NEXT, bits)), PACKED)
+        _bucketed(packed.groupBy("range").applyInArrow(_alone(_marked(depth, NEXT)), ANSWERS), "batch", name)
+        told = spark.table(name).filter((F.col("depth") == depth) | F.col("cells").isNull())
+        rows = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_paired(_gram_rows(depth, total, distinct, STATE, NEXT, bits)), GRAM)
         same = Window.partitionBy("gram")
         counted = rows.withColumns({"total": F.sum("n").over(same), "is_first": F.col("batch") == F.min("batch").over(same)})
-        listed = store(counted.filter(F.col("total") >= NEXT).select("batch", "gram", "state", F.col("total").alias("n"), "p", "is_first"))
+        listed = store(counted.filter(F.col("total") >= NEXT).select("batch", "gram", "state", F.col("total").alias("n"), F.when(F.col("is_first"), F.col("p")).alias("p"), "is_first"))
         k, p, c = F.col("n"), F.col("p").cast("double"), F.col("c")
         sums = listed.filter("is_first").groupBy("state").agg(
             F.sum("n").alias("listed"), F.sum(k * F.log(k / p)).alias("_gain"), F.sum(p).alias("_below")
@@ -267,16 +446,16 @@ def _levels(dealt: DataFrame, words: DataFrame, total: int, distinct: int) -> Da
         ).otherwise(0.0)
         own = contexts.filter("is_first").select(F.col("key").alias("state"), F.col("n").alias("c"))
         states = store(sums.join(own, "state").filter(gain >= DIVERGENCE).select("state", "c", "listed"))
-        told = contexts.join(states, F.col("key") == F.col("state")).select(
+        retained = contexts.join(states, F.col("key") == F.col("state")).select(
             "batch", F.lit(depth).alias("depth"), F.lit(True).alias("is_state"), "key", F.col("c").alias("n"), "listed"
         )
         kept = listed.join(states.select("state", F.lit(1).cast("long").alias("listed")), "state", "left")
         sequences = kept.filter(F.col("listed").isNotNull() | (F.col("n") >= STATE)).select(
             "batch", F.lit(depth).alias("depth"), F.lit(False).alias("is_state"), F.col("gram").alias("key"), "n", F.coalesce("listed", none).alias("listed")
         )
-        answers = answers.unionByName(store(told.unionByName(sequences)))
+        _told(retained.unionByName(sequences), name)
         contexts = listed.filter(F.col("n") >= STATE).select("batch", F.col("gram").alias("key"), "n", "is_first")
-    return answers
+    return spark.table(name).filter("cells IS NULL")
 
 
 def scores(docs: DataFrame, held_out) -> DataFrame:
@@ -286,15 +465,15 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
     )
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-size // BATCH_BYTES))
-    # By row, so that repeated rows fall in many batches; written once, so every job sees the same batches.
-    rows = own.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)))
-    dealt = _bucketed(spread_keys(rows, "batch").groupBy("batch").applyInArrow(_numbered, NUMBERED), "batch")
-    asked = dealt.filter("words IS NOT NULL").select("batch", "words", "counts").mapInArrow(_word_rows, "batch long, key long, n long")
+    # Written once, so every job sees the same batches; many small partitions are taken together.
+    dealt = docs.sparkSession.table(_bucketed(own.coalesce(4 * batches).mapInArrow(lean(_dealer(BATCH_BYTES)), NUMBERED), "batch"))
+    batches = max(1, dealt.filter("words IS NOT NULL").count())
+    asked = dealt.filter("words IS NOT NULL").select("batch", "words", "counts").mapInArrow(lean(_word_rows), "batch long, key long, n long")
     same = Window.partitionBy("key")
     words = store(asked.select("batch", "key", F.sum("n").over(same).alias("n"), (F.col("batch") == F.min("batch").over(same)).alias("is_first")))
     total, distinct = words.filter("is_first AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    answers = _levels(dealt, words, total, distinct)
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(total, distinct), SCORE)
+    answers = _levels(dealt, words, total, distinct, batches)
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_paired(_score(total, distinct)), SCORE)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
