@@ -248,3 +248,22 @@ def test_scores_of_odd_rows(spark, odd_docs, no_docs):
     none = suffix_tree.scores(odd_docs, odd_docs["text"].isNull() | odd_docs["text"].isNotNull()).collect()
     assert {r["train_tokens"] for r in none} == {0} and all(r["score"] == r["base_score"] and r["n_known"] == 0 for r in none)
     assert suffix_tree.scores(no_docs, no_docs["doc_id"].isNull()).count() == 0
+
+
+def test_what_a_task_freed_is_given_back():
+    """A worker that is kept for other tasks holds no freed pages, even below an array that still lives."""
+    from tidefold.llm.common import lean
+
+    def held():
+        return int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) / 1024
+
+    def work(batches):
+        arrays = [np.ones(12_000) for _ in range(2_000)]
+        last.append(arrays[-1])
+        yield from batches
+        del arrays
+        peaks.append(held())
+
+    last, peaks = [], []
+    assert list(lean(work)([1, 2])) == [1, 2]
+    assert held() < peaks[0] - 100

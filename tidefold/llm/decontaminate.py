@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm import bytewords as bw
-from tidefold.llm.common import free_prefix, table
+from tidefold.llm.common import free_prefix, give_back, lean, table
 from tidefold.session import store
 
 LENGTH = 10
@@ -51,7 +51,7 @@ def item_windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), pa.array(n, pa.int32()), pa.array(item, pa.string())], ["window", "n", "item"])
 
     known = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    return known.mapInArrow(cut, "window binary, n int, item string").distinct()
+    return known.mapInArrow(lean(cut), "window binary, n int, item string").distinct()
 
 
 def _block_of(rows) -> tuple[dict, dict]:
@@ -117,6 +117,7 @@ def _scanner(shared):
                     spans = [{"start": x, "stop": y} for x, y in zip(begin.tolist(), stop.tolist())]
                     bits = np.packbits(own).tobytes()
                 out.append((hi - lo, int(own.sum()), sorted(found), spans, bits))
+        give_back()
         return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans", "hits"])
 
     return scan

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm import pieces
-from tidefold.llm.common import table
+from tidefold.llm.common import lean, table
 from tidefold.session import shared_folder, spread_keys, store
 
 END_ID = 1
@@ -98,7 +98,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         .sortWithinPartitions("doc_id", "tie")
         .drop("tie")
     )
-    shards = store(ordered.mapInArrow(_write_shard(folder, tokenizer, end_id), MANIFEST))
+    shards = store(ordered.mapInArrow(lean(_write_shard(folder, tokenizer, end_id)), MANIFEST))
     # One row a shard: the only order over all of them is on this small table.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
@@ -143,7 +143,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return spread_keys(manifest, "shard").mapInArrow(facts, FACTS)
+    return spread_keys(manifest, "shard").mapInArrow(lean(facts), FACTS)
 
 
 def default_tokenizer() -> str:

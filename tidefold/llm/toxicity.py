@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.llm import bytewords as bw
-from tidefold.llm.common import free_prefix, in_fold, table
+from tidefold.llm.common import free_prefix, give_back, in_fold, lean, table
 from tidefold.operators.select import lowest_hashes
 from tidefold.session import spread_keys, store
 
@@ -118,8 +118,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) ->
 
 def train(sample: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """Weights from a bounded ``sample(key, toxic, text)``; features are made in parallel and learnt from in one order."""
-    rows = store(spread_keys(sample, "key").mapInArrow(_examples, "key string, toxic double, slots array<int>"))
-    learnt = rows.repartition(1).sortWithinPartitions("key", "toxic").mapInArrow(_learn(rounds), "slot long, weight double").toArrow()
+    rows = store(spread_keys(sample, "key").mapInArrow(lean(_examples), "key string, toxic double, slots array<int>"))
+    learnt = rows.repartition(1).sortWithinPartitions("key", "toxic").mapInArrow(lean(_learn(rounds)), "slot long, weight double").toArrow()
     weights = np.zeros(1 << BITS, np.float32)
     weights[learnt.column("slot").to_numpy()] = learnt.column("weight").to_numpy()
     return weights
@@ -142,6 +142,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
             pair = np.unique((row[live] << BITS) | slot[live])
             total = np.bincount(pair >> BITS, dense[pair & ((1 << BITS) - 1)].astype(float), b - a) + float(dense[0])
             out.append(1.0 / (1.0 + np.exp(-total)))
+        give_back()
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn(name, score(F.col(text).cast("string")))
