@@ -2,13 +2,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidefold.functions import blocks
-from tidefold.operators import certify, select
-from tidefold.operators.cover import as_rules, design_row, firing_strengths
+from tidefold.functions import batches, blocks
+from tidefold.operators import certify, select, sweep
+from tidefold.operators.cover import as_rules, cover, design_row, firing_strengths
 from tidefold.operators.linear import fit_linear, gram_rows, merge_grams, with_chunk
 from tidefold.operators.sweep import Grid, block_id
 from tidefold.plans import decide, develop, prepare
@@ -384,3 +385,39 @@ def test_one_decomposition_serves_all_penalties():
     for (beta, diag), a in zip(blocks.ridge_path(gram, rhs, [0.01, 1.0, 10.0]), [0.01, 1.0, 10.0]):
         inverse = np.linalg.inv(gram + a * np.eye(6))
         assert beta == pytest.approx(inverse @ rhs, rel=1e-6) and diag == pytest.approx(np.diag(inverse), rel=1e-6)
+
+
+def test_bounded_plan_takes_no_call_for_each_series(spark, prepared):
+    """Covers and fits of many series are made together: no operator that calls Python once for a group."""
+    rows = sweep.sweep_rows(sweep.lag_context(prepared, 3, 200), SMALL, 200)
+    specs, scored, _covers = sweep.run_sweep(sweep.lag_context(prepared, 3, 200), SMALL, 200)
+    plans = [df._jdf.queryExecution().toString() for df in (cover(rows, SMALL.lags, SMALL.max_rules, 200), scored)]
+    assert all("MapInArrow" in p and "InPandas" not in p for p in plans)
+
+
+def test_whole_groups_over_batches_of_any_size():
+    """Groups that go on over batches stay whole and are sorted in themselves; one past the bound fails."""
+    ids = ["a"] * 40_000 + [None] * 3 + ["b"] * 30_000 + ["c"] * 5
+    step = list(range(len(ids)))[::-1]
+    whole = pa.table({"id": pa.array(ids), "step": pa.array(step)})
+    parts = list(batches.whole_groups(whole.to_batches(max_chunksize=7_000), ("id",), ("step",), 40_000))
+    got = [(i, s) for t in parts for i, s in zip(t.column("id").to_pylist(), t.column("step").to_pylist())]
+    assert [i for i, _s in got] == ids and sum(len(batches.starts(t, ("id",))) for t in parts) == 4
+    assert sorted(s for _i, s in got) == sorted(step) and [s for i, s in got if i == "b"] == sorted(s for i, s in got if i == "b")
+    with pytest.raises(ValueError, match="longer than the bound"):
+        list(batches.whole_groups(whole.to_batches(max_chunksize=7_000), ("id",), ("step",), 30_000))
+
+
+def test_covers_of_series_of_unlike_length_and_with_lost_rules(spark):
+    """Series worked on together have the covers they have alone; copies of one point leave rules without rows."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i}", t, "prior", [float(v) for v in (rng.normal(size=3) if i % 3 else np.full(3, t % 2))]) for i in range(12) for t in range(3, 30 + i % 4)]
+    frame = spark.createDataFrame(rows, "series_id string, step long, role string, features array<double>")
+    key = lambda r: (r["series_id"], r["lag"], r["k"])
+    got = {key(r): r.asDict() for r in cover(frame, (2, 3), 4, 200).collect()}
+    long = {key(r): r.asDict() for r in cover(frame, (2, 3), 4, 200, 16).collect()}
+    assert got.keys() == long.keys() and any(r["empty"] for r in got.values())
+    for name, r in got.items():
+        assert all(r[c] == long[name][c] for c in ("n_prior", "rule_count", "empty", "support")), name
+        for c in ("reach", "realized", "centers", "spreads", "feature_mean", "feature_scale"):
+            assert r[c] == pytest.approx(long[name][c], abs=1e-9), (name, c)

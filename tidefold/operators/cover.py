@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.functions import blocks
 from tidefold.functions.arrays import dot, let, mean_square_gap, total
+from tidefold.functions.batches import TOO_LONG, Lists, lists, starts, whole_groups
 from tidefold.operators.ordered import CHUNK, fits
 from tidefold.session import cut_lineage, spread_keys
 
@@ -50,40 +51,65 @@ def cover(
 
 
 def _cover_blocks(prior: DataFrame, order_list: Sequence[int], max_rules: int, limit: int) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError("A series is longer than the bound that was promised.")
-        pdf = pdf.sort_values("step")
-        p, x = int(pdf["lag"].iloc[0]), np.stack(pdf["features"].to_numpy())
-        out = []
-        mean, scale = x.mean(axis=0), x.std(axis=0)
+    """Series of one lag and length are covered together; only those that lose a rule go on by themselves."""
+
+    def covered(ids: pa.Array, p: int, x: np.ndarray) -> list[pa.RecordBatch]:
+        mean, scale = x.mean(axis=1), x.std(axis=1)
         scale = np.where(scale > EPSILON, scale, 1.0)
-        z = (x - mean) / scale
+        z = (x - mean[:, None]) / scale[:, None]
         order, reach = blocks.farthest_first(z, max_rules)
-        wide = z.std(axis=0)
+        wide = z.std(axis=1)
         wide = np.where(wide > EPSILON, wide, 1.0)
-        for k in range(1, len(order) + 1):
-            centers = z[order[:k]]
+
+        def rules(own: np.ndarray, k: int, centers: np.ndarray) -> pa.RecordBatch:
+            label, gap = blocks.nearest(z[own], centers)
+            support, sd = blocks.group_deviation(z[own], label, centers.shape[1])
+            sd = np.where((support[..., None] >= 2) & (sd > EPSILON), sd, wide[own][:, None])
+            n, count = len(own), centers.shape[1]
+
+            def same(value: int, kind) -> pa.Array:
+                return pa.array(np.full(n, value), kind)
+
+            columns = [
+                ids.take(pa.array(own)), same(p, pa.int32()), same(k, pa.int32()), same(x.shape[1], pa.int64()), lists(mean[own]), lists(scale[own]),
+                lists(reach[own]), same(count, pa.int32()), same(k - count, pa.int32()), pa.array(np.maximum(np.sqrt(gap.max(axis=1)), EPSILON)),
+                lists(support.astype(np.int64)), lists(centers.reshape(n, -1)), lists(np.clip(sd, SPREAD_FLOOR, SPREAD_CEILING).reshape(n, -1)),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in COVER_SCHEMA.split(", ")])
+
+        out = []
+        for k in range(1, order.shape[1] + 1):
+            centers = np.take_along_axis(z, order[:, :k, None], axis=1)
             for _ in range(REFINEMENTS):
                 label, _gap = blocks.nearest(z, centers)
                 centers = blocks.group_mean(z, label, centers)
             label, _gap = blocks.nearest(z, centers)
-            kept = np.unique(label)
-            centers = centers[kept]
-            label, gap = blocks.nearest(z, centers)
-            support = np.bincount(label, minlength=len(centers))
-            sd = np.stack([z[label == j].std(axis=0) for j in range(len(centers))])
-            sd = np.where((support[:, None] >= 2) & (sd > EPSILON), sd, wide)
-            out.append(
-                (pdf["series_id"].iloc[0], p, k, len(x), mean, scale, reach, len(centers), k - len(kept),
-                 max(float(np.sqrt(gap.max())), EPSILON), support, centers.ravel(),
-                 np.clip(sd, SPREAD_FLOOR, SPREAD_CEILING).ravel())
-            )
-        return pd.DataFrame(out, columns=[c.split()[0] for c in COVER_SCHEMA.split(", ")])
+            used = blocks.members(label, k).any(axis=1)
+            whole = np.flatnonzero(used.all(axis=1))
+            if len(whole):
+                out.append(rules(whole, k, centers[whole]))
+            # Rules that no row is nearest to are dropped, then rows are assigned again.
+            out += [rules(np.array([i]), k, centers[i][used[i]][None]) for i in np.flatnonzero(~used.all(axis=1))]
+        return out
+
+    def visit(batches):
+        for table in whole_groups(batches, KEYS, ("step",), limit):
+            first = starts(table, KEYS)
+            ends = np.append(first[1:], table.num_rows)
+            lag, features = table.column("lag").to_numpy(), Lists(table.column("features"))
+            ids = table.column("series_id").combine_chunks()
+            alike: dict = {}
+            for a, b in zip(first.tolist(), ends.tolist()):
+                if b - a > limit:
+                    raise ValueError(TOO_LONG)
+                alike.setdefault((int(lag[a]), b - a), []).append((a, b))
+            for (p, n), found in alike.items():
+                x = np.stack([features.rows(a, b).reshape(n, p) for a, b in found])
+                yield from covered(ids.take(pa.array([a for a, _b in found])), p, x)
 
     lags = F.explode(F.array(*[F.lit(int(p)) for p in order_list])).alias("lag")
     per_lag = prior.select("*", lags).filter(F.col("step") >= F.col("lag")).withColumn("features", F.slice("features", F.lit(1), F.col("lag")))
-    return spread_keys(per_lag, *KEYS).groupBy(*KEYS).applyInPandas(one, COVER_SCHEMA)
+    return spread_keys(per_lag, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(visit, COVER_SCHEMA)
 
 
 def _each(column: str, width: int, measure) -> Column:

@@ -11,10 +11,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.functions import blocks
+from tidefold.functions.batches import TOO_LONG, Lists, lists, starts, whole_groups
 from tidefold.operators.cover import EPSILON, cover, cut_for_radius
 from tidefold.operators.linear import FAN, merge_grams, with_chunk
 from tidefold.operators.ordered import CHUNK, fits, look_back
@@ -204,54 +206,58 @@ def _gram(block: _Block, design: np.ndarray, p: int, role: str):
     return len(y), float(y @ y), float(np.abs(y).max(initial=0.0)), x.T @ y, x.T @ x
 
 
-def _solve(prior, bound, alphas):
-    """Per penalty: posterior mean, base deviation, squared distances to both prior means."""
+def _solve(prior, bound, alphas) -> dict[str, np.ndarray]:
+    """Per penalty: posterior mean, base deviation, squared distances to both prior means; any number of models of one shape."""
     n, yy, _, rhs, gram = prior
-    out = []
-    for (p_mean, diag), (q_mean, _d) in zip(blocks.ridge_path(gram, rhs, alphas), blocks.ridge_path(bound[4], bound[3], alphas)):
-        rss = (yy - 2 * p_mean @ rhs + p_mean @ gram @ p_mean) / n
-        base = np.sqrt(np.clip(max(1e-4, rss) * np.maximum(diag, 0.0), 1e-6, 100.0))
-        out.append((q_mean, base, float((((q_mean - p_mean) / base) ** 2).sum()), float(((q_mean / base) ** 2).sum())))
-    return out
-
-
-def _score(block: _Block, design, weights, p: int, solved, bound_value: float, grid: Grid) -> list[tuple]:
-    """Sums over one block for every penalty, in scaled units."""
-    coef = np.stack([s[0] for s in solved], axis=1)
-    var = np.stack([s[1] for s in solved], axis=1) ** 2
-    val = block.take(p, "validation")
-    y = block.y[val][:, None]
-    raw = design[val] @ coef
-    cut = np.clip(raw, -bound_value, bound_value)
-    err, cut_err = y - raw, y - cut
+    p_mean, diag = blocks.ridge_paths(gram, rhs, alphas)
+    q_mean, _d = blocks.ridge_paths(bound[4], bound[3], alphas)
+    fit = (rhs[..., None, :] @ p_mean)[..., 0, :]
+    rss = (np.asarray(yy)[..., None] - 2 * fit + (p_mean * (gram @ p_mean)).sum(axis=-2)) / n
+    base = np.sqrt(np.clip(np.maximum(1e-4, rss)[..., None, :] * np.maximum(diag, 0.0), 1e-6, 100.0))
+    return {
+        "coefficients": q_mean, "base_std": base, "location_local": (((q_mean - p_mean) / base) ** 2).sum(axis=-2),
+        "location_zero": ((q_mean / base) ** 2).sum(axis=-2),
+    }
+
+
+def _score(y, design, weights, val, cert, where, coef, base, bound_value, grid: Grid) -> dict[str, np.ndarray]:
+    """Sums over the rows of each model for every penalty, in scaled units, as ``SUM_FIELDS`` names them.
+
+    ``y`` is models x rows; ``val``, ``cert`` and ``where`` (the validation blocks) hold for all of them.
+    """
+    models, penalties = coef.shape[0], coef.shape[2]
+    edge = bound_value[:, None, None]
+    yv = y[:, val, None]
+    raw = design[:, val] @ coef
+    cut = np.clip(raw, -edge, edge)
+    err, cut_err = yv - raw, yv - cut
     cost = 2.0 * np.maximum(cut_err, 0.0) + np.maximum(-cut_err, 0.0)
-    where = block.block[val]
-    member = (where[:, None] == np.arange(grid.validation_blocks)[None]).astype(float)
-    cert = block.take(p, "bound", "validation")
-    yc, xc = block.y[cert], design[cert]
-    bias = (np.clip(yc, -bound_value, bound_value)[:, None] - xc @ coef) ** 2
-    spread = (xc * xc) @ var
-    below = 4.0 * bound_value * bound_value
-    risk = np.stack([np.minimum(1.0, (bias + m * spread) / below).sum(axis=0) for m in grid.multipliers], axis=1)
-    clips = int((np.abs(yc) > bound_value).sum())
+    member = blocks.members(where[val], grid.validation_blocks).T
+    yc, xc = y[:, cert, None], design[:, cert]
+    below = 4.0 * edge * edge
+    bias = (np.clip(yc, -edge, edge) - xc @ coef) ** 2
+    spread = (xc * xc) @ base**2
+    risk = np.stack([np.minimum(1.0, (bias + m * spread) / below).sum(axis=1) for m in grid.multipliers], axis=-1)
+
+    def each(per_model: np.ndarray) -> np.ndarray:
+        return np.broadcast_to(per_model[:, None], (models, penalties, *per_model.shape[1:]))
+
     if weights is None:
-        usage = (np.zeros(0), np.zeros(0), 0.0, 0)
+        hard = weight = np.zeros((models, 0))
+        active_sum, active_max = np.zeros(models), np.zeros(models, int)
     else:
-        w = weights[cert]
-        on = (w > 1e-8).sum(axis=1)
-        usage = (
-            np.bincount(w.argmax(axis=1), minlength=w.shape[1]).astype(float), w.sum(axis=0),
-            float(on.sum()), int(on.max(initial=0)),
-        )
-    out = []
-    for a in range(coef.shape[1]):
-        out.append(
-            (int(val.sum()), float((err[:, a] ** 2).sum()), float(np.abs(err[:, a]).sum()),
-             float((cut_err[:, a] ** 2).sum()), float(np.abs(cut_err[:, a]).sum()), float(cost[:, a].sum()),
-             int((np.abs(raw[:, a]) > bound_value).sum()), member.T @ cut_err[:, a] ** 2, member.T @ cost[:, a],
-             int(cert.sum()), clips, risk[a], *usage)
-        )
-    return out
+        w = weights[:, cert]
+        on = (w > 1e-8).sum(axis=2)
+        hard, weight = blocks.members(w.argmax(axis=2), w.shape[2]).sum(axis=1), w.sum(axis=1)
+        active_sum, active_max = on.sum(axis=1).astype(float), on.max(axis=1, initial=0)
+    return {
+        "n_val": np.full((models, penalties), int(val.sum())), "sse": (err**2).sum(axis=1), "sae": np.abs(err).sum(axis=1),
+        "cut_sse": (cut_err**2).sum(axis=1), "cut_sae": np.abs(cut_err).sum(axis=1), "cut_cost": cost.sum(axis=1),
+        "forecast_clips": (np.abs(raw) > edge).sum(axis=1), "block_sse": (member @ cut_err**2).swapaxes(1, 2),
+        "block_cost": (member @ cost).swapaxes(1, 2), "n_cert": np.full((models, penalties), int(cert.sum())),
+        "target_clips": each((np.abs(yc) > edge).sum(axis=(1, 2))), "risk": risk, "hard": each(hard), "weight": each(weight),
+        "active_sum": each(active_sum), "active_max": each(active_max),
+    }
 
 
 KEYS = ["series_id", "lag", "k", "active"]
@@ -269,10 +275,27 @@ SCORED = f"{KEY_FIELDS}, {MODEL_FIELDS}, {SUM_FIELDS}"
 GRAMS = f"{KEY_FIELDS}, role string, part long, n long, yy double, max_abs double, rhs array<double>, gram array<double>"
 
 
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+ROLES = ("prior", "bound", "validation")
+
+
 def _names(fields: str) -> list[str]:
     return [f.split()[0] for f in fields.split(", ")]
 
 
+def _record(values: dict, fields: str) -> pa.RecordBatch:
+    """Columns as an Arrow batch of the schema ``fields``; a matrix is a column of lists."""
+    columns = []
+    for field_ in fields.split(", "):
+        name, kind = field_.split()
+        value = values[name]
+        if kind.startswith("array"):
+            columns.append(lists(np.ascontiguousarray(value, float)))
+        else:
+            columns.append(value if isinstance(value, pa.Array) else pa.array(np.ascontiguousarray(value), ARROW[kind]))
+    return pa.RecordBatch.from_arrays(columns, names=_names(fields))
+
+
 def _clip_bound(max_abs: float, grid: Grid) -> float:
     return max(1.0, grid.clip_multiplier * max_abs)
 
@@ -293,31 +316,93 @@ def fit_and_score(
 
 
 def _one_visit(rows: DataFrame, design_rows: DataFrame, grid: Grid, limit: int) -> DataFrame:
-    """One cogroup for each (series, lag): few series still use all tasks, and the designs of a lag share its rows."""
-    alphas = list(grid.ridge_alphas)
+    """One visit to each (series, lag): few series still use all tasks, and designs of one shape are worked on together.
 
-    def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) > limit:
-            raise ValueError("A series is longer than the bound that was promised.")
-        out = []
-        if len(left) and len(right):
-            block = _Block(left)
-            for row in right.itertuples():
-                design, weights = block.design(row)
-                prior = _gram(block, design, row.lag, "prior")
-                solved = _solve(prior, _gram(block, design, row.lag, "bound"), alphas)
-                limit_y = _clip_bound(prior[2], grid)
-                sums = _score(block, design, weights, row.lag, solved, limit_y, grid)
-                for a, s, t in zip(alphas, solved, sums):
-                    out.append((row.series_id, row.lag, row.k, row.active, a, design.shape[1], limit_y, *s, *t))
-        return pd.DataFrame(out, columns=_names(SCORED))
+    A group's rows follow its designs in one sorted stream, and series whose steps, roles and blocks are the same go through
+    every product as one array.
+    """
+    alphas = list(grid.ridge_alphas)
+    most = limit + 2 + len(grid.counts) + 2 * len(grid.radii)
+
+    def fitted(ids: pa.Array, p: int, k: list[int], active: int, x, y, role, where, geometry) -> pa.RecordBatch:
+        """Models of one shape; ``x`` is models x rows x lags."""
+        weights = None
+        if geometry is None:
+            design = blocks.affine(x)
+        else:
+            mean, scale, centers, spreads = geometry
+            z = (x - mean[:, None]) / scale[:, None]
+            weights = blocks.normalised(blocks.log_firing(z, centers, spreads), active)
+            design = blocks.rule_design(z, weights)
+
+        def gram(use: np.ndarray):
+            xs, ys = design[:, use], y[:, use]
+            xt = xs.swapaxes(1, 2)
+            return ys.shape[1], (ys * ys).sum(axis=1), np.abs(ys).max(axis=1, initial=0.0), (xt @ ys[..., None])[..., 0], xt @ xs
+
+        prior = gram(role == ROLES.index("prior"))
+        solved = _solve(prior, gram(role == ROLES.index("bound")), alphas)
+        bound_value = np.maximum(1.0, grid.clip_multiplier * prior[2])
+        val = role == ROLES.index("validation")
+        sums = _score(
+            y, design, weights, val, val | (role == ROLES.index("bound")), where, solved["coefficients"], solved["base_std"], bound_value, grid
+        )
+        solved |= {name: solved[name].swapaxes(1, 2) for name in ("coefficients", "base_std")}
+        models, penalties = len(y), len(alphas)
+        heads = {
+            "series_id": ids.take(pa.array(np.repeat(np.arange(models), penalties))), "lag": np.full(models * penalties, p),
+            "k": np.repeat(k, penalties), "active": np.full(models * penalties, active), "ridge_alpha": np.tile(alphas, models),
+            "dimension": np.full(models * penalties, design.shape[2]), "clip_bound": np.repeat(bound_value, penalties),
+        }
+        return _record(heads | {n: v.reshape(models * penalties, *v.shape[2:]) for n, v in (solved | sums).items()}, SCORED)
+
+    def visit(batches):
+        for table in whole_groups(batches, ("series_id", "lag"), ("data", "step"), most):
+            first = starts(table, ("series_id", "lag"))
+            ends = np.append(first[1:], table.num_rows)
+            ids = table.column("series_id").combine_chunks()
+            lag, data, step, role, where, k, active = (
+                table.column(c).fill_null(0).to_numpy() for c in ("lag", "data", "step", "role", "block", "k", "active")
+            )
+            y = table.column("y").to_numpy()
+            features, *shape = (Lists(table.column(c)) for c in ("features", *GEOMETRY))
+            alike: dict = {}
+            for a, b in zip(first.tolist(), ends.tolist()):
+                split = a + int(np.searchsorted(data[a:b], 1))
+                if b - split > limit:
+                    raise ValueError(TOO_LONG)
+                if a < split < b:
+                    same = (int(lag[a]), step[split:b].tobytes(), role[split:b].tobytes(), where[split:b].tobytes())
+                    alike.setdefault(same, []).append((a, split, b))
+            for (p, *_), found in alike.items():
+                _a, split, b = found[0]
+                x = np.stack([features.rows(s, e).reshape(-1, p) for _a, s, e in found])
+                targets = np.stack([y[s:e] for _a, s, e in found])
+                kinds: dict = {}
+                for i, (start, s, _e) in enumerate(found):
+                    for d in range(start, s):
+                        rules = len(shape[2].rows(d, d + 1)) // p if k[d] else 0
+                        kinds.setdefault((rules, int(active[d])), []).append((i, d))
+                for (rules, top), members in kinds.items():
+                    own = [i for i, _d in members]
+                    geometry = None
+                    if rules:
+                        geometry = [np.stack([g.rows(d, d + 1) for _i, d in members]) for g in shape]
+                        geometry[2:] = [g.reshape(-1, rules, p) for g in geometry[2:]]
+                    yield fitted(
+                        ids.take(pa.array([d for _i, d in members])), p, [int(k[d]) for _i, d in members], top, x[own], targets[own],
+                        role[split:b], where[split:b], geometry,
+                    )
 
     lag = F.explode(F.array(*[F.lit(p) for p in grid.lags])).alias("lag")
-    per_lag = rows.select(lag, "*").filter(F.col("step") >= F.col("lag")).withColumn("features", F.slice("features", F.lit(1), F.col("lag")))
-    keys = ["series_id", "lag"]
-    left = spread_keys(per_lag, *keys).groupBy(*keys)
-    right = spread_keys(_fresh(design_rows), *keys).groupBy(*keys)
-    return left.cogroup(right).applyInPandas(visit, SCORED)
+    code = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")).cast("int") - 1
+    per_lag = rows.select(lag, "*").filter(F.col("step") >= F.col("lag")).select(
+        "series_id", "lag", F.lit(1).alias("data"), F.col("step").cast("long").alias("step"), code.alias("role"),
+        F.col("y").cast("double").alias("y"), "block", F.slice("features", F.lit(1), F.col("lag")).alias("features"),
+    )
+    keyed = design_rows.withColumns({"data": F.lit(0), "step": F.lit(0).cast("long")})
+    both = per_lag.unionByName(keyed, allowMissingColumns=True)
+    return spread_keys(both, "series_id", "lag").sortWithinPartitions("series_id", "lag").mapInArrow(visit, SCORED)
 
 
 def _two_visits(rows: DataFrame, design_rows: DataFrame, grid: Grid) -> DataFrame:
@@ -353,8 +438,11 @@ def _two_visits(rows: DataFrame, design_rows: DataFrame, grid: Grid) -> DataFram
         if len(got) == 2:
             head = pdf.iloc[0]
             limit_y = _clip_bound(got["prior"][2], grid)
-            for a, s in zip(alphas, _solve(got["prior"], got["bound"], alphas)):
-                out.append((head.series_id, int(head.lag), int(head.k), int(head.active), a, len(s[0]), limit_y, *s))
+            solved = _solve(got["prior"], got["bound"], alphas)
+            for i, a in enumerate(alphas):
+                out.append((head.series_id, int(head.lag), int(head.k), int(head.active), a, len(solved["coefficients"]), limit_y,
+                            solved["coefficients"][:, i], solved["base_std"][:, i], float(solved["location_local"][i]),
+                            float(solved["location_zero"][i])))
         return pd.DataFrame(out, columns=_names(f"{KEY_FIELDS}, {MODEL_FIELDS}"))
 
     models = cut_lineage(merged.groupBy(*KEYS).applyInPandas(solve, f"{KEY_FIELDS}, {MODEL_FIELDS}"))
@@ -371,9 +459,13 @@ def _two_visits(rows: DataFrame, design_rows: DataFrame, grid: Grid) -> DataFram
             block = _Block(left)
             for row in right.itertuples():
                 design, weights = block.design(row)
-                solved = [(np.asarray(m["coefficients"]), np.asarray(m["base_std"])) for m in row.path]
-                for m, t in zip(row.path, _score(block, design, weights, row.lag, solved, row.clip_bound, grid)):
-                    out.append((row.series_id, row.lag, row.k, row.active, m["ridge_alpha"], *t))
+                coef, base = (np.stack([m[c] for m in row.path], axis=1)[None] for c in ("coefficients", "base_std"))
+                sums = _score(
+                    block.y[None], design[None], None if weights is None else weights[None], block.take(row.lag, "validation"),
+                    block.take(row.lag, "bound", "validation"), block.block, coef, base, np.array([row.clip_bound]), grid,
+                )
+                for i, m in enumerate(row.path):
+                    out.append((row.series_id, row.lag, row.k, row.active, m["ridge_alpha"], *(v[0, i] for v in sums.values())))
         return pd.DataFrame(out, columns=_names(sums_schema))
 
     scored_rows = rows.filter(F.col("role").isin("bound", "validation"))
