@@ -230,6 +230,30 @@ def test_batches_send_only_sequences_that_can_be_listed():
     assert any(0 < n < 4 for pairs in own for g, n in pairs.items() if together[g] >= 4) and len(together) > 2 * sent[0].num_rows
 
 
+def test_sequences_travel_as_arrays():
+    """What two batches send of a range is added up; each is told what it holds of the listed ones, in few bytes, and one is the first."""
+    rng = np.random.default_rng(7)
+    all_keys = np.sort(rng.integers(0, 1 << 63, 4_000).astype(np.uint64) << np.uint64(1))
+    held = [np.sort(rng.choice(all_keys, 3_000, replace=False)) for _ in range(2)]
+    counts = [rng.integers(0, 5, 3_000) for _ in range(2)]
+    counts[0][:9] = 70_000
+    sent = [suffix_tree._rows([{"range": 5, "batch": b, "keys": suffix_tree._key_gaps(k), "n": suffix_tree._packed(n)}], suffix_tree.SENT) for b, (k, n) in enumerate(zip(held, counts))]
+    assert all(x.num_rows == 1 and x.nbytes < 12 * 3_000 for x in sent)
+    together, first = Counter(), {}
+    for b, (k, n) in enumerate(zip(held, counts)):
+        for x, y in zip(k.tolist(), n.tolist()):
+            together[x] += y
+            first.setdefault(x, b)
+    told = suffix_tree._listed(2, 4)(pa.concat_tables(sent[::-1])).to_pylist()
+    assert [(r["batch"], r["depth"], r["is_state"], r["range"]) for r in told] == [(0, 2, False, 5), (1, 2, False, 5)]
+    for r, mine in zip(told, held):
+        keys = suffix_tree._sorted_keys(r["keys"]).tolist()
+        assert keys == [k for k in mine.tolist() if together[k] >= 4]
+        assert suffix_tree._unpacked(r["n"], len(keys)).tolist() == [together[k] for k in keys]
+        assert suffix_tree._unpacked(r["listed"], len(keys)).tolist() == [first[k] == r["batch"] for k in keys]
+    assert suffix_tree._sorted_keys(suffix_tree._key_gaps(all_keys[:1])).tolist() == all_keys[:1].tolist()
+
+
 @pytest.mark.parametrize("filler", [20, 2_000])
 def test_a_passage_is_learnt_in_a_corpus_of_any_size(spark, filler):
     """A passage of 100 training texts keeps its score when the rest of the corpus grows a hundredfold."""

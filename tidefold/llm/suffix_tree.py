@@ -18,11 +18,13 @@ is scored by its longest retained suffix.
 The tree is never gathered. Each input partition is cut into batches of about ``BATCH_BYTES``,
 written once as numbers of the batch's own sorted words, in a table bucketed by
 batch. Depth by depth each batch asks for the word sequences it holds: it sends every distinct sequence once, with its own
-training count and the prediction of the shorter suffix, which it can work out
-from the answers it has (arrays in a few rows, in tables bucketed by batch, too); counts are added up by sequence, divergences by state,
-and what is listed or retained goes back to the batches that asked. A sequence is
+training count; counts are added up by sequence, and what is listed goes back to the batches that asked.
+The first of these then works out the prediction of the shorter suffix from the answers it has (arrays
+in a few rows, in tables bucketed by batch, too). It sends each context's share of the divergence; shares are added up by
+state, and what is retained goes back as well. Sequences and contexts travel as sorted arrays, one for each batch and
+range of the hash space, never as rows. A sequence is
 asked for only if all of it but the last word is frequent enough to be a state.
-Most of these are still too rare to be listed. So before rows of sequences are sent,
+Most of these are still too rare to be listed. So before sequences are sent,
 the batches count shorter hashes of them in packed arrays, one for each range of the
 hash space; whoever adds up a range tells every batch which of its hashes reach
 ``NEXT`` together. A hash is never rarer than a sequence that it stands for, so
@@ -58,11 +60,11 @@ DIVERGENCE = 0.01
 SMOOTH = 20.0
 BATCH_BYTES = 24 << 20
 TOKENS = 1 << 18
-ROWS = 1 << 14
 END = bw.mix(np.asarray([0x454E44], np.uint64))[0]
 
 NUMBERED = "batch long, doc_id long, held_out boolean, ids binary, words binary, counts binary"
-GRAM = "batch long, gram long, state long, n long, p float"
+SENT = "range long, batch long, keys binary, n binary"
+SHARES = "range long, batch long, keys binary, n binary, listed binary, gain binary, below binary"
 PACKED = "range long, batch long, cells binary, counts binary"
 ANSWERS = "batch long, depth int, is_state boolean, range long, keys binary, n binary, listed binary, cells binary"
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -163,10 +165,6 @@ def _word_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), batch)), pa.array(key), pa.array(n)], ["batch", "key", "n"])
 
 
-def _unsigned(part: pa.Table, name: str) -> np.ndarray:
-    return part.column(name).to_numpy().astype(np.int64).view(np.uint64)
-
-
 class Batch:
     """A batch's texts as numbers of its words, and what it was told: training counts of its words, its states and listed sequences of each depth."""
 
@@ -183,12 +181,20 @@ class Batch:
         self.first = (bounds - bounds[0]) // 4
         self.rows = {(d, s): (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for d in range(DEPTH + 1) for s in (False, True)}
         names, self.marked = ("depth", "is_state", "range", "keys", "n", "listed", "cells"), [np.zeros(0, np.uint64)]
-        for d, is_state, r, keys, n, listed, cells in sorted(zip(*(answers.column(c).to_pylist() for c in names)), key=lambda x: x[2] or 0):
-            if cells is None:
-                keys = np.frombuffer(keys, np.uint64) if d else self.words
-                self.rows[d, is_state] = keys, _wide(n, len(keys)), _wide(listed, len(keys))
+        told: dict = {}
+        # Buffers, not copies; one depth after another becomes arrays.
+        rows = zip(*(answers.column(c).to_pylist() for c in names[:3]), *([x.as_buffer() for x in answers.column(c)] for c in names[3:]))
+        for d, is_state, r, keys, n, listed, cells in sorted(rows, key=lambda x: x[2] or 0):
+            if cells is None and not d:
+                self.rows[d, is_state] = self.words, _wide(n, len(self.words)), _wide(listed, len(self.words))
+            elif cells is None:
+                told.setdefault((d, is_state), []).append((keys, n, listed))
             else:
                 self.marked.append(np.cumsum(_from_planes(cells), dtype=np.uint64) + (np.uint64(r) << np.uint64(32)))
+        for place, mine in told.items():
+            keys = [_sorted_keys(x[0]) for x in mine]
+            numbers = (np.concatenate([_unpacked(x[c], len(k)) for k, x in zip(keys, mine)]) for c in (1, 2))
+            self.rows[place] = np.concatenate(keys), *numbers
         self.counts = self.rows[0, False][1]
         self.word_state = look_up(self.rows[1, True][0], self.words)
 
@@ -201,15 +207,15 @@ class Batch:
             yield at, to, ids, self.words[ids], self.first[at : to + 1] - self.first[at]
             at = to
 
-    def frequent(self, depth: int, least: int) -> np.ndarray:
-        """The contexts of this many words that occur at least so often."""
+    def frequent(self, depth: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of this many words that occur at least so often, and how often."""
         key, n, _ = self.rows[depth - 1, False]
-        return key[n >= least]
+        return key[n >= least], n[n >= least]
 
     def asking(self, depth: int, least_state: int, least_next: int):
         """What :meth:`slices` gives, each token's place in its text, and the tokens that end a sequence of a frequent context and a frequent next token."""
         following, leading = self.counts >= least_next, self.counts >= least_state
-        contexts = self.frequent(depth, least_state)
+        contexts, _ = self.frequent(depth, least_state)
         for a, b, ids, keys, first in self.slices():
             place = place_in_text(first)
             at = np.flatnonzero((place >= depth) & following[ids])
@@ -233,20 +239,52 @@ class Batch:
             before = at[some] - 1
             s = self.word_state[ids[before]] if d == 1 else look_up(states, grams(keys, d)[before])
             some, s = some[s >= 0], s[s >= 0]
-            sequence, n, retained = self.rows[d, False]
+            sequence, n, _ = self.rows[d, False]
             e = look_up(sequence, grams(keys, d + 1)[at[some]])
-            k = np.where((e >= 0) & (retained[e] > 0), n[e], 0) if len(sequence) else 0
+            k = np.where(e >= 0, n[e], 0) if len(sequence) else 0
             p[some] = (k + (c[s] - listed[s] + SMOOTH) * p[some]) / (c[s] + SMOOTH)
         return p
 
 
-def _in_planes(values: np.ndarray) -> bytes:
-    """32-bit integers, all first bytes before all second ones: high bytes of small values are runs that compress."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _in_planes(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers of this kind, all first bytes before all second ones: high bytes of small integers are runs that compress."""
+    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
+
+
+def _from_planes(body: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few planes as the largest needs."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+
+
+def _unpacked(body, count: int) -> np.ndarray:
+    planes = np.frombuffer(body, np.uint8).reshape(-1, count) if count else np.zeros((1, 0), np.uint8)
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if np.dtype(k).itemsize >= len(planes))
+    out = np.zeros((count, np.dtype(kind).itemsize), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view(kind).ravel()
+
+
+def _key_gaps(keys: np.ndarray) -> bytes:
+    """Sorted keys as their number, the first, and the gaps between them."""
+    return np.asarray([len(keys), keys[0]], "<u8").tobytes() + _packed(np.diff(keys))
 
 
-def _from_planes(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _sorted_keys(body) -> np.ndarray:
+    count, first = np.frombuffer(body, "<u8", 2).tolist()
+    out = np.empty(count, np.uint64)
+    out[0], out[1:] = first, _unpacked(memoryview(body)[16:], count - 1)
+    return np.cumsum(out, dtype=np.uint64, out=out)
+
+
+def _key_ranges(keys: np.ndarray, bits: int):
+    """(range, first, last) of the ranges of ``bits`` bits in sorted keys."""
+    stops = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    return ((r, a, b) for r, (a, b) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist())) if b > a)
 
 
 def _ranges(cells: np.ndarray):
@@ -281,8 +319,7 @@ def _packed_counts(depth: int, total: int, distinct: int, least_state: int, leas
             n = few(np.bincount(which, n, len(cells)))
             low = (cells & np.uint64(0xFFFFFFFF)).astype(np.int64)
             out += [{"range": r, "batch": number, "cells": _in_planes(np.diff(low[x:y], prepend=0)), "counts": n[x:y].tobytes()} for r, x, y in _ranges(cells)]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.Table.from_pylist(out, pa.schema(list(zip(("range", "batch", "cells", "counts"), kinds))))
+        return _rows(out, PACKED)
 
     return count
 
@@ -296,9 +333,13 @@ def _wide(body: bytes, count: int) -> np.ndarray:
     return np.frombuffer(body, f"<u{max(1, len(body) // max(1, count))}").astype(np.int64)
 
 
-def _table(rows: list[dict]) -> pa.Table:
+def _rows(rows: list[dict], schema: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    return pa.Table.from_pylist(rows, pa.schema([(c, kinds[k]) for c, k in (f.split() for f in ANSWERS.split(", "))]))
+    return pa.Table.from_pylist(rows, pa.schema([(c, kinds[k]) for c, k in (f.split() for f in schema.split(", "))]))
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return _rows(rows, ANSWERS)
 
 
 def _marked(depth: int, least_next: int):
@@ -317,49 +358,122 @@ def _marked(depth: int, least_next: int):
     return mark
 
 
-def _in_chunks(rows: pa.Table) -> pa.Table:
-    """The same rows in many small Arrow batches, which the JVM reads one after another."""
-    return pa.concat_tables([rows.slice(at, ROWS) for at in range(0, max(1, rows.num_rows), ROWS)])
-
-
 def _in_arrays(part: pa.Table) -> pa.Table:
-    """What a batch is told of one depth: sorted keys with their numbers; the keys of words are left out, as it has them."""
-    depth, state, key = part.column("depth").to_numpy(), part.column("is_state").to_numpy(zero_copy_only=False).astype(bool), _unsigned(part, "key")
-    n, listed, order, out = part.column("n").to_numpy(), part.column("listed").to_numpy(), np.argsort(key), []
-    for is_state in (False, True):
-        at = order[(state == is_state)[order]]
-        if len(at):
-            d = int(depth[0])
-            out.append(
-                {"batch": part.column("batch")[0].as_py(), "depth": d, "is_state": is_state, "keys": key[at].tobytes() if d else b"", "n": _narrow(n[at]), "listed": _narrow(listed[at])}
-            )
-    return _table(out)
+    """What a batch is told of its words: their numbers in the order of their keys, which it has."""
+    at = np.argsort(_unsigned(part, "key"))
+    n, listed = (_narrow(part.column(c).to_numpy()[at]) for c in ("n", "listed"))
+    return _table([{"batch": part.column("batch")[0].as_py(), "depth": 0, "is_state": False, "keys": b"", "n": n, "listed": listed}])
 
 
 def _gram_rows(depth: int, total: int, distinct: int, least_state: int, least_next: int, bits: int):
-    """The distinct sequences of a frequent context and a frequent next token in a batch, where their cell is marked."""
+    """The distinct sequences of a frequent context and a frequent next token in a batch, where their cell is marked, in order."""
 
     def ask(part: pa.Table, answers: pa.Table) -> pa.Table:
         batch, found = Batch(part, answers, total, distinct), []
         marked = np.concatenate(batch.marked)
-        for a, b, ids, keys, first, place, at in batch.asking(depth, least_state, least_next):
+        for a, b, ids, keys, first, _, at in batch.asking(depth, least_state, least_next):
             whole = grams(keys, depth + 1)
             at = at[look_up(marked, whole[at] >> np.uint64(32 - bits)) >= 0]
-            gram, one, which = np.unique(whole[at], return_index=True, return_inverse=True)
-            n = np.bincount(which, np.repeat(~batch.held[a:b], np.diff(first))[at], len(gram)).astype(np.int32)
-            p = batch.predicted(ids, keys, place, at[one], depth - 1)
-            found.append((gram, grams(keys, depth)[at[one] - 1], n, p.astype(np.float32)))
+            gram, which = np.unique(whole[at], return_inverse=True)
+            found.append((gram, np.bincount(which, np.repeat(~batch.held[a:b], np.diff(first))[at], len(gram)).astype(np.int32)))
         out, number = [], part.column("batch")[0].as_py()
-        for gram, state, n, p in _pieces(found, 64):
-            gram, one, which = np.unique(gram, return_index=True, return_inverse=True)
+        for gram, n in _pieces(found, 64):
+            gram, which = np.unique(gram, return_inverse=True)
             n = np.bincount(which, n, len(gram)).astype(np.int64)
-            columns = np.full(len(gram), number, np.int64), gram.view(np.int64), state[one].view(np.int64), n, p[one]
-            out.append(pa.table(list(map(pa.array, columns)), ["batch", "gram", "state", "n", "p"]))
-        return _in_chunks(pa.concat_tables(out))
+            out.append(pa.table([pa.array(np.full(len(gram), number, np.int64)), pa.array(gram.view(np.int64)), pa.array(n)], ["batch", "gram", "n"]))
+        return pa.concat_tables(out)
 
     return ask
 
 
+def _packed_grams(*places):
+    """The same as sorted arrays, a row for each range of the first bits of their hash."""
+    rows, bits = _gram_rows(*places), max(3, places[-1] - 3)
+
+    def ask(part: pa.Table, answers: pa.Table) -> pa.Table:
+        found = rows(part, answers)
+        keys, n, batch = _unsigned(found, "gram"), found.column("n").to_numpy(), part.column("batch")[0].as_py()
+        return _rows([{"range": r, "batch": batch, "keys": _key_gaps(keys[a:b]), "n": _packed(n[a:b])} for r, a, b in _key_ranges(keys, bits)], SENT)
+
+    return ask
+
+
+def _met(part: pa.Table, *columns: str):
+    """What batches sent of one range: (numbers of the batches, ends of their shares, keys, the other columns), batch by batch."""
+    rows = sorted(part.select(["batch", "keys", *columns]).to_pylist(), key=lambda x: x["batch"])
+    keys = [_sorted_keys(x["keys"]) for x in rows]
+    numbers = [np.concatenate([_from_planes(x[c], "<f8") if c in ("gain", "below") else _unpacked(x[c], len(k)) for x, k in zip(rows, keys)]) for c in columns]
+    return [x["batch"] for x in rows], np.cumsum([0, *map(len, keys)]).tolist(), np.concatenate(keys), *numbers
+
+
+def _answered(depth: int, is_state: bool, r: int, batches: list, stops: list, kept: np.ndarray, keys: np.ndarray, n: np.ndarray, listed: np.ndarray) -> pa.Table:
+    """For each batch what is kept of the keys it sent."""
+    out = []
+    for batch, a, b in zip(batches, stops[:-1], stops[1:]):
+        at = a + np.flatnonzero(kept[a:b])
+        if len(at):
+            arrays = {"keys": _key_gaps(keys[at]), "n": _packed(n[at]), "listed": _packed(listed[at])}
+            out.append({"batch": batch, "depth": depth, "is_state": is_state, "range": r} | arrays)
+    return _table(out)
+
+
+def _listed(depth: int, least_next: int):
+    """For each batch the sequences of a range that reach the count over all batches; ``listed`` is 1 in the first batch that holds one."""
+
+    def add(part: pa.Table) -> pa.Table:
+        batches, stops, keys, n = _met(part, "n")
+        known, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        together = np.bincount(which, n, len(known)).astype(np.int64)[which]
+        first = np.zeros(len(keys), np.int64)
+        first[one] = 1
+        return _answered(depth, False, part.column("range")[0].as_py(), batches, stops, together >= least_next, keys, together, first)
+
+    return add
+
+
+def _shares(depth: int, total: int, distinct: int, least_state: int, least_next: int, bits: int):
+    """A batch's frequent contexts with their counts, and what the listed sequences that it holds first add to their divergence."""
+
+    def share(part: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = Batch(part, answers, total, distinct)
+        own, k, first = batch.rows[depth, False]
+        own, k = own[first > 0], k[first > 0].astype(np.float64)
+        context, p, known = np.zeros(len(own), np.uint64), np.ones(len(own), np.float32), np.zeros(len(own), bool)
+        for _, _, ids, keys, _, place, at in batch.asking(depth, least_state, least_next):
+            e = look_up(own, grams(keys, depth + 1)[at])
+            new = np.flatnonzero(e >= 0)
+            new = new[~known[e[new]]]
+            e, one = np.unique(e[new], return_index=True)
+            at = at[new[one]]
+            known[e], context[e] = True, grams(keys, depth)[at - 1]
+            p[e] = batch.predicted(ids, keys, place, at, depth - 1)
+        keys, c = batch.frequent(depth, least_state)
+        s, p = look_up(keys, context), p.astype(np.float64)
+        listed, gain, below = (np.bincount(s, x, len(keys)) for x in (k, k * np.log(k / p), p))
+        out, number = [], part.column("batch")[0].as_py()
+        for r, a, b in _key_ranges(keys, max(3, bits - 3)):
+            whole = {"n": _packed(c[a:b]), "listed": _packed(listed[a:b])}
+            out.append({"range": r, "batch": number, "keys": _key_gaps(keys[a:b]), "gain": _in_planes(gain[a:b], "<f8"), "below": _in_planes(below[a:b], "<f8")} | whole)
+        return _rows(out, SHARES)
+
+    return share
+
+
+def _retained(depth: int, least: float):
+    """For each batch its contexts of a range that diverge from their shorter suffix by ``least`` nats or more, with what they list."""
+
+    def add(part: pa.Table) -> pa.Table:
+        batches, stops, keys, n, *sums = _met(part, "n", "listed", "gain", "below")
+        known, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        c, (listed, gain, below) = n[one].astype(np.float64), (np.bincount(which, x, len(known)) for x in sums)
+        rest = 1 - listed / c
+        left = np.where(rest > 0, rest * np.log(np.where(rest > 0, rest, 1) / np.maximum(1 - below, 1e-12)), 0)
+        kept = (listed > 0) & ((gain - listed * np.log(c)) / c + left >= least)
+        return _answered(depth, True, part.column("range")[0].as_py(), batches, stops, kept[which], keys, n, listed[which].astype(np.int64))
+
+    return add
+
+
 def _score(total: int, distinct: int):
     def score(part: pa.Table, answers: pa.Table) -> pa.Table:
         batch, out = Batch(part, answers, total, distinct), []
@@ -406,56 +520,42 @@ def _paired(work):
     return run
 
 
-def _told(rows: DataFrame, name: str | None = None) -> str:
-    """Answers (batch, depth, is_state, key, n, listed) of one depth as arrays, in a table bucketed by batch."""
+def _told(rows: DataFrame) -> str:
+    """Answers (batch, key, n, listed) on words as arrays, in a table bucketed by batch."""
 
     def packed(batches):
         for part in groups(batches, "batch"):
             yield from _in_arrays(part).to_batches()
 
     # Rows come in batches of bounded size; a group of them at once would be held outside the JVM's heap.
-    return _bucketed(spread_keys(rows, "batch").sortWithinPartitions("batch").mapInArrow(lean(packed), ANSWERS), "batch", name)
+    return _bucketed(spread_keys(rows, "batch").sortWithinPartitions("batch").mapInArrow(lean(packed), ANSWERS), "batch")
 
 
 def _levels(dealt: DataFrame, words: DataFrame, total: int, distinct: int, batches: int) -> DataFrame:
     """Answers of all depths, one depth after another."""
-    none = F.lit(0).cast("long")
     # More batches make more ranges, so what one range holds stays the same.
     bits = min(32, batches.bit_length() + 3)
-    # One table for all depths, read anew after each.
+    # One table for all depths, read anew after each step.
     spark = dealt.sparkSession
-    name = _told(words.select("batch", F.lit(0).alias("depth"), F.lit(False).alias("is_state"), "key", "n", none.alias("listed")))
-    # Rows (batch, key, n, is_first) of what may be a context of the next depth.
-    contexts = words.filter(F.col("n") >= STATE).select("batch", "key", "n", "is_first")
+    name = _told(words.select("batch", "key", "n", F.lit(0).cast("long").alias("listed")))
+
+    def told(condition: str) -> DataFrame:
+        return spark.table(name).filter(condition)
+
+    def asked(work, answers: DataFrame, schema: str) -> DataFrame:
+        return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_paired(work), schema).groupBy("range")
+
+    def answer(met, work) -> None:
+        _bucketed(met.applyInArrow(_alone(work), ANSWERS), "batch", name)
+
     for depth in range(1, DEPTH + 1):
-        answers = spark.table(name).filter("cells IS NULL")
-        packed = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_paired(_packed_counts(depth, total, distinct, STATE, NEXT, bits)), PACKED)
-        _bucketed(packed.groupBy("range").applyInArrow(_alone(_marked(depth, NEXT)), ANSWERS), "batch", name)
-        told = spark.table(name).filter((F.col("depth") == depth) | F.col("cells").isNull())
-        rows = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_paired(_gram_rows(depth, total, distinct, STATE, NEXT, bits)), GRAM)
-        same = Window.partitionBy("gram")
-        counted = rows.withColumns({"total": F.sum("n").over(same), "is_first": F.col("batch") == F.min("batch").over(same)})
-        listed = store(counted.filter(F.col("total") >= NEXT).select("batch", "gram", "state", F.col("total").alias("n"), F.when(F.col("is_first"), F.col("p")).alias("p"), "is_first"))
-        k, p, c = F.col("n"), F.col("p").cast("double"), F.col("c")
-        sums = listed.filter("is_first").groupBy("state").agg(
-            F.sum("n").alias("listed"), F.sum(k * F.log(k / p)).alias("_gain"), F.sum(p).alias("_below")
-        )
-        rest = 1 - F.col("listed") / c
-        gain = (F.col("_gain") - F.col("listed") * F.log(c)) / c + F.when(
-            rest > 0, rest * F.log(rest / F.greatest(1 - F.col("_below"), F.lit(1e-12)))
-        ).otherwise(0.0)
-        own = contexts.filter("is_first").select(F.col("key").alias("state"), F.col("n").alias("c"))
-        states = store(sums.join(own, "state").filter(gain >= DIVERGENCE).select("state", "c", "listed"))
-        retained = contexts.join(states, F.col("key") == F.col("state")).select(
-            "batch", F.lit(depth).alias("depth"), F.lit(True).alias("is_state"), "key", F.col("c").alias("n"), "listed"
-        )
-        kept = listed.join(states.select("state", F.lit(1).cast("long").alias("listed")), "state", "left")
-        sequences = kept.filter(F.col("listed").isNotNull() | (F.col("n") >= STATE)).select(
-            "batch", F.lit(depth).alias("depth"), F.lit(False).alias("is_state"), F.col("gram").alias("key"), "n", F.coalesce("listed", none).alias("listed")
-        )
-        _told(retained.unionByName(sequences), name)
-        contexts = listed.filter(F.col("n") >= STATE).select("batch", F.col("gram").alias("key"), "n", "is_first")
-    return spark.table(name).filter("cells IS NULL")
+        places = depth, total, distinct, STATE, NEXT, bits
+        # What is asked follows from the words and the sequences one shorter; only predictions need the rest.
+        before = f"depth = 0 OR depth = {depth - 1} AND NOT is_state AND cells IS NULL"
+        answer(asked(_packed_counts(*places), told(before), PACKED), _marked(depth, NEXT))
+        answer(asked(_packed_grams(*places), told(f"{before} OR depth = {depth} AND cells IS NOT NULL"), SENT), _listed(depth, NEXT))
+        answer(asked(_shares(*places), told("cells IS NULL"), SHARES), _retained(depth, DIVERGENCE))
+    return told("cells IS NULL")
 
 
 def scores(docs: DataFrame, held_out) -> DataFrame:
