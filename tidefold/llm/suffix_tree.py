@@ -58,8 +58,10 @@ DEPTH = 3
 STATE, NEXT = 16, 4
 DIVERGENCE = 0.01
 SMOOTH = 20.0
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 TOKENS = 1 << 18
+# Bits of a cell beside those of its range: few sequences share one by chance.
+CELL = 24
 END = bw.mix(np.asarray([0x454E44], np.uint64))[0]
 
 NUMBERED = "batch long, doc_id long, held_out boolean, ids binary, words binary, counts binary"
@@ -93,12 +95,28 @@ def place_in_text(first: np.ndarray) -> np.ndarray:
     return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
 
 
-def look_up(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+class Places:
+    """Where keys stand in a sorted table of ``width``-bit hashes: first bits lead to a few entries, which are tried in turn."""
+
+    def __init__(self, table: np.ndarray, width: int = 64):
+        self.table = table if len(table) else np.zeros(1, np.uint64)
+        bits = min(width, max(1, len(table).bit_length()))
+        self.shift = np.uint64(width - bits)
+        self.starts = np.searchsorted(table >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key in the table, or -1."""
+        slot = (keys >> self.shift).astype(np.int64)
+        at, end = self.starts[slot], self.starts[slot + 1]
+        out = np.where((at < end) & (self.table.take(at, mode="clip") == keys), at, -1)
+        left = np.flatnonzero((out < 0) & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit = self.table[at[left]] == keys[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            left = left[at[left] + 1 < end[left]]
+        return out
 
 
 def _unsigned(part: pa.Table, name: str) -> np.ndarray:
@@ -175,6 +193,7 @@ class Batch:
         self.texts = part.filter(texts).combine_chunks()
         self.held = self.texts.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         ids = self.texts.column("ids").combine_chunks()
+        self.texts = self.texts.select(["doc_id", "held_out"])
         ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
         bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
         self.ids = np.frombuffer(ids.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<i4")
@@ -190,13 +209,15 @@ class Batch:
             elif cells is None:
                 told.setdefault((d, is_state), []).append((keys, n, listed))
             else:
-                self.marked.append(np.cumsum(_from_planes(cells), dtype=np.uint64) + (np.uint64(r) << np.uint64(32)))
+                self.marked.append(np.cumsum(_from_planes(cells), dtype=np.uint64) + (np.uint64(r) << np.uint64(CELL)))
         for place, mine in told.items():
             keys = [_sorted_keys(x[0]) for x in mine]
             numbers = (np.concatenate([_unpacked(x[c], len(k)) for k, x in zip(keys, mine)]) for c in (1, 2))
             self.rows[place] = np.concatenate(keys), *numbers
         self.counts = self.rows[0, False][1]
-        self.word_state = look_up(self.rows[1, True][0], self.words)
+        self.word_state = Places(self.rows[1, True][0])(self.words)
+        # Used for every token of the batch, so made once.
+        self.places = {k: Places(x[0]) for k, x in self.rows.items() if k[0]}
 
     def slices(self):
         """(first row, last row, numbers, keys, first token of each row) of about ``TOKENS`` tokens; a text stays whole."""
@@ -215,14 +236,14 @@ class Batch:
     def asking(self, depth: int, least_state: int, least_next: int):
         """What :meth:`slices` gives, each token's place in its text, and the tokens that end a sequence of a frequent context and a frequent next token."""
         following, leading = self.counts >= least_next, self.counts >= least_state
-        contexts, _ = self.frequent(depth, least_state)
+        contexts = Places(self.frequent(depth, least_state)[0])
         for a, b, ids, keys, first in self.slices():
             place = place_in_text(first)
             at = np.flatnonzero((place >= depth) & following[ids])
             if depth == 1:
                 at = at[leading[ids[at - 1]]]
             else:
-                at = at[look_up(contexts, grams(keys, depth)[at - 1]) >= 0]
+                at = at[contexts(grams(keys, depth)[at - 1]) >= 0]
             yield a, b, ids, keys, first, place, at
 
     def root(self, count: np.ndarray) -> np.ndarray:
@@ -237,11 +258,11 @@ class Batch:
                 continue
             some = np.flatnonzero(place[at] >= d)
             before = at[some] - 1
-            s = self.word_state[ids[before]] if d == 1 else look_up(states, grams(keys, d)[before])
+            s = self.word_state[ids[before]] if d == 1 else self.places[d, True](grams(keys, d)[before])
             some, s = some[s >= 0], s[s >= 0]
-            sequence, n, _ = self.rows[d, False]
-            e = look_up(sequence, grams(keys, d + 1)[at[some]])
-            k = np.where(e >= 0, n[e], 0) if len(sequence) else 0
+            _, n, _ = self.rows[d, False]
+            e = self.places[d, False](grams(keys, d + 1)[at[some]])
+            k = np.where(e >= 0, n[e], 0) if len(n) else 0
             p[some] = (k + (c[s] - listed[s] + SMOOTH) * p[some]) / (c[s] + SMOOTH)
         return p
 
@@ -288,8 +309,8 @@ def _key_ranges(keys: np.ndarray, bits: int):
 
 
 def _ranges(cells: np.ndarray):
-    """(range, first, last) of the ranges in sorted cells; the low 32 bits of a cell are its place in the range."""
-    high = cells >> np.uint64(32)
+    """(range, first, last) of the ranges in sorted cells; the low ``CELL`` bits of a cell are its place in the range."""
+    high = cells >> np.uint64(CELL)
     edges = np.concatenate([[0], np.flatnonzero(high[1:] != high[:-1]) + 1, [len(cells)]]) if len(cells) else np.zeros(1, np.int64)
     return zip(high[edges[:-1]].tolist() if len(cells) else [], edges[:-1].tolist(), edges[1:].tolist())
 
@@ -303,7 +324,7 @@ def _pieces(found: list[tuple[np.ndarray, ...]], bits: int):
 
 
 def _packed_counts(depth: int, total: int, distinct: int, least_state: int, least_next: int, bits: int):
-    """The training counts of a batch's sequences by the first ``bits`` and 32 bits of their hash, a row for each range of the first."""
+    """The training counts of a batch's sequences by the first ``bits`` and ``CELL`` bits of their hash, a row for each range of the first."""
 
     def few(n: np.ndarray) -> np.ndarray:
         return np.minimum(n, least_next).astype(np.min_scalar_type(least_next))
@@ -311,13 +332,13 @@ def _packed_counts(depth: int, total: int, distinct: int, least_state: int, leas
     def count(part: pa.Table, answers: pa.Table) -> pa.Table:
         batch, found = Batch(part, answers, total, distinct), []
         for a, b, ids, keys, first, _, at in batch.asking(depth, least_state, least_next):
-            cell, which = np.unique(grams(keys, depth + 1)[at] >> np.uint64(32 - bits), return_inverse=True)
+            cell, which = np.unique(grams(keys, depth + 1)[at] >> np.uint64(64 - CELL - bits), return_inverse=True)
             found.append((cell, few(np.bincount(which, np.repeat(~batch.held[a:b], np.diff(first))[at], len(cell)))))
         out, number = [], part.column("batch")[0].as_py()
-        for cell, n in _pieces(found, bits + 32):
+        for cell, n in _pieces(found, bits + CELL):
             cells, which = np.unique(cell, return_inverse=True)
             n = few(np.bincount(which, n, len(cells)))
-            low = (cells & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            low = (cells & np.uint64((1 << CELL) - 1)).astype(np.int64)
             out += [{"range": r, "batch": number, "cells": _in_planes(np.diff(low[x:y], prepend=0)), "counts": n[x:y].tobytes()} for r, x, y in _ranges(cells)]
         return _rows(out, PACKED)
 
@@ -370,10 +391,10 @@ def _gram_rows(depth: int, total: int, distinct: int, least_state: int, least_ne
 
     def ask(part: pa.Table, answers: pa.Table) -> pa.Table:
         batch, found = Batch(part, answers, total, distinct), []
-        marked = np.concatenate(batch.marked)
+        marked = Places(np.concatenate(batch.marked), bits + CELL)
         for a, b, ids, keys, first, _, at in batch.asking(depth, least_state, least_next):
             whole = grams(keys, depth + 1)
-            at = at[look_up(marked, whole[at] >> np.uint64(32 - bits)) >= 0]
+            at = at[marked(whole[at] >> np.uint64(64 - CELL - bits)) >= 0]
             gram, which = np.unique(whole[at], return_inverse=True)
             found.append((gram, np.bincount(which, np.repeat(~batch.held[a:b], np.diff(first))[at], len(gram)).astype(np.int32)))
         out, number = [], part.column("batch")[0].as_py()
@@ -438,9 +459,9 @@ def _shares(depth: int, total: int, distinct: int, least_state: int, least_next:
         batch = Batch(part, answers, total, distinct)
         own, k, first = batch.rows[depth, False]
         own, k = own[first > 0], k[first > 0].astype(np.float64)
-        context, p, known = np.zeros(len(own), np.uint64), np.ones(len(own), np.float32), np.zeros(len(own), bool)
+        mine, context, p, known = Places(own), np.zeros(len(own), np.uint64), np.ones(len(own), np.float32), np.zeros(len(own), bool)
         for _, _, ids, keys, _, place, at in batch.asking(depth, least_state, least_next):
-            e = look_up(own, grams(keys, depth + 1)[at])
+            e = mine(grams(keys, depth + 1)[at])
             new = np.flatnonzero(e >= 0)
             new = new[~known[e[new]]]
             e, one = np.unique(e[new], return_index=True)
@@ -448,7 +469,7 @@ def _shares(depth: int, total: int, distinct: int, least_state: int, least_next:
             known[e], context[e] = True, grams(keys, depth)[at - 1]
             p[e] = batch.predicted(ids, keys, place, at, depth - 1)
         keys, c = batch.frequent(depth, least_state)
-        s, p = look_up(keys, context), p.astype(np.float64)
+        s, p = Places(keys)(context), p.astype(np.float64)
         listed, gain, below = (np.bincount(s, x, len(keys)) for x in (k, k * np.log(k / p), p))
         out, number = [], part.column("batch")[0].as_py()
         for r, a, b in _key_ranges(keys, max(3, bits - 3)):
