@@ -201,6 +201,25 @@ def test_lines_near_a_center_are_compared_too(spark, monkeypatch, block):
     assert len(want) == 15 and got == want
 
 
+def test_lines_of_other_sizes_are_not_compared(spark, monkeypatch):
+    """Lines that share their words with a center but are far longer are told apart by their sizes, before any set is made."""
+    from pyspark.sql import functions as F
+
+    compared = []
+    whole = line_dedup.verified
+
+    def seen(pairs, texts):
+        compared.append(pairs.count())
+        return whole(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "verified", seen)
+    monkeypatch.setattr(line_dedup, "signature", lambda line: F.struct(F.size(line_dedup.shingles(line)).alias("size"), F.array(F.lit(1)).alias("bands")))
+    words = [f"word{k}" for k in range(90)]
+    rows = [(k, " ".join(words[:n])) for k, n in enumerate((10, 11, 30, 32, 90))]
+    got, want = line_groups(spark, rows)
+    assert got == want and len(want) == 3 and sum(compared) <= 4
+
+
 def test_lines_without_spaces_meet(spark):
     """Long tokens, tabs, other scripts and lines of one to three words, changed near their start."""
     import random

@@ -102,10 +102,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _center(members: DataFrame, turn: int) -> DataFrame:
-    """``members(bucket, key)`` with the bucket's center for this turn, for buckets of two keys or more."""
+    """``members(bucket, key, size)`` with the bucket's center for this turn and its size, for buckets of two keys or more."""
     order = F.xxhash64(F.lit(turn), "key")
-    centers = members.groupBy("bucket").agg(F.min_by("key", order).alias("center"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return members.join(centers, "bucket")
+    centers = members.groupBy("bucket").agg(F.min_by(F.struct("key", "size"), order).alias("c"), F.count("*").alias("n"))
+    return members.join(centers.filter("n > 1").select("bucket", F.col("c.key").alias("center"), F.col("c.size").alias("center_size")), "bucket")
+
+
+def sized(left: Column, right: Column) -> Column:
+    """Whether sets of these sizes can reach the threshold."""
+    return F.least(left, right) >= F.lit(SIMILAR) * F.greatest(left, right)
 
 
 def _unconnected(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -118,8 +123,8 @@ def _unconnected(members: DataFrame, roots: DataFrame) -> DataFrame:
     rows = store(in_blocks(placed.join(mixed, "bucket"), "bucket", "blocks", "key").select("group", "pair", "own", "key", "part", "size"))
     left, right = rows.alias("l"), rows.alias("r")
     once = F.when(F.col("l.pair"), F.col("l.own") < F.col("r.own")).otherwise(F.col("l.key") < F.col("r.key"))
-    sized = F.least("l.size", "r.size") >= F.lit(SIMILAR) * F.greatest("l.size", "r.size")
-    met = left.join(right, (F.col("l.group") == F.col("r.group")) & (F.col("l.part") != F.col("r.part")) & sized & once)
+    can = sized(F.col("l.size"), F.col("r.size"))
+    met = left.join(right, (F.col("l.group") == F.col("r.group")) & (F.col("l.part") != F.col("r.part")) & can & once)
     return met.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b"))
 
 
@@ -132,12 +137,13 @@ def near_lines(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("bucket")
     members = store(rows.join(shared, "bucket").select("bucket", "key", "size"))
     texts = store(distinct.join(members.select("key").distinct(), "key", "left_semi"))
-    found, left = [], members.select("bucket", "key")
+    found, left = [], members.select("bucket", "key", "size")
     for turn in range(2):
         placed = _center(left, turn).filter("key != center")
-        found.append(store(verified(placed.select(F.col("center").alias("a"), F.col("key").alias("b")), texts)))
+        hopeful = placed.filter(sized(F.col("size"), F.col("center_size")))
+        found.append(store(verified(hopeful.select(F.col("center").alias("a"), F.col("key").alias("b")), texts)))
         settled = found[-1].select(F.col("a").alias("center"), F.col("b").alias("key"))
-        left = store(placed.join(settled, ["center", "key"], "left_anti").select("bucket", "key"))
+        left = store(placed.join(settled, ["center", "key"], "left_anti").select("bucket", "key", "size"))
     roots = store(components(reduce(DataFrame.unionByName, found)))
     # A key near a center may be near to others that the center is not near to.
     found.append(verified(_unconnected(members, roots), texts))
