@@ -362,3 +362,27 @@ def test_pipeline_of_no_rows(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_only_wanted_lines_are_fetched_and_sketches_rule_out_no_link(spark):
+    """Before any text is compared: lines that share no bucket do not travel, and a sketch never excludes a near pair."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abcdefgh é漢", k=n)) for n in (5, 12, 40, 120, 400, 900, 2500) for _ in range(6)]
+    lines = base + [x[: len(x) // 2] + "Q" + x[len(x) // 2 + 1 :] for x in base] + [x + x[: len(x) // 9] for x in base] + [x * 3 for x in base]
+    df = spark.createDataFrame(list(enumerate(lines)), "key long, line string")
+    met = line_dedup.among(df, df.filter("key % 50 = 0").select("key"))
+    assert {0, 50, 100, 150} <= {r["key"] for r in met.collect()} and met.count() < 8
+    n = line_dedup.SHINGLE
+    sets = [{(" " + x)[k : k + n] for k in range(len(x) + 2 - n)} or {x} for x in lines]
+    known = line_dedup.sketches(df)
+    assert {r["key"]: r["size"] for r in known.collect()} == {k: len(x) for k, x in enumerate(sets)}
+    l, r = known.alias("l"), known.alias("r")
+    pairs = l.join(r, F.col("l.key") < F.col("r.key")).filter(line_dedup.possible("l", "r")).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"))
+    hopeful = {tuple(x) for x in pairs.collect()}
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near and near <= hopeful and len(hopeful) < 4 * len(near)
+    assert {tuple(x) for x in line_dedup.verified(pairs, known).collect()} == near
