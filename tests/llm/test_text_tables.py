@@ -213,3 +213,17 @@ def test_links_at_and_above_any_threshold():
     for top, bottom, threshold in ((4, 5, 0.8), (9, 10, 0.9), (7, 10, 0.7)):
         least = jj.least_common(sizes, threshold)
         assert (bottom * least >= top * (sizes - least)).all() and (bottom * (least - 1) < top * (sizes - least + 1)).all()
+
+
+def test_links_right_at_the_threshold_are_all_found(spark):
+    """700 pairs of exactly four fifths, which share no more than the threshold asks for."""
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(700):
+        words = [f"u{rng.randrange(10**9)}" for _ in range(49)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:24], f"v{k}", *words[25:]]))]
+    assert len(brute.shingles(rows[0][1]) & brute.shingles(rows[1][1])) * 5 == 4 * len(brute.shingles(rows[0][1]) | brute.shingles(rows[1][1]))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in rows}
